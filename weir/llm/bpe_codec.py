@@ -20,14 +20,14 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .token_counts import byte_symbols, slices
+from .shared import map_column, text_rows
+from .token_counts import byte_symbols
 
 CACHE = 120_000  # words whose ids a worker keeps
 PAIRS = 400_000  # entries that the pair-compatibility table keeps
@@ -213,43 +213,36 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _over_texts(docs: DataFrame, doc_id: str, text: str, body, schema: str) -> DataFrame:
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.selectExpr(f"`{doc_id}` AS doc_id", f"CAST(`{text}` AS string) AS text").mapInPandas(body, f"doc_id {kind}, {schema}")
-
-
 def encode_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) for each row. vocabulary: a path that every executor can open."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         encode = codec(vocabulary).encode
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            for a, b in slices(texts):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b], "ids": [np.array(encode(t), dtype=np.int32) for t in texts[a:b]]})
+        return lambda values: {"ids": pa.array([encode(t or "") for t in values], pa.list_(pa.int32()))}
 
-    return _over_texts(docs, doc_id, text, run, "ids array<int>")
+    return map_column(text_rows(docs, doc_id, text), "text", start, "ids array<int>")
 
 
-def decode_documents(encoded: DataFrame, vocabulary: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """doc_id and text for each row of (doc_id, ids)."""
-    kind = encoded.schema[doc_id].dataType.simpleString()
+def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
+    """encoded with a text column in place of the ids; null ids give a null text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         decode = codec(vocabulary).decode
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [None if x is None else decode(list(x)) for x in batch["ids"]]})
+        return lambda values: {"text": pa.array([None if x is None else decode(x) for x in values], pa.string())}
 
-    return encoded.selectExpr(f"`{doc_id}` AS doc_id", f"`{ids}` AS ids").mapInPandas(run, f"doc_id {kind}, text string")
+    return map_column(encoded, ids, start, "text string")
 
 
 def digest_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: texts are encoded and decoded, and only digests leave the task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         digest = codec(vocabulary).digest
-        for batch in batches:
-            n, ids, decoded = zip(*[digest(t or "") for t in batch["text"]], strict=True) if len(batch) else ((), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.array(n, dtype=np.int64), "ids_sha256": list(ids), "decoded_sha256": list(decoded)})
 
-    return _over_texts(docs, doc_id, text, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def work(values: list) -> dict[str, pa.Array]:
+            found = [digest(t or "") for t in values]
+            return {"n_tokens": pa.array([x[0] for x in found], pa.int64()), "ids_sha256": pa.array([x[1] for x in found], pa.string()), "decoded_sha256": pa.array([x[2] for x in found], pa.string())}
+
+        return work
+
+    return map_column(text_rows(docs, doc_id, text), "text", start, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import held_out, materialize, table
 
 #: The policy of op1: verdict, host, path prefix.
 POLICY = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
+#: The key of the PII query; a deployment passes its own.
+PII_KEY = "change-me"
+
 
 def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_trust import judge
@@ -17,6 +20,56 @@ def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), POLICY)
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with pseudonyms, and what was found, for each document."""
+    from .pseudonyms import pseudonymize
+
+    out = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+    return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_found"), F.array_join(F.transform("pii", lambda x: x["kind"]), ",").alias("kinds"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import predict, train
+
+    docs, held = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 3, 1)
+    return predict(docs, train(docs.filter(~held)), carry={"held_out": held})
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents, train
+
+    docs, held = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 4, 2)
+    labels = table(spark, sf_dir, "labels").filter(~held).select("doc_id", F.col("toxic").alias("label"))
+    return score_documents(docs, train(docs, labels), carry={"held_out": held})
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import measure_documents, score_documents, train
+
+    held = held_out(F.col("doc_id"), 3, 1)
+    measured = materialize(measure_documents(table(spark, sf_dir, "documents"), carry={"held_out": held}), "quality-statistics")
+    labels = table(spark, sf_dir, "labels").filter(~held).select("doc_id", F.col("quality").alias("label"))
+    return score_documents(measured, train(measured, labels)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_codec import digest_documents
+
+    return digest_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_rules import judge
 
@@ -25,7 +78,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_trust, op10_line_rules)}
+    return {f.__name__: f for f in (op1_url_trust, op2_pseudonyms, op3_language_id, op4_toxicity, op5_token_counts, op6_quality, op9_bpe_codec, op10_line_rules)}
 
 
 def oracle_sql() -> dict:

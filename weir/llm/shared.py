@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word rules: space and U+0009 to U+000D.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -46,3 +48,27 @@ def lower_ascii(c: Column) -> Column:
 
 def held_out(doc_id: Column, mod: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == remainder, F.lit(False))
+
+
+def map_column(rows: DataFrame, column: str, start: Callable[[], Callable[[list], dict[str, pa.Array]]], added: str, keep: bool = False) -> DataFrame:
+    """rows with new columns computed from one column in Arrow batches; the other columns pass through untouched.
+
+    start() is called once a task and gives the function of a batch's values (None for null). The column itself
+    is dropped unless keep is set; a new column takes the place of one of its name.
+    """
+    fields = T._parse_datatype_string(added).fields
+    new = [f.name for f in fields]
+    carried = [f for f in rows.schema.fields if f.name not in new and (keep or f.name != column)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            made = work(batch.column(column).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), *(made[n] for n in new)], names=[*(f.name for f in carried), *new])
+
+    return rows.mapInArrow(run, T.StructType([*carried, *fields]))
+
+
+def text_rows(docs: DataFrame, doc_id: str, text: str, carry: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, text (a string) and the carried columns: what a scan of the texts needs, and no other column."""
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *(c.alias(k) for k, c in (carry or {}).items()))

@@ -20,9 +20,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import map_column, text_rows
+
 CACHE = 150_000  # pre-tokens whose counts a worker keeps
 SLICE_CHARS = 400_000  # text handled at once
 NONE = np.int64(1 << 40)
@@ -162,15 +164,16 @@ def slices(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int, in
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row. vocabulary: a path that every executor can open."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         count = counter(vocabulary).count
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
+
+        def work(values: list) -> dict[str, pa.Array]:
+            texts = [t or "" for t in values]
             tokens: list[int] = []
             for a, b in slices(texts):
                 tokens += count(texts[a:b])
-            n = np.array(tokens, dtype=np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": np.array([len(t.encode()) for t in texts], dtype=np.int64), "n_tokens": n, "over_limit": n > limit})
+            return {"n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "over_limit": pa.array([n > limit for n in tokens], pa.bool_())}
+
+        return work
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.selectExpr(f"`{doc_id}` AS doc_id", f"CAST(`{text}` AS string) AS text").mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_column(text_rows(docs, doc_id, text), "text", start, "n_bytes long, n_tokens long, over_limit boolean")
