@@ -64,6 +64,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(measured, train(measured, labels)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import digest_documents
 
@@ -78,7 +85,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_trust, op2_pseudonyms, op3_language_id, op4_toxicity, op5_token_counts, op6_quality, op9_bpe_codec, op10_line_rules)}
+    return {f.__name__: f for f in (op1_url_trust, op2_pseudonyms, op3_language_id, op4_toxicity, op5_token_counts, op6_quality, op8_decontamination, op9_bpe_codec, op10_line_rules)}
 
 
 def oracle_sql() -> dict:
