@@ -64,6 +64,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(measured, train(measured, labels)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import decontaminate
 
@@ -85,7 +91,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_trust, op2_pseudonyms, op3_language_id, op4_toxicity, op5_token_counts, op6_quality, op8_decontamination, op9_bpe_codec, op10_line_rules)}
+    return {f.__name__: f for f in (op1_url_trust, op2_pseudonyms, op3_language_id, op4_toxicity, op5_token_counts, op6_quality, op7_near_duplicates, op8_decontamination, op9_bpe_codec, op10_line_rules)}
 
 
 def oracle_sql() -> dict:
