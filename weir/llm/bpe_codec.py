@@ -95,6 +95,7 @@ class Codec:
             raw[i] = t.encode()
         self.buffer, self.offsets = b"".join(raw), np.cumsum([0, *map(len, raw)]).tolist()
         self.known: dict[str | int, tuple[int, str, bytes]] = {}
+        self.known_ids: dict[str | int, list[int]] = {}
 
     def _border_stands(self, x: int, y: int, gone: int) -> bool:
         """Tokens x and y, next to each other until merge `gone`, keep their border till then.
@@ -188,9 +189,14 @@ class Codec:
         return out
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        known, out = self.known_ids, []
         for p in self.pieces(text):
-            out += [p] if isinstance(p, int) else self.encode_word(p.encode())
+            ids = known.get(p)
+            if ids is None:
+                ids = known[p] = [p] if isinstance(p, int) else self.encode_word(p.encode())
+            out += ids
+        if len(known) > CACHE:
+            known.clear()
         return out
 
     def digest(self, text: str) -> tuple[int, str, str]:
@@ -213,14 +219,14 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids (array<int>) for each row. vocabulary: a path that every executor can open."""
+def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """docs with token ids (array<int>) in place of the text. vocabulary: a path that every executor can open."""
 
     def start():
         encode = codec(vocabulary).encode
-        return lambda values: {"ids": pa.array([encode(t or "") for t in values], pa.list_(pa.int32()))}
+        return lambda values: {ids: pa.array([encode(t or "") for t in values], pa.list_(pa.int32()))}
 
-    return map_column(text_rows(docs, doc_id, text), "text", start, "ids array<int>")
+    return map_column(docs.withColumn(text, docs[text].cast("string")), text, start, f"`{ids}` array<int>")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:

@@ -20,7 +20,8 @@ def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), POLICY)
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """Path of an installed vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -52,7 +53,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +81,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import digest_documents
 
-    return digest_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return digest_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,8 +269,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id
     return add_scores(text_rows(docs, doc_id, text, carry), model, threshold=threshold, keep_text=keep_text)
 
 
-def add_scores(rows: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.3, keep_text: bool = True) -> DataFrame:
-    """rows with score and predicted; its other columns pass through."""
+def add_scores(rows: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.3, keep_text: bool = True, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """rows with a score and a predicted column of the given names; its other columns pass through."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def start():
@@ -278,8 +278,8 @@ def add_scores(rows: DataFrame, model: ToxicityModel, text: str = "text", thresh
 
         def work(values: list) -> dict[str, pa.Array]:
             scores = [one(t) for t in values]
-            return {"score": pa.array(scores, pa.float64()), "predicted": pa.array([int(x >= threshold) for x in scores], pa.int32())}
+            return {score: pa.array(scores, pa.float64()), predicted: pa.array([int(x >= threshold) for x in scores], pa.int32())}
 
         return work
 
-    return map_column(rows, text, start, "score double, predicted int", keep=keep_text)
+    return map_column(rows, text, start, f"`{score}` double, `{predicted}` int", keep=keep_text)
