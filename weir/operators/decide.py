@@ -52,6 +52,10 @@ def _hits(text: Column, terms: Sequence[str]) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(flex_pattern(t)), F.lit(t)) for t in terms))) if terms else F.array().cast("array<string>")
 
 
+def _in_any(texts: Column, term: str) -> Column:
+    return F.exists(texts, lambda c: matches(c, term))
+
+
 def prepare(df: DataFrame, text: str) -> DataFrame:
     """df with _text (markup stripped), _active (not negated) and mode."""
     df = df.withColumn("_text", strip_markup(F.col(text)))
@@ -70,7 +74,7 @@ def domain_scores(df: DataFrame, rules: RuleSet, text: str = "text") -> DataFram
         scored = mask_terms(F.col("_active"), d.negatives)
         strong = F.size(_hits(scored, [*d.triggers, *d.quality]))
         weak = _hits(scored, d.weak)
-        excluded = F.array_compact(F.array(*(F.when(F.exists(clauses(F.col("_text"), True), lambda c, m=m: matches(c, m)), F.lit(m)) for m in d.members))) if d.members else F.array().cast("array<string>")
+        excluded = F.array_compact(F.array(*(F.when(_in_any(clauses(F.col("_text"), True), m), F.lit(m)) for m in d.members))) if d.members else F.array().cast("array<string>")
         named = F.array_except(_hits(F.col("_active"), d.members), excluded)
         gate = F.size(_hits(F.col("_active"), d.quality)) > 0
         out.append(F.struct(F.lit(d.name).alias("domain"), (strong + 2 * F.size(named)).alias("strong"), (strong + F.size(weak) + 2 * F.size(named)).alias("score"), weak.alias("weak"), gate.alias("gate"), named.alias("named"), excluded.alias("excluded")))
