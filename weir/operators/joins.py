@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import flex_pattern, flex_variants
 from ..functions.text import norm_key
+from .ranking import seconds
 
 
 def match_terms(docs: DataFrame, terms: Sequence[str], doc_id: str, text: str) -> DataFrame:
@@ -135,7 +136,7 @@ def slice_windows(actions: DataFrame, flows: DataFrame, quiet_s: float, baseline
     start names it, by a window over actions and flows together. No theta join.
     """
     w = Window.partitionBy(part).orderBy(ts)
-    gap = F.col(ts).cast("double") - F.lag(ts).over(w).cast("double")
+    gap = seconds(F.col(ts)) - seconds(F.lag(ts).over(w))
     flows = flows.withColumn("_burst", F.sum(F.when(gap < quiet_s, 0).otherwise(1)).over(w))
     merged = flows.select(part, F.col(ts).alias("_t"), "_burst", F.lit(1).alias("_flow"), F.lit(None).cast(dict(actions.dtypes)["action_id"]).alias("action_id")).unionByName(
         actions.select(part, F.col(start).alias("_t"), F.lit(None).cast("bigint").alias("_burst"), F.lit(0).alias("_flow"), "action_id")

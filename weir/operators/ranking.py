@@ -156,9 +156,14 @@ def section_items(lines: DataFrame, heading: str, item: str, doc: str = "doc_id"
     return found.filter("item <> '' AND section IS NOT NULL").select(doc, n, "section", "item")
 
 
+def seconds(ts: Column) -> Column:
+    """Seconds of a time with or without a zone, for differences."""
+    return ts.cast("timestamp").cast("double")
+
+
 def quiet_point(flows: DataFrame, quiet_s: float, part: str = "session", ts: str = "ts") -> DataFrame:
     """(session, quiet_at): the last flow before the first gap of quiet_s seconds or more (the end counts as a gap)."""
-    gap = F.lead(ts).over(Window.partitionBy(part).orderBy(ts)).cast("double") - F.col(ts).cast("double")
+    gap = seconds(F.lead(ts).over(Window.partitionBy(part).orderBy(ts))) - seconds(F.col(ts))
     return flows.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") >= quiet_s)).groupBy(part).agg(F.min(ts).alias("quiet_at"))
 
 
