@@ -211,8 +211,8 @@ def fixture_asserts(facts: DataFrame, specs: DataFrame) -> DataFrame:
     both = specs.join(got, "file", "left").na.fill(0, ["imports", "decls", "malformed"])
     checks = F.array(
         F.struct(F.lit("min_imports").alias("check"), F.col("min_imports").cast("long").alias("want"), F.col("imports").alias("got"), (F.col("imports") >= F.col("min_imports")).alias("ok")),
-        F.struct(F.lit("min_decls"), F.col("min_decls").cast("long"), F.col("decls"), F.col("decls") >= F.col("min_decls")),
-        F.struct(F.lit("max_malformed"), F.col("max_malformed").cast("long"), F.col("malformed"), F.col("malformed") <= F.col("max_malformed")),
+        F.struct(F.lit("min_decls").alias("check"), F.col("min_decls").cast("long").alias("want"), F.col("decls").alias("got"), (F.col("decls") >= F.col("min_decls")).alias("ok")),
+        F.struct(F.lit("max_malformed").alias("check"), F.col("max_malformed").cast("long").alias("want"), F.col("malformed").alias("got"), (F.col("malformed") <= F.col("max_malformed")).alias("ok")),
     )
     return both.select("file", F.explode(checks).alias("c")).select("file", "c.*").filter("want IS NOT NULL")
 

@@ -66,7 +66,10 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_census(spark: SparkSession, root: str, ignore: Sequence[str] = (".git", "node_modules")) -> DataFrame:
-    """(path, ext, bytes, kind) of files below root and of their folders; ignored folders go. Contents aren't read."""
+    """(path, ext, bytes, kind) of files below root and of their folders; ignored folders go. Contents aren't read.
+
+    Spark's readers pass over files of no length, so these aren't listed.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"))
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     prefix = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
@@ -126,10 +129,10 @@ def redact_event(df: DataFrame, hint: str = "hint", unit: str = "work_unit_id",
     durations and counts not below 0."""
     u = F.trim(F.coalesce(F.col(unit), F.lit("")))
     out = {"hint_hash": F.sha2(F.coalesce(F.col(hint), F.lit("")), 256), unit: F.when(u.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"), u).otherwise(F.concat(F.lit("opaque-"), F.left(F.sha2(u, 256), F.lit(32))))}
-    d = F.col(duration).cast("double")
+    d = F.col(duration).try_cast("double")
     out[duration] = F.when(d.isNull() | F.isnan(d) | (d < 0) | (d == float("inf")), 0.0).otherwise(F.round(d, 3))
     for c in counts:
-        n = F.col(c).cast("double")
+        n = F.col(c).try_cast("double")
         out[c] = F.when((n >= 0) & (n == F.floor(n)), n.cast("long")).otherwise(F.lit(0).cast("long"))
     if path:
         p = F.translate(F.col(path), "\\", "/")
