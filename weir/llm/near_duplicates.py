@@ -5,10 +5,11 @@
 2. Chosen paths: in each of `trees` independent trees a node picks one or two signature places (4/3 on average,
    one over the threshold), and a representative goes to the child of each place's minwise token. Nodes that are
    still large branch again, up to `depth` levels.
-3. Small nodes are compared exhaustively by signature; candidates are linked by a spanning forest, and the forest's
-   links are confirmed on full sets, recomputed from the texts of just these representatives. In nodes where a
-   forest link failed, all remaining pairs between different components are confirmed as well, so copies are never
-   expanded into all pairs, and no candidate link between components is lost.
+3. Small nodes are compared exhaustively by set sizes and signatures (nodes with the same members, once); candidates
+   are linked by a spanning forest, and the forest's links are confirmed on full sets, recomputed from the texts of
+   just these representatives. In nodes where a forest link failed, all remaining candidate pairs between different
+   components are confirmed as well, so copies are never expanded into all pairs, and no candidate link between
+   components is lost.
 4. Nodes that stay large at the last level hold many alike texts. They are compared in blocks against a pivot, and
    then whatever isn't in the node's main component against every block: exact, and without all pairs.
 5. Components by alternating large-star and small-star steps, as tables.
@@ -44,11 +45,11 @@ U = np.uint64
 class JoinSetup:
     width: int = 5  # words of a shingle
     percent: int = 75  # similarity that links
-    places: int = 64  # of a signature
+    places: int = 128  # of a signature
     trees: int = 12
     depth: int = 4
     leaf: int = 200  # rows of a node that are compared exhaustively
-    candidate: int = 50  # signature agreement, in per cent, that makes a candidate: 4.6 standard deviations below the threshold
+    candidate: int = 60  # signature agreement, in per cent, that makes a candidate: 3.9 standard deviations below the threshold
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,13 +102,14 @@ def _multipliers(places: int) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], places: int) -> np.ndarray:
-    """(sets, places) uint32: the least of each place's scrambling over each set (all sets non-empty)."""
+    """(sets, places) uint16: the least of each place's scrambling over each set, as a 16-bit hash (all sets non-empty)."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), places), dtype=np.uint32)
+    out = np.empty((len(sets), places), dtype=np.uint16)
     with np.errstate(over="ignore"):
         for i, m in enumerate(_multipliers(places)):
-            out[:, i] = np.minimum.reduceat(((flat * m) >> U(32)).astype(np.uint32), starts)
+            least = np.minimum.reduceat(((flat * m) >> U(32)).astype(np.uint32), starts)
+            out[:, i] = (least * np.uint32(2654435761)) >> np.uint32(16)
     return out
 
 
@@ -159,7 +161,7 @@ def _children(rows: DataFrame, setup: JoinSetup, roots: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, places)
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, places)
             reps = batch.column("rep").to_numpy(zero_copy_only=False)
             if roots:
                 nodes = np.repeat(mix(np.arange(1, trees + 1, dtype=np.uint64)), len(reps))
@@ -172,24 +174,19 @@ def _children(rows: DataFrame, setup: JoinSetup, roots: bool) -> DataFrame:
     return rows.mapInArrow(run, "node long, rep long")
 
 
-def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places on which the rows of a and b agree, as a matrix."""
-    out = np.empty((len(a), len(b)), dtype=np.int16)
-    for i in range(len(a)):
-        out[i] = (b == a[i]).sum(axis=1)
-    return out
+def _near_sizes(n: np.ndarray, m: np.ndarray | int, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be as similar as percent."""
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
-def _forest(sigs: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """A forest of greatest agreement among the pairs with at least `least` places in common."""
+def _forest(sigs: np.ndarray, sizes: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
+    """A forest of greatest agreement among the pairs with at least `least` places in common and near sizes."""
     n = len(sigs)
-    if n == 2:
-        return [(0, 1)] if int((sigs[0] == sigs[1]).sum()) >= least else []
     out, best, by, todo = [], np.full(n, -1), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
     at = 0
     for _ in range(n - 1):
         todo[at] = False
-        agree = (sigs == sigs[at]).sum(axis=1)
+        agree = np.where(_near_sizes(sizes, sizes[at], percent), (sigs == sigs[at]).sum(axis=1), -1)
         nearer = agree > best
         best[nearer], by[nearer] = agree[nearer], at
         at = int(np.argmax(np.where(todo, best, -2)))
@@ -198,28 +195,35 @@ def _forest(sigs: np.ndarray, least: int) -> list[tuple[int, int]]:
     return out
 
 
+def _across(sigs: np.ndarray, sizes: np.ndarray, comp: np.ndarray, side: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
+    """All candidate pairs of different components between sides 0 and 1."""
+    left, out = np.flatnonzero(side == 0), []
+    for j in np.flatnonzero(side == 1):
+        near = left[(comp[left] != comp[j]) & _near_sizes(sizes[left], sizes[j], percent)]
+        out += [(int(i), int(j)) for i in near[(sigs[near] == sigs[j]).sum(axis=1) >= least]]
+    return out
+
+
 def _pairs_in(groups: DataFrame, setup: JoinSetup, across: bool) -> DataFrame:
-    """(node, a, b) candidate pairs with a < b from groups.
+    """(node, a, b) candidate pairs with a < b from groups of members.
 
-    Not across: groups have members (rep, sig), and the forest's pairs are given. across: members are
-    (rep, sig, comp, side), and all candidate pairs of different components between sides 0 and 1 are given.
+    Not across: members are (rep, n, sig), and the forest's pairs are given. across: members have a component and a
+    side as well, and all candidate pairs of different components between the sides are given.
     """
-    places, least = setup.places, setup.places * setup.candidate // 100
+    places, percent = setup.places, setup.percent
+    least = places * setup.candidate // 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, a, b = [], [], []
             for name, members in zip(batch.column("node").to_pylist(), batch.column("members").to_pylist(), strict=True):
-                sigs = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint32).reshape(-1, places)
+                sigs = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint16).reshape(-1, places)
+                sizes = np.array([m["n"] for m in members])
                 reps = [m["rep"] for m in members]
-                if not across:
-                    pairs = _forest(sigs, least)
+                if across:
+                    pairs = _across(sigs, sizes, np.array([m["comp"] for m in members]), np.array([m["side"] for m in members]), least, percent)
                 else:
-                    side = np.array([m["side"] for m in members])
-                    comp = np.array([m["comp"] for m in members])
-                    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                    at = np.argwhere((_agreement(sigs[left], sigs[right]) >= least) & (comp[left][:, None] != comp[right][None]))
-                    pairs = [(left[i], right[j]) for i, j in at]
+                    pairs = _forest(sigs, sizes, least, percent)
                 for i, j in pairs:
                     if reps[i] != reps[j]:
                         node.append(name), a.append(min(reps[i], reps[j])), b.append(max(reps[i], reps[j]))
@@ -228,16 +232,24 @@ def _pairs_in(groups: DataFrame, setup: JoinSetup, across: bool) -> DataFrame:
     return groups.select("node", "members").mapInArrow(run, "node long, a long, b long")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, setup: JoinSetup) -> DataFrame:
-    """(a, b, linked) for pairs(a, b): by intersection and union of full sets, recomputed from texts(rep, text)."""
-    width, percent = setup.width, setup.percent
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+
+
+def _full_sets(texts: DataFrame, wanted: DataFrame, setup: JoinSetup) -> DataFrame:
+    """(rep, shingles) of the wanted representatives, from texts(rep, text)."""
+    width = setup.width
 
     def start():
         shingler = Shingler(width)
         return lambda values: {"shingles": pa.array([s.tobytes() for s in shingler.sets(values)], pa.binary())}
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = materialize(map_column(texts.join(wanted, "rep", "left_semi"), "text", start, "shingles binary"), "shingle-sets")
+    return materialize(map_column(texts.join(wanted, "rep", "left_semi"), "text", start, "shingles binary"), "shingle-sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, setup: JoinSetup) -> DataFrame:
+    """(a, b, linked) for pairs(a, b): by intersection and union of full sets."""
+    percent = setup.percent
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,54 +299,67 @@ def _with_counts(rows: DataFrame) -> DataFrame:
     return materialize(rows.join(counts, "node"), "nodes")
 
 
-def links(reps: DataFrame, texts: DataFrame, setup: JoinSetup = JoinSetup()) -> DataFrame:
-    """(a, b) confirmed links between representatives that connect the same components as all links do.
-
-    reps: (rep, sig); texts: (rep, text) of these and maybe other documents.
-    """
+def _node_rows(reps: DataFrame, setup: JoinSetup) -> DataFrame:
+    """(node, rep, size, block) of the nodes that are compared, each set of members once; block is over 0 only in dense nodes."""
     leaf = setup.leaf
     level = _with_counts(_children(reps.select("rep", "sig"), setup, roots=True))
-    stopped = [level.filter(F.col("n") <= leaf)]
+    small = [level.filter(F.col("n") <= leaf)]
     for _ in range(setup.depth - 1):
         large = level.filter(F.col("n") > leaf)
         if large.isEmpty():
             break
-        level = _with_counts(_children(large.join(reps, "rep").select("node", "rep", "sig"), setup, roots=False))
-        stopped.append(level.filter(F.col("n") <= leaf))
-    rows = level.filter(F.col("n") > leaf)
-    for part in stopped:
+        level = _with_counts(_children(large.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig"), setup, roots=False))
+        small.append(level.filter(F.col("n") <= leaf))
+    rows = small[0]
+    for part in small[1:]:
         rows = rows.unionByName(part)
-    rows = rows.withColumns({"dense": F.col("n") > leaf, "block": F.when(F.col("n") > leaf, F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / leaf))).otherwise(F.lit(0)).cast("long")})
-    rows = materialize(rows.join(reps.select("rep", "sig"), "rep"), "node-rows")
-
-    member = F.struct("rep", "sig")
-    groups = rows.groupBy("node", "block").agg(F.sort_array(F.collect_list(member)).alias("members"), F.first("dense").alias("dense"))
-    pivots = rows.filter("dense").groupBy("node").agg(F.min(member).alias("pivot"))
-    dense = groups.filter("dense").join(pivots, "node").select("node", F.concat(F.array("pivot"), "members").alias("members"))
-    # nodes with the same members (in several trees) are compared once
-    plain = groups.filter("not dense").groupBy(F.xxhash64(F.transform("members", lambda m: m["rep"])).alias("same"), F.size("members").alias("size")).agg(F.min(F.struct("node", "members")).alias("g")).select("g.node", "g.members")
-    forest = materialize(_pairs_in(plain.unionByName(dense), setup, across=False), "forest")
-    first = _confirm(forest.select("a", "b").distinct(), texts, setup)
+    # nodes with the same members (in several trees) are compared once; they are told by a hash of the members
+    lists = rows.groupBy("node").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
+    lists = lists.groupBy(F.xxhash64("reps").alias("node"), F.size("reps").alias("size")).agg(F.first("reps").alias("reps"))
+    plain = lists.select("node", F.explode("reps").alias("rep"), F.col("size").cast("long").alias("size"), F.lit(0).cast("long").alias("block"))
+    dense = level.filter(F.col("n") > leaf).select("node", "rep", F.col("n").alias("size"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / leaf)).alias("block"))
+    return materialize(plain.unionByName(dense), "node-rows")
+
+
+def links(reps: DataFrame, texts: DataFrame, setup: JoinSetup = JoinSetup()) -> DataFrame:
+    """(a, b) confirmed links between representatives that connect the same components as all links do.
+
+    reps: (rep, n, sig); texts: (rep, text) of these and maybe other documents.
+    """
+    leaf = setup.leaf
+    rows, reps = _node_rows(reps, setup), reps.select("rep", "n", "sig")
+    member, dense = F.struct("rep", "n", "sig"), F.col("size") > leaf
+    signed = rows.join(reps, "rep")
+    pivots = rows.filter(dense).groupBy("node").agg(F.min("rep").alias("rep")).join(reps, "rep").select("node", F.array(member).alias("pivot"))
+    groups = signed.groupBy("node", "block", "size").agg(F.collect_list(member).alias("members"))
+    blocks = groups.filter(dense).join(pivots, "node").select("node", F.concat("pivot", "members").alias("members"))
+    forest = materialize(_pairs_in(groups.filter(~dense).select("node", "members").unionByName(blocks), setup, across=False), "forest")
+    pairs = forest.select("a", "b").distinct()
+    sets = _full_sets(texts, _ends(pairs), setup)
+    first = _confirm(pairs, sets, setup)
     found = first.filter("linked").select("a", "b")
 
-    failed = forest.join(first.filter("not linked"), ["a", "b"]).select("node").unionByName(rows.filter("dense").select("node")).distinct()
+    failed = forest.join(first.filter("not linked"), ["a", "b"]).select("node").unionByName(rows.filter(dense).select("node")).distinct()
     again = rows.join(failed, "node", "left_semi")
     if again.isEmpty():
         return found
     comps = components(found)
     again = materialize(again.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "second-look")
-    # outside a dense node's main component: few, and compared with every block of it
+    # outside a node's main component: few, and compared with every block of it
     sizes = again.groupBy("node", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("node").agg(F.max(F.struct("c", (-F.col("comp")).alias("back"))).alias("top")).select("node", (-F.col("top.back")).alias("main"))
     rest = again.join(main, "node").filter(F.col("comp") != F.col("main")).drop("main")
-    rest_n = rest.groupBy("node").agg(F.count("*").alias("rest_n"))
-    cells = rest_n.withColumn("u_blocks", F.ceil(F.col("rest_n") / leaf).cast("long"))
-    side0 = again.join(cells, "node").withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("u_blocks") - 1))).select("node", "block", "u", "rep", "sig", "comp", F.lit(0).alias("side"))
-    side1 = rest.join(cells, "node").withColumns({"u": F.pmod(F.xxhash64("rep", F.lit(1)), "u_blocks"), "blocks": F.when(F.col("n") > leaf, F.ceil(F.col("n") / leaf)).otherwise(F.lit(1)).cast("long")})
-    side1 = side1.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("node", "block", "u", "rep", "sig", "comp", F.lit(1).alias("side"))
-    second = side0.unionByName(side1).groupBy("node", "block", "u").agg(F.collect_list(F.struct("rep", "sig", "comp", "side")).alias("members"))
-    pairs = _pairs_in(second, setup, across=True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    return found.unionByName(_confirm(pairs, texts, setup).filter("linked").select("a", "b"))
+    cells = rest.groupBy("node").agg(F.ceil(F.count("*") / leaf).cast("long").alias("u_blocks"))
+    side0 = again.join(cells, "node").withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("u_blocks") - 1))).select("node", "block", "u", "rep", "comp", F.lit(0).alias("side"))
+    side1 = rest.join(cells, "node").withColumns({"u": F.pmod(F.xxhash64("rep", F.lit(1)), "u_blocks"), "blocks": F.when(dense, F.ceil(F.col("size") / leaf)).otherwise(F.lit(1)).cast("long")})
+    side1 = side1.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("node", "block", "u", "rep", "comp", F.lit(1).alias("side"))
+    second = side0.unionByName(side1).join(reps, "rep").groupBy("node", "block", "u").agg(F.collect_list(F.struct("rep", "n", "sig", "comp", "side")).alias("members"))
+    more = materialize(_pairs_in(second, setup, across=True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
+    # nearly all of them have their sets already: a candidate within a block is in its forest
+    missing = _ends(more).join(sets, "rep", "left_anti")
+    if not missing.isEmpty():
+        sets = sets.unionByName(_full_sets(texts, missing, setup))
+    return found.unionByName(_confirm(more, sets, setup).filter("linked").select("a", "b"))
 
 
 def deduplicate(docs: DataFrame, setup: JoinSetup = JoinSetup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -343,7 +368,7 @@ def deduplicate(docs: DataFrame, setup: JoinSetup = JoinSetup(), doc_id: str = "
     some = rows.filter(F.col("k1").isNotNull() & F.col("doc_id").isNotNull())
     reps = materialize(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "representatives")
     texts = docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").cast("string").alias("text")).filter(F.col("rep").isNotNull())
-    found = links(reps.select("rep", "sig"), texts, setup)
+    found = links(reps, texts, setup)
     comps = materialize(components(found), "components")
     labelled = materialize(reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component")), "labels")
     out = rows.select("doc_id", "n", "k1", "k2").join(labelled, ["k1", "k2", "n"], "left")
