@@ -3,19 +3,19 @@
 1. One pass over the texts gives each document's set size, a content key of its set (equal sets, equal keys) and a
    signature of minwise tokens. Documents of one key are one representative from here on.
 2. Chosen paths: in each of `trees` independent trees a node picks one or two signature places (4/3 on average,
-   one over the threshold), and a representative goes to the child of each place's minwise token. Nodes that are
-   still large branch again, up to `depth` levels.
+   one over the threshold), and a representative goes to the child of each place's minwise token. The first `start`
+   levels are taken at once; nodes that are still large branch again, up to `depth` levels.
 3. Small nodes are compared exhaustively by set sizes and signatures (nodes with the same members, once); candidates
    are linked by a spanning forest, and the forest's links are confirmed on full sets, recomputed from the texts of
    just these representatives. In nodes where a forest link failed, all remaining candidate pairs between different
-   components are confirmed as well, so copies are never expanded into all pairs, and no candidate link between
-   components is lost.
+   components are confirmed as well, inside the node's task, and only links come out: copies are never expanded
+   into all pairs, and no candidate link between components is lost.
 4. Nodes that stay large at the last level hold many alike texts. They are compared in blocks against a pivot, and
    then whatever isn't in the node's main component against every block: exact, and without all pairs.
 5. Components by alternating large-star and small-star steps, as tables.
 
 A pair at the threshold is missed with a probability of about (1 - 0.53)^12, 0.01 %, in the deepest nodes, and
-less in others. Nothing is collected to the driver; a group that is collected to a task holds `leaf` rows.
+(1 - 0.6)^12, 0.002 %, in others. Nothing is collected to the driver; a group that is collected to a task holds `leaf` rows.
 
 Cases: null and empty texts have an empty set, link with nothing and stay; a text of fewer than `width` words is
 one shingle; rows of one doc_id are one document; rows without doc_id link with nothing and stay; repeated rows
@@ -47,6 +47,7 @@ class JoinSetup:
     percent: int = 75  # similarity that links
     places: int = 128  # of a signature
     trees: int = 12
+    start: int = 3
     depth: int = 4
     leaf: int = 200  # rows of a node that are compared exhaustively
     candidate: int = 60  # signature agreement, in per cent, that makes a candidate: 3.9 standard deviations below the threshold
@@ -141,8 +142,8 @@ def sketch(docs: DataFrame, setup: JoinSetup, doc_id: str, text: str) -> DataFra
     return map_column(rows, "text", start, "n long, k1 long, k2 long, sig binary")
 
 
-def _branch(nodes: np.ndarray, sigs: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child) of rows at nodes: the children are named by a hash of node, place and minwise token."""
+def _branch(nodes: np.ndarray, sigs: np.ndarray, of: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child) of rows at nodes, with signature sigs[of[row]]: a child is named by a hash of node, place and minwise token."""
     with np.errstate(over="ignore"):
         h = mix(nodes * PRIME + U(1))
         first = (h >> U(8)) % U(places)
@@ -150,12 +151,12 @@ def _branch(nodes: np.ndarray, sigs: np.ndarray, places: int) -> tuple[np.ndarra
         two = np.flatnonzero(h % U(3) == 0)
         row = np.r_[np.arange(len(nodes)), two]
         place = np.r_[first, second[two]]
-        return row, mix(mix(nodes[row] ^ mix(place + U(77))) + sigs[row, place.astype(np.int64)].astype(np.uint64))
+        return row, mix(mix(nodes[row] ^ mix(place + U(77))) + sigs[of[row], place.astype(np.int64)].astype(np.uint64))
 
 
 def _children(rows: DataFrame, setup: JoinSetup, roots: bool) -> DataFrame:
-    """(node, rep) one level down from (node, rep, sig), or from the roots of all trees."""
-    places, trees = setup.places, setup.trees
+    """(node, rep) one level down from (node, rep, sig), or `start` levels down from the roots of all trees."""
+    places, trees, start = setup.places, setup.trees, setup.start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,12 +165,13 @@ def _children(rows: DataFrame, setup: JoinSetup, roots: bool) -> DataFrame:
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, places)
             reps = batch.column("rep").to_numpy(zero_copy_only=False)
             if roots:
-                nodes = np.repeat(mix(np.arange(1, trees + 1, dtype=np.uint64)), len(reps))
-                row, child = _branch(nodes, np.tile(sigs, (trees, 1)), places)
-                row = row % len(reps)
+                nodes, of = np.repeat(mix(np.arange(1, trees + 1, dtype=np.uint64)), len(reps)), np.tile(np.arange(len(reps)), trees)
             else:
-                row, child = _branch(batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64), sigs, places)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(reps[row])], names=["node", "rep"])
+                nodes, of = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64), np.arange(len(reps))
+            for _ in range(start if roots else 1):
+                row, nodes = _branch(nodes, sigs, of, places)
+                of = of[row]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(reps[of])], names=["node", "rep"])
 
     return rows.mapInArrow(run, "node long, rep long")
 
@@ -195,20 +197,31 @@ def _forest(sigs: np.ndarray, sizes: np.ndarray, least: int, percent: int) -> li
     return out
 
 
-def _across(sigs: np.ndarray, sizes: np.ndarray, comp: np.ndarray, side: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
-    """All candidate pairs of different components between sides 0 and 1."""
+def _across(sigs: np.ndarray, members: list[dict], sizes: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links between different components across sides 0 and 1; members that got linked count as one component."""
+    side = np.array([m["side"] for m in members])
+    comp = np.array([m["comp"] for m in members])
+    sets = [np.frombuffer(m["shingles"], dtype=np.uint64) for m in members]
     left, out = np.flatnonzero(side == 0), []
     for j in np.flatnonzero(side == 1):
-        near = left[(comp[left] != comp[j]) & _near_sizes(sizes[left], sizes[j], percent)]
-        out += [(int(i), int(j)) for i in near[(sigs[near] == sigs[j]).sum(axis=1) >= least]]
+        near = left[_near_sizes(sizes[left], sizes[j], percent)]
+        for i in near[(sigs[near] == sigs[j]).sum(axis=1) >= least]:
+            if comp[i] != comp[j] and _similar(sets[i], sets[j], percent):
+                out.append((int(i), int(j)))
+                comp[comp == comp[i]] = comp[j]
     return out
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _pairs_in(groups: DataFrame, setup: JoinSetup, across: bool) -> DataFrame:
-    """(node, a, b) candidate pairs with a < b from groups of members.
+    """(node, a, b) pairs with a < b from groups of members.
 
-    Not across: members are (rep, n, sig), and the forest's pairs are given. across: members have a component and a
-    side as well, and all candidate pairs of different components between the sides are given.
+    Not across: members are (rep, n, sig), and the candidate pairs of a forest are given. across: members have a
+    component, a side and their full set as well, and confirmed links between components across the sides are given.
     """
     places, percent = setup.places, setup.percent
     least = places * setup.candidate // 100
@@ -216,17 +229,15 @@ def _pairs_in(groups: DataFrame, setup: JoinSetup, across: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, a, b = [], [], []
-            for name, members in zip(batch.column("node").to_pylist(), batch.column("members").to_pylist(), strict=True):
+            for k in range(batch.num_rows):
+                name, members = batch.column("node")[k].as_py(), batch.column("members")[k].as_py()
                 sigs = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint16).reshape(-1, places)
                 sizes = np.array([m["n"] for m in members])
-                reps = [m["rep"] for m in members]
-                if across:
-                    pairs = _across(sigs, sizes, np.array([m["comp"] for m in members]), np.array([m["side"] for m in members]), least, percent)
-                else:
-                    pairs = _forest(sigs, sizes, least, percent)
+                pairs = _across(sigs, members, sizes, least, percent) if across else _forest(sigs, sizes, least, percent)
                 for i, j in pairs:
-                    if reps[i] != reps[j]:
-                        node.append(name), a.append(min(reps[i], reps[j])), b.append(max(reps[i], reps[j]))
+                    x, y = members[i]["rep"], members[j]["rep"]
+                    if x != y:
+                        node.append(name), a.append(min(x, y)), b.append(max(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["node", "a", "b"])
 
     return groups.select("node", "members").mapInArrow(run, "node long, a long, b long")
@@ -256,9 +267,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, setup: JoinSetup) -> DataFrame:
         for batch in batches:
             linked = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * common >= percent * (len(x) + len(y) - common))
+                linked.append(_similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean"), "confirmed")
@@ -295,7 +304,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 def _with_counts(rows: DataFrame) -> DataFrame:
     """rows of nodes with two or more representatives, and n, their number."""
     rows = materialize(rows, "paths")
-    counts = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n >= 2")
+    # a table of its own, so that the join of a large node can be split
+    counts = materialize(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n >= 2"), "node-counts")
     return materialize(rows.join(counts, "node"), "nodes")
 
 
@@ -304,7 +314,7 @@ def _node_rows(reps: DataFrame, setup: JoinSetup) -> DataFrame:
     leaf = setup.leaf
     level = _with_counts(_children(reps.select("rep", "sig"), setup, roots=True))
     small = [level.filter(F.col("n") <= leaf)]
-    for _ in range(setup.depth - 1):
+    for _ in range(setup.depth - setup.start):
         large = level.filter(F.col("n") > leaf)
         if large.isEmpty():
             break
@@ -343,8 +353,13 @@ def links(reps: DataFrame, texts: DataFrame, setup: JoinSetup = JoinSetup()) ->
     again = rows.join(failed, "node", "left_semi")
     if again.isEmpty():
         return found
+    # whatever has a candidate in its block has its set already; members of dense nodes may have one in another block
+    missing = again.filter(dense).select("rep").distinct().join(sets, "rep", "left_anti")
+    if not missing.isEmpty():
+        sets = sets.unionByName(_full_sets(texts, missing, setup))
     comps = components(found)
-    again = materialize(again.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "second-look")
+    again = again.join(sets.select("rep"), "rep", "left_semi").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    again = materialize(again.withColumn("comp", F.coalesce("component", "rep")).drop("component"), "second-look")
     # outside a node's main component: few, and compared with every block of it
     sizes = again.groupBy("node", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("node").agg(F.max(F.struct("c", (-F.col("comp")).alias("back"))).alias("top")).select("node", (-F.col("top.back")).alias("main"))
@@ -353,13 +368,8 @@ def links(reps: DataFrame, texts: DataFrame, setup: JoinSetup = JoinSetup()) ->
     side0 = again.join(cells, "node").withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("u_blocks") - 1))).select("node", "block", "u", "rep", "comp", F.lit(0).alias("side"))
     side1 = rest.join(cells, "node").withColumns({"u": F.pmod(F.xxhash64("rep", F.lit(1)), "u_blocks"), "blocks": F.when(dense, F.ceil(F.col("size") / leaf)).otherwise(F.lit(1)).cast("long")})
     side1 = side1.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("node", "block", "u", "rep", "comp", F.lit(1).alias("side"))
-    second = side0.unionByName(side1).join(reps, "rep").groupBy("node", "block", "u").agg(F.collect_list(F.struct("rep", "n", "sig", "comp", "side")).alias("members"))
-    more = materialize(_pairs_in(second, setup, across=True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
-    # nearly all of them have their sets already: a candidate within a block is in its forest
-    missing = _ends(more).join(sets, "rep", "left_anti")
-    if not missing.isEmpty():
-        sets = sets.unionByName(_full_sets(texts, missing, setup))
-    return found.unionByName(_confirm(more, sets, setup).filter("linked").select("a", "b"))
+    second = side0.unionByName(side1).join(reps, "rep").join(sets, "rep").groupBy("node", "block", "u").agg(F.collect_list(F.struct("rep", "n", "sig", "comp", "side", "shingles")).alias("members"))
+    return found.unionByName(_pairs_in(second, setup, across=True).select("a", "b").distinct())
 
 
 def deduplicate(docs: DataFrame, setup: JoinSetup = JoinSetup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
