@@ -5,7 +5,7 @@ Each plan module fills ``QUERIES`` and ``ORACLES``; this module only puts them t
 
 from __future__ import annotations
 
-MODULES = ["text_plans", "table_plans", "rule_plans"]
+MODULES = ["text_plans", "table_plans", "rule_plans", "derived_plans"]
 
 
 def _gather(attribute: str) -> dict:
