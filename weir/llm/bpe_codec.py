@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import map_column, text_rows
-from .token_counts import byte_symbols
+from .token_counts import Splitter, byte_symbols
 
 CACHE = 120_000  # words whose ids a worker keeps
 PAIRS = 400_000  # entries that the pair-compatibility table keeps
@@ -48,8 +48,7 @@ class Codec:
         if model["type"] != "BPE" or not self.suffix or steps != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("lower-casing BPE vocabularies with word ends are supported")
         self.vocab, byte_of = model["vocab"], byte_symbols()
-        self.space = regex.compile(r"\s+")
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.words = Splitter(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.find_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 

@@ -16,6 +16,7 @@ other columns are not read; an empty table gives an empty table; a lone surrogat
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +31,30 @@ SLICE_CHARS = 400_000  # text handled at once
 NONE = np.int64(1 << 40)
 
 
+# Letters and numbers of Unicode versions after 16.0, which the vocabularies' library takes for other marks.
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB "
+    "11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 "
+    "191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 "
+    "1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+)
+
+
+class Splitter:
+    """findall of a split pattern with the library's idea of letters and numbers."""
+
+    def __init__(self, pattern: str):
+        import regex
+
+        newer = "[" + "".join("-".join(rf"\U{int(x, 16):08X}" for x in r.split("-")) for r in NEWER.split()) + "]"
+        self.has_newer = re.compile(newer).search
+        self.usual = regex.compile(pattern).findall
+        self.exact = regex.compile(pattern.replace(r"\p{L}", rf"[\p{{L}}--{newer}]").replace(r"\p{N}", rf"[\p{{N}}--{newer}]"), regex.V1).findall
+
+    def __call__(self, text: str) -> list[str]:
+        return self.usual(text) if text.isascii() or not self.has_newer(text) else self.exact(text)
+
+
 def byte_symbols() -> dict[str, int]:
     """The printable character that byte-level vocabularies write for each byte: printable Latin-1 stands for
     itself, the other bytes are numbered on from U+0100 in order."""
@@ -115,7 +140,7 @@ class Counter:
             raise ValueError("byte-level BPE vocabularies without a normalizer are supported")
         self.pairs = PairRanks(spec)
         #: The split of byte-level pre-tokenisers, a fixed value of the format.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.split = Splitter(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.known: dict[str, int] = {}
