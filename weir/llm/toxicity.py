@@ -43,7 +43,7 @@ LETTER = r"[^\W\d_]"
 PLAIN = re.compile(f"{LETTER}+")
 HIDING = re.compile(f"{LETTER}[{MARKS}]+{LETTER}|[{re.escape(''.join(c for c in LOOKS if c not in '!|+('))}]{LETTER}|{LETTER}[{re.escape(''.join(c for c in LOOKS if c.isdigit() or c in '@$'))}]|({LETTER})\\1\\1")
 APART = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\s.,!?])")
-EDGES = re.compile(r"^(?:([^\w\s])\1+)|(?:([^\w\s])\2+)$")
+EDGES = re.compile(r"^(?:([^\w\s])\1\1+|([^\w\s$@])\2)|(?:([^\w\s])\3\3+|([^\w\s$@])\4)$")
 LONGEST = 40  # a longer token isn't a hidden word: it is split at its marks
 
 
