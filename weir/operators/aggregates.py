@@ -195,7 +195,7 @@ def class_counts(df: DataFrame, column: str = "class") -> DataFrame:
 def corpus_metrics(files: DataFrame, gates: Mapping[str, float], sample: int = 5) -> DataFrame:
     """One row over files(file, parsed, fixture, edges, lines, name): parse rate (fixtures exempt), edges for 1000 lines,
     malformed names with a sorted sample, and passed, held against gates (parse_rate, edges_per_kloc, malformed)."""
-    malformed = ~F.col("name").rlike(r"^[\w.$/-]+$")
+    malformed = ~F.col("name").rlike(r"^[\w.$/-]+\z")
     head = files.agg(
         F.count_if(~F.col("fixture")).alias("files"), (F.count_if(~F.col("fixture") & F.col("parsed")) / F.greatest(F.count_if(~F.col("fixture")), F.lit(1))).alias("parse_rate"),
         (F.sum("edges") * 1000.0 / F.greatest(F.sum("lines"), F.lit(1))).alias("edges_per_kloc"), F.count_if(malformed).alias("malformed"),
@@ -207,7 +207,7 @@ def corpus_metrics(files: DataFrame, gates: Mapping[str, float], sample: int = 5
 
 def fixture_asserts(facts: DataFrame, specs: DataFrame) -> DataFrame:
     """(file, check, want, got, ok) for specs(file, min_imports, min_decls, max_malformed); a null limit isn't checked."""
-    got = facts.groupBy("file").agg(F.count_if(F.col("kind") == "import").alias("imports"), F.count_if(F.col("kind") == "decl").alias("decls"), F.count_if(~F.col("name").rlike(r"^[\w.$/-]+$")).alias("malformed"))
+    got = facts.groupBy("file").agg(F.count_if(F.col("kind") == "import").alias("imports"), F.count_if(F.col("kind") == "decl").alias("decls"), F.count_if(~F.col("name").rlike(r"^[\w.$/-]+\z")).alias("malformed"))
     both = specs.join(got, "file", "left").na.fill(0, ["imports", "decls", "malformed"])
     checks = F.array(
         F.struct(F.lit("min_imports").alias("check"), F.col("min_imports").cast("long").alias("want"), F.col("imports").alias("got"), (F.col("imports") >= F.col("min_imports")).alias("ok")),
