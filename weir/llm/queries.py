@@ -96,4 +96,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    """The others rest on trained models, keyed permutations, BPE merges or iterated ranks, which SQL can't express."""
+    from . import oracles
+
+    return {"op7_near_duplicates": oracles.NEAR_DUPLICATES, "op8_decontamination": oracles.DECONTAMINATION, "op10_line_rules": oracles.line_rules()}
