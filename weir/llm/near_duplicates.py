@@ -254,24 +254,28 @@ def _sifted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     place = lambda: F.pmod(F.xxhash64("rep", F.lit("sieve")), F.lit(SIEVE_BITS))
     bitmap = wanted.select(place().alias("p")).select(F.expr("p div 64").alias("_word"), F.expr("shiftleft(1L, cast(p % 64 AS int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     marked = texts.withColumn("_p", place()).withColumn("_word", F.expr("_p div 64")).join(F.broadcast(bitmap), "_word")
-    return marked.filter(F.expr("(_bits & shiftleft(1L, cast(_p % 64 AS int))) <> 0")).select(*texts.columns)
+    # the id passes through the bitmap, so that a later join by it can't be moved before this one
+    passed = F.when(F.expr("(_bits & shiftleft(1L, cast(_p % 64 AS int))) <> 0"), F.col("rep"))
+    return marked.select(passed.alias("rep"), *(c for c in texts.columns if c != "rep")).filter("rep IS NOT NULL")
 
 
-def _full_sets(texts: DataFrame, wanted: DataFrame, setup: JoinSetup) -> DataFrame:
-    """(rep, shingles) of the wanted representatives, from texts(rep, text)."""
+def _full_sets(texts: DataFrame, wanted: DataFrame, reps: DataFrame, setup: JoinSetup) -> DataFrame:
+    """(rep, shingles, n, sig) of the wanted representatives, from texts(rep, text)."""
     width = setup.width
 
     def start():
         shingler = Shingler(width)
         return lambda values: {"shingles": pa.array([s.tobytes() for s in shingler.sets(values)], pa.binary())}
 
-    return materialize(map_column(_sifted(texts, wanted).join(wanted, "rep", "left_semi"), "text", start, "shingles binary"), "shingle-sets")
+    sets = map_column(_sifted(texts, wanted).join(wanted.hint("merge"), "rep", "left_semi"), "text", start, "shingles binary")
+    return materialize(sets.join(reps.hint("merge"), "rep"), "shingle-sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, setup: JoinSetup) -> DataFrame:
     """(a, b, linked) for pairs(a, b): by intersection and union of full sets."""
     percent = setup.percent
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+    # the hints keep one plan for all sizes: sets are large, and so are pairs of them
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,18 +359,19 @@ def links(reps: DataFrame, texts: DataFrame, setup: JoinSetup = JoinSetup()) ->
     blocks = groups.filter(dense).join(pivots, "node").select("node", F.concat("pivot", "members").alias("members"))
     forest = materialize(_pairs_in(groups.filter(~dense).select("node", "members").unionByName(blocks), setup, across=False), "forest")
     pairs = forest.select("a", "b").distinct()
-    sets = _full_sets(texts, _ends(pairs), setup)
+    sets = _full_sets(texts, _ends(pairs), reps, setup)
     first = _confirm(pairs, sets, setup)
     found = first.filter("linked").select("a", "b")
 
     failed = forest.join(first.filter("not linked"), ["a", "b"]).select("node").unionByName(rows.filter(dense).select("node")).distinct()
-    again = rows.join(failed, "node", "left_semi")
+    # the only pair of a node of two is confirmed already
+    again = rows.filter("size > 2").join(failed, "node", "left_semi")
     if again.isEmpty():
         return found
     # whatever has a candidate in its block has its set already; members of dense nodes may have one in another block
     missing = again.filter(dense).select("rep").distinct().join(sets, "rep", "left_anti")
     if not missing.isEmpty():
-        sets = sets.unionByName(_full_sets(texts, missing, setup))
+        sets = sets.unionByName(_full_sets(texts, missing, reps, setup))
     comps = components(found)
     again = again.join(sets.select("rep"), "rep", "left_semi").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     again = materialize(again.withColumn("comp", F.coalesce("component", "rep")).drop("component"), "second-look")
@@ -378,7 +383,7 @@ def links(reps: DataFrame, texts: DataFrame, setup: JoinSetup = JoinSetup()) ->
     side0 = again.join(cells, "node").withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("u_blocks") - 1))).select("node", "block", "u", "rep", "comp", F.lit(0).alias("side"))
     side1 = rest.join(cells, "node").withColumns({"u": F.pmod(F.xxhash64("rep", F.lit(1)), "u_blocks"), "blocks": F.when(dense, F.ceil(F.col("size") / leaf)).otherwise(F.lit(1)).cast("long")})
     side1 = side1.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("node", "block", "u", "rep", "comp", F.lit(1).alias("side"))
-    second = side0.unionByName(side1).join(reps, "rep").join(sets, "rep").groupBy("node", "block", "u").agg(F.collect_list(F.struct("rep", "n", "sig", "comp", "side", "shingles")).alias("members"))
+    second = side0.unionByName(side1).join(sets.hint("merge"), "rep").groupBy("node", "block", "u").agg(F.collect_list(F.struct("rep", "n", "sig", "comp", "side", "shingles")).alias("members"))
     return found.unionByName(_pairs_in(second, setup, across=True).select("a", "b").distinct())
 
 
