@@ -42,6 +42,7 @@ def strip_markup(text: Column) -> Column:
     return F.regexp_replace(bare, r"(?m)^\s*>.*$", "")
 
 
+# Where clauses end, and the words that negate one.
 CLAUSES = "[，,。；;\n!?？！]|(?<![a-z0-9_])but(?![a-z0-9_])|但是|而是"
 NEGATION = "不(?:要|用|使用|加载|启用|运行)|别(?:用|使用|加载|运行|拿)|勿(?:用|使用|加载)|禁止|排除|无需|(?<![a-z0-9_])(?:do not|don't|without|exclude|not using)(?![a-z0-9_])"
 

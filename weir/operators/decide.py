@@ -15,6 +15,11 @@ from .ranking import assign_ids, bm25f, dedupe_first, nominate, top_k
 from .sets import ordered_union as ordered_union_of
 
 
+# What a decision forbids its consumer.
+ALWAYS_FORBIDDEN = ["initReverseCase", "create_work_dir"]
+FORBIDDEN_UNLESS_IMPLEMENT = ["modify_files", "install_tools", "execute_target"]
+
+
 def _strings(values: Sequence[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
@@ -148,8 +153,7 @@ def triage(df: DataFrame, rules: RuleSet, docs: DataFrame | None = None, id_col:
         .when(~strong, F.array(F.concat(F.lit("weak_trigger_only: "), F.array_join("pick.weak", ", "))))
         .otherwise(F.concat(F.transform(named, lambda m: F.concat(F.lit("explicit_skill_hit: "), m)), F.when(F.size("lexical") > 0, F.array(F.concat(F.lit("lexical_candidates: "), said))).otherwise(F.array().cast("array<string>")), F.array(F.concat(F.lit("domain_selected: "), F.col("domain")))))
     )
-    base = ["initReverseCase", "create_work_dir"]
-    must_not = F.when(F.col("mode") == "implement", _strings(base)).otherwise(_strings([*base, "modify_files", "install_tools", "execute_target"]))
+    must_not = F.when(F.col("mode") == "implement", _strings(ALWAYS_FORBIDDEN)).otherwise(_strings([*ALWAYS_FORBIDDEN, *FORBIDDEN_UNLESS_IMPLEMENT]))
     out = rows.withColumns({"action": action, "confidence": confidence, "candidates": candidates, "reasons": reasons, "must_not": must_not, "domain": F.when(empty | lost, "none").otherwise(F.col("domain"))})
     return out.drop("_text", "scores", "pick", "lexical")
 
@@ -191,11 +195,11 @@ def adapt(decisions: DataFrame, domains: Sequence[str]) -> DataFrame:
         & ~((F.col("mode") == "implement") & F.array_contains("must_not", "modify_files"))
     )
     ok = F.coalesce(ok, F.lit(False))
-    none, all_ = F.array().cast("array<string>"), _strings(["initReverseCase", "create_work_dir", "modify_files", "install_tools", "execute_target"])
+    none, all_ = F.array().cast("array<string>"), _strings([*ALWAYS_FORBIDDEN, *FORBIDDEN_UNLESS_IMPLEMENT])
     prompt = F.when(~ok | (F.col("action") == "handoff"), "handoff").when(F.col("action") == "ask", "ask_clarification").when(F.col("mode") == "explain", "overview_explain").otherwise(F.col("mode"))
     return decisions.withColumns({
         "valid": ok, "injected": F.when(ok, F.col("candidates")).otherwise(none), "load": F.when(ok & (F.col("action") == "dispatch"), F.col("members")).otherwise(none), "prompt_action": prompt,
-        "forbidden": F.when(ok, ordered_union_of(F.col("must_not"), _strings(["initReverseCase", "create_work_dir"]), F.when(F.col("mode") != "implement", _strings(["modify_files", "install_tools", "execute_target"])).otherwise(none))).otherwise(all_),
+        "forbidden": F.when(ok, ordered_union_of(F.col("must_not"), _strings(ALWAYS_FORBIDDEN), F.when(F.col("mode") != "implement", _strings(FORBIDDEN_UNLESS_IMPLEMENT)).otherwise(none))).otherwise(all_),
     })
 
 

@@ -37,7 +37,7 @@ def truncate_bodies(df: DataFrame, max_chars: int, body: str = "body") -> DataFr
     return df.withColumns({"truncated": F.coalesce(n > max_chars, F.lit(False)), "full_length": n, body: F.left(body, F.lit(max_chars))})
 
 
-# Prompts and prefixes that aren't requests.
+# Prompts, prefixes and patterns of texts that aren't requests.
 SKIP_EXACT = ["ok", "继续", "好", "嗯", "做", "是", "对", "行", "可以", "y", "yes", "go", "next"]
 SKIP_PREFIX = ["This session is being continued", "Caveat:", "<command-", "<local-command", "<system-reminder", "SessionStart:", "Continue", "<claude-mem"]
 NOISE = [
