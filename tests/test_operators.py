@@ -333,3 +333,10 @@ def test_ranks_do_not_depend_on_partitions(spark, sf):
     a = R.top_k(d.repartition(7), ["lang"], "n_chars", 4, ["doc_id"])
     b = R.top_k(d.coalesce(1), ["lang"], "n_chars", 4, ["doc_id"])
     assert rows(a, "doc_id", "rank") == rows(b, "doc_id", "rank")
+
+
+def test_eval_summary_by_key_and_over_all(spark):
+    data = [("a", False, True, 0.9, 3), ("a", False, None, 0.2, 1), ("b", True, None, 0.1, 2), ("b", False, False, 0.5, 9)]
+    df = spark.createDataFrame(data, "k string, oos boolean, top1_hit boolean, top1_score double, ms long").withColumns({"hit3": F.col("top1_hit"), "hit_any": F.col("top1_hit"), "abstain_ok": F.col("oos"), "n_picked": F.lit(1), "band_hit": F.lit(None).cast("boolean")})
+    assert rows(A.eval_summary(df, "k"), "k", "in_scope", "top1", "abstain_ok", "p50", "p95") == [("a", 2, 1, 0, 3, 3), ("b", 1, 0, 1, 9, 9)]
+    assert rows(A.eval_summary(df), "in_scope", "out_of_scope", "top1", "band_hits", "p50", "p95") == [(3, 1, 1, 0, 3, 9)]

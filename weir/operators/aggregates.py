@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import last_wins
-from .ranking import top_k
+from .ranking import rank_percentile, top_k
 
 
 def pass_rate(df: DataFrame, *keys: str, passed: str = "pass") -> DataFrame:
@@ -150,12 +150,9 @@ def eval_summary(rows: DataFrame, *keys: str) -> DataFrame:
 
     Null hits aren't hits, but their rows stay in the denominators. p50 and p95 take the index min(n-1, floor(n*f)).
     """
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    placed = rows.withColumns({"_k": F.row_number().over(w.orderBy(F.col("ms").asc_nulls_last())) - 1, "_n": F.count("ms").over(w)})
     inside = ~F.col("oos")
     hit = lambda c, where: F.count_if(where & F.coalesce(F.col(c), F.lit(False)))
-    pick = lambda f: F.max(F.when(F.col("_k") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * f)), F.col("ms")))
-    return placed.groupBy(*keys).agg(
+    sums = [
         F.count_if(inside).alias("in_scope"),
         F.count_if(F.col("oos")).alias("out_of_scope"),
         hit("top1_hit", inside).alias("top1"),
@@ -166,9 +163,18 @@ def eval_summary(rows: DataFrame, *keys: str) -> DataFrame:
         F.avg(F.when(F.col("oos"), F.col("top1_score"))).alias("mean_oos"),
         F.avg("n_picked").alias("mean_picked"),
         hit("band_hit", F.lit(True)).alias("band_hits"),
-        pick(0.5).alias("p50"),
-        pick(0.95).alias("p95"),
-    )
+    ]
+    if not keys:
+        # no window over the whole table: ranks are counted in two passes
+        parts = (rank_percentile(rows, "ms", f).agg(F.max("p").alias(name)) for f, name in ((0.5, "p50"), (0.95, "p95")))
+        out = rows.agg(*sums)
+        for p in parts:
+            out = out.join(p)
+        return out
+    w = Window.partitionBy(*keys)
+    placed = rows.withColumns({"_k": F.row_number().over(w.orderBy(F.col("ms").asc_nulls_last())) - 1, "_n": F.count("ms").over(w)})
+    pick = lambda f: F.max(F.when(F.col("_k") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * f)), F.col("ms")))
+    return placed.groupBy(*keys).agg(*sums, pick(0.5).alias("p50"), pick(0.95).alias("p95"))
 
 
 def recall_report(rows: DataFrame, tier: str = "tier") -> DataFrame:

@@ -390,7 +390,7 @@ def eval_rows(spark, sf_dir):
 SELECT count(*) FILTER (NOT oos) AS in_scope, count(*) FILTER (oos) AS out_of_scope, count(*) FILTER (NOT oos AND top1_hit) AS top1, count(*) FILTER (NOT oos AND hit3) AS top3, count(*) FILTER (oos AND top1_score < 0.5) AS abstain_ok,
   round(avg(top1_score) FILTER (NOT oos), 5) AS mean_in, round(avg(n_picked), 5) AS mean_picked, count(*) FILTER (top1_score BETWEEN 0.2 AND 0.9) AS band_hits, max(CASE WHEN i = least(n - 1, CAST(floor(n * 0.5) AS BIGINT)) THEN ms END) AS p50, max(CASE WHEN i = least(n - 1, CAST(floor(n * 0.95) AS BIGINT)) THEN ms END) AS p95 FROM p""")
 def a18_eval_summary(spark, sf_dir):
-    out = A.eval_summary(eval_rows(spark, sf_dir).withColumn("all", F.lit(1)), "all")
+    out = A.eval_summary(eval_rows(spark, sf_dir))
     return out.select("in_scope", "out_of_scope", "top1", "top3", "abstain_ok", F.round("mean_in", 5).alias("mean_in"), F.round("mean_picked", 5).alias("mean_picked"), "band_hits", "p50", "p95")
 
 
