@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the least doc_id; of rows that repeat a doc_id, one."""
     judged = materialize(near_duplicates.deduplicate(docs), "duplicates")
-    kept = docs.join(judged.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
+    kept = docs.join(judged.filter(~F.col("kept")).select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
     repeated = judged.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     if not repeated.isEmpty():
         kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 8 doesn't find contaminated by the benchmark."""
     judged = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(judged.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return docs.join(judged.filter("contaminated").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
