@@ -45,6 +45,17 @@ def test_restores_hidden_words(spark):
     assert r.apart("a b") == []
 
 
+def test_restores_hidden_words_of_any_length(spark):
+    docs = spark.createDataFrame([("you are a stupid idiot and the trash is in the house of a worthless loser",)] * 20 + [("a quiet river and a silver window",)] * 20, "text string")
+    r = toxicity.Restorer(toxicity.count_trigrams(docs))
+    assert "idiot" in r.words("i" * 45 + "diot")
+    assert {"stupid", "worthless", "loser", "trash"} <= set(r.words("y0u.are.a.$tupid.idi0t.and.a.w0rthless.l0ser.and.trash"))
+    said = "you are a stupid idiot and a worthless loser in the house of the trash"
+    assert {"stupid", "idiot", "worthless", "loser", "trash"} <= set(r.apart("  ".join(" ".join(w) for w in said.split())))
+    assert {"stupid", "idiot", "worthless", "loser", "trash"} <= set(r.apart(" ".join(said.replace(" ", ""))))
+    assert "stupid" in r.apart("$ t u p ! d")
+
+
 def test_trigram_counts_by_brute_force(spark):
     texts = ["Abc abd", None, "", "éa Ab"]
     got = toxicity.count_trigrams(spark.createDataFrame([(t,) for t in texts], "text string").repartition(1))

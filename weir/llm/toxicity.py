@@ -5,7 +5,8 @@
 2. Words that may hide another word (digits or marks among letters, letters repeated three times or more, single
    letters set apart) become character lattices: each mark stands for itself, for letters that look like it, or for
    nothing, each repeated letter may go. Viterbi decoding finds the likeliest letters under the trigram model.
-   A word of plain letters has one path, itself.
+   A word of plain letters has one path, itself. Words of any length are decoded, whole and cut into words by the
+   model; letters set apart are also cut at their wider gaps.
 3. Restored words and their first letters are the features. Those that tell the classes apart are found in a
    bounded sample of labelled rows, and a logistic regression weighs them.
 
@@ -42,9 +43,10 @@ MARKS = re.escape("".join(LOOKS) + ".-_*'~^`,:;#%&=/\\")
 LETTER = r"[^\W\d_]"
 PLAIN = re.compile(f"{LETTER}+")
 HIDING = re.compile(f"{LETTER}[{MARKS}]+{LETTER}|[{re.escape(''.join(c for c in LOOKS if c not in '!|+('))}]{LETTER}|{LETTER}[{re.escape(''.join(c for c in LOOKS if c.isdigit() or c in '@$'))}]|({LETTER})\\1\\1")
-APART = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\s.,!?])")
+SIGN = rf"(?:[^\W_]|[{re.escape(''.join(c for c in LOOKS if not c.isdigit()))}])"
+APART = re.compile(rf"(?<!\S)(?:{SIGN}[ .\-_*]{{1,2}}){{2,}}{SIGN}(?![^\s.,!?])")
+GAP, WIDE = re.compile(r"[ .\-_*]+"), re.compile(r"[ .\-_*]{2}")
 EDGES = re.compile(r"^(?:([^\w\s])\1\1+|([^\w\s$@])\2)|(?:([^\w\s])\3\3+|([^\w\s$@])\4)$")
-LONGEST = 40  # a longer token isn't a hidden word: it is split at its marks
 
 
 @dataclass(frozen=True)
@@ -124,39 +126,54 @@ class Restorer:
             before = c
         return out
 
-    def restore(self, token: str) -> str:
-        """The likeliest letters; token is in lower case."""
+    def restore(self, token: str, breaks: bool = False) -> str:
+        """The likeliest letters; token is in lower case. breaks: with spaces where the model sees words end."""
         grams = self.grams
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # what is said so far is a chain of (before, letter), so that a step costs the same in a long token
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for choices in self._choices(token):
-            nxt: dict[tuple[int, int], tuple[float, str]] = {}
+            if breaks:
+                for (a, b), (p, said) in list(best.items()):
+                    if b and ((b, 0) not in best or p + float(grams[(a * SIZE + b) * SIZE]) > best[b, 0][0]):
+                        best[b, 0] = (p + float(grams[(a * SIZE + b) * SIZE]), (said, " "))
+            nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (p, said) in best.items():
                 for letter, cost in choices:
                     if letter:
                         c = int(ALPHABET[min(ord(letter), len(ALPHABET) - 1)])
-                        key, q, text = (b, c), p + cost + float(grams[(a * SIZE + b) * SIZE + c]), said + letter
+                        key, q = (b, c), p + cost + float(grams[(a * SIZE + b) * SIZE + c])
                     else:
-                        key, q, text = (a, b), p + cost, said
+                        key, q = (a, b), p + cost
                     if key not in nxt or q > nxt[key][0]:
-                        nxt[key] = (q, text)
+                        nxt[key] = (q, (said, letter) if letter else said)
             best = nxt if len(nxt) <= self.beam else dict(sorted(nxt.items(), key=lambda x: -x[1][0])[: self.beam])
-        return max(((p + float(grams[(a * SIZE + b) * SIZE]), text) for (a, b), (p, text) in best.items()), default=(0.0, ""))[1]
+        said, out = max(((p + (float(grams[(a * SIZE + b) * SIZE]) if b or not breaks else 0.0), said) for (a, b), (p, said) in best.items()), key=lambda x: x[0], default=(0.0, None))[1], []
+        while said:
+            said, letter = said
+            out.append(letter)
+        return "".join(reversed(out))
+
+    def hidden(self, spelled: str) -> list[str]:
+        """What a spelled word says: all its letters together, and the words that the model cuts them into."""
+        squeezed = re.sub(r"(.)\1{2,}", r"\1\1", spelled)
+        return list(dict.fromkeys(w for w in (self.restore(squeezed), *self.restore(squeezed, breaks=True).split()) if w))
 
     def words(self, token: str) -> list[str]:
-        """The words that a token (lower case, no white space) may be: its plain ones, and the restored one if it may hide one."""
+        """The words that a token (lower case, no white space) may be: its plain ones, and the restored ones if it may hide some."""
         plain = PLAIN.findall(token)
         core = EDGES.sub("", EDGES.sub("", token))
-        if len(core) <= LONGEST and HIDING.search(core):
-            squeezed = re.sub(r"(.)\1{2,}", r"\1\1", core)
-            word = self.restore(squeezed)
-            if word and word not in plain:
-                plain.append(word)
+        if HIDING.search(core):
+            plain += [w for w in self.hidden(core) if w not in plain]
         return plain
 
     def apart(self, text: str) -> list[str]:
-        """Words spelled as single letters set apart, put together and restored."""
-        found = (re.sub(r"[ .\-_*]+", "", m.group()) for m in APART.finditer(text))
-        return [self.restore(re.sub(r"(.)\1{2,}", r"\1\1", w)) for w in found if len(w) <= LONGEST]
+        """Words spelled as single letters set apart, put together and restored; also between the wider gaps of a run."""
+        found: dict[str, None] = {}
+        for m in APART.finditer(text):
+            for spelled in dict.fromkeys((m.group(), *WIDE.split(m.group()))):
+                if len(letters := GAP.sub("", spelled)) > 1:
+                    found |= dict.fromkeys(self.hidden(letters))
+        return list(found)
 
 
 class Features:
