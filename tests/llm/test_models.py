@@ -89,6 +89,14 @@ def test_quality_held_out(spark, sf):
     assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_top_word_counts_whole_texts():
+    top = quality_model.STATISTICS.index("top_word")
+    first = [f"w{k}" for k in range(60)]
+    for n in (40, 140, 141, 5000):
+        assert abs(quality_model.measure(" ".join(first + ["spam"] * n))[top] - n / (n + 60)) < 1e-9
+    assert quality_model.measure("")[top] == 0
+
+
 def test_quality_edges(spark):
     docs = awkward(spark)
     measured = quality_model.measure_documents(clashing(docs))

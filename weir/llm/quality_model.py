@@ -16,6 +16,7 @@ the share of class 1 (0.5 with none); repeated rows give equal rows; other colum
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -70,12 +71,12 @@ def measure(text: str) -> list[float]:
     n, lines = len(words), [x for x in text.split("\n") if x.strip()]
     chars = max(1.0, len(raw) - kinds[8])
     m = max(1, n)
-    distinct = len(set(words))
+    counts = Counter(words)
     triples = len(set(zip(words, words[1:], words[2:], strict=False)))
     closed = sum(x.rstrip()[-1] in ".!?" for x in lines)
-    common = max(map(words.count, set(words[:50])), default=0) if n <= 200 else 0
+    common = max(counts.values(), default=0)
     return [
-        np.log1p(n), np.log1p(len(raw)), min(40.0, chars / m), distinct / m, sum(map(eq, words, words[1:])) / m, 1 - triples / max(1, n - 2) if n > 2 else 0.0,
+        np.log1p(n), np.log1p(len(raw)), min(40.0, chars / m), len(counts) / m, sum(map(eq, words, words[1:])) / m, 1 - triples / max(1, n - 2) if n > 2 else 0.0,
         kinds[1] / chars, kinds[2] / chars, kinds[3] / chars, kinds[4] / chars, kinds[5] / m, kinds[6] / m, kinds[7] / chars,
         np.log1p(n / max(1, len(lines))), 1 - len(set(lines)) / max(1, len(lines)), closed / max(1, len(lines)), kinds[9] / chars, common / m,
     ]
