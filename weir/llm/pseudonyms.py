@@ -8,7 +8,8 @@ walking; the key is a parameter. `restore_text` inverts it.
 
 What counts: e-mail addresses (local part permuted, domain kept), payment cards, IBANs, IPv4 addresses, phone
 numbers, US social security numbers, dates, access-key ids, and values assigned to password, token, secret or
-key names. Values that fail validation stay.
+key names: such a value goes on to white space or to the quote that closes it, whatever its length. Values that
+fail validation stay.
 
 There is no shuffle. Cases: null text stays null with 0 findings; an empty text stays empty; repeated rows give
 equal rows; other columns are carried; an empty table gives an empty table; texts are read whole, in linear time.
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import datetime
 import re
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -73,9 +76,19 @@ class Permutation:
 Turn = Callable[[str, int, int], int]  # forward or backward
 
 
-def permute_chars(value: str, kind: str, turn: Turn) -> str:
-    """Permutes digits among digits and letters among letters of their case; all other characters stay."""
-    sets = [next((s for s in (DIGITS, LOWER, UPPER) if c in s), "") for c in value]
+@cache
+def _letters(block: int, category: str) -> str:
+    return "".join(c for c in map(chr, range(block << 8, block + 1 << 8)) if unicodedata.category(c) == category and ord(c) > 127)
+
+
+def other_letters(c: str) -> str:
+    """The letters or digits beyond ASCII of c's category and block of 256 code points; nothing for other characters."""
+    return _letters(ord(c) >> 8, unicodedata.category(c)) if c > "\x7f" and c.isalnum() else ""
+
+
+def permute_chars(value: str, kind: str, turn: Turn, other: Callable[[str], str] = lambda c: "") -> str:
+    """Permutes digits among digits, letters among letters of their case and others among what `other` has for them; the rest stays."""
+    sets = [next((s for s in (DIGITS, LOWER, UPPER) if c in s), "") or other(c) for c in value]
     n, x = 1, 0
     for c, s in zip(value, sets, strict=True):
         if s:
@@ -185,6 +198,12 @@ def date(value: str, turn: Turn) -> str | None:
     return f"{new.month:02d}{sep}{new.day:02d}{sep}{new.year:04d}" if swapped else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
 
 
+EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[\w+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
+ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
+CLOSING = ".,;:!?)]}>\"'"  # marks that close a sentence or bracket after a value
+BLOCK = 512  # longer secrets are permuted block by block, each with a permutation of its own: linear in their length
+
+
 def email(value: str, turn: Turn) -> str | None:
     local, _, domain = value.rpartition("@")
     return f"{permute_chars(local, 'email@' + domain.lower(), turn)}@{domain}"
@@ -204,17 +223,26 @@ def access_key(value: str, turn: Turn) -> str | None:
 
 
 def secret(value: str, turn: Turn) -> str | None:
+    """None for what is an e-mail address or access-key id as a whole; marks after the value stay."""
+    value, after = (v := value.rstrip(CLOSING)), value[len(v) :]
+    if EMAIL.fullmatch(value) or ACCESS_KEY.fullmatch(value) or not any(map(str.isalnum, value)):
+        return None
     hexes = "0123456789abcdef" if re.fullmatch(r"[0-9a-f]+", value) else "0123456789ABCDEF" if re.fullmatch(r"[0-9A-F]+", value) else ""
-    if not hexes or value.isdigit():
-        return permute_chars(value, "secret", turn)
-    return f"{turn('hex' + hexes[-1], 16 ** len(value), int(value, 16)):0{len(value)}{'x' if hexes[-1] == 'f' else 'X'}}"
+    out = []
+    for at in range(0, len(value), BLOCK):
+        part, kind = value[at : at + BLOCK], f"|{at}" if at else ""
+        if not hexes or value.isdigit():
+            out.append(permute_chars(part, "secret" + kind, turn, other_letters))
+        else:
+            out.append(f"{turn('hex' + hexes[-1] + kind, 16 ** len(part), int(part, 16)):0{len(part)}{'x' if hexes[-1] == 'f' else 'X'}}")
+    return "".join([*out, after])
 
 
 #: kind, pattern (group v is the value, or the whole match), transform. Earlier kinds win where matches overlap.
 KINDS: list[tuple[str, re.Pattern, Callable[[str, Turn], str | None]]] = [
-    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[\w+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"), email),
-    ("access_key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), access_key),
-    ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[A-Za-z0-9+/_.-]{8,128})"), secret),
+    ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}(?:(?P<q>[\"'])|(?![\"']))(?P<v>(?:(?(q)(?!(?P=q)))\S){8,})"), secret),
+    ("email", EMAIL, email),
+    ("access_key", ACCESS_KEY, access_key),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), iban),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), ssn),
     ("card", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"), card),
