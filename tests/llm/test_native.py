@@ -101,6 +101,17 @@ def test_trust_and_distrust_flow(spark):
     assert got[2]["trust"] > got[3]["trust"] > 0 and got[5]["distrust"] > got[6]["distrust"] > 0 and got[7]["trust"] == got[7]["distrust"] == 0
 
 
+def test_propagation_settles_and_reaches_far_hosts(spark):
+    rows = [page(0, "spam.com", "/de/")] + [page(k, f"h{k}.net", "/", f"h{k - 1}.net" if k > 1 else "spam.com") for k in range(1, 15)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in url_trust.judge(pages, [("block", "com", "/de/")]).collect()}
+    assert all(got[k]["verdict"] == "block" and abs(got[k]["distrust"] / (0.15 * 0.85**k) - 1) < 1e-3 for k in range(1, 15))
+    # two hosts that link to each other: settled shares are 1 and 0.85 of 1 / 1.85
+    pair = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, w double")
+    trust = {r["host"]: r["trust"] for r in url_trust.propagate(pair, spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")).collect()}
+    assert abs(trust["a"] - 1 / 1.85) < 1e-3 and abs(trust["b"] - 0.85 / 1.85) < 1e-3
+
+
 def test_propagation_by_brute_force(spark):
     rng = random.Random(2)
     edges = {(rng.randrange(9), rng.randrange(9)): float(rng.randint(1, 4)) for _ in range(25)}

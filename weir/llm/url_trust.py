@@ -3,6 +3,8 @@
 1. Policy rules (host, path prefix, verdict) are matched against each url; the longest fitting rule decides.
 2. Hosts whose pages the rules allow seed a personalised PageRank along links; hosts whose pages the rules
    block seed distrust, which flows against the links (who links to a blocked host is suspect).
+   Rounds go on until no host's mass changes by more than a small part of itself, so that every host that a seed
+   reaches has its settled trust and distrust, however far it is.
 3. A host is blocked where its distrust share passes a threshold; pages that no rule decides take that verdict.
 
 Links are counted to one row for each pair of hosts before any shuffle, so a host with a third of all pages
@@ -62,8 +64,12 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.unionByName(family).unionByName(family.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 8, cut_every: int = 4) -> DataFrame:
-    """(host, trust, distrust) after `rounds` rounds of personalised PageRank.
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, cut_every: int = 4, tolerance: float = 1e-4, most_rounds: int = 2000) -> DataFrame:
+    """(host, trust, distrust) of personalised PageRank: settled, or after `rounds` rounds where they are given.
+
+    Settled: in the last round no mass changed by more than `tolerance` of itself, and no host was newly reached (whose
+    whole mass is change). So the summed change is under that part of all mass, and ratios at far hosts hold too. It is
+    looked at where lineage is cut; an error is raised if it isn't so after `most_rounds`.
 
     seeds has (host, trust, distrust) masses. Trust follows links, distrust follows them backwards; both run
     in one loop as rows of a kind, so a round is one join and one aggregation over one row a host and kind.
@@ -77,15 +83,26 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust"), F.lit("distrust"), F.col("distrust"))).alias("kind", "mass")).filter(F.col("mass") > 0)
     start = materialize(start, "link-seeds")
     ranks = start
-    for i in range(1, rounds + 1):
+    for i in range(1, (rounds or most_rounds) + 1):
         moved = ranks.withColumnRenamed("host", "a").join(steps, ["kind", "a"]).select(F.col("b").alias("host"), "kind", (damping * F.col("mass") * F.col("p")).alias("mass"))
-        ranks = moved.unionByName(start.select("host", "kind", ((1 - damping) * F.col("mass")).alias("mass"))).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
-        if i % cut_every == 0 or i == rounds:
-            ranks = materialize(ranks, "link-ranks")
+        given = start.select("host", "kind", ((1 - damping) * F.col("mass")).alias("mass"))
+        if i % cut_every and i != rounds:
+            ranks = moved.unionByName(given).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
+            continue
+        before = ranks.select("host", "kind", F.lit(0.0).alias("mass"), F.col("mass").alias("before"))
+        now = moved.unionByName(given).withColumn("before", F.lit(0.0)).unionByName(before).groupBy("host", "kind").agg(F.sum("mass").alias("mass"), F.sum("before").alias("before"))
+        ranks = materialize(now, "link-ranks")
+        moving = ranks.filter(F.abs(F.col("mass") - F.col("before")) > tolerance * F.col("mass"))
+        ranks = ranks.select("host", "kind", "mass")
+        if rounds is None and moving.isEmpty():
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"trust isn't settled after {most_rounds} rounds")
     return ranks.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
 
 
-def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, damping: float = 0.85, rounds: int = 8) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for each row of pages(page_id, url, html).
 
     verdict: the rule's, else block where the host's distrust / (trust + distrust) is over `threshold`.
