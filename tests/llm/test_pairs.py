@@ -160,6 +160,15 @@ def test_proximity_by_brute_force(spark):
     assert got == want
 
 
+def test_near_matches_on_the_stored_index(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = [(1, f"x {item} y"), (2, "so " + item.replace("seven", "seven foreign") + " end"), (3, item.replace("seven", "foreign")), (4, " ".join(item.split()[::-1])), (5, None), (6, " a b c d e f ".join(item.split()))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")
+    for most in (1_000_000, 1):
+        got = {r["doc_id"]: (r["n_hit"], r["n_near"], r["near_items"]) for r in decontamination.decontaminate(d, b, span=16, max_terms=most).collect()}
+        assert got == {1: (13, 1, ["9"]), 2: (0, 1, ["9"]), 3: (0, 0, []), 4: (0, 1, ["9"]), 5: (0, 0, []), 6: (0, 0, [])}
+
+
 # operator 2
 
 TEXT = """Mail jo.Smith+x9@mail3.example.com or call +1 (407) 555-7710, card 4111 1111 1111 1111 and 4012888888881881, not 4012888888881882.
