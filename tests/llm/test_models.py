@@ -76,7 +76,7 @@ def test_toxicity_edges(spark):
     docs = awkward(spark)
     labels = docs.filter("doc_id < 100").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label")).unionByName(spark.createDataFrame([(100, None), (101, 0)], "doc_id long, label int"))
     m = toxicity.train(docs, labels)
-    assert toxicity.add_scores(clashing(docs), m, score="s1", predicted="p1").filter("score = 'mine' AND s1 BETWEEN 0 AND 1").count() == docs.count()
+    assert toxicity.add_scores(clashing(docs), m, score="s1").filter("score = 'mine' AND s1 BETWEEN 0 AND 1").count() == docs.count()
     assert toxicity.score_documents(docs, m).count() == docs.count() and toxicity.score_documents(empty(spark), m).count() == 0
     none = toxicity.train(docs, labels.limit(0))
     assert toxicity.score_documents(docs, none).filter("predicted = 1").count() == 0

@@ -1,7 +1,7 @@
 """Operator 7, MinHash near-dedup: chosen-path set similarity join.
 
 1. One pass over the texts gives each document's set size, a content key of its set (equal sets, equal keys) and a
-   signature of minwise tokens. Documents of one key are one representative from here on.
+   signature of minwise tokens. Documents of one key are one representative, with a number, from here on.
 2. Chosen paths: in each of `trees` independent trees a node picks one or two signature places (4/3 on average,
    one over the threshold), and a representative goes to the child of each place's minwise token. The first `start`
    levels are taken at once; nodes that are still large branch again, up to `depth` levels.
@@ -11,15 +11,20 @@
    components are confirmed as well, inside the node's task, and only links come out: copies are never expanded
    into all pairs, and no candidate link between components is lost.
 4. Nodes that stay large at the last level hold many alike texts. They are compared in blocks against a pivot, and
-   then whatever isn't in the node's main component against every block: exact, and without all pairs.
+   then whatever isn't in the node's main component against every block, as joins of cells of two blocks. That is
+   exact; its work is the product of a node's size and of what its main component leaves over, so that it is small
+   where a large node holds copies of one text, and quadratic in a node of many texts that are alike but don't link.
 5. Components by alternating large-star and small-star steps, as tables.
 
 A pair at the threshold is missed with a probability of about (1 - 0.48)^12, 0.04 %, in the deepest nodes, and
-(1 - 0.53)^12, 0.01 %, in others; more alike pairs far less. Nothing is collected to the driver; a group that is collected to a task holds `leaf` rows.
-
-Cases: null and empty texts have an empty set, link with nothing and stay; a text of fewer than `width` words is
-one shingle; rows of one doc_id are one document; rows without doc_id link with nothing and stay; repeated rows
-give equal rows; other columns are not read; an empty table gives an empty table.
+(1 - 0.53)^12, 0.01 %, in others; more alike pairs far less. A candidate agrees in 55 % of the signature's places; a
+pair at the threshold fails that with a probability of about 1e-7, far below what the trees miss. Nothing is collected
+to the driver; a group that is collected to a task holds `leaf` rows.
+
+Cases: ids are of any type that can be sorted; null and empty texts have an empty set, link with nothing and stay; a
+text of fewer than `width` words is one shingle; rows of one doc_id are one document: their texts are linked; rows
+without doc_id link with nothing and stay; repeated rows give equal rows; other columns are not read; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,14 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_column, materialize
+from .shared import map_column, materialize, sifted
 from .token_counts import slices
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CACHE = 200_000  # words whose hashes a worker keeps
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
-SIEVE_BITS = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -51,7 +55,7 @@ class JoinSetup:
     start: int = 4
     depth: int = 5
     leaf: int = 200  # rows of a node that are compared exhaustively
-    candidate: int = 60  # signature agreement, in per cent, that makes a candidate: 3.9 standard deviations below the threshold
+    candidate: int = 55  # signature agreement, in per cent, that makes a candidate: 5.2 standard deviations below the threshold
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -115,8 +119,14 @@ def signatures(sets: list[np.ndarray], places: int) -> np.ndarray:
     return out
 
 
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, h, text): h tells the texts of one id apart."""
+    said = F.col(f"`{text}`").cast("string")
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(said).alias("h"), said.alias("text"))
+
+
 def sketch(docs: DataFrame, setup: JoinSetup, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, k1, k2, sig): set size, content key and signature (null for an empty set)."""
+    """(doc_id, h, n, k1, k2, sig): hash of the text, set size, content key and signature (null for an empty set)."""
     places, width = setup.places, setup.width
 
     def start():
@@ -139,8 +149,7 @@ def sketch(docs: DataFrame, setup: JoinSetup, doc_id: str, text: str) -> DataFra
 
         return work
 
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return map_column(rows, "text", start, "n long, k1 long, k2 long, sig binary")
+    return map_column(_texts(docs, doc_id, text), "text", start, "n long, k1 long, k2 long, sig binary")
 
 
 def _branch(nodes: np.ndarray, sigs: np.ndarray, of: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,11 +207,9 @@ def _forest(sigs: np.ndarray, sizes: np.ndarray, least: int, percent: int) -> li
     return out
 
 
-def _across(sigs: np.ndarray, members: list[dict], sizes: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
+def _across(sigs: np.ndarray, side: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
     """Confirmed links between different components across sides 0 and 1; members that got linked count as one component."""
-    side = np.array([m["side"] for m in members])
-    comp = np.array([m["comp"] for m in members])
-    sets = [np.frombuffer(m["shingles"], dtype=np.uint64) for m in members]
+    comp = comp.copy()
     left, out = np.flatnonzero(side == 0), []
     for j in np.flatnonzero(side == 1):
         near = left[_near_sizes(sizes[left], sizes[j], percent)]
@@ -230,13 +237,17 @@ def _pairs_in(groups: DataFrame, setup: JoinSetup, across: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, a, b = [], [], []
-            for k in range(batch.num_rows):
-                name, members = batch.column("node")[k].as_py(), batch.column("members")[k].as_py()
-                sigs = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint16).reshape(-1, places)
-                sizes = np.array([m["n"] for m in members])
-                pairs = _across(sigs, members, sizes, least, percent) if across else _forest(sigs, sizes, least, percent)
+            for name, group in zip(batch.column("node").to_pylist(), batch.column("members"), strict=True):
+                of = {f.name: group.values.field(f.name) for f in group.values.type}
+                reps, sizes = of["rep"].to_numpy(), of["n"].to_numpy()
+                sigs = np.frombuffer(b"".join(of["sig"].to_pylist()), dtype=np.uint16).reshape(-1, places)
+                if across:
+                    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in of["shingles"]]
+                    pairs = _across(sigs, of["side"].to_numpy(), of["comp"].to_numpy(), sets, sizes, least, percent)
+                else:
+                    pairs = _forest(sigs, sizes, least, percent)
                 for i, j in pairs:
-                    x, y = members[i]["rep"], members[j]["rep"]
+                    x, y = int(reps[i]), int(reps[j])
                     if x != y:
                         node.append(name), a.append(min(x, y)), b.append(max(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["node", "a", "b"])
@@ -248,27 +259,24 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
 
 
-def _sifted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """texts less most of those that aren't wanted, so that few texts are shuffled: a bitmap of hashed ids is broadcast,
-    of SIEVE_BITS bits and so of SIEVE_BITS / 64 rows at most, however many are wanted (when it is full, all texts pass)."""
-    place = lambda: F.pmod(F.xxhash64("rep", F.lit("sieve")), F.lit(SIEVE_BITS))
-    bitmap = wanted.select(place().alias("p")).select(F.expr("p div 64").alias("_word"), F.expr("shiftleft(1L, cast(p % 64 AS int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    marked = texts.withColumn("_p", place()).withColumn("_word", F.expr("_p div 64")).join(F.broadcast(bitmap), "_word")
-    # the id passes through the bitmap, so that a later join by it can't be moved before this one
-    passed = F.when(F.expr("(_bits & shiftleft(1L, cast(_p % 64 AS int))) <> 0"), F.col("rep"))
-    return marked.select(passed.alias("rep"), *(c for c in texts.columns if c != "rep")).filter("rep IS NOT NULL")
-
-
 def _full_sets(texts: DataFrame, wanted: DataFrame, reps: DataFrame, setup: JoinSetup) -> DataFrame:
-    """(rep, shingles, n, sig) of the wanted representatives, from texts(rep, text)."""
+    """(rep, shingles, n, sig) of the wanted representatives, from texts(doc_id, h, text) and reps(rep, doc_id, h, n, sig)."""
     width = setup.width
 
     def start():
         shingler = Shingler(width)
-        return lambda values: {"shingles": pa.array([s.tobytes() for s in shingler.sets(values)], pa.binary())}
 
-    sets = map_column(_sifted(texts, wanted).join(wanted.hint("merge"), "rep", "left_semi"), "text", start, "shingles binary")
-    return materialize(sets.join(reps.hint("merge"), "rep"), "shingle-sets")
+        def work(values: list) -> dict[str, pa.Array]:
+            sets = [s.tobytes() for a, b in slices(values, 200_000) for s in shingler.sets(values[a:b])]
+            return {"shingles": pa.array(sets, pa.binary())}
+
+        return work
+
+    at = materialize(wanted.join(reps.hint("merge"), "rep"), "wanted")
+    # repeated rows meet before the shuffle
+    found = sifted(texts, at.select("doc_id", "h"), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+    found = found.join(at.hint("merge"), ["doc_id", "h"]).select("rep", "n", "sig", "text")
+    return materialize(map_column(found, "text", start, "shingles binary"), "shingle-sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, setup: JoinSetup) -> DataFrame:
@@ -279,9 +287,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, setup: JoinSetup) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                linked.append(_similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent))
+            # the sets are read where they lie in the batch
+            xs, ys = batch.column("x"), batch.column("y")
+            linked = [_similar(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64), percent) for x, y in zip(xs, ys, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean"), "confirmed")
@@ -348,10 +356,11 @@ def _node_rows(reps: DataFrame, setup: JoinSetup) -> DataFrame:
 def links(reps: DataFrame, texts: DataFrame, setup: JoinSetup = JoinSetup()) -> DataFrame:
     """(a, b) confirmed links between representatives that connect the same components as all links do.
 
-    reps: (rep, n, sig); texts: (rep, text) of these and maybe other documents.
+    reps: (rep, n, sig, doc_id, h), the last two of a document that has the set; texts: (doc_id, h, text) of these and
+    maybe other documents.
     """
     leaf = setup.leaf
-    rows, reps = _node_rows(reps, setup), reps.select("rep", "n", "sig")
+    rows, owners, reps = _node_rows(reps, setup), reps.select("rep", "doc_id", "h", "n", "sig"), reps.select("rep", "n", "sig")
     member, dense = F.struct("rep", "n", "sig"), F.col("size") > leaf
     signed = rows.join(reps, "rep")
     pivots = rows.filter(dense).groupBy("node").agg(F.min("rep").alias("rep")).join(reps, "rep").select("node", F.array(member).alias("pivot"))
@@ -359,7 +368,7 @@ def links(reps: DataFrame, texts: DataFrame, setup: JoinSetup = JoinSetup()) ->
     blocks = groups.filter(dense).join(pivots, "node").select("node", F.concat("pivot", "members").alias("members"))
     forest = materialize(_pairs_in(groups.filter(~dense).select("node", "members").unionByName(blocks), setup, across=False), "forest")
     pairs = forest.select("a", "b").distinct()
-    sets = _full_sets(texts, _ends(pairs), reps, setup)
+    sets = _full_sets(texts, _ends(pairs), owners, setup)
     first = _confirm(pairs, sets, setup)
     found = first.filter("linked").select("a", "b")
 
@@ -371,18 +380,21 @@ def links(reps: DataFrame, texts: DataFrame, setup: JoinSetup = JoinSetup()) ->
     # whatever has a candidate in its block has its set already; members of dense nodes may have one in another block
     missing = again.filter(dense).select("rep").distinct().join(sets, "rep", "left_anti")
     if not missing.isEmpty():
-        sets = sets.unionByName(_full_sets(texts, missing, reps, setup))
+        sets = sets.unionByName(_full_sets(texts, missing, owners, setup))
     comps = components(found)
     again = again.join(sets.select("rep"), "rep", "left_semi").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     again = materialize(again.withColumn("comp", F.coalesce("component", "rep")).drop("component"), "second-look")
-    # outside a node's main component: few, and compared with every block of it
+    # outside a node's main component: few, and compared with every block of it. One row a node, written, so that the
+    # joins of a large node's rows with it can be split
     sizes = again.groupBy("node", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("node").agg(F.max(F.struct("c", (-F.col("comp")).alias("back"))).alias("top")).select("node", (-F.col("top.back")).alias("main"))
-    rest = again.join(main, "node").filter(F.col("comp") != F.col("main")).drop("main")
-    cells = rest.groupBy("node").agg(F.ceil(F.count("*") / leaf).cast("long").alias("u_blocks"))
-    side0 = again.join(cells, "node").withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("u_blocks") - 1))).select("node", "block", "u", "rep", "comp", F.lit(0).alias("side"))
-    side1 = rest.join(cells, "node").withColumns({"u": F.pmod(F.xxhash64("rep", F.lit(1)), "u_blocks"), "blocks": F.when(dense, F.ceil(F.col("size") / leaf)).otherwise(F.lit(1)).cast("long")})
-    side1 = side1.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("node", "block", "u", "rep", "comp", F.lit(1).alias("side"))
+    nodes = sizes.groupBy("node").agg(F.max(F.struct("c", (-F.col("comp")).alias("back"))).alias("top"), F.sum("c").alias("all"))
+    nodes = nodes.select("node", (-F.col("top.back")).alias("main"), F.ceil((F.col("all") - F.col("top.c")) / leaf).cast("long").alias("u_blocks")).filter("u_blocks > 0")
+    nodes = materialize(nodes, "second-look-nodes")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    cells = again.join(nodes, "node")
+    blocks = F.when(dense, F.ceil(F.col("size") / leaf)).otherwise(F.lit(1)).cast("long")
+    side0 = cells.withColumn("u", each(F.col("u_blocks"))).select("node", "block", "u", "rep", "comp", F.lit(0).alias("side"))
+    side1 = cells.filter("comp <> main").withColumns({"u": F.pmod(F.xxhash64("rep", F.lit(1)), "u_blocks"), "block": each(blocks)}).select("node", "block", "u", "rep", "comp", F.lit(1).alias("side"))
     second = side0.unionByName(side1).join(sets.hint("merge"), "rep").groupBy("node", "block", "u").agg(F.collect_list(F.struct("rep", "n", "sig", "comp", "side", "shingles")).alias("members"))
     return found.unionByName(_pairs_in(second, setup, across=True).select("a", "b").distinct())
 
@@ -391,11 +403,16 @@ def deduplicate(docs: DataFrame, setup: JoinSetup = JoinSetup(), doc_id: str = "
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     rows = materialize(sketch(docs, setup, doc_id, text), "signatures")
     some = rows.filter(F.col("k1").isNotNull() & F.col("doc_id").isNotNull())
-    reps = materialize(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "representatives")
-    texts = docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").cast("string").alias("text")).filter(F.col("rep").isNotNull())
-    found = links(reps, texts, setup)
-    comps = materialize(components(found), "components")
-    labelled = materialize(reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component")), "labels")
-    out = rows.select("doc_id", "n", "k1", "k2").join(labelled, ["k1", "k2", "n"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    reps = some.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "h")).alias("at"), F.first("sig").alias("sig"))
+    reps = materialize(reps.select("k1", "k2", "n", "sig", "at.doc_id", "at.h", F.monotonically_increasing_id().alias("rep")), "representatives")
+    found = links(reps, _texts(docs, doc_id, text), setup)
+    owned = reps.select("k1", "k2", "n", "rep", F.col("doc_id").alias("owner"))
+    named = materialize(rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2").join(owned, ["k1", "k2", "n"], "left").select("doc_id", "n", "rep", "owner"), "named")
+    # texts of one id are one document
+    twice = named.filter("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("doc_id", "a")
+    same = named.join(twice, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    comps = materialize(components(found.unionByName(same)).join(owned.select(F.col("rep").alias("node"), "owner"), "node"), "components")
+    least = comps.groupBy("component").agg(F.min("owner").alias("least"))
+    labelled = materialize(comps.join(least, "component").select(F.col("node").alias("rep"), "least"), "labels")
+    component = F.coalesce("least", "owner", "doc_id")
+    return named.join(labelled, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,11 @@ from .shared import held_out, materialize, table
 #: The policy of op1: verdict, host, path prefix.
 POLICY = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
-#: The key of the PII query; a deployment passes its own.
-PII_KEY = "change-me"
+
+def pii_key(spark: SparkSession) -> str:
+    """The key of the pseudonyms: the setting `spark.weir.pii.key`. Where it is unset, one that is derived from the application's
+    name, which keeps nothing secret: a deployment has to set its own."""
+    return spark.conf.get("spark.weir.pii.key", None) or sha256(spark.sparkContext.appName.encode()).hexdigest()
 
 
 def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +36,7 @@ def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with pseudonyms, and what was found, for each document."""
     from .pseudonyms import pseudonymize
 
-    out = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+    out = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii_key(spark))
     return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_found"), F.array_join(F.transform("pii", lambda x: x["kind"]), ",").alias("kinds"))
 
 

@@ -32,9 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import bounded_sample
-from .shared import map_column, materialize, text_rows
+from .shared import map_column, materialize, text_rows, with_column
 from .token_counts import slices
 
+THRESHOLD = 0.3  # of the score, for the verdict
 CACHE = 150_000  # tokens whose features a worker keeps
 
 #: Letters that a mark or digit may stand for (fixed values: the common substitutions).
@@ -281,22 +282,24 @@ def train(docs: DataFrame, labels: DataFrame, setup: ToxicitySetup = ToxicitySet
     return ToxicityModel(grams, setup, chosen, w, b)
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, carry: dict[str, Column] | None = None, keep_text: bool = False) -> DataFrame:
-    """doc_id, score, predicted and the carried columns for each row (and the text, if asked for)."""
-    return add_scores(text_rows(docs, doc_id, text, carry), model, threshold=threshold, keep_text=keep_text)
+def score_documents(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, carry: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, score, predicted and the carried columns for each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def start():
+        one = shared.value.scorer()
+        return lambda values: {"score": pa.array([one(t) for t in values], pa.float64())}
+
+    scored = map_column(text_rows(docs, doc_id, text, carry), "text", start, "score double")
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-def add_scores(rows: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.3, keep_text: bool = True, score: str = "score", predicted: str = "predicted") -> DataFrame:
-    """rows with a score and a predicted column of the given names; its other columns pass through."""
+
+def add_scores(rows: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:
+    """rows with a score column of the given name; only the text goes to Python, and only the score comes back."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def start():
         one = shared.value.scorer()
+        return lambda values: pa.array([one(t) for t in values], pa.float64())
 
-        def work(values: list) -> dict[str, pa.Array]:
-            scores = [one(t) for t in values]
-            return {score: pa.array(scores, pa.float64()), predicted: pa.array([int(x >= threshold) for x in scores], pa.int32())}
-
-        return work
-
-    return map_column(rows, text, start, f"`{score}` double, `{predicted}` int", keep=keep_text)
+    return with_column(rows.withColumn(text, F.col(f"`{text}`").cast("string")), text, start, score, "double")
