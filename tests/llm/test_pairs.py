@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -212,6 +213,63 @@ def test_secrets_are_replaced_whole():
     assert p.apply(new, back=True)[0] == text
 
 
+def test_values_with_something_after_them_dont_leak():
+    p = pseudonyms.Pseudonyms(b"k1")
+    card, amex, bank = "4111 1111 1111 1111", "3782 822463 10005", "BE68 5390 0754 7034"
+    for text, kinds in (
+        (f"card {card} 12/25", ["card"]), (f"card {card} 737", ["card"]), (f"card {card.replace(' ', '-')}-737 x", ["card"]), (f"{card} 5500 0000 0000 0004", ["card", "card"]), (f"no 12 {card} 12/25 737", ["card"]),
+        (f"{amex} 1234 ok", ["card"]), ("4111111111111111 737", ["card"]), ("41 1111 1111 1111 11", ["card"]), (f"pay {bank} THE", ["iban"]), (f"{bank} 2024 MORE", ["iban"]), (f"{bank.replace(' ', '')} AND", ["iban"]), (f"{bank}A", []),
+        ("4111111111111112 737", []), ("0000 0000 0000 0000 12", []),
+    ):
+        new, found = p.apply(text)
+        assert [k for k, *_ in found] == kinds, text
+        assert all(text[a:b] not in new for _, a, b, _ in found)
+        assert p.apply(new, back=True)[0] == text
+    # many cards in all layouts, with digits after them: found at the same place and turned back
+    rng = random.Random(3)
+    for _ in range(300):
+        sizes = rng.choice(pseudonyms.CARD_GROUPS)
+        body = "".join(rng.choice("0123456789") for _ in range(sum(sizes) - 1))
+        it = iter(body + pseudonyms.luhn_digit(body))
+        text = " ".join("".join(next(it) for _ in range(n)) for n in sizes) + rng.choice(["", " 737", " 12/25", " 12 25", " 1234 5678"])
+        new, found = p.apply(text)
+        assert [k for k, *_ in found][:1] == ["card"] and p.apply(new, back=True)[0] == text
+
+
+def test_social_security_numbers_by_every_area():
+    t = pseudonyms.Permutation(b"key")
+    old = [f"{a:03d}-{1 + a % 99:02d}-{1 + 11 * a % 9999:04d}" for a in range(1, 900) if a != 666]
+    new = [pseudonyms.ssn(v, t.forward) for v in old]
+    assert len(set(new)) == len(old) == 898 and [pseudonyms.ssn(v, t.backward) for v in new] == old
+    # the numbering of areas, groups and serials itself has no gap and no number twice
+    areas, groups = [], []
+    pseudonyms.ssn("001-01-0001", lambda kind, n, x: areas.append(n) or 0)
+    for x in (0, 9999 * 99 * 665 - 1, 9999 * 99 * 665, areas[0] - 1):
+        groups.append(pseudonyms.ssn("001-01-0001", lambda kind, n, _, x=x: x))
+    assert areas == [898 * 99 * 9999] and groups == ["001-01-0001", "665-99-9999", "667-01-0001", "899-99-9999"]
+
+
+def test_phones_stay_valid():
+    p, rng = pseudonyms.Pseudonyms(b"k1"), random.Random(4)
+    old = [f"({rng.randint(201, 999)}) {rng.randint(200, 999)}-{rng.randint(0, 9999):04d}" for _ in range(300)]
+    new = [p.apply(v)[0] for v in old]
+    assert len(set(new)) == len(set(old)) and all(re.fullmatch(r"\([2-9]\d\d\) [2-9]\d\d-\d{4}", v) for v in new)
+    assert [p.apply(v, back=True)[0] for v in new] == old
+    assert p.apply("+49 151 2345 678")[0].startswith("+49 ") and p.apply(p.apply("+4915123456789")[0], back=True)[0] == "+4915123456789"
+
+
+def test_texts_of_many_findings_take_linear_time():
+    p = pseudonyms.Pseudonyms(b"k1")
+    text = lambda n: " ".join(f"u{i:06d}@mail.example.com 10.{i % 250}.{i // 250 % 250}.9" for i in range(n))
+    took = {}
+    for n in (1250, 2500, 10_000):
+        start = time.process_time()
+        new, found = p.apply(text(n))
+        took[n] = time.process_time() - start
+        assert len(found) == 2 * n
+    assert took[10_000] < 8 * took[2500] and p.apply(new, back=True)[0] == text(10_000)
+
+
 def test_permutations_are_bijections():
     t = pseudonyms.Permutation(b"key")
     for n in (1, 2, 7, 100, 1000):

@@ -6,10 +6,10 @@ values get equal pseudonyms in every document, different values get different on
 same validation. The permutation is a balanced Feistel network over the format's number of values, with cycle
 walking; the key is a parameter. `restore_text` inverts it.
 
-What counts: e-mail addresses (local part permuted, domain kept), payment cards, IBANs, IPv4 addresses, phone
-numbers, US social security numbers, dates, access-key ids, and values assigned to password, token, secret or
-key names: such a value goes on to white space or to the quote that closes it, whatever its length. Values that
-fail validation stay.
+What counts: e-mail addresses (local part permuted, domain kept), payment cards (also where an expiry date or a
+check value follows), IBANs (cut to their country's length), IPv4 addresses, phone numbers, US social security
+numbers, dates, access-key ids, and values assigned to password, token, secret or key names: such a value goes on to
+white space or to the quote that closes it, whatever its length. Values that fail validation stay.
 
 There is no shuffle. Cases: null text stays null with 0 findings; an empty text stays empty; repeated rows give
 equal rows; other columns are carried; an empty table gives an empty table; texts are read whole, in linear time.
@@ -20,7 +20,7 @@ from __future__ import annotations
 import datetime
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 from hashlib import blake2b
 
@@ -74,6 +74,7 @@ class Permutation:
 
 
 Turn = Callable[[str, int, int], int]  # forward or backward
+Found = tuple[int, int, str]  # start, end, pseudonym
 
 
 @cache
@@ -116,26 +117,82 @@ def _spread(digits: str, like: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in like)
 
 
-def card(value: str, turn: Turn) -> str | None:
-    digits = re.sub(r"\D", "", value)
-    if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
-        return None
-    body = digits[0] + permute_chars(digits[1:-1], "card", turn)
-    return _spread(body + luhn_digit(body), value)
+def _is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
+#: How the digits of a card are grouped where more digits (an expiry date, a check value) follow.
+CARD_GROUPS = [(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))]
+
+
+def _card_groups(sizes: list[int], digits: list[str], whole: bool) -> tuple[int, int] | None:
+    """The groups i..j-1 of a run, or of what is left of it, that are a card: where several are, the first and shortest.
+
+    A card may begin the run, or come after a group that is too short to be part of one; what a run has as a whole may
+    be grouped in any way.
+    """
+    for i in range(len(sizes)):
+        if i == 0 or sizes[i - 1] < 4:
+            for layout in CARD_GROUPS:
+                j = i + len(layout)
+                if tuple(sizes[i:j]) == layout and _is_card("".join(digits[i:j])):
+                    return i, j
+    return (0, len(sizes)) if whole and len(sizes) <= 19 and _is_card("".join(digits)) else None
+
+
+def cards(text: str, turn: Turn) -> Iterator[Found]:
+    for run in CARD_RUN.finditer(text):
+        spans = [g.span() for g in DIGIT_GROUP.finditer(text, *run.span())]
+        digits, sizes, whole = [text[a:b] for a, b in spans], [b - a for a, b in spans], True
+        while (at := _card_groups(sizes, digits, whole)) is not None:
+            i, j = at
+            new = "".join(digits[i:j])
+            near = len(sizes) if whole and len(sizes) <= 19 else j + 5  # no card from a group before i ends beyond
+            while True:  # walk on to a card that is found at the same place, so that it can be turned back
+                body = new[0] + permute_chars(new[1:-1], "card", turn)
+                new = body + luhn_digit(body)
+                cut = iter(new)
+                later = digits[:i] + ["".join(next(cut) for _ in g) for g in digits[i:j]] + digits[j:near]
+                if _card_groups(sizes[:near], later, whole) == at:
+                    break
+            a, b = spans[i][0], spans[j - 1][1]
+            yield a, b, _spread(new, text[a:b])
+            spans, digits, sizes, whole = spans[j:], digits[j:], sizes[j:], False
 
 
 def _iban_check(country: str, body: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
 
 
-def iban(value: str, turn: Turn) -> str | None:
-    flat = value.replace(" ", "")
-    country, check, body = flat[:2], flat[2:4], flat[4:]
-    if not 15 <= len(flat) <= 34 or _iban_check(country, body) != check:
-        return None
-    body = permute_chars(body, "iban" + country, turn)
-    it = iter(country + _iban_check(country, body) + body)
-    return "".join(c if c == " " else next(it) for c in value)
+#: The length of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18,
+    "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23,
+    "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19,
+    "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19,
+    "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def ibans(text: str, turn: Turn) -> Iterator[Found]:
+    """Each is cut to the length of its country, so that words after it don't hide it; countries without one have no IBAN."""
+    for m in IBAN_START.finditer(text):
+        country, a = m[0], m.start()
+        need = IBAN_LENGTHS.get(country, 0)
+        b, held = a, []
+        while b < len(text) and len(held) < need:
+            c = text[b]
+            if c in DIGITS or c in UPPER:
+                held.append(c)
+            elif c != " " or text[b - 1] == " ":
+                break
+            b += 1
+        flat = "".join(held)
+        if not need or len(flat) < need or b < len(text) and text[b].isalnum() and text[b].isascii() or _iban_check(country, flat[4:]) != flat[2:4]:
+            continue
+        body = permute_chars(flat[4:], "iban" + country, turn)
+        it = iter(country + _iban_check(country, body) + body)
+        yield a, b, "".join(c if c == " " else next(it) for c in text[a:b])
 
 
 def ipv4(value: str, turn: Turn) -> str | None:
@@ -146,20 +203,34 @@ def ipv4(value: str, turn: Turn) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _phone_class(number: str) -> tuple[bool, ...]:
+    """What a number's pseudonym has to share with it. Of ten digits: whether area and exchange begin with 2 to 9, as they do
+    in North American numbers, and aren't a service code like 911; else whether the number begins with 0."""
+    if len(number) != 10:
+        return (number[:1] == "0",)
+    area, exchange = number[:3], number[3:6]
+    return area[0] in "23456789", exchange[0] in "23456789", area[1:] == "11", exchange[1:] == "11"
+
+
 def phone(value: str, turn: Turn) -> str | None:
-    n = sum(c.isdigit() for c in value)
-    if not 8 <= n <= 15:
+    """The country code stays; the rest is permuted within the numbers that are as valid as it is."""
+    if not 8 <= sum(c.isdigit() for c in value) <= 15:
         return None
-    head = re.match(r"\+\d{1,2}(?=\D)|\+", value)
+    head = re.match(r"\+\d{1,3}(?=\D)|\+\d\d?", value)
     cut = head.end() if head else 0
-    return value[:cut] + permute_chars(value[cut:], "phone", turn)
+    old = _phone_class(re.sub(r"\D", "", value[cut:]))
+    new = value[cut:]
+    while True:
+        new = permute_chars(new, "phone", turn)
+        if _phone_class(re.sub(r"\D", "", new)) == old:
+            return value[:cut] + new
 
 
 def ssn(value: str, turn: Turn) -> str | None:
     area, group, serial = value.split("-")
     if area in ("000", "666") or area >= "900" or group == "00" or serial == "0000":
         return None
-    areas = 897  # 001-899 without 666
+    areas = 898  # 001-899 without 666
     a = int(area) - 1 - (int(area) > 666)
     x = turn("ssn", areas * 99 * 9999, (a * 99 + int(group) - 1) * 9999 + int(serial) - 1)
     x, s = divmod(x, 9999)
@@ -238,17 +309,39 @@ def secret(value: str, turn: Turn) -> str | None:
     return "".join([*out, after])
 
 
-#: kind, pattern (group v is the value, or the whole match), transform. Earlier kinds win where matches overlap.
-KINDS: list[tuple[str, re.Pattern, Callable[[str, Turn], str | None]]] = [
-    ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}(?:(?P<q>[\"'])|(?![\"']))(?P<v>(?:(?(q)(?!(?P=q)))\S){8,})"), secret),
-    ("email", EMAIL, email),
-    ("access_key", ACCESS_KEY, access_key),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), iban),
-    ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), ssn),
-    ("card", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"), card),
-    ("date", re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-]|\.\d)"), date),
-    ("ipv4", re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"), ipv4),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\w-])"), phone),
+SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}(?:(?P<q>[\"'])|(?![\"']))(?P<v>(?:(?(q)(?!(?P=q)))\S){8,})")
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}(?=\d{2})")
+SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
+CARD_RUN = re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,}(?![\w-])")
+DIGIT_GROUP = re.compile("[0-9]+")
+DATE = re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-]|\.\d)")
+IPV4 = re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)")
+PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\w-])")
+
+
+def each(pattern: re.Pattern, change: Callable[[str, Turn], str | None]) -> Callable[[str, Turn], Iterator[Found]]:
+    """A finder of the pattern's matches (of its group v, where it has one) that `change` takes as valid."""
+    group = "v" if "v" in pattern.groupindex else 0
+
+    def find(text: str, turn: Turn) -> Iterator[Found]:
+        for m in pattern.finditer(text):
+            if (new := change(m[group], turn)) is not None:
+                yield *m.span(group), new
+
+    return find
+
+
+#: kind, finder. Earlier kinds win where findings overlap.
+KINDS: list[tuple[str, Callable[[str, Turn], Iterator[Found]]]] = [
+    ("secret", each(SECRET, secret)),
+    ("email", each(EMAIL, email)),
+    ("access_key", each(ACCESS_KEY, access_key)),
+    ("iban", ibans),
+    ("ssn", each(SSN, ssn)),
+    ("card", cards),
+    ("date", each(DATE, date)),
+    ("ipv4", each(IPV4, ipv4)),
+    ("phone", each(PHONE, phone)),
 ]
 #: A text with neither has nothing to find.
 HINT = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|key)\s{0,3}[=:]")
@@ -264,13 +357,11 @@ class Pseudonyms:
             return text, []
         turn = self.turns.backward if back else self.turns.forward
         taken: list[tuple[int, int, str, str]] = []
-        for kind, pattern, change in KINDS:
-            for m in pattern.finditer(text):
-                a, b = m.span("v") if "v" in pattern.groupindex else m.span()
-                if any(a < y and x < b for x, y, _, _ in taken):
-                    continue
-                new = change(text[a:b], turn)
-                if new is not None:
+        busy = bytearray(len(text))  # what earlier kinds hold
+        for kind, find in KINDS:
+            for a, b, new in find(text, turn):
+                if busy.find(1, a, b) < 0:
+                    busy[a:b] = b"\1" * (b - a)
                     taken.append((a, b, kind, new))
         out, at = [], 0
         taken.sort()
