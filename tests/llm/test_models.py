@@ -1,5 +1,9 @@
 """Operators 3, 4 and 6: held-out accuracy on the given tables, deobfuscation, awkward rows."""
 
+from collections import Counter
+from itertools import product
+from math import exp, log
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -36,6 +40,90 @@ def test_backoff_goes_to_shorter_grams(spark):
     assert m.predict("schinken")[0] == "de" and m.predict("shower")[0] == "en" and m.predict("SCHULE")[0] == "de"
 
 
+def test_language_scores_by_a_plain_scorer(spark):
+    rows = [(1, "der hund und der wald und das haus", "de"), (2, "the dog and the wood and the house und", "en"), (3, "le chien et le bois et la maison", "fr"), (4, "Der Wald", "de"), (5, None, "de"), (6, "no language", None)]
+    setup = language_id.LanguageSetup()
+    m = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), setup)
+    words, grams = {}, {}
+    for _, t, lang in rows:
+        if t and lang:
+            words.setdefault(lang, Counter()).update(t.lower().split())
+    for lang, counts in words.items():
+        for w, n in counts.items():
+            for size in range(1, setup.longest + 1):
+                for g in language_id.grams_of(w, size):
+                    grams.setdefault(lang, Counter())[g] += n**0.5
+    names = sorted(words)
+
+    def logs(table, key):
+        kinds = len({k for c in table.values() for k in c})
+        return [log((table[x][key] + setup.smoothing) / (sum(table[x].values()) + setup.smoothing * kinds)) for x in names]
+
+    def score(w):
+        if any(w in c for c in words.values()):
+            return np.array(logs(words, w))
+        for size in range(setup.longest, 0, -1):
+            known = [g for g in language_id.grams_of(w, size) if any(g in c for c in grams.values())]
+            if known:
+                return np.mean([logs(grams, g) for g in known], axis=0) * setup.unknown_weight
+        return np.zeros(len(names))
+
+    for text in ("der wald", "the woods and hounds", "maisons maisons maisons und", "wälder", "qqq zzz", "houses und und und und und und hunde", "dog"):
+        total = sum((1 + log(n)) * (score(w) - score(w).mean()) for w, n in Counter(text.split()).items())
+        got = m.predict(text)
+        assert got[0] == names[int(np.argmax(total))] or not np.any(total), text
+        assert abs(got[1] - 1 / sum(exp(x - max(total)) for x in total)) < 1e-3 or not np.any(total), text
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(3)
+    word = lambda k: "".join(chr(97 + (k * 7 + int(c)) % 26) for c in rng.integers(0, 5, 6))
+    rows = [(i, " ".join(word(i % 230) for _ in range(8)), f"l{i % 230:03d}") for i in range(460)] + [(1000 + i, "the common one of all", "l000") for i in range(3000)]
+    m = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), language_id.LanguageSetup(max_rows=600))
+    assert len(m.languages) == 230 and np.mean([m.predict(t)[0] == x for _, t, x in rows[:460]]) > 0.95
+    assert language_id._quota([1, 2, 1000], 9) == 6 and language_id._quota([5, 5], 100) == 5 and language_id._quota([], 5) == 0 and language_id._quota([9] * 50, 10) == 1
+
+
+def enumerated(grams, choices, breaks):
+    """The best log likelihood of all paths, one by one."""
+    g, best = grams.reshape(64, 64, 64), -np.inf
+    for path in product(*choices):
+        for spaced in product(*([(0, 1)] * len(path) if breaks else [(0,)] * len(path))):
+            a = b = 0
+            p, ok = 0.0, True
+            for (letter, cost), space in zip(path, spaced, strict=True):
+                if space:
+                    if not b:
+                        ok = False
+                        break
+                    p, a, b = p + g[a, b, 0], b, 0
+                p += cost
+                if letter:
+                    c = toxicity.symbol(letter)
+                    p, a, b = p + g[a, b, c], b, c
+            if ok:
+                best = max(best, p + (g[a, b, 0] if b or not breaks else 0.0))
+    return best
+
+
+def test_viterbi_against_enumeration():
+    rng = np.random.default_rng(1)
+    for k, token in enumerate(("1d1ot", "$tup!d", "a1|1b", "llloooo", "x..y", "10|+", "@@", "é0ß", "1", "")):
+        grams = np.log(rng.dirichlet(np.ones(64), 64 * 64)).astype(np.float32).ravel()
+        r = toxicity.Restorer(grams)
+        for breaks in (False, True):
+            want = enumerated(grams.astype(np.float64), r.choices(token), breaks)
+            for states in (24, 0, 3):
+                score, said = r.decode(token, breaks, states)
+                assert abs(score - want) < 1e-4, (token, breaks, states)
+                assert breaks or " " not in said
+    # long tokens of many states: both ways agree
+    for token in ("3f4a9b1|0!@5" * 8, "the1d10t$" * 6, "0123456789" * 5):
+        for breaks in (False, True):
+            one, many = r.decode(token, breaks, 10**9), r.decode(token, breaks, 0)
+            assert abs(one[0] - many[0]) < 1e-3 and (one[1] == many[1] or abs(one[0] - many[0]) < 1e-4)
+
+
 def test_restores_hidden_words(spark):
     docs = spark.createDataFrame([("the stupid idiot is a worthless loser and the trash is in the house of the moron",)] * 20 + [("a quiet river and a silver window",)] * 20, "text string")
     r = toxicity.Restorer(toxicity.count_trigrams(docs))
@@ -107,6 +195,43 @@ def test_quality_edges(spark):
     assert quality_model.measure_documents(empty(spark)).count() == 0
 
 
+def test_normal_equations_against_direct_ridge(spark):
+    rng = np.random.default_rng(2)
+    k, setup = len(quality_model.STATISTICS), quality_model.QualitySetup()
+    x = rng.normal(size=(400, k)).astype(np.float32)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=400) > 0).astype(float)
+    measured = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "doc_id long, x array<float>")
+    m = quality_model.train(measured, spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, label int"), setup)
+    z = m.lift(x.astype(np.float64))
+    assert np.allclose(m.mean, x.mean(axis=0), atol=1e-5) and np.allclose(m.spread, x.std(axis=0), atol=1e-5)
+    d = z.shape[1]
+    direct = np.linalg.lstsq(np.vstack([z, np.sqrt(setup.ridge * len(z)) * np.eye(d)]), np.r_[y, np.zeros(d)], rcond=None)[0]
+    assert np.allclose(z @ direct, m.raw(x.astype(np.float64)), atol=1e-6)
+    # random features approximate the kernel
+    gap = ((x[:50, None] - x[None, :50]) / m.spread) ** 2
+    lifted = m.lift(x[:50].astype(np.float64))[:, : setup.features]
+    assert np.abs(lifted @ lifted.T - np.exp(-gap.sum(axis=2) / (2 * setup.width**2))).mean() < 0.08
+    # calibration: isotonic on the bins of the raw scores
+    raw = m.raw(x.astype(np.float64))
+    bins = np.round(np.clip(raw, -0.5, 1.5) * (setup.bins / 2))
+    at = [(raw[bins == b].mean(), y[bins == b].sum(), (bins == b).sum()) for b in np.unique(bins)]
+    level = [(s + y.mean()) / (n + 1) for _, s, n in at]
+    weight = [n + 1 for *_, n in at]
+    # least squares among non-decreasing sequences, by the greatest of least means
+    mean = lambda i, j: np.average(level[i : j + 1], weights=weight[i : j + 1])
+    fit = [max(min(mean(i, j) for j in range(q, len(level))) for i in range(q + 1)) for q in range(len(level))]
+    assert np.allclose(m.levels, fit, atol=1e-9) and np.all(np.diff(m.levels) >= -1e-12)
+
+
+def test_statistics_by_hand_and_around_old_bounds():
+    got = dict(zip(quality_model.STATISTICS, quality_model.measure("One two two. | 9\nOne two two. | 9"), strict=True))
+    assert got["top_word"] == 2 / 10 and got["repeated_lines"] == 0.5 and got["digit_share"] == 2 / 24 and got["pipe_share"] == 2 / 24 and got["distinct_words"] == 0.5
+    words = [f"w{k}" for k in range(199)]
+    for n in (199, 200, 201, 202):
+        text = " ".join((words * 2)[: n - 2] + ["end", "end"])
+        assert abs(quality_model.measure(text)[quality_model.STATISTICS.index("top_word")] - 2 / n) < 1e-9
+
+
 def test_isotonic():
     assert quality_model.isotonic(np.array([1.0, 3, 2, 4, 0]), np.ones(5)).tolist() == [1, 2.25, 2.25, 2.25, 2.25]
     assert quality_model.isotonic(np.zeros(0), np.zeros(0)).tolist() == []

@@ -1,13 +1,15 @@
 """Operator 3, language ID: word-first backoff.
 
-Training counts words by language in Spark, from a bounded sample of the labelled rows, and keeps the most
-frequent ones with the log frequency of each language; character n-grams of all lengths up to `longest` are
-counted from the same words. A text's words are looked up first; a word that isn't known is scored by its
-n-grams of the greatest length of which any is known, going down to single letters. A language's score is
-the sum over the words, each counted `repeat_cap` times at most, and the result is the softmax over languages.
+Training counts words by language in Spark, from a bounded sample of the labelled rows, and takes the log frequency
+of every word of the sample in each language; character n-grams of all lengths up to `longest` are counted from the
+same words. A text's words are looked up first; a word that isn't known is scored by its n-grams of the greatest
+length of which any is known, going down to single letters. A language's score is the sum over the text's distinct
+words, a word that stands n times weighing 1 + log n, and the result is the softmax over languages.
 
-The model has at most `max_words + max_grams` rows, the one thing that is broadcast; its bound is a parameter
-and doesn't depend on the data. Scoring has no shuffle.
+The sample is the one bound (a parameter): languages share it out evenly, and one that has fewer rows has them all, so
+that none is left out. The model has a number for each word or n-gram and each language that it was met in, as sorted
+arrays of hashed keys; it grows with the sample, not with the data, and is the one thing that is broadcast. Scoring
+has no shuffle.
 
 Cases: null text, or one without a letter, is `und` with score 0; a text of which no word and no n-gram is
 known gets the most frequent language of training; ties go to the language first in string order; no labelled
@@ -18,71 +20,112 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_column, materialize, text_rows
+from .shared import map_column, map_parts, materialize, text_rows, tidied
 
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 150_000  # words whose scores a worker keeps
+CACHE = 40_000_000  # bytes of word scores that a worker keeps
+HELD = 100_000  # counts that a task holds before it hands them on
+SEED = 42  # of Spark's xxhash64
 
 
 @dataclass(frozen=True)
 class LanguageSetup:
-    """Bounds and constants of training."""
+    """The bound and the constants of training."""
 
-    max_rows: int = 20_000  # labelled rows that training reads, drawn by a hash of their id
-    max_words: int = 60_000
-    max_grams: int = 40_000
-    max_languages: int = 200
+    max_rows: int = 10_000  # labelled rows that training reads, drawn by a hash of their id, evenly over the languages
     longest: int = 5
-    repeat_cap: int = 4
     unknown_weight: float = 0.5  # an unknown word against a known one
+    smoothing: float = 0.1  # added to each count
+
+
+def _key(word: str) -> int:
+    """Spark's xxhash64 of a string."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word.encode(), SEED)
+
+
+def grams_of(word: str, n: int) -> list[str]:
+    """The n-grams of a word with marks for its ends."""
+    padded = f"\x02{word}\x03"
+    return [padded[k : k + n] for k in range(len(padded) - n + 1)]
+
+
+class Frequencies:
+    """Log frequencies by language of hashed keys: an absent key has `base`, and each (key, language) that was met adds to it."""
+
+    def __init__(self, keys: np.ndarray, languages: np.ndarray, counts: np.ndarray, n_languages: int, smoothing: float):
+        """Equal-length arrays of the counts, in any order; keys are uint64."""
+        order = np.argsort(keys, kind="stable")
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.starts = np.r_[first, len(keys)]
+        self.languages = languages[order].astype(np.int32)
+        self.gains = np.log((counts[order] + smoothing) / smoothing).astype(np.float32)
+        totals = np.bincount(languages, weights=counts, minlength=n_languages)
+        self.base = np.log(smoothing / (totals + smoothing * max(1, len(self.keys)))).astype(np.float32)
+
+    def rows(self, keys: list[int]) -> np.ndarray:
+        """(known keys, languages): the log frequencies of those of the keys that are known."""
+        wanted = np.array(keys, dtype=np.uint64)
+        at = np.minimum(np.searchsorted(self.keys, wanted), max(0, len(self.keys) - 1))
+        at = at[self.keys[at] == wanted] if len(self.keys) else at[:0]
+        out = np.tile(self.base, (len(at), 1))
+        for row, k in enumerate(at):
+            a, b = self.starts[k], self.starts[k + 1]
+            out[row, self.languages[a:b]] += self.gains[a:b]
+        return out
 
 
 class LanguageModel:
-    """What is broadcast: a row of centred log frequencies for each known word and n-gram."""
+    """What is broadcast: the languages, their shares of the labelled rows, and the frequencies of words and n-grams."""
 
-    def __init__(self, languages: list[str], prior: list[float], words: dict[str, int], grams: dict[str, int], rows: np.ndarray, setup: LanguageSetup):
-        self.languages, self.prior, self.words, self.grams, self.rows, self.setup = languages, prior, words, grams, rows, setup
+    def __init__(self, languages: list[str], prior: list[float], words: Frequencies, grams: Frequencies, setup: LanguageSetup):
+        self.languages, self.prior, self.words, self.grams, self.setup = languages, prior, words, grams, setup
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("known", "table", "used")}
 
-    def _row(self, word: str) -> np.ndarray:
-        if (at := self.words.get(word)) is not None:
-            return self.rows[at]
-        padded = f"\x02{word}\x03"
-        for n in range(self.setup.longest, 0, -1):
-            found = [at for k in range(len(padded) - n + 1) if (at := self.grams.get(padded[k : k + n])) is not None]
-            if found:
-                return self.rows[found].mean(axis=0) * self.setup.unknown_weight
-        return np.zeros(len(self.languages), dtype=np.float32)
+    def row(self, word: str) -> np.ndarray:
+        """A word's score in each language; zeros where nothing is known of it."""
+        found = self.words.rows([_key(word)])
+        weight = 1.0
+        if not len(found):
+            weight = self.setup.unknown_weight
+            for n in range(min(self.setup.longest, len(word) + 2), 0, -1):
+                if len(found := self.grams.rows([_key(g) for g in grams_of(word, n)])):
+                    break
+        if not len(found):
+            return np.zeros(len(self.languages), dtype=np.float32)
+        mean = found.mean(axis=0)
+        return (mean - mean.mean()) * weight
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
-        if not self.languages or not words or not any(c.isalpha() for w in words for c in w[:1]) and not any(c.isalpha() for w in words for c in w):
+        if not self.languages or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
-        if not hasattr(self, "known") or self.used > CACHE:
-            self.known, self.table, self.used = {}, np.zeros((CACHE + 50_000, len(self.languages)), dtype=np.float32), 0
+        if not hasattr(self, "known") or self.used * len(self.languages) * 4 > CACHE:
+            self.known, self.table, self.used = {}, np.zeros((1024, len(self.languages)), dtype=np.float32), 0
         counts = Counter(words)
         if self.used + len(counts) > len(self.table):
-            self.table = np.vstack([self.table, np.zeros((len(counts), len(self.languages)), dtype=np.float32)])
+            self.table = np.vstack([self.table, np.zeros((len(self.table) + len(counts), len(self.languages)), dtype=np.float32)])
         at = []
         for w in counts:
             i = self.known.get(w)
             if i is None:
                 i = self.known[w] = self.used
-                self.table[i] = self._row(w)
+                self.table[i] = self.row(w)
                 self.used += 1
             at.append(i)
-        times = np.minimum(np.fromiter(counts.values(), dtype=np.float32, count=len(counts)), self.setup.repeat_cap)
+        times = 1 + np.log(np.fromiter(counts.values(), dtype=np.float32, count=len(counts)))
         total = times @ self.table[at]
         if not np.any(total):
             total = np.asarray(self.prior, dtype=np.float32)
@@ -97,46 +140,85 @@ def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
     return rows if n <= bound else rows.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * bound / n))
 
 
-def train(labelled: DataFrame, setup: LanguageSetup = LanguageSetup(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Model from rows with text and language; rows without either are left out."""
-    rows = bounded_sample(labelled.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull()), "id", setup.max_rows)
+def _quota(counts: list[int], bound: int) -> float:
+    """The rows that each class may have so that all together have `bound`, those with fewer having all of theirs."""
+    left, todo = bound, sorted(counts)
+    for k, n in enumerate(todo):
+        if n * (len(todo) - k) > left:
+            return max(1.0, left / (len(todo) - k))
+        left -= n
+    return float(max(todo, default=0))
+
+
+def even_sample(rows: DataFrame, key: str, by: str, bound: int) -> tuple[DataFrame, dict]:
+    """About `bound` rows, drawn by a hash of the key, evenly over the values of `by`; and the rows of each value in all."""
+    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    quota = _quota(list(counts.values()), bound)
+    cut = {v: int(1_000_000 * quota / n) + 1 for v, n in counts.items() if n > quota}
+    if not cut:
+        return rows, counts
+    places = F.create_map(*(F.lit(x) for item in cut.items() for x in item))
+    # of a value with few rows among very many, at least some hundred are drawn or all
+    return rows.filter(F.coalesce(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000)) < places[F.col(by)], F.lit(True))), counts
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(lang, word, n) of all words of (lang, text)."""
 
-    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
         for batch in batches:
-            held: dict[str, Counter] = {}
-            for language, t in zip(batch["lang"], batch["text"], strict=True):
+            for language, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 held.setdefault(language, Counter()).update(WORD.findall(t.lower()))
-            for language, counts in held.items():
-                yield pd.DataFrame({"lang": language, "word": list(counts), "n": np.fromiter(counts.values(), dtype=np.int64, count=len(counts))})
-
-    words = materialize(rows.select("lang", "text").mapInPandas(words_of, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
-    languages = [(r["lang"], r["n"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(setup.max_languages).collect()]
-    languages.sort()
-    padded = F.concat(F.lit("\x02"), F.col("word"), F.lit("\x03"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(setup.longest), F.length(padded)))
-    grams = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda k: F.substring(padded, k, n))))
-    # a word's n-grams count once for each time it stands in a text, but by the square root: frequent words don't drown the rest
-    by_gram = words.select("lang", F.explode(grams).alias("gram"), F.sqrt("n").alias("n")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-    def top(counts: DataFrame, key: str, bound: int) -> list:
-        by_key = counts.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        return by_key.filter(F.col("total") >= 2).orderBy(F.desc("total"), key).limit(bound).collect()
-
-    kept_words, kept_grams = top(words, "word", setup.max_words), top(by_gram, "gram", setup.max_grams)
-    names = [x for x, _ in languages]
+            if sum(map(len, held.values())) > HELD:
+                yield from _handed_on(held, "word", lambda words: pa.array(words, pa.string()), pa.int64())
+        yield from _handed_on(held, "word", lambda words: pa.array(words, pa.string()), pa.int64())
+
+    return map_parts(rows.select("lang", "text"), "text", words_of, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def _handed_on(held: dict[str, Counter], name: str, keys: Callable[[list[str]], pa.Array], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The counts by language, which are no longer held then; Spark sums them up."""
+    for language, counts in held.items():
+        n = pa.array(list(counts.values()), kind)
+        yield pa.RecordBatch.from_arrays([pa.array([language] * len(counts), pa.string()), keys(list(counts)), n], names=["lang", name, "n"])
+    held.clear()
+
+
+def _gram_counts(words: DataFrame, longest: int) -> DataFrame:
+    """(lang, key, n) of all n-grams of (lang, word, n). A word's n-grams count by the root of its number: frequent words don't drown the rest."""
+
+    hashed = lambda grams: pa.array(np.fromiter(map(_key, grams), dtype=np.uint64, count=len(grams)).view(np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        for batch in batches:
+            for k, (language, word, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)):
+                counts, root = held.setdefault(language, Counter()), sqrt(n)
+                for size in range(1, min(longest, len(word) + 2) + 1):
+                    for g in grams_of(word, size):
+                        counts[g] += root
+                if k % 1000 == 0 and sum(map(len, held.values())) > HELD:
+                    yield from _handed_on(held, "key", hashed, pa.float64())
+        yield from _handed_on(held, "key", hashed, pa.float64())
+
+    return words.mapInArrow(tidied(run), "lang string, key long, n double").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+
+def train(labelled: DataFrame, setup: LanguageSetup = LanguageSetup(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
+    """Model from rows with text and language; rows without either are left out."""
+    rows = labelled.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    drawn, by_language = even_sample(rows, "id", "lang", setup.max_rows)
+    words = materialize(_counted(drawn), "language-words")
+    names = sorted(by_language)
     place = {x: k for k, x in enumerate(names)}
-    rows_ = np.zeros((len(kept_words) + len(kept_grams), len(names)), dtype=np.float32)
-    for k, r in enumerate([*kept_words, *kept_grams]):
-        for language, n in r["by"].items():
-            if language in place:
-                rows_[k, place[language]] = n
-    totals = np.array([n for _, n in languages], dtype=np.float32)
-    for a, b in ((0, len(kept_words)), (len(kept_words), len(rows_))):
-        part = rows_[a:b]
-        size = totals if a == 0 else np.maximum(part.sum(axis=0), 1)
-        logs = np.log((part + 0.1) / (size + 0.1 * max(1, b - a)))
-        rows_[a:b] = np.clip(logs - logs.mean(axis=1, keepdims=True), -8, 8) if len(names) else logs
-    return LanguageModel(names, [float(np.log(n / max(1, totals.sum()))) for _, n in languages], {r["word"]: k for k, r in enumerate(kept_words)}, {r["gram"]: len(kept_words) + k for k, r in enumerate(kept_grams)}, rows_, setup)
+
+    def frequencies(counts: DataFrame) -> Frequencies:
+        found = counts.toPandas()  # of the bounded sample
+        return Frequencies(found["key"].to_numpy(dtype=np.int64).view(np.uint64), found["lang"].map(place).to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.float64), len(names), setup.smoothing)
+
+    total = max(1, sum(by_language.values()))
+    return LanguageModel(names, [float(np.log(by_language[x] / total)) for x in names], frequencies(words.select("lang", F.xxhash64("word").alias("key"), "n")), frequencies(_gram_counts(words, setup.longest)), setup)
 
 
 def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:

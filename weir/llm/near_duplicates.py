@@ -37,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_column, materialize, sifted
+from .shared import map_column, materialize, sifted, tidied
 from .token_counts import slices
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-CACHE = 200_000  # words whose hashes a worker keeps
+CACHE = 100_000  # words whose hashes a worker keeps
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
 
@@ -183,7 +183,7 @@ def _children(rows: DataFrame, setup: JoinSetup, roots: bool) -> DataFrame:
                 of = of[row]
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(reps[of])], names=["node", "rep"])
 
-    return rows.mapInArrow(run, "node long, rep long")
+    return rows.mapInArrow(tidied(run), "node long, rep long")
 
 
 def _near_sizes(n: np.ndarray, m: np.ndarray | int, percent: int) -> np.ndarray:
@@ -252,7 +252,7 @@ def _pairs_in(groups: DataFrame, setup: JoinSetup, across: bool) -> DataFrame:
                         node.append(name), a.append(min(x, y)), b.append(max(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["node", "a", "b"])
 
-    return groups.select("node", "members").mapInArrow(run, "node long, a long, b long")
+    return groups.select("node", "members").mapInArrow(tidied(run), "node long, a long, b long")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, setup: JoinSetup) -> DataFrame:
             linked = [_similar(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64), percent) for x, y in zip(xs, ys, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean"), "confirmed")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long, linked boolean"), "confirmed")
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:

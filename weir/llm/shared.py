@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -75,6 +77,39 @@ def _parts(values: pa.Array, most: int = PART_BYTES) -> Iterator[tuple[int, int]
         at += n
 
 
+def tidy() -> None:
+    """Gives back to the system what a task's objects held: Spark uses a worker again for later tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, and tidy at the end of a task."""
+
+    def outer(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return outer
+
+
+def map_parts(rows: DataFrame, column: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """rows.mapInArrow with batches cut so that the column has about PART_BYTES in each."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at, n in _parts(whole.column(column)):
+                yield whole.slice(at, n)
+
+    return rows.mapInArrow(tidied(lambda batches: run(parts(batches))), schema)
+
+
 def map_column(rows: DataFrame, column: str, start: Callable[[], Callable[[list], dict[str, pa.Array]]], added: str, keep: bool = False) -> DataFrame:
     """rows with new columns computed from one column in Arrow batches; the other columns pass through untouched.
 
@@ -87,13 +122,11 @@ def map_column(rows: DataFrame, column: str, start: Callable[[], Callable[[list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for whole in batches:
-            for at, n in _parts(whole.column(column)):
-                batch = whole.slice(at, n)
-                made = work(batch.column(column).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), *(made[n] for n in new)], names=[*(f.name for f in carried), *new])
+        for batch in batches:
+            made = work(batch.column(column).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), *(made[n] for n in new)], names=[*(f.name for f in carried), *new])
 
-    return rows.mapInArrow(run, T.StructType([*carried, *fields]))
+    return map_parts(rows, column, run, T.StructType([*carried, *fields]))
 
 
 def with_column(rows: DataFrame, column: str, start: Callable[[], Callable[[list], pa.Array]], name: str, kind: str) -> DataFrame:
@@ -101,9 +134,12 @@ def with_column(rows: DataFrame, column: str, start: Callable[[], Callable[[list
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = start()
-        for whole in batches:
-            made = [work(whole.slice(at, n).to_pylist()) for at, n in _parts(whole)]
-            yield pa.concat_arrays(made) if made else pa.nulls(0)
+        try:
+            for whole in batches:
+                made = [work(whole.slice(at, n).to_pylist()) for at, n in _parts(whole)]
+                yield pa.concat_arrays(made) if made else work([])
+        finally:
+            tidy()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return rows.withColumn(name, F.arrow_udf(run, kind)(F.col(f"`{column}`")))

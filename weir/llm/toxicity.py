@@ -11,7 +11,7 @@
    bounded sample of labelled rows, and a logistic regression weighs them.
 
 Three passes over the texts, no shuffle of texts. What is broadcast: the trigram table (64³ numbers), the drawn
-labels (a parameter bounds them) and at most `max_features` weights.
+labels (a parameter bounds them) and the weights of features, of which the sample's texts have only so many.
 
 Cases: null text counts as empty and gets the score of a text without features; rows without a label or with a
 null one don't train; with no labels the score is 0 everywhere; copies of a text with one label train once;
@@ -26,17 +26,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import bounded_sample
-from .shared import map_column, materialize, text_rows, with_column
+from .shared import map_column, map_parts, materialize, text_rows, with_column
 from .token_counts import slices
 
 THRESHOLD = 0.3  # of the score, for the verdict
-CACHE = 150_000  # tokens whose features a worker keeps
+CACHE = 60_000  # tokens whose features a worker keeps
+HELD = 60_000  # counts that a task holds before it hands them on
 
 #: Letters that a mark or digit may stand for (fixed values: the common substitutions).
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -55,10 +55,8 @@ class ToxicitySetup:
     """Bounds and constants of training and decoding."""
 
     max_rows: int = 20_000  # labelled rows that training reads
-    max_features: int = 2000
     prefixes: tuple[int, ...] = (3, 4, 5, 6)
     least_evidence: float = 12.0  # likelihood ratio that a feature needs
-    beam: int = 24
     rounds: int = 1000
     penalty: float = 0.1
 
@@ -76,6 +74,11 @@ def _alphabet() -> np.ndarray:
 
 ALPHABET = _alphabet()
 SIZE = 64
+STATES = 24  # that are decoded one by one
+
+
+def symbol(letter: str) -> int:
+    return int(ALPHABET[min(ord(letter), len(ALPHABET) - 1)])
 
 
 def symbols(text: str) -> np.ndarray:
@@ -86,18 +89,18 @@ def symbols(text: str) -> np.ndarray:
 def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Log probabilities (64³, float32) of a letter after two others, counted over every text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE**3, dtype=np.int64)
         for batch in batches:
-            texts = [t for t in batch["text"] if t]
+            texts = [t for t in batch.column("text").to_pylist() if t]
             for a, b in slices(texts):
                 s = symbols("\n".join(texts[a:b])).astype(np.int64)
                 s = np.r_[0, s, 0, 0]
                 total += np.bincount((s[:-2] * SIZE + s[1:-1]) * SIZE + s[2:], minlength=SIZE**3)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": at, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = map_parts(docs.select(F.col(text).cast("string").alias("text")), "text", run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = np.zeros(SIZE**3)
     for r in rows.toLocalIterator():
         counts[r["gram"]] = r["n"]
@@ -109,12 +112,13 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 class Restorer:
-    """Viterbi decoding of one token's character lattice."""
+    """Viterbi decoding of one token's character lattice: the best path of all."""
 
-    def __init__(self, grams: np.ndarray, beam: int = 24):
-        self.grams, self.beam = grams, beam
+    def __init__(self, grams: np.ndarray):
+        self.grams = grams
 
-    def _choices(self, token: str) -> list[list[tuple[str, float]]]:
+    def choices(self, token: str) -> list[list[tuple[str, float]]]:
+        """For each character, the letters that it may stand for ("" for none) with their log likelihoods."""
         out: list[list[tuple[str, float]]] = []
         before = ""
         for c in token:
@@ -129,10 +133,16 @@ class Restorer:
 
     def restore(self, token: str, breaks: bool = False) -> str:
         """The likeliest letters; token is in lower case. breaks: with spaces where the model sees words end."""
+        return self.decode(token, breaks)[1]
+
+    def decode(self, token: str, breaks: bool, states: int = STATES) -> tuple[float, str]:
+        """Log likelihood and letters of the best path. The state is the last two symbols; more than `states` of them at a
+        time are held as arrays, and there is no limit to them."""
         grams = self.grams
+        lattice = self.choices(token)
         # what is said so far is a chain of (before, letter), so that a step costs the same in a long token
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for choices in self._choices(token):
+        for choices in lattice:
             if breaks:
                 for (a, b), (p, said) in list(best.items()):
                     if b and ((b, 0) not in best or p + float(grams[(a * SIZE + b) * SIZE]) > best[b, 0][0]):
@@ -141,18 +151,71 @@ class Restorer:
             for (a, b), (p, said) in best.items():
                 for letter, cost in choices:
                     if letter:
-                        c = int(ALPHABET[min(ord(letter), len(ALPHABET) - 1)])
+                        c = symbol(letter)
                         key, q = (b, c), p + cost + float(grams[(a * SIZE + b) * SIZE + c])
                     else:
                         key, q = (a, b), p + cost
                     if key not in nxt or q > nxt[key][0]:
                         nxt[key] = (q, (said, letter) if letter else said)
-            best = nxt if len(nxt) <= self.beam else dict(sorted(nxt.items(), key=lambda x: -x[1][0])[: self.beam])
-        said, out = max(((p + (float(grams[(a * SIZE + b) * SIZE]) if b or not breaks else 0.0), said) for (a, b), (p, said) in best.items()), key=lambda x: x[0], default=(0.0, None))[1], []
+            if len(nxt) > states:
+                return self._decode_by_arrays(lattice, breaks)
+            best = nxt
+        score, said = max(((p + (float(grams[(a * SIZE + b) * SIZE]) if b or not breaks else 0.0), said) for (a, b), (p, said) in best.items()), key=lambda x: x[0], default=(0.0, None))
+        out = []
         while said:
             said, letter = said
             out.append(letter)
-        return "".join(reversed(out))
+        return score, "".join(reversed(out))
+
+    def _decode_by_arrays(self, lattice: list[list[tuple[str, float]]], breaks: bool) -> tuple[float, str]:
+        """The same with the scores of all states as a square array over the symbols that the token can have."""
+        codes = sorted({0} | {symbol(x) for choices in lattice for x, _ in choices if x})
+        place = {c: k for k, c in enumerate(codes)}
+        k = len(codes)
+        by_last = np.ascontiguousarray(self.grams.reshape(SIZE, SIZE, SIZE)[np.ix_(codes, codes, codes)].astype(np.float64).transpose(2, 0, 1))
+        now = np.full((k, k), -np.inf)
+        now[0, 0] = 0.0
+        steps = []  # for each character: where a break came from, by the symbol before it; and each state's choice and the symbol that it lost
+        every = np.arange(k)
+        for choices in lattice:
+            broke = None
+            if breaks:
+                ends = now + by_last[0]
+                before = ends.argmax(axis=0)
+                reached = ends[before, every]
+                better = reached > now[:, 0]
+                better[0] = False
+                broke = np.where(better, before, -1).astype(np.int16)
+                now = now.copy()
+                now[better, 0] = reached[better]
+            nxt, chosen, lost = np.full((k, k), -np.inf), np.full((k, k), -1, dtype=np.int8), np.zeros((k, k), dtype=np.int16)
+            for i, (letter, cost) in enumerate(choices):
+                if not letter:
+                    better = now + cost > nxt
+                    nxt[better], chosen[better] = now[better] + cost, i
+                    continue
+                c = place[symbol(letter)]
+                reach = now + by_last[c]
+                before = reach.argmax(axis=0)
+                q = reach[before, every] + cost
+                better = q > nxt[:, c]
+                nxt[better, c], chosen[better, c], lost[better, c] = q[better], i, before[better]
+            steps.append((broke, chosen, lost))
+            now = nxt
+        total = now + by_last[0]
+        if breaks:
+            total[:, 0] = now[:, 0]
+        a, b = divmod(int(total.argmax()), k)
+        score, out = float(total[a, b]), []
+        for choices, (broke, chosen, lost) in zip(reversed(lattice), reversed(steps), strict=True):
+            letter = choices[chosen[a, b]][0]
+            if letter:
+                out.append(letter)
+                a, b = int(lost[a, b]), a
+            if broke is not None and b == 0 and broke[a] >= 0:
+                out.append(" ")
+                a, b = int(broke[a]), a
+        return score, "".join(reversed(out))
 
     def hidden(self, spelled: str) -> list[str]:
         """What a spelled word says: all its letters together, and the words that the model cuts them into."""
@@ -181,7 +244,7 @@ class Features:
     """Features of texts; keeps the features of tokens it has met."""
 
     def __init__(self, grams: np.ndarray, setup: ToxicitySetup, chosen: dict[str, int] | None = None):
-        self.restorer, self.setup, self.chosen = Restorer(grams, setup.beam), setup, chosen
+        self.restorer, self.setup, self.chosen = Restorer(grams), setup, chosen
         self.known: dict[str, tuple] = {}
 
     def _of_word(self, word: str) -> list[str]:
@@ -252,32 +315,41 @@ def train(docs: DataFrame, labels: DataFrame, setup: ToxicitySetup = ToxicitySet
     rows = materialize(joined.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text")), "toxicity-rows")
     shared = spark.sparkContext.broadcast(grams)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, by = Features(shared.value, setup), (Counter(), Counter())
+
+        def told() -> pa.RecordBatch:
+            names = list(by[0].keys() | by[1].keys())
+            out = [pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in by)]
+            by[0].clear(), by[1].clear()
+            return pa.RecordBatch.from_arrays(out, names=["feature", "n0", "n1"])
+
         for batch in batches:
-            for label, t in zip(batch["label"], batch["text"], strict=True):
+            for label, t in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 by[int(label == 1)].update(features.of_text(t))
-        names = list(by[0].keys() | by[1].keys())
-        yield pd.DataFrame({"feature": names, "n0": np.array([by[0][f] for f in names], dtype=np.int64), "n1": np.array([by[1][f] for f in names], dtype=np.int64)})
+            if len(by[0]) + len(by[1]) > HELD:  # counts are handed on in parts, and summed up by Spark
+                yield told()
+        yield told()
 
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), sum(v for k, v in totals.items() if k != 1)
     if not n1 or not n0:
         return ToxicityModel(grams, setup, {}, np.zeros(0), -50.0 if not n1 else 50.0)
-    counted = rows.mapInPandas(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = map_parts(rows, "text", count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     n, base = F.col("n0") + F.col("n1"), n1 / (n0 + n1)
     share = F.col("n1") / n
     term = lambda c, p, q: F.when(c > 0, c * F.log(p / q)).otherwise(0.0)
     ratio = 2 * (term(F.col("n1"), share, F.lit(base)) + term(F.col("n0"), 1 - share, F.lit(1 - base)))
-    best = counted.filter(share > base).withColumn("ratio", ratio).filter(F.col("ratio") >= setup.least_evidence).orderBy(F.desc("ratio"), "feature").limit(setup.max_features).collect()
+    best = counted.filter(share > base).withColumn("ratio", ratio).filter(F.col("ratio") >= setup.least_evidence).orderBy(F.desc("ratio"), "feature").collect()  # of the bounded sample
     chosen = {r["feature"]: k for k, r in enumerate(best)}
 
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(shared.value, setup, chosen)
         for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "has": [sorted(features.of_text(t)) for t in batch["text"]]})
+            has = [sorted(features.of_text(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(has, pa.list_(pa.int32()))], names=["label", "has"])
 
-    picked = rows.mapInPandas(pick, "label int, has array<int>").collect()  # the bounded sample, a few ids a row
+    picked = map_parts(rows, "text", pick, "label int, has array<int>").collect()  # the bounded sample, a few ids a row
     w, b = _fit([list(r["has"]) for r in picked], np.array([float(r["label"] == 1) for r in picked]), len(chosen), setup)
     return ToxicityModel(grams, setup, chosen, w, b)
 
