@@ -19,10 +19,15 @@ def pii_key(spark: SparkSession) -> str:
     return spark.conf.get("spark.weir.pii.key", None) or sha256(spark.sparkContext.appName.encode()).hexdigest()
 
 
+#: op1: a family edge counts as this part of a link. Pages with links to their own host only are joined by nothing else.
+FAMILY = 0.25
+
+
 def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every page, over links between hosts and, as a second kind of edge, between a host and its parent domain."""
     from .url_trust import judge
 
-    return judge(table(spark, sf_dir, "pages"), POLICY)
+    return judge(table(spark, sf_dir, "pages"), POLICY, family=FAMILY)
 
 
 def vocabulary(name: str) -> str:

@@ -2,13 +2,15 @@
 
 1. Policy rules (host, path prefix, verdict) are matched against each url; the longest fitting rule decides.
 2. Hosts whose pages the rules allow seed a personalised PageRank along links; hosts whose pages the rules
-   block seed distrust, which flows against the links (who links to a blocked host is suspect).
+   block seed distrust, which flows against the links (who links to a blocked host is suspect). All trust seeds
+   together have the mass 1, and so have all distrust seeds.
    Rounds go on until no host's mass changes by more than a small part of itself, so that every host that a seed
    reaches has its settled trust and distrust, however far it is.
 3. A host is blocked where its distrust share passes a threshold; pages that no rule decides take that verdict.
 
-Links are counted to one row for each pair of hosts before any shuffle, so a host with a third of all pages
-is one row for each host it links to. Ranks are one row a host. Nothing is broadcast by hand.
+Edges are of two kinds: links between hosts, and, where a caller gives them a weight, family edges between a host and
+its parent domain. Links are counted to one row for each pair of hosts before any shuffle, so a host with a third of
+all pages is one row for each host it links to. Ranks are one row a host. Nothing is broadcast by hand.
 
 Cases: null url or one without '://' has empty host and path, fits no rule and gets the verdict of the
 hostless pages (allow: no link reaches them); null html has no links; repeated pages give repeated rows;
@@ -46,11 +48,11 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def host_links(pages: DataFrame) -> DataFrame:
+def host_links(pages: DataFrame, family: float = 0.0) -> DataFrame:
     """(src, dst, w): between two hosts, the pages of src with a link to dst; relative links stay inside and don't count.
 
-    A host and its parent domain (the name less its first label, where three labels stay) vouch for each other
-    with the weight of the host's pages: www., m. and blog. hosts share an owner.
+    family: where it is over 0, a host and its parent domain (the name less its first label, where three labels stay)
+    vouch for each other as well, with this part of the host's number of pages: www., m. and blog. hosts share an owner.
     """
     host, _ = split_url(F.col("url"))
     hrefs = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""), F.lit(1))
@@ -59,12 +61,14 @@ def host_links(pages: DataFrame) -> DataFrame:
     per_page = pages.select(host.alias("src"), targets.alias("to")).filter(F.col("src") != "")
     links = per_page.select("src", F.explode("to").alias("dst")).filter((F.col("dst") != "") & (F.col("dst") != F.col("src")))
     links = links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    if not family:
+        return links
     parent = F.regexp_extract("src", r"^[^.]+\.((?:[^.]+\.){2,}[^.]+)$", 1)
-    family = per_page.groupBy("src").agg(F.count("*").cast("double").alias("w")).select("src", parent.alias("dst"), "w").filter(F.col("dst") != "")
-    return links.unionByName(family).unionByName(family.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    kin = pages.select(host.alias("src")).groupBy("src").agg((family * F.count("*")).alias("w")).select("src", parent.alias("dst"), "w").filter(F.col("dst") != "")
+    return links.unionByName(kin).unionByName(kin.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, cut_every: int = 4, tolerance: float = 1e-4, most_rounds: int = 2000) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, cut_every: int = 8, tolerance: float = 1e-3, most_rounds: int = 2000) -> DataFrame:
     """(host, trust, distrust) of personalised PageRank: settled, or after `rounds` rounds where they are given.
 
     Settled: in the last round no mass changed by more than `tolerance` of itself, and no host was newly reached (whose
@@ -102,17 +106,22 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return ranks.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
 
 
-def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, damping: float = 0.85, rounds: int | None = None, family: float = 0.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for each row of pages(page_id, url, html).
 
-    verdict: the rule's, else block where the host's distrust / (trust + distrust) is over `threshold`.
-    A host's seed masses are the shares of its pages that rules allow and block, over the sum of all hosts.
+    verdict: the rule's, else block where the host's distrust / (trust + distrust) is over `threshold`; a host that
+    neither reaches is allowed. A host's seed masses are the shares of its pages that rules allow and block, over the
+    sum of these shares of all hosts, so that trust and distrust are of one size.
     """
     host, path = split_url(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("_fit", fitting_rule(F.col("host"), F.col("path"), rules))
     verdict = F.col("_fit.verdict")
-    seeds = judged.groupBy("host").agg(F.avg(F.coalesce((verdict == "allow").cast("double"), F.lit(0.0))).alias("trust"), F.avg(F.coalesce((verdict == "block").cast("double"), F.lit(0.0))).alias("distrust"))
-    scores = propagate(host_links(pages), seeds.filter((F.col("host") != "") & (F.col("trust") + F.col("distrust") > 0)), damping, rounds)
+    share = lambda v: F.avg(F.coalesce((verdict == v).cast("double"), F.lit(0.0)))
+    seeds = judged.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")).filter((F.col("host") != "") & (F.col("trust") + F.col("distrust") > 0))
+    seeds = materialize(seeds, "link-shares")
+    sums = seeds.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).first()
+    seeds = seeds.select("host", *((F.col(k) / (sums[k] or 1.0)).alias(k) for k in ("trust", "distrust")))
+    scores = propagate(host_links(pages, family), seeds, damping, rounds)
     scored = judged.join(scores, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
     method = F.when(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce(verdict, method).alias("verdict"), "trust", "distrust")
