@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from weir.operators import ranking as R
+from weir.operators.decide import triage
 from weir.streaming import ledgers as S
 
 from .test_operators import RULES, rows
@@ -21,15 +22,40 @@ def test_observe_stream_equals_batch(spark, tmp_path):
     assert rows(batch, "seq", "error", "action") == [(0, None, "dispatch"), (1, "empty_stdin", None), (2, "bad_stdin_shape", None), (3, "bad_stdin_json", None), (4, None, "ask"), (5, None, "handoff")]
     q = S.observe_stream(spark.readStream.schema(schema).json(str(src)), RULES, str(tmp_path / "out"), str(tmp_path / "weak"), str(tmp_path / "ck"))
     q.awaitTermination(120)
-    assert rows(spark.read.parquet(str(tmp_path / "out")), "seq", "error", "action") == rows(batch, "seq", "error", "action")
+    assert rows(spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out")), "seq", "error", "action") == rows(batch, "seq", "error", "action")
     assert rows(spark.read.parquet(str(tmp_path / "weak")), "seq") == [(0,), (4,), (5,)]
 
 
+def test_rows_that_cant_be_decided_have_an_error_class(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    texts = ["run the pytests", "boom at once", "a cli banner", "another boom", "plain"]
+    (src / "a.jsonl").write_text("\n".join(json.dumps({"seq": i, "payload": json.dumps({"prompt": t})}) for i, t in enumerate(texts)) + "\n")
+    (src / "b.jsonl").write_text(json.dumps({"seq": 9, "payload": json.dumps({"prompt": "run the pytests"})}) + "\n")
+    schema = "seq long, payload string"
+
+    def decide(rows):
+        out = triage(rows, RULES, None, id_col="seq", text="hint")
+        return out.withColumn("action", F.when(F.contains("hint", F.lit("boom")), F.raise_error(F.lit("can't decide")).cast("string")).otherwise(F.col("action")))
+
+    q = S.observe_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src)), RULES, str(tmp_path / "out"), str(tmp_path / "weak"), str(tmp_path / "ck"), decide=decide)
+    q.awaitTermination(240)
+    assert q.exception() is None
+    got = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(str(tmp_path / "out"))
+    assert rows(got, "seq", "error", "action") == [(0, None, "dispatch"), (1, "decide_failed", None), (2, None, "ask"), (3, "decide_failed", None), (4, None, "handoff"), (9, None, "dispatch")]
+    assert rows(spark.read.parquet(str(tmp_path / "weak")), "seq") == [(0,), (2,), (4,), (9,)]
+    # a decision without an action is one that failed
+    none = S.observe(spark.read.schema(schema).json(str(src)), RULES, decide=lambda r: triage(r, RULES, None, id_col="seq", text="hint").withColumn("action", F.lit(None).cast("string")))
+    assert rows(none, "error") == [("decide_failed",)] * 6
+
+
 def test_new_high_stream_equals_batch(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     pts = [("a", i, i, float(v)) for i, v in enumerate([3, 9, 2, 10])] + [("b", 1, 1, 4.0)]
-    for k, part in enumerate((pts[:2], pts[2:])):
+    pts += [("c", t, t, v) for t, v in ((5, 1.0), (1, 9.0), (3, 2.0))] + [("d", k, 0, float(-k)) for k in range(20)]
+    # the files are read in an order that isn't that of time
+    for k, part in enumerate((pts[3:], pts[:2], pts[2:3])):
         (src / f"{k}.jsonl").write_text("\n".join(json.dumps(dict(zip(("series", "ts", "seq", "value"), p, strict=True))) for p in part) + "\n")
     schema = "series string, ts long, seq long, value double"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -38,8 +64,8 @@ def test_new_high_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.outputMode("update").foreachBatch(lambda b, n: out.extend((n, *r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     last = {r[1]: r[1:] for r in sorted(out)}
-    batch = R.new_high(spark.createDataFrame(pts, schema), spark.createDataFrame([("a",), ("b",)], "series string"), 8)
-    assert sorted((k, v[1]) for k, v in last.items()) == rows(batch, "series", "status")
+    batch = R.new_high(spark.createDataFrame(pts, schema), spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "series string"), 8)
+    assert sorted((k, *v[1:]) for k, v in last.items()) == rows(batch, "series", "status", "latest", "prev_max", "points")
 
 
 def test_dedupe_stream_and_redacted_events(spark, tmp_path):

@@ -65,17 +65,31 @@ def mask_terms(text: Column, terms: Sequence[str]) -> Column:
     return text
 
 
-def mode_of(text: Column) -> Column:
-    """review, plan, explain or implement; a read-only wish is a review."""
-    from .patterns import matches_any
+# The words that tell what a request wants, the first kind that has one counting, and the wish to leave all as it is.
+MODES = [
+    ("review", ("审阅", "审计", "复查", "review", "audit")),
+    ("plan", ("规划", "商讨", "先计划", "plan", "brainstorm")),
+    ("explain", ("解释", "讲述", "盘点", "讲解", "讨论", "找找", "explain", "overview", "catalog")),
+]
+OTHER_MODE = "implement"
+READ_ONLY = r"不(?:要)?(?:再|直接|擅自)?(?:修改|改动|实现|写入|执行)|(?:禁止|勿)(?:再|直接|擅自)?(?:修改|改动|实现|写入|执行)|(?<![a-z0-9_])(?:read[- ]only|do not (?:edit|modify|implement|execute)|don't (?:edit|modify|implement|execute))(?![a-z0-9_])"
 
-    read_only = r"不(?:要)?(?:再|直接|擅自)?(?:修改|改动|实现|写入|执行)|(?:禁止|勿)(?:再|直接|擅自)?(?:修改|改动|实现|写入|执行)|(?<![a-z0-9_])(?:read[- ]only|do not (?:edit|modify|implement|execute)|don't (?:edit|modify|implement|execute))(?![a-z0-9_])"
-    return (
-        F.when(text.rlike(read_only) | matches_any(text, ["审阅", "审计", "复查", "review", "audit"]), "review")
-        .when(matches_any(text, ["规划", "商讨", "先计划", "plan", "brainstorm"]), "plan")
-        .when(matches_any(text, ["解释", "讲述", "盘点", "讲解", "讨论", "找找", "explain", "overview", "catalog"]), "explain")
-        .otherwise("implement")
-    )
+
+def mode_runs(text: Column) -> Column:
+    from .patterns import runs_of
+
+    return runs_of(text, [w for _, words in MODES for w in words])
+
+
+def mode_of(text: Column, runs: Column | None = None) -> Column:
+    """review, plan, explain or implement; a read-only wish is a review. runs: mode_runs(text), where it is a column already."""
+    from .patterns import holds_any
+
+    runs = mode_runs(text) if runs is None else runs
+    out = F.lit(OTHER_MODE)
+    for mode, words in reversed(MODES):
+        out = F.when(holds_any(text, runs, words), mode).otherwise(out)
+    return F.when(text.rlike(READ_ONLY), MODES[0][0]).otherwise(out)
 
 
 def norm_key(text: Column, kind: str = "collapse") -> Column:
@@ -95,9 +109,12 @@ def lang_tag(text: Column) -> Column:
     return F.when(n > 0.3 * F.greatest(F.length(text), F.lit(1)), "zh").when(n > 0, "mixed").otherwise("en")
 
 
+# Code points of emoji (plain digits, # and * don't count).
+EMOJI = "[\U0001f1e6-\U0001f1ff]{2}|[\U0001f300-\U0001faff☀-➿⭐⭕⌚⌛⏩-⏳⤴⤵〰〽]|[0-9#*]️?⃣"
+
+
 def has_emoji(text: Column) -> Column:
-    """Emoji by explicit code-point ranges (plain digits, # and * don't count)."""
-    return text.rlike("[\U0001f1e6-\U0001f1ff]{2}|[\U0001f300-\U0001faff☀-➿⭐⭕⌚⌛⏩-⏳⤴⤵〰〽]|[0-9#*]️?⃣")
+    return text.rlike(EMOJI)
 
 
 # Characters that show up where GBK bytes were read in another encoding.

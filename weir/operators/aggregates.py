@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import last_wins
-from .ranking import rank_percentile, top_k
+from .ranking import at_ranks, beside, nearest_rank, top_k
 
 
 def pass_rate(df: DataFrame, *keys: str, passed: str = "pass") -> DataFrame:
@@ -164,34 +164,30 @@ def eval_summary(rows: DataFrame, *keys: str) -> DataFrame:
         F.avg("n_picked").alias("mean_picked"),
         hit("band_hit", F.lit(True)).alias("band_hits"),
     ]
-    if not keys:
-        # no window over the whole table: ranks are counted in two passes
-        parts = (rank_percentile(rows, "ms", f).agg(F.max("p").alias(name)) for f, name in ((0.5, "p50"), (0.95, "p95")))
-        out = rows.agg(*sums)
-        for p in parts:
-            out = out.join(p)
-        return out
-    w = Window.partitionBy(*keys)
-    placed = rows.withColumns({"_k": F.row_number().over(w.orderBy(F.col("ms").asc_nulls_last())) - 1, "_n": F.count("ms").over(w)})
-    pick = lambda f: F.max(F.when(F.col("_k") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * f)), F.col("ms")))
-    return placed.groupBy(*keys).agg(*sums, pick(0.5).alias("p50"), pick(0.95).alias("p95"))
+    out = rows.groupBy(*keys).agg(*sums)
+    ranks = at_ranks(rows, "ms", keys, {"p50": nearest_rank(0.5), "p95": nearest_rank(0.95)})
+    return beside(out, ranks, keys)
 
 
 def recall_report(rows: DataFrame, tier: str = "tier") -> DataFrame:
     """By tier over (emb_hit, kw_hit, top1_score): hits of each way, of either, of one alone, and max, median, min of the score."""
     e, k = F.coalesce("emb_hit", F.lit(False)), F.coalesce("kw_hit", F.lit(False))
-    return rows.groupBy(tier).agg(
+    out = rows.groupBy(tier).agg(
         F.count("*").alias("n"), F.count_if(e).alias("emb"), F.count_if(k).alias("kw"), F.count_if(e | k).alias("either"), F.count_if(e & ~k).alias("emb_only"), F.count_if(k & ~e).alias("kw_only"),
-        F.max("top1_score").alias("max_score"), F.expr("percentile(top1_score, 0.5)").alias("median_score"), F.min("top1_score").alias("min_score"),
+        F.max("top1_score").alias("max_score"), F.min("top1_score").alias("min_score"),
     )
+    middle = at_ranks(rows, "top1_score", [tier], {"_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.ceil((n - 1) / 2)})
+    both = beside(out, middle, [tier]).withColumn("median_score", (F.col("_lo") + F.col("_hi")) / 2)
+    return both.select(tier, "n", "emb", "kw", "either", "emb_only", "kw_only", "max_score", "median_score", "min_score")
 
 
 def separability(rows: DataFrame, score: str = "top1_score") -> DataFrame:
     """One row: greatest and 95 % score out of scope, 5 % and mean score in scope, by the index rule of rank_percentile."""
-    w = Window.partitionBy("oos")
-    placed = rows.select("oos", F.col(score).alias("s")).filter("s IS NOT NULL").withColumns({"_k": F.row_number().over(w.orderBy("s")) - 1, "_n": F.count("*").over(w)})
-    at = lambda f, oos: F.max(F.when((F.col("oos") == oos) & (F.col("_k") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * f))), F.col("s")))
-    return placed.agg(F.max(F.when(F.col("oos"), F.col("s"))).alias("oos_max"), at(0.95, True).alias("oos_p95"), at(0.05, False).alias("in_p05"), F.avg(F.when(~F.col("oos"), F.col("s"))).alias("in_mean"))
+    scored = rows.select("oos", F.col(score).alias("s")).filter("s IS NOT NULL")
+    ranks = at_ranks(scored, "s", ["oos"], {"p95": nearest_rank(0.95), "p05": nearest_rank(0.05)})
+    ranks = ranks.agg(F.max(F.when(F.col("oos"), F.col("p95"))).alias("oos_p95"), F.max(F.when(~F.col("oos"), F.col("p05"))).alias("in_p05"))
+    out = scored.agg(F.max(F.when(F.col("oos"), F.col("s"))).alias("oos_max"), F.avg(F.when(~F.col("oos"), F.col("s"))).alias("in_mean"))
+    return out.join(ranks).select("oos_max", "oos_p95", "in_p05", "in_mean")  # one row each
 
 
 def class_counts(df: DataFrame, column: str = "class") -> DataFrame:

@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import flex_pattern, matches
-from ..functions.text import active_text, clauses, lang_tag, mask_terms, mode_of, norm_key, strip_markup
+from ..functions.patterns import held, runs_of
+from ..functions.text import clauses, lang_tag, mask_terms, mode_of, mode_runs, norm_key, strip_markup
 from .joins import fresh_only
 from .ranking import assign_ids, bm25f, dedupe_first, nominate, top_k
 from .sets import ordered_union as ordered_union_of
@@ -52,38 +52,40 @@ class RuleSet:
             raise ValueError(f"no such recipes: {sorted(unknown)}")
 
 
-def _hits(text: Column, terms: Sequence[str]) -> Column:
-    """The terms that a text holds, in their order."""
-    return F.array_compact(F.array(*(F.when(text.rlike(flex_pattern(t)), F.lit(t)) for t in terms))) if terms else F.array().cast("array<string>")
-
-
-def _in_any(texts: Column, term: str) -> Column:
-    return F.exists(texts, lambda c: matches(c, term))
-
-
 def prepare(df: DataFrame, text: str) -> DataFrame:
-    """df with _text (markup stripped), _active (not negated) and mode."""
+    """df with _text (markup stripped), _active (clauses that aren't negated), _negated (the others, by line) and mode.
+
+    Each is a column of its own, so that a text is cut into clauses once, however many terms are looked up.
+    """
     df = df.withColumn("_text", strip_markup(F.col(text)))
-    return df.withColumns({"_active": active_text(F.col("_text")), "mode": mode_of(F.col("_text"))})
+    df = df.withColumns({"_active": F.array_join(clauses(F.col("_text"), False), " "), "_negated": F.array_join(clauses(F.col("_text"), True), "\n"), "_runs": mode_runs(F.col("_text"))})
+    return df.withColumn("mode", mode_of(F.col("_text"), F.col("_runs"))).drop("_runs")
 
 
 def domain_scores(df: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:
     """df with scores: for each domain, in order, strong (trigger and quality terms), weak (terms), score, gate and named.
 
     Negative words are written over before terms are counted. A member named outside negated clauses counts 2 for its
-    domain; one named in a negated clause is excluded. All of it is one projection: the rules are a policy, not data.
+    domain; one named in a negated clause is excluded. The rules are a policy, not data: a text is cut into words once
+    (once more for a domain with negative words), and all terms are looked up among these.
     """
     df = prepare(df, text)
+    members = [m for d in rules.domains for m in d.members]
+    plain = [t for d in rules.domains for t in (*d.quality, *d.members, *(() if d.negatives else (*d.triggers, *d.weak)))]
+    df = df.withColumns({"_of_active": runs_of(F.col("_active"), plain), "_of_negated": runs_of(F.col("_negated"), members)})
+    for i, d in enumerate(rules.domains):
+        if d.negatives:
+            df = df.withColumn(f"_masked{i}", mask_terms(F.col("_active"), d.negatives)).withColumn(f"_of_masked{i}", runs_of(F.col(f"_masked{i}"), [*d.triggers, *d.quality, *d.weak]))
     out = []
-    for d in rules.domains:
-        scored = mask_terms(F.col("_active"), d.negatives)
-        strong = F.size(_hits(scored, [*d.triggers, *d.quality]))
-        weak = _hits(scored, d.weak)
-        excluded = F.array_compact(F.array(*(F.when(_in_any(clauses(F.col("_text"), True), m), F.lit(m)) for m in d.members))) if d.members else F.array().cast("array<string>")
-        named = F.array_except(_hits(F.col("_active"), d.members), excluded)
-        gate = F.size(_hits(F.col("_active"), d.quality)) > 0
+    for i, d in enumerate(rules.domains):
+        scored = (F.col(f"_masked{i}"), F.col(f"_of_masked{i}")) if d.negatives else (F.col("_active"), F.col("_of_active"))
+        strong = F.size(held(*scored, [*d.triggers, *d.quality]))
+        weak = held(*scored, d.weak)
+        excluded = held(F.col("_negated"), F.col("_of_negated"), d.members)
+        named = F.array_except(held(F.col("_active"), F.col("_of_active"), d.members), excluded)
+        gate = F.size(held(F.col("_active"), F.col("_of_active"), d.quality)) > 0
         out.append(F.struct(F.lit(d.name).alias("domain"), (strong + 2 * F.size(named)).alias("strong"), (strong + F.size(weak) + 2 * F.size(named)).alias("score"), weak.alias("weak"), gate.alias("gate"), named.alias("named"), excluded.alias("excluded")))
-    return df.withColumn("scores", F.array(*out))
+    return df.withColumn("scores", F.array(*out)).drop("_negated", "_of_active", "_of_negated", *(f"{k}{i}" for i in range(len(rules.domains)) for k in ("_masked", "_of_masked")))
 
 
 def pick_domain(scored: DataFrame, rules: RuleSet) -> DataFrame:
@@ -165,9 +167,10 @@ def assemble_recipe(decisions: DataFrame, recipes: DataFrame, flags: Mapping[str
     whose flag is set (or that needs none) is chosen; its rows give members, and rows of recipe '+' add members where
     their flag is set. A small table of rules.
     """
-    set_ = F.array_compact(F.array(*(F.when(F.size(_hits(F.col(active), terms)) > 0, F.lit(name)) for name, terms in flags.items()))) if flags else F.array().cast("array<string>")
-    rows = decisions.withColumn("_flags", set_)
-    fits = rows.select(id_col, "domain", "_flags").join(F.broadcast(recipes), "domain").filter(F.col("flag").isNull() | F.array_contains("_flags", F.col("flag")))
+    rows = decisions.withColumn("_runs", runs_of(F.col(active), [t for terms in flags.values() for t in terms]))
+    set_ = F.array_compact(F.array(*(F.when(F.size(held(F.col(active), F.col("_runs"), terms)) > 0, F.lit(name)) for name, terms in flags.items()))) if flags else F.array().cast("array<string>")
+    rows = rows.withColumn("_flags", set_).drop("_runs")
+    fits = rows.select(id_col, "domain", "_flags").join(recipes, "domain").filter(F.col("flag").isNull() | F.array_contains("_flags", F.col("flag")))
     chosen = fits.filter("recipe <> '+'").groupBy(id_col).agg(F.min_by("recipe", "ord").alias("recipe"))
     rows_of = fits.join(chosen.withColumnRenamed("recipe", "_chosen"), id_col).filter((F.col("recipe") == F.col("_chosen")) | (F.col("recipe") == "+"))
     members = rows_of.groupBy(id_col).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "member"))), lambda x: x["member"])).alias("members"))
@@ -185,21 +188,39 @@ def assemble_recipe(decisions: DataFrame, recipes: DataFrame, flags: Mapping[str
     }).drop("_flags")
 
 
+# What the fields of a decision may hold, and what its consumer is asked to do for an action.
+FIELD_VALUES = {"confidence": ("high", "medium", "low", "none"), "mode": ("review", "explain", "plan", "implement"), "action": ("dispatch", "ask", "handoff")}
+NEEDED = ("candidates", "must_not", "reasons", "recipe")
+NO_DOMAIN = ("mixed", "none")
+
+
+def invalid_fields(domains: Sequence[str]) -> dict[str, Column]:
+    """rule -> whether a decision breaks it: values out of their vocabulary, missing fields, and three rules across fields."""
+    out = {name: ~F.col(name).isin(*values) for name, values in {"domain": (*domains, *NO_DOMAIN), **FIELD_VALUES}.items()}
+    out |= {f"{name}_missing": F.col(name).isNull() for name in NEEDED}
+    go = F.col("action") == "dispatch"
+    return out | {
+        "members_outside_candidates": F.size(F.array_except("members", "candidates")) > 0,
+        "dispatch_without_target": go & (F.col("domain").isin(*NO_DOMAIN) | (F.col("recipe") == "") | (F.size("members") == 0)),
+        "implement_forbids_changes": (F.col("mode") == "implement") & F.array_contains("must_not", "modify_files"),
+    }
+
+
 def adapt(decisions: DataFrame, domains: Sequence[str]) -> DataFrame:
-    """Consumer's view (id…, injected, load, prompt_action, forbidden), closed on any invalid field."""
-    ok = (
-        F.col("domain").isin(*domains, "mixed", "none") & F.col("confidence").isin("high", "medium", "low", "none") & F.col("mode").isin("review", "explain", "plan", "implement")
-        & F.col("action").isin("dispatch", "ask", "handoff") & F.col("candidates").isNotNull() & F.col("must_not").isNotNull() & F.col("reasons").isNotNull() & F.col("recipe").isNotNull()
-        & (F.size(F.array_except("members", "candidates")) == 0)
-        & ~((F.col("action") == "dispatch") & (F.col("domain").isin("none", "mixed") | (F.col("recipe") == "") | (F.size("members") == 0)))
-        & ~((F.col("mode") == "implement") & F.array_contains("must_not", "modify_files"))
-    )
-    ok = F.coalesce(ok, F.lit(False))
-    none, all_ = F.array().cast("array<string>"), _strings([*ALWAYS_FORBIDDEN, *FORBIDDEN_UNLESS_IMPLEMENT])
-    prompt = F.when(~ok | (F.col("action") == "handoff"), "handoff").when(F.col("action") == "ask", "ask_clarification").when(F.col("mode") == "explain", "overview_explain").otherwise(F.col("mode"))
-    return decisions.withColumns({
-        "valid": ok, "injected": F.when(ok, F.col("candidates")).otherwise(none), "load": F.when(ok & (F.col("action") == "dispatch"), F.col("members")).otherwise(none), "prompt_action": prompt,
-        "forbidden": F.when(ok, ordered_union_of(F.col("must_not"), _strings(ALWAYS_FORBIDDEN), F.when(F.col("mode") != "implement", _strings(FORBIDDEN_UNLESS_IMPLEMENT)).otherwise(none))).otherwise(all_),
+    """Consumer's view (id…, injected, load, prompt_action, forbidden), closed on any field that is invalid or can't be judged."""
+    broken = F.lit(False)
+    for rule in invalid_fields(domains).values():
+        broken = broken | F.coalesce(rule, F.lit(True))
+    out = decisions.withColumn("valid", ~broken)
+    none, ok = F.array().cast("array<string>"), F.col("valid")
+    prompts = {"handoff": F.lit("handoff"), "ask": F.lit("ask_clarification"), "dispatch": F.when(F.col("mode") == "explain", "overview_explain").otherwise(F.col("mode"))}
+    prompt = F.lit("handoff")
+    for action, then in prompts.items():
+        prompt = F.when(ok & (F.col("action") == action), then).otherwise(prompt)
+    unless = F.when(F.col("mode") != "implement", _strings(FORBIDDEN_UNLESS_IMPLEMENT)).otherwise(none)
+    return out.withColumns({
+        "injected": F.when(ok, F.col("candidates")).otherwise(none), "load": F.when(ok & (F.col("action") == "dispatch"), F.col("members")).otherwise(none), "prompt_action": prompt,
+        "forbidden": F.when(ok, ordered_union_of(F.col("must_not"), _strings(ALWAYS_FORBIDDEN), unless)).otherwise(_strings([*ALWAYS_FORBIDDEN, *FORBIDDEN_UNLESS_IMPLEMENT])),
     })
 
 

@@ -28,16 +28,33 @@ def dead_edges(edges_: DataFrame, src: str = "src", dst: str = "dst") -> DataFra
     return _finding(edges_.filter(F.coalesce("dead", F.lit(False))), "dead-edge", "error", F.col(src), "an existing target", F.col(dst))
 
 
+MAX_RULES = 1000
+
+
+def _policy(rules: DataFrame) -> list:
+    """The rows of a rule table, which is a policy of at most MAX_RULES rows."""
+    rows = rules.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"a policy has at most {MAX_RULES} rules")
+    return rows
+
+
 def rule_forbidden(edges_: DataFrame, rules: DataFrame) -> DataFrame:
-    """edges with the rule that forbids them: rules(rule, src_domain, dst_domain, via); a null field fits all. A small table."""
-    e, r = edges_.alias("e"), F.broadcast(rules).alias("r")
-    fits = lambda a, b: F.col(f"r.{b}").isNull() | (F.col(f"r.{b}") == F.col(f"e.{a}"))
-    return e.join(r, fits("src_domain", "src_domain") & fits("dst_domain", "dst_domain") & fits("kind", "via")).select("e.*", "r.rule")
+    """edges with the rule that forbids them: rules(rule, src_domain, dst_domain, via); a null field fits all. The rules, a policy,
+    become expressions: no join."""
+    fitting = []
+    for r in _policy(rules):
+        fits = F.lit(True)
+        for column, value in (("src_domain", r["src_domain"]), ("dst_domain", r["dst_domain"]), ("kind", r["via"])):
+            fits = fits if value is None else fits & (F.col(column) == value)
+        fitting.append(F.when(fits, F.lit(r["rule"])))
+    names = F.array_compact(F.array(*fitting)) if fitting else F.array()
+    return edges_.withColumn("rule", F.explode(names.cast("array<string>")))
 
 
 def rule_allowed(edges_: DataFrame, rules: DataFrame) -> DataFrame:
     """edges whose domain isn't in their source's list: rules(rule, src_domain, to_in array). Independent of forbidden pairs."""
-    return edges_.join(F.broadcast(rules), "src_domain").filter(~F.array_contains("to_in", F.col("dst_domain")) & (F.col("dst_domain") != F.col("src_domain"))).drop("to_in")
+    return edges_.join(rules, "src_domain").filter(~F.array_contains("to_in", F.col("dst_domain")) & (F.col("dst_domain") != F.col("src_domain"))).drop("to_in")
 
 
 def rule_required(units: DataFrame, edges_: DataFrame, unit: str, good: Column) -> DataFrame:

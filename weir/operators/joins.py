@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,35 +10,33 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import flex_pattern, flex_variants
 from ..functions.text import norm_key
-from .ranking import seconds
+from .ranking import seconds, top_k
 
 
 def match_terms(docs: DataFrame, terms: Sequence[str], doc_id: str, text: str) -> DataFrame:
     """(doc, term) where a text holds a term with its inflected forms between word borders.
 
-    Texts are cut into words once; a term's first word is looked up among a text's distinct words (an equi join), and
-    only those pairs are verified by pattern. Terms without a word of letters or digits are tried on every text.
+    A text is cut into words once, within its row; the terms that begin with one of them are looked up in a small map, and
+    only these are verified by pattern. Terms without a word of letters or digits are tried on every text. No text is
+    copied or shuffled: what leaves a row is its pairs.
     """
-    spark = docs.sparkSession
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(doc_id).alias("doc"), low.alias("low"))
-    keyed, loose = [], []
-    import re
-
+    by_first: dict[str, list[str]] = {}
+    loose = []
     for t in dict.fromkeys(terms):
         firsts = {m.group() for v in flex_variants(t) for m in [re.match(r"[a-z0-9]+", v.lower())] if m}
-        (keyed.extend((f, t, flex_pattern(t)) for f in firsts) if firsts else loose.append(t))
-    out = None
-    if keyed:
-        table = spark.createDataFrame(keyed, "word string, term string, pattern string")
-        words = rows.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("([a-z0-9]+)"), F.lit(1)))))
-        wanted = sorted({w for w, _, _ in keyed})
-        # the filter keeps the few words that any term starts with, before rows meet the terms
-        out = words.filter(F.col("word").isin(*wanted)).join(table, "word").filter(F.expr("low rlike pattern")).select("doc", "term").distinct()
-    for t in loose:
-        hit = rows.filter(F.col("low").rlike(flex_pattern(t))).select("doc", F.lit(t).alias("term"))
-        out = hit if out is None else out.unionByName(hit)
-    return out if out is not None else rows.select("doc", F.lit("").alias("term")).limit(0)
+        for f in firsts:
+            by_first.setdefault(f, []).append(t)
+        if not firsts:
+            loose.append(t)
+    rows = docs.select(F.col(doc_id).alias("doc"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
+    found = F.array_compact(F.array(*(F.when(F.col("low").rlike(flex_pattern(t)), F.lit(t)) for t in loose))) if loose else F.array().cast("array<string>")
+    if by_first:
+        pair = lambda t: F.struct(F.lit(t).alias("term"), F.lit(flex_pattern(t)).alias("pattern"))
+        table = F.create_map(*(x for f, ts in by_first.items() for x in (F.lit(f), F.array(*map(pair, ts)))))
+        rows = rows.withColumn("firsts", F.array_intersect(F.regexp_extract_all("low", F.lit("([a-z0-9]+)"), F.lit(1)), F.array(*map(F.lit, by_first))))
+        rows = rows.withColumn("tried", F.array_distinct(F.flatten(F.transform("firsts", lambda f: table[f]))))
+        found = F.concat(found, F.expr("transform(filter(tried, x -> low rlike x.pattern), x -> x.term)"))
+    return rows.select("doc", F.explode(found).alias("term"))
 
 
 def fresh_only(df: DataFrame, text: str, *known: tuple[DataFrame, str], kind: str = "collapse") -> DataFrame:
@@ -77,8 +76,10 @@ def coverage(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def resolve_mentions(mentions: DataFrame, declarations: DataFrame, name: str = "name", symbol: str = "symbol", show: int = 8) -> DataFrame:
-    """mentions with symbol (of a unique hit), ambiguous and candidates (the first `show`, sorted); names without a hit go."""
-    by_name = declarations.groupBy(name).agg(F.array_sort(F.collect_set(symbol)).alias("all"))
+    """mentions with symbol (of a unique hit), ambiguous and candidates (the first `show`, sorted); names without a hit go.
+    No more than `show` symbols of a name are put together, and two at least."""
+    first = top_k(declarations.select(name, symbol).filter(F.col(symbol).isNotNull()).distinct().withColumn("_s", F.lit(0)), [name], "_s", max(2, show), [symbol])
+    by_name = first.groupBy(name).agg(F.array_sort(F.collect_list(symbol)).alias("all"))
     found = mentions.join(by_name, name)
     one = F.size("all") == 1
     return found.withColumns({"symbol": F.when(one, F.col("all")[0]), "ambiguous": ~one, "candidates": F.when(~one, F.slice("all", 1, show))}).drop("all")
@@ -198,17 +199,28 @@ def reconcile_index(index: DataFrame, files: DataFrame, key: str, columns: Seque
     return a.join(b, key, "full").select(key, F.explode(issues).alias("issue"))
 
 
+LEAST_STEM = 6  # characters: shorter ones are words that mean much else
+_WORDS = r"[^\p{L}\p{N}]+"
+
+
 def mention_coverage(units: DataFrame, corpus: DataFrame, exempt: DataFrame, unit: str = "unit", text: str = "text") -> DataFrame:
     """(unit, status): covered, uncovered, exempt, stale_exemption or exemption_without_reason.
 
-    A unit is covered if its name occurs in the corpus as a run of words: the name's first word is looked up by an equi
-    join and the whole name verified, each distinct (word, name) once a text.
+    A unit is covered if the corpus has, as a run of words, the unit as it is, its last path segment, or that segment
+    without its extension (of LEAST_STEM characters or more). A text's words are matched with the first word of each form
+    by an equi join of (text hash, word) rows; forms of several words are then verified on the texts of those pairs.
     """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    names = units.select(unit, F.lower(unit).alias("_n"), F.regexp_extract(F.lower(unit), r"([\p{L}\p{N}]+)", 1).alias("_w")).distinct()
-    texts = corpus.select(low.alias("_t")).withColumn("_w", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))))
-    heads = names.filter("_w <> ''").select("_w").distinct()
-    hit = texts.join(heads, "_w", "left_semi").join(names, "_w").filter(F.contains(F.concat(F.lit(" "), F.regexp_replace("_t", r"[^\p{L}\p{N}]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace("_n", r"[^\p{L}\p{N}]+", " "), F.lit(" ")))).select(unit).distinct().withColumn("_hit", F.lit(True))
+    spaced = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(c, _WORDS, " ")), F.lit(" "))
+    base = F.element_at(F.split(F.lower(unit), "/"), -1)
+    stem = F.regexp_replace(base, r"\.[^.]+$", "")
+    forms = units.select(unit, F.explode(F.array_distinct(F.array_compact(F.array(F.lower(unit), base, F.when(F.length(stem) >= LEAST_STEM, stem))))).alias("_f")).select(unit, spaced("_f").alias("_n"))
+    forms = forms.filter("trim(_n) <> ''").distinct().withColumn("_w", F.split_part(F.trim("_n"), F.lit(" "), F.lit(1)))
+    texts = corpus.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("_h"), F.lower(text).alias("_t"))
+    words = texts.select("_h", F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace("_t", _WORDS, " ")), " "))).alias("_w"))
+    pairs = words.join(forms, "_w")
+    one = F.col("_n") == F.concat(F.lit(" "), F.col("_w"), F.lit(" "))
+    several = pairs.filter(~one).select("_h", unit, "_n").distinct().join(texts.dropDuplicates(["_h"]), "_h").filter(F.contains(spaced("_t"), F.col("_n")))
+    hit = pairs.filter(one).select(unit).unionByName(several.select(unit)).distinct().withColumn("_hit", F.lit(True))
     out = units.select(unit).distinct().join(hit, unit, "left").join(exempt.select(unit, F.coalesce("reason", F.lit("")).alias("_why")), unit, "left")
     why, got = F.col("_why"), F.coalesce("_hit", F.lit(False))
     status = F.when(why.isNotNull() & (F.trim(why) == ""), "exemption_without_reason").when(why.isNotNull() & got, "stale_exemption").when(why.isNotNull(), "exempt").when(got, "covered").otherwise("uncovered")

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lex_tokens
+from .tables import cut
 
 K1, B = 1.4, 0.75
+LENGTH = "\x00"  # stands in for a token in the row of a field's length
 
 
 def field_tokens(docs: DataFrame, doc_id: str, fields: Mapping[str, Column], **tokens) -> DataFrame:
@@ -34,16 +36,25 @@ def bm25f(queries: DataFrame, docs: DataFrame, fields: Mapping[str, tuple[Column
 
     score = sum over query tokens of idf * w / (K1 + w), w = sum over fields of tf * boost / ((1-B) + B * len / mean).
     matched counts query tokens found, matched_boost those found in a field with a boost over 1. Postings are
-    restricted to query tokens before anything is aggregated, and meet the queries by an equi join on the token.
+    restricted to query tokens before anything is shuffled: what is written is the postings of query tokens and a row
+    for each field of a document with its length, from one pass over the texts.
     """
-    counted = field_tokens(docs, doc_id, {k: c for k, (c, _) in fields.items()}, **tokens)
-    df, lengths = bm25f_stats(counted)
     wanted = queries.select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(lex_tokens(F.col(query_text), **tokens))).alias("token"))
-    boost = F.create_map(*(x for k, (_, b) in fields.items() for x in (F.lit(k), F.lit(float(b)))))[F.col("field")]
-    held = counted.join(wanted.select("token").distinct(), "token", "left_semi").join(F.broadcast(lengths), "field")  # lengths has a row for each field
-    weight = F.col("tf") * boost / (F.lit(1 - B) + B * F.col("len") / F.col("avg_len"))
-    weights = held.groupBy("doc", "token").agg(F.sum(weight).alias("w"), F.max((boost > 1).cast("int")).alias("boosted"), F.first("n_docs").alias("n"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    kept = wanted.select("token").distinct().unionByName(queries.sparkSession.createDataFrame([(LENGTH,)], "token string"))
+    names = list(fields)
+    per_field = F.array(*(F.struct(F.lit(i).alias("i"), lex_tokens(c, **tokens).alias("tokens")) for i, (c, _) in enumerate(fields.values())))
+    rows = docs.select(F.col(doc_id).alias("doc"), F.explode(per_field).alias("f")).select("doc", "f.i", F.size("f.tokens").alias("len"), F.explode(F.array_append("f.tokens", F.lit(LENGTH))).alias("token"))
+    held = cut(rows.join(kept, "token", "left_semi").groupBy("doc", "i", "len", "token").agg(F.count("*").alias("tf")))
+    sizes = {r["i"]: (r["n"], r["mean"] or 1.0) for r in held.filter(F.col("token") == LENGTH).groupBy("i").agg(F.count("*").alias("n"), F.avg("len").alias("mean")).collect()}
+    n_docs = max((n for n, _ in sizes.values()), default=0)
+    weight, boosted = F.lit(0.0), F.lit(0)
+    for i, name in enumerate(names):
+        boost = float(fields[name][1])
+        weight = F.when(F.col("i") == i, F.col("tf") * boost / (F.lit(1 - B) + B * F.col("len") / sizes.get(i, (0, 1.0))[1])).otherwise(weight)
+        boosted = F.when(F.col("i") == i, int(boost > 1)).otherwise(boosted)
+    weights = held.filter(F.col("token") != LENGTH).groupBy("doc", "token").agg(F.sum(weight).alias("w"), F.max(boosted).alias("boosted"))
+    df = held.filter(F.col("token") != LENGTH).groupBy("token").agg(F.count_distinct("doc").alias("df"))
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     scored = weights.join(df, "token").select("doc", "token", "boosted", (idf * F.col("w") / (K1 + F.col("w"))).alias("part"))
     return wanted.join(scored, "token").groupBy("qid", "doc").agg(F.sum("part").alias("score"), F.count("*").alias("matched"), F.sum("boosted").alias("matched_boost"))
 
@@ -93,6 +104,41 @@ def score_pairs(queries: DataFrame, docs: DataFrame, query_id: str, query_vec: s
     return best.select(F.col("q").alias(names[0]), F.col("d").alias(names[1]), "score", "rank")
 
 
+def best_by(queries: DataFrame, docs: DataFrame, id_col: str, vec: str, by: str, block: int = 2000) -> DataFrame:
+    """(qid, item, score): for each query, the greatest dot product with any other vector of each value of `by`.
+
+    Queries go in blocks of `block` vectors, as in score_pairs; one scan of docs for a block, whatever the number of values,
+    and a task passes on one row for each query and value that it has met.
+    """
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    out = None
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
+        held = [(r[0], np.asarray(r[1], dtype=np.float64)) for r in part.select(id_col, vec).filter(F.col(vec).isNotNull()).collect()]
+        shared = docs.sparkSession.sparkContext.broadcast((np.array([i for i, _ in held], dtype=np.int64), np.stack([v for _, v in held]) if held else np.zeros((0, 1))))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, matrix = shared.value
+            best: dict[object, np.ndarray] = {}
+            for batch in batches:
+                if not len(batch) or not len(ids):
+                    continue
+                scores = matrix @ np.stack(batch["v"].to_numpy()).astype(np.float64).T
+                scores[ids[:, None] == batch["d"].to_numpy()[None, :]] = -np.inf
+                for value, at in batch.groupby("by").indices.items():
+                    top = scores[:, at].max(axis=1)
+                    best[value] = np.maximum(best[value], top) if value in best else top
+            for value, top in best.items():
+                some = np.isfinite(top)
+                yield pd.DataFrame({"qid": ids[some], "item": value, "score": top[some]})
+
+        kind = docs.schema[by].dataType.simpleString()
+        found = docs.select(F.col(id_col).alias("d"), F.col(vec).alias("v"), F.col(by).alias("by")).filter("v IS NOT NULL AND by IS NOT NULL").mapInPandas(run, f"qid long, item {kind}, score double")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("qid", "item").agg(F.max("score").alias("score"))
+
+
 def dedupe_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
     """The first row of each key in the given order; rows with a null or empty key are left out."""
     w = Window.partitionBy("_key").orderBy(*order)
@@ -102,8 +148,6 @@ def dedupe_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
 def _counted_within(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """df with _at, the place of each row in the total order, counted in two passes: by range partition, then offsets.
     No partition holds more than its range."""
-    from .tables import cut
-
     ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     offsets = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     # one row for each partition: a window over a few thousand rows at most
@@ -142,7 +186,10 @@ def new_high(points: DataFrame, series: DataFrame, n: int, key: str = "series",
 
 
 def mask_fences(lines: DataFrame, doc: str = "doc_id", n: str = "line_no", text: str = "line") -> DataFrame:
-    """lines outside fenced blocks; the fence lines go as well."""
+    """lines outside fenced blocks; the fence lines go as well. Lines with a column `fenced` (lines_of) are filtered where they
+    are; for others, the lines of a document meet in a window."""
+    if "fenced" in lines.columns:
+        return lines.filter("NOT fenced").drop("fenced")
     fence = F.col(text).rlike(r"^\s*(```|~~~)")
     before = F.sum(fence.cast("int")).over(Window.partitionBy(doc).orderBy(n))
     return lines.withColumns({"_fence": fence, "_open": before}).filter(~F.col("_fence") & (F.col("_open") % 2 == 0)).drop("_fence", "_open")
@@ -151,9 +198,10 @@ def mask_fences(lines: DataFrame, doc: str = "doc_id", n: str = "line_no", text:
 def section_items(lines: DataFrame, heading: str, item: str, doc: str = "doc_id", n: str = "line_no", text: str = "line") -> DataFrame:
     """(doc, line_no, section, item) of lines that fit `item`, with the last heading before them; both patterns have a group."""
     head = F.nullif(F.regexp_extract(text, heading, 1), F.lit(""))
-    section = F.last(head, ignorenulls=True).over(Window.partitionBy(doc).orderBy(n).rowsBetween(Window.unboundedPreceding, 0))
-    found = lines.withColumns({"section": section, "item": F.regexp_extract(text, item, 1)})
-    return found.filter("item <> '' AND section IS NOT NULL").select(doc, n, "section", "item")
+    # only headings and items are shuffled
+    rows = lines.select(doc, n, head.alias("head"), F.regexp_extract(text, item, 1).alias("item")).filter("head IS NOT NULL OR item <> ''")
+    section = F.last("head", ignorenulls=True).over(Window.partitionBy(doc).orderBy(n).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("section", section).filter("item <> '' AND section IS NOT NULL").select(doc, n, "section", "item")
 
 
 def seconds(ts: Column) -> Column:
@@ -186,17 +234,45 @@ def order_findings(df: DataFrame) -> DataFrame:
     return df.orderBy("file", F.col("line").asc_nulls_first(), "rule", "unit")
 
 
+def at_ranks(df: DataFrame, value: str, part: Sequence[str], places: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """(part…, a column for each place): the values at the places (from 0, a function of the number of rows) of each sorted group.
+
+    Equal values are counted to one row first; the counts are then summed up in two passes over ranges of (part, value), so
+    that no task holds a group and ties don't meet in one. Nulls don't count; a null part is a group.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*part, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ranged = cut(counted.repartitionByRange(*part, "_v").withColumn("_range", F.spark_partition_id()))
+    offsets = ranged.groupBy("_range").agg(F.sum("_c").alias("_c"))
+    # one row for each range: a window over a few thousand rows at most
+    offsets = offsets.select("_range", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    local = F.sum("_c").over(Window.partitionBy("_range").orderBy(*part, "_v")) - F.col("_c")
+    placed = cut(ranged.withColumn("_local", local).join(F.broadcast(offsets), "_range").withColumn("_before", F.col("_offset") + F.col("_local")).drop("_range", "_local", "_offset"))
+    groups = placed.groupBy(*part).agg(F.min("_before").alias("_first"), F.sum("_c").alias("_n"))
+    rows = beside(placed, groups, part).withColumn("_at", F.col("_before") - F.col("_first"))
+    inside = lambda at: (F.col("_at") <= at(F.col("_n"))) & (at(F.col("_n")) < F.col("_at") + F.col("_c"))
+    return rows.groupBy(*part).agg(*(F.max(F.when(inside(at), F.col("_v"))).alias(name) for name, at in places.items()))
+
+
+def beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """left with right's columns by keys, of which nulls equal nulls; without keys, right is one row."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    if not keys:
+        return left.join(right)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(right, same, "left").drop(*(f"_r_{k}" for k in keys))
+
+
+def nearest_rank(f: float) -> Callable[[Column], Column]:
+    """The place min(n-1, floor(n*f)): another one than percentile_disc has for even n at 0.5."""
+    return lambda n: F.least(n - 1, F.floor(n * f))
+
+
 def rank_percentile(df: DataFrame, value: str, f: float, part: Sequence[str] = ()) -> DataFrame:
-    """The value at index min(n-1, floor(n*f)) of the sorted group: another index than percentile_disc for even n at 0.5."""
-    if not part:
-        from .tables import cut
-
-        placed = cut(_counted_within(df.filter(F.col(value).isNotNull()).select(value), [value]))
-        n = placed.count()
-        return placed.filter(F.col("_at") - 1 == min(n - 1, int(n * f))).select(F.col(value).alias("p"))
-    w = Window.partitionBy(*part)
-    placed = df.filter(F.col(value).isNotNull()).withColumns({"_k": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
-    return placed.filter(F.col("_k") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * f))).select(*part, F.col(value).alias("p"))
+    """(part…, p): the value at index min(n-1, floor(n*f)) of the sorted group, or of the whole table."""
+    out = at_ranks(df, value, part, {"p": nearest_rank(f)})
+    return out if part else out.filter("p IS NOT NULL")
 
 
 def score_with(pairs: DataFrame, start: Callable[[], Callable[[str, list[str]], list[float]]], query: str = "query", text: str = "text", batch: int = 8, out: str = "score") -> DataFrame:

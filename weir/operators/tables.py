@@ -9,16 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, a local folder (tests)."""
+    """spark.checkpoint.dir of the session; only in local mode, where it is unset, a local folder (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='weir-tables-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A path for a new table in a folder of its own in the shared folder, deleted when the application ends."""
+    folder = f"{shared_dir(spark)}/weir-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    return f"{folder}/table"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read again: rows are fixed, lineage is short, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/weir-cut-{uuid.uuid4().hex}"
+    path = fresh_dir(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +15,11 @@ from ..operators import filters as L
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import ranking as R
-from ..operators.tables import shared_dir
+from ..operators.tables import fresh_dir
 from ..sources import io as IO
 from ..streaming import ledgers as T
 from .kit import Book, t
-from .rule_plans import RULES
+from .rule_plans import RULES, scores_sql
 from .table_plans import documents
 
 book = Book()
@@ -29,10 +27,6 @@ query = book.query
 QUERIES, ORACLES = book.queries, book.oracles
 
 
-def fresh_dir(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/weir-{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> str:
     """df as JSON lines in a new folder of the shared directory."""
     path = fresh_dir(df.sparkSession, name)
@@ -234,11 +228,11 @@ def j10_resolve_specs(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT l_orderkey AS k, l_linenumber AS line, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 2 END AS r FROM lineitem WHERE l_linenumber > 2), a AS (SELECT k, line, min(r) AS r FROM f GROUP BY 1, 2), w AS (SELECT k, min(r) AS r FROM f GROUP BY 1)
+WITH f AS (SELECT l_orderkey AS k, l_linenumber AS line, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 2 END AS r FROM lineitem), a AS (SELECT k, line, min(r) AS r FROM f GROUP BY 1, 2), w AS (SELECT k, min(r) AS r FROM f GROUP BY 1)
 SELECT o_orderkey AS k, CASE coalesce(a.r, w.r) WHEN 0 THEN 'regex-degraded' WHEN 2 THEN 'exact' END AS fidelity FROM orders LEFT JOIN a ON a.k = o_orderkey AND a.line = o_orderkey % 7 + 1 LEFT JOIN w ON w.k = o_orderkey
 """)
 def j16_annotate_fidelity(spark, sf_dir):
-    facts = t(spark, sf_dir, "lineitem").filter("l_linenumber > 2").select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").alias("line"), F.when(F.col("l_returnflag") == "R", "regex-degraded").otherwise("exact").alias("fidelity"))
+    facts = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").alias("line"), F.when(F.col("l_returnflag") == "R", "regex-degraded").otherwise("exact").alias("fidelity"))
     findings = t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("file"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("line"))
     return J.annotate_fidelity(findings, facts).select(F.col("file").cast("long").alias("k"), "fidelity")
 
@@ -373,17 +367,21 @@ def _observed(spark, sf_dir) -> tuple[str, str]:
 
 @query(ERRORS)
 def t1_observe_stream(spark, sf_dir):
-    return spark.read.parquet(_observed(spark, sf_dir)[0]).select("seq", "error")
+    return spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(_observed(spark, sf_dir)[0]).select("seq", "error")
 
 
-@query()
+@query(scores_sql("SELECT conv_id * 1000 + turn AS doc_id, left(trim(text), 4000) AS text FROM conversations WHERE text IS NOT NULL AND (conv_id + turn) % 5 > 2") + "SELECT doc_id AS seq, domain, action, confidence FROM t WHERE action <> 'dispatch' OR confidence <> 'high'")
 def t2_weak_stream(spark, sf_dir):
     return spark.read.parquet(_observed(spark, sf_dir)[1]).select("seq", "domain", "action", "confidence")
 
 
-def _stream(df: DataFrame, name: str) -> DataFrame:
+def _stream(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df as a stream; with files, in that many, dealt out by a hash of the rows (so out of any order) and read two at a time."""
     spark = df.sparkSession
-    return spark.readStream.schema(df.schema).json(written(df, name))
+    if files is None:
+        return spark.readStream.schema(df.schema).json(written(df, name))
+    dealt = df.repartition(files, F.xxhash64(*df.columns))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).json(written(dealt, name))
 
 
 def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -410,14 +408,14 @@ SELECT series, CASE WHEN count(*) = 1 THEN 'baseline' WHEN max(value) FILTER (k
 def t4_new_high_stream(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     e = t(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.col("event_id").alias("ts"), F.lit(0).cast("long").alias("seq"), "value")
-    out = _drained(T.new_high_stream(_stream(e, "points"), 8), "new-high", "update")
+    out = _drained(T.new_high_stream(_stream(e, "points", 6), 8), "new-high", "update")
     return out.groupBy("series").agg(F.max_by(F.struct("status", "latest", "points"), "batch").alias("r")).select("series", "r.status", "r.latest", "r.points")
 
 
 @query("SELECT lower(event_type) AS k FROM events GROUP BY 1")
 def t5_dedupe_stream(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select(F.lit("2024-01-01T00:00:00Z").cast("timestamp").alias("ts"), F.col("event_type").alias("text"))
-    return _drained(T.dedupe_stream(_stream(e, "hints"), "text"), "deduped").select(F.lower("text").alias("k"))
+    e = t(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("text"))
+    return _drained(T.dedupe_stream(_stream(e, "hints", 6), "text", delay="20000 days"), "deduped").select(F.lower("text").alias("k"))
 
 
 @query("SELECT doc_id FROM documents WHERE n_chars % 2 = 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.patterns import flex_pattern
+from ..functions.text import MODES
 from ..operators import contracts as C
 from ..operators import decide as D
 from ..operators import filters as L
@@ -34,42 +35,47 @@ def _n(terms, s="s"):
     return " + ".join(f"CAST(regexp_matches({s}, '{flex_pattern(x)}') AS INTEGER)" for x in terms) or "0"
 
 
-SCORES = rf"""
-WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(lower(trim(coalesce(text, ''))), '(?s)```.*?(?:```|\z)|~~~.*?(?:~~~|\z)', '', 'g'), '(?m)^\s*>.*$', '', 'g') AS raw FROM documents),
-c AS (SELECT doc_id, raw, array_to_string(list_filter(regexp_split_to_array(raw, '[，,。；;' || chr(10) || '!?？！]'), lambda x: NOT regexp_matches(x, '(^|[^a-z0-9_])(?:do not|don''t|without|exclude|not using)($|[^a-z0-9_])')), ' ') AS s FROM a WHERE NOT regexp_matches(raw, '(^|[^a-z0-9_])but($|[^a-z0-9_])')),
+def scores_sql(source: str) -> str:
+    """source: a SELECT of doc_id and text. `but` between word borders ends a clause; it is replaced twice, as neighbours share a border."""
+    return rf"""
+WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(lower(trim(coalesce(text, ''))), '(?s)```.*?(?:```|\z)|~~~.*?(?:~~~|\z)', '', 'g'), '(?m)^\s*>.*$', '', 'g') AS raw FROM ({source})),
+b AS (SELECT doc_id, raw, regexp_replace(regexp_replace(raw, '(^|[^a-z0-9_])but($|[^a-z0-9_])', '\1' || chr(10) || '\2', 'g'), '(^|[^a-z0-9_])but($|[^a-z0-9_])', '\1' || chr(10) || '\2', 'g') AS cut FROM a),
+c AS (SELECT doc_id, raw, array_to_string(list_filter(regexp_split_to_array(cut, '[，,。；;' || chr(10) || '!?？！]|但是|而是'), lambda x: NOT regexp_matches(x, '(^|[^a-z0-9_])(?:do not|don''t|without|exclude|not using)($|[^a-z0-9_])')), ' ') AS s FROM b),
 n AS (SELECT doc_id, raw, s, replace(s, 'which was', '#########') AS m FROM c),
-h AS (SELECT doc_id, raw, {_n(["license", "apache"])} AS law_s, {_n(["version"])} AS law_w, {_n(["there", "which"], "m")} AS prose_s, {_n(["that"], "m")} AS prose_w, {_n(["nicht", "auch", "gilt"])} AS ger_s, {_n(["und"])} AS ger_w, {_n(["gilt"])} > 0 AS gate FROM n),
-d AS (SELECT *, CASE WHEN law_s + law_w > 0 AND ger_s + ger_w > 0 AND prose_s + prose_w = 0 THEN 'mixed' WHEN gate THEN 'german' WHEN law_s > 0 THEN 'law' WHEN prose_s > 0 THEN 'prose' WHEN ger_s > 0 THEN 'german' WHEN law_w > 0 THEN 'law' WHEN prose_w > 0 THEN 'prose' WHEN ger_w > 0 THEN 'german' ELSE 'none' END AS domain FROM h)
+h AS (SELECT doc_id, raw, s, {_n(["license", "apache"])} AS law_s, {_n(["version"])} AS law_w, {_n(["there", "which"], "m")} AS prose_s, {_n(["that"], "m")} AS prose_w, {_n(["nicht", "auch", "gilt"])} AS ger_s, {_n(["und"])} AS ger_w, {_n(["gilt"])} > 0 AS gate FROM n),
+d AS (SELECT *, CASE WHEN law_s + law_w > 0 AND ger_s + ger_w > 0 AND prose_s + prose_w = 0 THEN 'mixed' WHEN gate THEN 'german' WHEN law_s > 0 THEN 'law' WHEN prose_s > 0 THEN 'prose' WHEN ger_s > 0 THEN 'german' WHEN law_w > 0 THEN 'law' WHEN prose_w > 0 THEN 'prose' WHEN ger_w > 0 THEN 'german' ELSE 'none' END AS domain FROM h),
+t AS (SELECT doc_id, raw, s, CASE WHEN trim(raw) = '' THEN 'none' ELSE domain END AS domain, CASE WHEN trim(raw) = '' OR domain = 'none' THEN 'none' WHEN domain = 'mixed' THEN 'medium' WHEN NOT strong THEN 'low' WHEN score >= 2 THEN 'high' ELSE 'medium' END AS confidence,
+  CASE WHEN trim(raw) = '' OR domain = 'none' THEN 'handoff' WHEN domain = 'mixed' OR NOT strong THEN 'ask' ELSE 'dispatch' END AS action
+FROM (SELECT *, CASE domain WHEN 'law' THEN law_s > 0 WHEN 'prose' THEN prose_s > 0 WHEN 'german' THEN ger_s > 0 END AS strong, CASE domain WHEN 'law' THEN law_s + law_w WHEN 'prose' THEN prose_s + prose_w WHEN 'german' THEN ger_s + ger_w END AS score FROM d))
 """
 
 
-def plain_docs(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    from ..functions.text import strip_markup
-
-    return d.filter(~strip_markup(F.col("text")).rlike("(^|[^a-z0-9_])but($|[^a-z0-9_])"))
+SCORES = scores_sql("SELECT doc_id, text FROM documents")
 
 
 @query(SCORES + "SELECT doc_id, law_s AS law_strong, law_s + law_w AS law_score, prose_s AS prose_strong, prose_s + prose_w AS prose_score, ger_s AS german_strong, ger_s + ger_w AS german_score FROM d")
 def d1_domain_scores(spark, sf_dir):
-    rows = D.domain_scores(plain_docs(spark, sf_dir).select("doc_id", "text"), RULES)
+    rows = D.domain_scores(documents(spark, sf_dir).select("doc_id", "text"), RULES)
     out = [F.col("scores")[i][k].alias(f"{name}_{k}") for i, name in enumerate(("law", "prose", "german")) for k in ("strong", "score")]
     return rows.select("doc_id", *out)
 
 
 @query(SCORES + "SELECT doc_id, domain FROM d")
 def d2_pick_domain(spark, sf_dir):
-    return D.pick_domain(D.domain_scores(plain_docs(spark, sf_dir).select("doc_id", "text"), RULES), RULES).select("doc_id", "domain")
+    return D.pick_domain(D.domain_scores(documents(spark, sf_dir).select("doc_id", "text"), RULES), RULES).select("doc_id", "domain")
 
 
-@query(SCORES + """SELECT doc_id, CASE WHEN trim(raw) = '' THEN 'none' ELSE domain END AS domain, CASE WHEN trim(raw) = '' OR domain = 'none' THEN 'none' WHEN domain = 'mixed' THEN 'medium' WHEN NOT strong THEN 'low' WHEN score >= 2 THEN 'high' ELSE 'medium' END AS confidence,
-  CASE WHEN trim(raw) = '' OR domain = 'none' THEN 'handoff' WHEN domain = 'mixed' OR NOT strong THEN 'ask' ELSE 'dispatch' END AS action
-FROM (SELECT *, CASE domain WHEN 'law' THEN law_s > 0 WHEN 'prose' THEN prose_s > 0 WHEN 'german' THEN ger_s > 0 END AS strong, CASE domain WHEN 'law' THEN law_s + law_w WHEN 'prose' THEN prose_s + prose_w WHEN 'german' THEN ger_s + ger_w END AS score FROM d)""")
+@query(SCORES + "SELECT doc_id, domain, confidence, action FROM t")
 def d3_triage(spark, sf_dir):
-    return D.triage(plain_docs(spark, sf_dir).select("doc_id", "text"), RULES, None, "doc_id").select("doc_id", "domain", "confidence", "action")
+    return D.triage(documents(spark, sf_dir).select("doc_id", "text"), RULES, None, "doc_id").select("doc_id", "domain", "confidence", "action")
+
 
+def _said(terms) -> str:
+    return " OR ".join(f"regexp_matches(s, '{flex_pattern(x)}')" for x in terms)
 
-@query()
+
+@query(SCORES + f"""SELECT doc_id, domain, action, CASE WHEN action <> 'dispatch' THEN '' WHEN domain = 'law' AND ({_said(["apache"])}) THEN 'law-apache' ELSE domain || '-base' END AS recipe,
+  CASE WHEN action <> 'dispatch' THEN '' WHEN domain = 'law' THEN 'licensing' || CASE WHEN {_said(["there", "that"])} THEN ',editing' ELSE '' END WHEN domain = 'prose' THEN 'editing' ELSE 'deutsch' END AS members FROM t""")
 def d4_assemble_recipe(spark, sf_dir):
     decided = D.triage(documents(spark, sf_dir).select("doc_id", "text"), RULES, None, "doc_id")
     recipes = spark.createDataFrame([("law", "law-base", None, "licensing", 2), ("law", "law-apache", "apache", "licensing", 1), ("law", "+", "english", "editing", 3), ("prose", "prose-base", None, "editing", 1), ("german", "german-base", None, "deutsch", 1)], "domain string, recipe string, flag string, member string, ord int")
@@ -77,7 +83,13 @@ def d4_assemble_recipe(spark, sf_dir):
     return out.select("doc_id", "domain", "action", "recipe", F.array_join("members", ",").alias("members"))
 
 
-@query()
+MODE = r"""CASE WHEN regexp_matches(raw, '(^|[^a-z0-9_])(?:read[- ]only|do not (?:edit|modify|implement|execute)|don''t (?:edit|modify|implement|execute))($|[^a-z0-9_])') OR {review} THEN 'review' WHEN {plan} THEN 'plan' WHEN {explain} THEN 'explain' ELSE 'implement' END""".format(
+    **{kind: " OR ".join(f"regexp_matches(raw, '{flex_pattern(x)}')" for x in words if x.isascii()) for kind, words in MODES}
+)
+
+
+@query(SCORES + f"""SELECT doc_id, true AS valid, CASE action WHEN 'handoff' THEN 'handoff' WHEN 'ask' THEN 'ask_clarification' ELSE CASE mode WHEN 'explain' THEN 'overview_explain' ELSE mode END END AS prompt_action,
+  CASE WHEN action = 'dispatch' THEN CASE domain WHEN 'law' THEN 'licensing' WHEN 'prose' THEN 'editing' ELSE 'deutsch' END ELSE '' END AS load FROM (SELECT *, {MODE} AS mode FROM t)""")
 def d5_adapt(spark, sf_dir):
     decided = D.triage(documents(spark, sf_dir).select("doc_id", "text"), RULES, None, "doc_id")
     recipes = spark.createDataFrame([("law", "law-base", None, "licensing", 1), ("prose", "prose-base", None, "editing", 1), ("german", "german-base", None, "deutsch", 1)], "domain string, recipe string, flag string, member string, ord int")
@@ -117,13 +129,9 @@ LABELS = "SELECT vec_id AS qid, CASE WHEN label = 0 THEN CAST([] AS INTEGER[]) E
 def by_label(spark, sf_dir):
     """(qid, item, score): the best score of each label's vectors for each query."""
     e = t(spark, sf_dir, "embeddings")
-    parts = None
-    for label in [r["label"] for r in e.select("label").distinct().collect()]:
-        best = R.score_pairs(e.filter("vec_id % 100 = 0"), e.filter(F.col("label") == label), "vec_id", "embedding", "vec_id", "embedding", 2).filter("qid <> doc")
-        part = best.groupBy("qid").agg(F.round(F.max("score"), 6).alias("score")).withColumn("item", F.lit(label))
-        parts = part if parts is None else parts.unionByName(part)
+    best = R.best_by(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", "label").withColumn("score", F.round("score", 6))
     labels = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.when(F.col("label") == 0, F.array().cast("array<int>")).otherwise(F.array("label")).alias("wanted"), (F.col("label") == 0).alias("oos"))
-    return parts.select("qid", "item", "score"), labels
+    return best.select("qid", "item", "score"), labels
 
 
 @query(f"""
@@ -267,22 +275,24 @@ def g6_covered(spark, sf_dir):
     return G.rule_covered(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit")), t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("dst"), "l_quantity"), good=F.col("l_quantity") > 48)
 
 
-@query("WITH e AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity > 49) SELECT unit, count(*) AS edges FROM (SELECT src AS unit FROM e UNION ALL SELECT dst FROM e WHERE src <> dst) WHERE unit IN (SELECT p_partkey FROM part WHERE p_size < 10) GROUP BY 1")
+@query("WITH e AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem) SELECT unit, count(*) AS edges FROM (SELECT src AS unit FROM e UNION ALL SELECT dst FROM e WHERE src <> dst) WHERE unit IN (SELECT p_partkey FROM part) GROUP BY 1")
 def g7_isolated(spark, sf_dir):
-    e = t(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    return G.rule_isolated(t(spark, sf_dir, "part").filter("p_size < 10").select(F.col("p_partkey").alias("unit")), e)
+    e = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return G.rule_isolated(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit")), e)
 
 
+#: The parts of an order follow each other: an edge from each line's part to that of the next line; the root is the first part of the first order.
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 400 AS s, (l_partkey * 7 + l_suppkey) % 400 AS d FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45),
-r(n) AS (SELECT CAST(1 AS BIGINT) UNION SELECT d FROM e JOIN r ON s = n)
-SELECT unit FROM (SELECT DISTINCT p_partkey % 400 AS unit FROM part) WHERE unit NOT IN (SELECT n FROM r)
+WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS d FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+r(n) AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem) AND l_linenumber = 1 UNION SELECT d FROM e JOIN r ON s = n)
+SELECT p_partkey AS unit FROM part WHERE p_partkey NOT IN (SELECT n FROM r)
 """)
 def g8_reachable(spark, sf_dir):
-    li = t(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_quantity > 45")
-    e = li.select((F.col("l_partkey") % 400).alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 400).alias("dst"))
-    units = t(spark, sf_dir, "part").select((F.col("p_partkey") % 400).alias("unit"))
-    return G.rule_reachable(units, e, spark.createDataFrame([(1,)], "unit long"))
+    li = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    e = li.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst")
+    roots = li.join(li.agg(F.min("l_orderkey").alias("l_orderkey")), "l_orderkey").filter("l_linenumber = 1").select(F.col("l_partkey").alias("unit"))
+    return G.rule_reachable(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit")), e, roots)
 
 
 @query(r"""
@@ -384,10 +394,10 @@ def c14_index_findings(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, sha1('gate|' || source || '|' || sha1(left(text, 40))) AS id FROM documents WHERE text IS NOT NULL AND sha1('gate|' || source || '|' || sha1(left(text, 40))) NOT IN (SELECT sha1('gate|' || source || '|' || sha1(left(text, 40))) FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0)
+SELECT doc_id, sha1('gate|' || source || '|' || sha1(text)) AS id FROM documents WHERE text IS NOT NULL AND sha1('gate|' || source || '|' || sha1(text)) NOT IN (SELECT sha1('gate|' || source || '|' || sha1(text)) FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0)
 """)
 def c15_fresh_findings(spark, sf_dir):
-    f = documents(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.lit("gate").alias("gate"), F.col("source").alias("file"), F.left("text", F.lit(40)).alias("match"))
+    f = documents(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.lit("gate").alias("gate"), F.col("source").alias("file"), F.col("text").alias("match"))
     base = C.fresh_findings(f.filter("doc_id % 2 = 0"), None).select("id")
     return C.fresh_findings(f, base).select("doc_id", "id")
 

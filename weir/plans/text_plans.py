@@ -40,11 +40,12 @@ def x2_strip_markup(spark, sf_dir):
 
 @query(r"""
 SELECT doc_id, len(c) AS n_clauses, len(list_filter(c, lambda x: regexp_matches(x, '(^|[^a-z0-9_])(?:do not|don''t|without|exclude|not using)($|[^a-z0-9_])'))) AS n_negated
-FROM (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[，,。；;' || chr(10) || '!?？！]') AS c FROM documents WHERE NOT regexp_matches(lower(coalesce(text, '')), '(^|[^a-z0-9_])but($|[^a-z0-9_])'))
+FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(lower(coalesce(text, '')), '(^|[^a-z0-9_])but($|[^a-z0-9_])', '\1' || chr(10) || '\2', 'g'), '(^|[^a-z0-9_])but($|[^a-z0-9_])', '\1' || chr(10) || '\2', 'g'), '[，,。；;' || chr(10) || '!?？！]|但是|而是') AS c FROM documents)
 """)
 def x3_active_text(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("s")).filter(~F.col("s").rlike("(^|[^a-z0-9_])but($|[^a-z0-9_])"))
-    return rows.select("doc_id", (F.size(X.clauses(F.col("s"), True)) + F.size(X.clauses(F.col("s"), False))).cast("long").alias("n_clauses"), F.size(X.clauses(F.col("s"), True)).cast("long").alias("n_negated"))
+    low = docs(spark, sf_dir).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("s"))
+    rows = low.select("doc_id", X.clauses(F.col("s"), True).alias("negated"), X.clauses(F.col("s"), False).alias("active"))
+    return rows.select("doc_id", (F.size("negated") + F.size("active")).cast("long").alias("n_clauses"), F.size("negated").cast("long").alias("n_negated"))
 
 
 TERMS = ["licence", "license", "release", "version", "apache", "with", "there", "that", "party"]
@@ -123,7 +124,7 @@ def x14_extract_urls(spark, sf_dir):
     return E.extract_urls(df, "page_id", "body").groupBy("page_id").agg(F.count("*").alias("urls"), F.sum(F.length("url")).alias("chars"), F.min("line_no").cast("long").alias("first_line"))
 
 
-@query("SELECT doc_id, false AS emoji, regexp_matches(text, '[鍗鈫閫閮鎹鏄涓鍙鍧鍩鍨鐭鏉鏀鑴鏍]') AS mojibake FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, regexp_matches(text, '{X.EMOJI}') AS emoji, regexp_matches(text, '[鍗鈫閫閮鎹鏄涓鍙鍧鍩鍨鐭鏉鏀鑴鏍]') AS mojibake FROM documents WHERE text IS NOT NULL")
 def x15_emoji_mojibake(spark, sf_dir):
     return docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", X.has_emoji(F.col("text")).alias("emoji"), X.has_mojibake(F.col("text")).alias("mojibake"))
 
@@ -176,15 +177,25 @@ def x19_regex_gate(spark, sf_dir):
     return E.regex_gate(df, GATES, "file", "text").select("gate", "file", F.col("line").cast("long").alias("line"), "match", "total")
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line_no FROM documents),
-m AS (SELECT doc_id, line_no, line, 'email' AS kind, unnest(regexp_extract_all(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}')) AS v FROM l
-  UNION ALL SELECT doc_id, line_no, line, 'sha1', lower(unnest(list_filter(regexp_extract_all(line, '[0-9A-Fa-f]+'), lambda x: length(x) = 40))) FROM l)
-SELECT kind, v AS indicator, count(DISTINCT doc_id) AS docs, count(*) AS hits, min(doc_id) AS doc FROM m GROUP BY 1, 2
+_URL = r"""(?i)(?:https?|hxxps?)://(?:\[\.\]|[^\s<>\"''`)\[\]])*[^\s<>\"''`)\[\].,;:!?]"""
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '\r$', '') AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM t),
+m AS (SELECT *, 'email' AS kind, unnest(regexp_extract_all(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}')) AS v FROM l
+  UNION ALL SELECT doc_id, line, line_no, 'hash' || length(v), v FROM (SELECT *, unnest(regexp_extract_all(line, '[0-9A-Fa-f]+')) AS v FROM l) WHERE length(v) IN (32, 40, 64)
+  UNION ALL SELECT *, 'url', unnest(regexp_extract_all(line, '{_URL}')) FROM l
+  UNION ALL SELECT doc_id, line, line_no, 'ipv4', v FROM (SELECT *, unnest(regexp_extract_all(line, '[0-9.]+')) AS v FROM l) WHERE regexp_full_match(v, '(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}')
+  UNION ALL SELECT doc_id, line, line_no, 'domain', v FROM (SELECT *, unnest(regexp_extract_all(line, '(?i)[a-z0-9@./-]+')) AS v FROM l) WHERE regexp_full_match(v, '(?i)(?:[a-z0-9-]+\.)+(?:com|net|org|io|info|biz|ru|cn)')
+  UNION ALL SELECT *, 'path', unnest(regexp_extract_all(line, '(?:^|[^A-Za-z0-9/.])(/(?:etc|usr|var|tmp|home|opt|bin)/[^\s\"<>|]+)', 1)) FROM l
+  UNION ALL SELECT *, 'path', unnest(regexp_extract_all(line, '(?:^|[^A-Za-z0-9])([A-Za-z]:\\[^\s\"<>|]+)', 1)) FROM l
+  UNION ALL SELECT *, 'user_agent', unnest(regexp_extract_all(line, 'Mozilla/[0-9.]+ \([^)]*\)[^\"\n]*')) FROM l),
+k AS (SELECT doc_id, line_no, line, CASE kind WHEN 'hash32' THEN 'md5' WHEN 'hash40' THEN 'sha1' WHEN 'hash64' THEN 'sha256' ELSE kind END AS kind, CASE WHEN kind LIKE 'hash%' OR kind = 'domain' THEN lower(v) ELSE v END AS v FROM m)
+SELECT kind, v AS indicator, CASE kind WHEN 'path' THEN 'contextual' ELSE 'high' END AS confidence, count(DISTINCT doc_id) AS docs, count(*) AS hits, min(doc_id) AS doc, md5(min_by(line, doc_id * 1000000 + line_no)) AS evidence FROM k GROUP BY 1, 2
 """)
 def x21_indicators(spark, sf_dir):
-    patterns = {k: E.INDICATORS[k] for k in ("email", "sha1")}
-    return E.extract_indicators(docs(spark, sf_dir), "doc_id", "text", patterns).select("kind", "indicator", "docs", "hits", "doc")
+    out = E.extract_indicators(docs(spark, sf_dir), "doc_id", "text")
+    return out.select("kind", "indicator", "confidence", "docs", "hits", "doc", F.md5(F.col("evidence").cast("binary")).alias("evidence"))
 
 
 @query("SELECT page_id, CAST(0 AS INTEGER) AS ord, regexp_extract(html, '<title>([^<]*)</title>', 1) AS inner FROM pages WHERE html LIKE '%<title>%'")
@@ -221,7 +232,7 @@ w AS (SELECT doc_id, line_no, line, sum(CASE WHEN regexp_matches(line, '^\s*(```
 SELECT doc_id, line_no, unnest(regexp_extract_all(line, 'AKIA[0-9A-Z]{16}|[0-9]{16}')) AS id, 'tokens' AS mode FROM w WHERE o % 2 = 0 AND NOT regexp_matches(line, '^\s*(```|~~~)')
 """)
 def x26_id_defs(spark, sf_dir):
-    return E.id_defs(E.lines_of(docs(spark, sf_dir), "doc_id", "text"), "AKIA[0-9A-Z]{16}|[0-9]{16}", ["tokens"]).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "id", "mode")
+    return E.id_defs(E.lines_of(docs(spark, sf_dir), "doc_id", "text", fences=True), "AKIA[0-9A-Z]{16}|[0-9]{16}", ["tokens"]).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "id", "mode")
 
 
 @query(r"""
@@ -229,7 +240,7 @@ WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l
 SELECT DISTINCT doc_id, line_no, unnest(regexp_extract_all(' ' || regexp_replace(line, '([^A-Za-z0-9_-])', ' \1 ', 'g') || ' ', '[^A-Za-z0-9_-]((?:mail[0-9])|(?:token))[^A-Za-z0-9_-]', 1)) AS id, false AS defined FROM l
 """)
 def x27_id_refs(spark, sf_dir):
-    lines = E.lines_of(docs(spark, sf_dir), "doc_id", "text")
+    lines = E.lines_of(docs(spark, sf_dir), "doc_id", "text", fences=True)
     defs = E.id_defs(lines, "zz[0-9]+", ["heading"])
     # word borders are those of ASCII words, as letters with marks end a word in the oracle
     refs = E.id_refs(lines.withColumn("line", F.regexp_replace("line", r"[^\x00-\x7f]", " ")), ["mail[0-9]", "token"], defs)

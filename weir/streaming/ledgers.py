@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from heapq import nlargest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,30 +19,66 @@ from ..sources.io import redact_event
 HINTS = ("prompt", "hint", "user_prompt", "message", "text", "input")
 
 
-def observe(raw: DataFrame, rules: RuleSet, payload: str = "payload", most: int = 4000) -> DataFrame:
-    """Decided rows of raw payloads; batch or stream. Nothing stops the stream: what can't be read has an error class
-    (empty_stdin, bad_stdin_json, bad_stdin_shape) and no decision. Needs a column `seq` that tells rows apart."""
+Decide = Callable[[DataFrame], DataFrame]
+SPLITS = 24  # halvings of a batch in search of the rows that can't be decided
+
+
+def read_payloads(raw: DataFrame, payload: str = "payload", most: int = 4000) -> DataFrame:
+    """raw with error (empty_stdin, bad_stdin_json, bad_stdin_shape or null), hint, hint_len, bytes and session, without the payload."""
     text = F.trim(F.coalesce(F.col(payload), F.lit("")))
     parsed = F.try_parse_json(F.nullif(text, F.lit("")))
     hint = F.coalesce(pick_field(F.col(payload), HINTS), F.lit(""))
     error = F.when(text == "", "empty_stdin").when(parsed.isNull(), "bad_stdin_json").when(~F.startswith(text, F.lit("{")), "bad_stdin_shape")
     rows = raw.withColumns({"error": error, "hint": F.when(error.isNull(), F.left(hint, F.lit(most))), "hint_len": F.when(error.isNull(), F.length(hint)), "bytes": F.octet_length(F.col(payload)), "session": F.when(error.isNull(), pick_field(F.col(payload), ("session_id", "sessionId", "session")))})
-    out = triage(rows, rules, None, id_col="seq", text="hint")
+    return rows.drop(payload)
+
+
+def _decided(rows: DataFrame, decide: Decide) -> DataFrame:
+    """rows with a decision where they could be read; one without an action is decide_failed."""
+    out = decide(rows).withColumn("error", F.coalesce("error", F.when(F.col("action").isNull(), "decide_failed")))
     for c in ("mode", "domain", "confidence", "action"):
         out = out.withColumn(c, F.when(F.col("error").isNull(), F.col(c)))
-    return out.drop("_active", payload)
+    return out.drop("_active")
+
+
+def observe(raw: DataFrame, rules: RuleSet, payload: str = "payload", most: int = 4000, decide: Decide | None = None) -> DataFrame:
+    """Decided rows of raw payloads; batch or stream. What can't be read has an error class (empty_stdin, bad_stdin_json,
+    bad_stdin_shape) and no decision. Needs a column `seq` that tells rows apart. decide: another way than triage."""
+    return _decided(read_payloads(raw, payload, most), decide or (lambda rows: triage(rows, rules, None, id_col="seq", text="hint")))
+
+
+def _write_decided(rows: DataFrame, decide: Decide, path: str, depth: int = 0) -> list[str]:
+    """Writes the decided rows in folders under path. Where a decision fails, rows are halved by a hash of `seq` until those that
+    fail stand alone; these get the error decide_failed and no decision."""
+    try:
+        _decided(rows, decide).write.mode("overwrite").parquet(path)
+        return [path]
+    except Exception:
+        if depth == SPLITS or rows.limit(2).count() < 2:
+            lost = F.lit(None).cast("string")
+            rows.withColumns({"error": F.coalesce("error", F.lit("decide_failed")), "mode": lost, "domain": lost, "confidence": lost, "action": lost}).write.mode("overwrite").parquet(path)
+            return [path]
+        half = F.pmod(F.xxhash64(F.col("seq"), F.lit(depth)), F.lit(2))
+        return [p for k in (0, 1) for p in _write_decided(rows.filter(half == k), decide, f"{path}-{k}", depth + 1)]
+
 
+def observe_stream(raw: DataFrame, rules: RuleSet, path: str, weak_path: str, checkpoint: str, decide: Decide | None = None, **options) -> StreamingQuery:
+    """Writes decided rows to one ledger and the weak ones to another, in one query; each batch is written once by its number.
 
-def observe_stream(raw: DataFrame, rules: RuleSet, path: str, weak_path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Writes decided rows to one ledger and the weak ones to another, in one query; each batch is written once by its number."""
+    Nothing stops the stream: rows that can't be read or decided have an error class.
+    """
+    decide = decide or (lambda rows: triage(rows, rules, None, id_col="seq", text="hint"))
 
     def both(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         batch.persist()
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        weak_decisions(batch.filter("error IS NULL")).write.mode("overwrite").parquet(f"{weak_path}/batch={number}")
+        # a part of the batch has a folder of its own, so that a repeated batch writes over what it wrote
+        parts = _write_decided(batch, decide, f"{path}/batch={number}/part")
         batch.unpersist()
+        decided = spark.read.option("mergeSchema", "true").parquet(*parts)
+        weak_decisions(decided.filter("error IS NULL")).write.mode("overwrite").parquet(f"{weak_path}/batch={number}")
 
-    return observe(raw, rules).writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).options(**options).start()
+    return read_payloads(raw).writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).options(**options).start()
 
 
 def event_stream(events: DataFrame, counts: Sequence[str] = ()) -> DataFrame:
@@ -50,28 +87,32 @@ def event_stream(events: DataFrame, counts: Sequence[str] = ()) -> DataFrame:
 
 
 class _NewHigh(StatefulProcessor):
-    """Keeps the last n - 1 values of a series."""
+    """Keeps the last n points of a series by (ts, seq), in whatever order they arrive."""
 
     def __init__(self, n: int):
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getListState("tail", "value double")
+        self.tail = handle.getListState("tail", "ts long, seq long, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        points = pd.concat(rows).sort_values(["ts", "seq"])
-        tail = [r[0] for r in self.tail.get()] if self.tail.exists() else []
-        tail = [*tail, *points["value"].astype(float)][-self.n :]
-        self.tail.put([(v,) for v in tail])
-        status = "baseline" if len(tail) == 1 else "new-high" if tail[-1] > max(tail[:-1]) else "flat"
-        yield pd.DataFrame({"series": [key[0]], "status": [status], "latest": [tail[-1]], "prev_max": [max(tail[:-1]) if len(tail) > 1 else None], "points": [len(tail)]})
+        tail = [tuple(r) for r in self.tail.get()] if self.tail.exists() else []
+        for part in rows:  # n points are held, however many a batch has
+            new = zip(part["ts"].tolist(), part["seq"].tolist(), part["value"].astype(float).tolist(), strict=True)
+            tail = nlargest(self.n, [*tail, *new], key=lambda p: p[:2])
+        tail.sort(key=lambda p: p[:2])
+        self.tail.put(tail)
+        *before, latest = [p[2] for p in tail]
+        status = "baseline" if not before else "new-high" if latest > max(before) else "flat"
+        yield pd.DataFrame({"series": [key[0]], "status": [status], "latest": [latest], "prev_max": [max(before) if before else None], "points": [len(tail)]})
 
     def close(self) -> None:
         pass
 
 
 def new_high_stream(points: DataFrame, n: int = 8) -> DataFrame:
-    """(series, status, latest, prev_max, points) for each series of a batch, over its last n points; points: (series, ts, seq, value)."""
+    """(series, status, latest, prev_max, points) for each series of a batch, over its last n points by (ts, seq), both of type
+    long, also where they arrive out of order; points: (series, ts, seq, value)."""
     return points.groupBy("series").transformWithStateInPandas(_NewHigh(n), "series string, status string, latest double, prev_max double, points long", "update", "none")
 
 
