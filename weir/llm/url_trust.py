@@ -26,6 +26,7 @@ from .shared import lower_ascii, materialize
 
 Rule = tuple[str, str, str]  # verdict, host, path prefix
 MAX_RULES = 1000
+LINKS_A_TASK = 200_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -86,15 +87,17 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     steps = materialize(both.join(total, ["kind", "a"]).select("kind", "a", "b", (F.col("w") / F.col("total")).alias("p")), "link-steps")
     start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust"), F.lit("distrust"), F.col("distrust"))).alias("kind", "mass")).filter(F.col("mass") > 0)
     start = materialize(start, "link-seeds")
+    # tasks go by the number of links, so that a small graph isn't a thousand tiny files a round
+    tasks = max(1, -(-steps.count() // LINKS_A_TASK))
     ranks = start
     for i in range(1, (rounds or most_rounds) + 1):
         moved = ranks.withColumnRenamed("host", "a").join(steps, ["kind", "a"]).select(F.col("b").alias("host"), "kind", (damping * F.col("mass") * F.col("p")).alias("mass"))
         given = start.select("host", "kind", ((1 - damping) * F.col("mass")).alias("mass"))
         if i % cut_every and i != rounds:
-            ranks = moved.unionByName(given).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
+            ranks = moved.unionByName(given).groupBy("host", "kind").agg(F.sum("mass").alias("mass")).coalesce(tasks)
             continue
         before = ranks.select("host", "kind", F.lit(0.0).alias("mass"), F.col("mass").alias("before"))
-        now = moved.unionByName(given).withColumn("before", F.lit(0.0)).unionByName(before).groupBy("host", "kind").agg(F.sum("mass").alias("mass"), F.sum("before").alias("before"))
+        now = moved.unionByName(given).withColumn("before", F.lit(0.0)).unionByName(before).groupBy("host", "kind").agg(F.sum("mass").alias("mass"), F.sum("before").alias("before")).coalesce(tasks)
         ranks = materialize(now, "link-ranks")
         moving = ranks.filter(F.abs(F.col("mass") - F.col("before")) > tolerance * F.col("mass"))
         ranks = ranks.select("host", "kind", "mass")
