@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from weir.functions import patterns as P
 from weir.functions import text as X
 from weir.functions.patterns import flex_variants, glob_regex
 from weir.operators import aggregates as A
@@ -194,6 +195,85 @@ def test_html_attributes(spark):
     assert [(r["attrs"], r["text"], r["inner"]) for r in E.html_elements(df, "id", "h", "a", attr="href").collect()] == [({"href": "/x", "class": "k"}, "T b", "T <b>b</b>")]
 
 
+def test_html_locators(spark):
+    page = "<html><body><div id=a class='x y'><p>one <b>two</b></p><p title=t>three</div><ul><li><a href='/k'>k</a><li><a href='http://z'>z</a></ul><br/></body></html>"
+    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, h string")
+    found = lambda locator: [(r["tag"], r["text"]) for r in E.html_elements(df, "id", "h", locator).orderBy("ord").collect()]
+    assert found("#a > p") == [("p", "one two"), ("p", "three")] and found("div.x.y b") == [("b", "two")] and found("body > p") == []
+    assert found("a[href^='/'], b") == [("b", "two"), ("a", "k")] and found("a[href$=z]") == [("a", "z")] and found("p[title]") == [("p", "three")]
+    assert found("xpath://div/p[2]") == [("p", "three")] and found("//a[contains(@href, '://')]") == [("a", "z")] and found("/html/body/ul//a[text()='k']") == [("a", "k")] and found("/body") == []
+    assert [t for t, _ in found("text:two")] == ["html", "body", "div", "p", "b"]
+    r = E.html_elements(df, "id", "h", "css:#a p").orderBy("ord").first()
+    assert (r["inner"], r["outer"]) == ("one <b>two</b>", "<p>one <b>two</b></p>")
+    for bad in ("a + b", "//a[position()<2]", "a[="):
+        with pytest.raises(ValueError):
+            E.html_elements(df, "id", "h", bad)
+
+
+def test_scripts_by_source(spark):
+    df = spark.createDataFrame([(1, "http://p/x", "<script>find me\nno</script><script src='/a.js'></script><script src='/a.js'></script><script async src=/b.js></script><script src=/c.js></script>")], "id int, url string, html string")
+    external = spark.createDataFrame([("/a.js", 200, "x\n  Find it"), ("/b.js", 404, None)], "src string, status int, source string")
+    found, skipped = E.search_sources(df, "find", "id", "url", "html", external=external)
+    assert rows(found, "src", "line_no", "preview") == [("/a.js", 2, "Find it"), (None, 1, "find me")]
+    assert rows(skipped, "src", "reason") == [("/b.js", "http_404"), ("/c.js", "not_loaded")]
+    found, skipped = E.search_sources(df, "find", "id", "url", "html", case=True, most=5)
+    assert found.count() == 0 and rows(skipped, "src", "reason") == [("/a.js", "not_loaded"), ("/b.js", "not_loaded"), ("/c.js", "not_loaded"), (None, "over 5 characters")]
+
+
+def test_fences_within_the_row_equal_the_window(spark):
+    texts = ["a\n```\nb\n\n```\nc", "```\nopen\n", "~~~\n```", "  ``` x\n\ny\n\t~~~ \nz\r\n", "", None, "no\nfence\n", "```", "x\n```", "a\n~~~\n~~~\n```\nq\n```\n\nend"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    within = R.mask_fences(E.lines_of(df, "id", "t", fences=True), "id")
+    assert rows(within, "id", "line_no", "line") == rows(R.mask_fences(E.lines_of(df, "id", "t"), "id"), "id", "line_no", "line")
+    assert E.lines_of(df, "id", "t", fences=True).count() == E.lines_of(df, "id", "t").count()
+
+
+def test_identifiers_of_sections_and_files(spark):
+    text = "## A. First\n1. one\n2. two\n## Other\n3. not\n## B. Second\n7. seven"
+    lines = E.lines_of(spark.createDataFrame([(1, text)], "doc_id int, t string"), "doc_id", "t", fences=True)
+    assert rows(E.id_defs(lines, "none", ["section_list"]), "line_no", "id") == [(2, "A1"), (3, "A2"), (7, "B7")]
+    files = spark.createDataFrame([("x/ADR-12-name.md",), ("x/readme.md",)], "path string")
+    assert rows(E.id_files(files, "[A-Z]+-[0-9]+"), "path", "id", "mode") == [("x/ADR-12-name.md", "ADR-12", "filename")]
+
+
+def test_rows_of_an_index_without_a_marker(spark):
+    text = "| Name | What |\n|---|---|\n| `one` | x |\n| one / two (old) | y |\n| three | removed |\n| four / one | z |\n| 五 | k |\ntext | nine |"
+    lines = E.lines_of(spark.createDataFrame([(1, text)], "doc_id int, t string"), "doc_id", "t")
+    names = spark.createDataFrame([("One",), ("two",)], "name string")
+    assert rows(C.free_rows(lines, names, "removed"), "line_no", "cell") == [(6, "four / one")]
+
+
+def test_package_families(spark):
+    packages = spark.createDataFrame([("a-kit", "d" * 50, ["t"], "# A\n## Compose\n"), ("b-kit", "d" * 50, ["t"], "no title"), ("c", "d" * 50, ["t"], "")], "name string, description string, triggers array<string>, body string")
+    links = spark.createDataFrame([], "name string, target string, dead boolean, outside boolean")
+    files = spark.createDataFrame([("a-kit", "ref/sources.md")], "name string, file string")
+    out = C.package_findings(packages, links, families=[("-kit", "ref/sources.md", "Compose")], files=files)
+    assert rows(out, "name", "level", "issue") == [("b-kit", "I", "family_section"), ("b-kit", "W", "family_file")]
+
+
+def test_ranks_of_groups_with_ties_and_nulls(spark):
+    data = [("a", 5.0)] * 9 + [("a", 1.0), ("a", None), ("b", 3.0), (None, 2.0), (None, 4.0), ("c", None)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(5)
+    got = {r["k"]: (r["p0"], r["p5"], r["p95"]) for r in R.at_ranks(df, "v", ["k"], {"p0": R.nearest_rank(0.0), "p5": R.nearest_rank(0.5), "p95": R.nearest_rank(0.95)}).collect()}
+    want = {}
+    for k in {k for k, _ in data}:
+        if vs := sorted(v for j, v in data if j == k and v is not None):
+            want[k] = tuple(vs[min(len(vs) - 1, int(len(vs) * f))] for f in (0.0, 0.5, 0.95))
+    assert got == want and R.rank_percentile(df.limit(0), "v", 0.5).count() == 0
+
+
+def test_forms_of_terms(spark):
+    for term, form in (("box", "boxes"), ("policy", "policies"), ("policies", "policy"), ("matches", "match"), ("tests", "test"), ("api key", "api keys")):
+        assert form in flex_variants(term)
+    for term in ("a", "ies", "bus", "类", "C++", "x-", "boss", "radii", "status"):
+        assert flex_variants(term)[0] == term and all(v.startswith(term[:-3] or term[:1]) for v in flex_variants(term))
+    texts = ["a box, boxes", "my-box", "the api keys", "类型", "c++ x", "review it", "box_", "", "reviews"]
+    terms = ["box", "api key", "类", "c++", "review", "a", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("r", P.runs_of(F.col("t"), terms))
+    for r in df.select("t", *(P.holds(F.col("t"), F.col("r"), x).alias(f"h{i}") for i, x in enumerate(terms)), *(P.matches(F.col("t"), x).alias(f"m{i}") for i, x in enumerate(terms))).collect():
+        assert [r[f"h{i}"] for i in range(len(terms))] == [r[f"m{i}"] for i in range(len(terms))], r["t"]
+
+
 def test_regex_gate_reports_a_bad_pattern(spark):
     df = spark.createDataFrame([("a.md", "x1\nx2")], "file string, text string")
     out = E.regex_gate(df, [{"id": "g", "pattern": "x."}, {"id": "bad", "pattern": "("}], "file", "text")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import basename, glob_match
@@ -195,8 +196,11 @@ def audit_docs(docs: DataFrame, references: DataFrame, today: Column, states: Se
     return both.select(key, F.explode(issues).alias("issue"))
 
 
-def package_findings(packages: DataFrame, links: DataFrame, max_name: int = 64, min_description: int = 40, max_description: int = 1024, max_lines: int = 500) -> DataFrame:
-    """(name, level, issue) over packages(name, description, triggers, body) and links(name, target, dead, outside)."""
+def package_findings(packages: DataFrame, links: DataFrame, max_name: int = 64, min_description: int = 40, max_description: int = 1024, max_lines: int = 500, families: Sequence[tuple[str, str, str]] = (), files: DataFrame | None = None) -> DataFrame:
+    """(name, level, issue) over packages(name, description, triggers, body) and links(name, target, dead, outside).
+
+    families: (ending of a name, file that such packages have, heading in their body); files: (name, file) of what packages have.
+    """
     lines = F.size(F.split(F.coalesce("body", F.lit("")), "\n"))
     n = F.length(F.coalesce("description", F.lit("")))
     issues = F.array_compact(F.array(
@@ -208,7 +212,14 @@ def package_findings(packages: DataFrame, links: DataFrame, max_name: int = 64,
     ))
     own = packages.select("name", F.explode(issues).alias("i")).select("name", "i.*")
     bad = links.select("name", F.explode(F.array_compact(F.array(F.when(F.col("dead"), "dead_link"), F.when(F.col("outside"), "link_outside")))).alias("issue")).distinct().select("name", F.lit("E").alias("level"), "issue")
-    return own.unionByName(bad)
+    out = own.unionByName(bad)
+    for ending, file, heading in families:
+        family = packages.filter(F.col("name").endswith(ending))
+        if files is not None:
+            out = out.unionByName(family.join(files.filter(F.col("file") == file).select("name").distinct(), "name", "left_anti").select("name", F.lit("W").alias("level"), F.lit("family_file").alias("issue")))
+        titled = F.coalesce(F.col("body").rlike(rf"(?m)^##?\s*.*{re.escape(heading)}"), F.lit(False))
+        out = out.unionByName(family.filter(~titled).select("name", F.lit("I").alias("level"), F.lit("family_section").alias("issue")))
+    return out
 
 
 def candidate_findings(df: DataFrame, today: Column, key: str = "id", name: str = "name", evidence: str = "evidence", status: str = "status", opened: str = "opened_at", max_age: int = 90) -> DataFrame:
@@ -229,6 +240,21 @@ def index_findings(names: Sequence[str], docs: DataFrame, doc_id: str, text: str
     return spark.createDataFrame([(n,) for n in names], "term string").join(hits, "term", "left").na.fill(0, ["docs"])
 
 
+def free_rows(lines: DataFrame, names: DataFrame, marker: str, doc: str = "doc_id", name: str = "name") -> DataFrame:
+    """(doc, line_no, cell): table rows whose first cell names something that isn't registered, and that no marker excuses.
+
+    A cell may name several things, split by '/'; what follows a bracket in a name doesn't count. Header rows (those before a
+    line of dashes) and cells without an ASCII letter are no items.
+    """
+    cell = F.trim(F.regexp_replace(F.regexp_extract("line", r"^\s*\|([^|]*)\|", 1), "[`*]", ""))
+    rows = lines.filter(F.col("line").rlike(r"^\s*\|")).withColumns({"cell": cell, "_next": F.lead("line").over(Window.partitionBy(doc).orderBy("line_no"))})
+    rows = rows.filter(F.col("cell").rlike("[A-Za-z]") & ~F.coalesce(F.col("_next").rlike(r"^\s*\|[\s:|-]+\|\s*$"), F.lit(False)) & ~F.col("line").rlike(marker))
+    key = lambda c: F.lower(F.trim(F.regexp_replace(c, r"[(（].*$", "")))
+    named = rows.select(doc, "line_no", "cell", F.explode(F.filter(F.transform(F.split("cell", "/"), key), lambda x: x != "")).alias("_n"))
+    known = names.select(key(F.col(name)).alias("_n")).distinct()
+    return named.join(known, "_n", "left_anti").select(doc, "line_no", "cell").distinct()
+
+
 def finding_id(gate: Column, file: Column, match: Column) -> Column:
     """Identity of a finding without its line and without its plain text."""
     return F.sha1(F.concat(gate, F.lit("|"), file, F.lit("|"), F.coalesce(F.sha1(match), F.lit(""))))

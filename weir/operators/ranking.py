@@ -195,13 +195,16 @@ def mask_fences(lines: DataFrame, doc: str = "doc_id", n: str = "line_no", text:
     return lines.withColumns({"_fence": fence, "_open": before}).filter(~F.col("_fence") & (F.col("_open") % 2 == 0)).drop("_fence", "_open")
 
 
-def section_items(lines: DataFrame, heading: str, item: str, doc: str = "doc_id", n: str = "line_no", text: str = "line") -> DataFrame:
-    """(doc, line_no, section, item) of lines that fit `item`, with the last heading before them; both patterns have a group."""
+def section_items(lines: DataFrame, heading: str, item: str, doc: str = "doc_id", n: str = "line_no", text: str = "line", reset: str | None = None) -> DataFrame:
+    """(doc, line_no, section, item) of lines that fit `item`, with the last heading before them; both patterns have a group.
+    A line that fits `reset` and not the heading ends the section."""
     head = F.nullif(F.regexp_extract(text, heading, 1), F.lit(""))
+    if reset:
+        head = F.coalesce(head, F.when(F.col(text).rlike(reset), F.lit("")))
     # only headings and items are shuffled
     rows = lines.select(doc, n, head.alias("head"), F.regexp_extract(text, item, 1).alias("item")).filter("head IS NOT NULL OR item <> ''")
     section = F.last("head", ignorenulls=True).over(Window.partitionBy(doc).orderBy(n).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("section", section).filter("item <> '' AND section IS NOT NULL").select(doc, n, "section", "item")
+    return rows.withColumn("section", section).filter("item <> '' AND section <> ''").select(doc, n, "section", "item")
 
 
 def seconds(ts: Column) -> Column:

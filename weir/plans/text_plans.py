@@ -198,9 +198,21 @@ def x21_indicators(spark, sf_dir):
     return out.select("kind", "indicator", "confidence", "docs", "hits", "doc", F.md5(F.col("evidence").cast("binary")).alias("evidence"))
 
 
-@query("SELECT page_id, CAST(0 AS INTEGER) AS ord, regexp_extract(html, '<title>([^<]*)</title>', 1) AS inner FROM pages WHERE html LIKE '%<title>%'")
+LOCATORS = {"tag": "title", "css": "css:head > title", "path": "xpath://head/title[1]", "links": "nav li a[href^='/']"}
+
+
+@query(r"""
+WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS inner FROM pages WHERE html LIKE '%<title>%'),
+l AS (SELECT page_id, unnest(x) AS outer, CAST(unnest(range(0, len(x))) AS INTEGER) AS ord FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="/[^"]*">[^<]*</a>') AS x FROM pages))
+SELECT page_id, locator, CAST(0 AS INTEGER) AS ord, inner, '<title>' || inner || '</title>' AS outer FROM t, (SELECT unnest(['tag', 'css', 'path']) AS locator)
+UNION ALL SELECT page_id, 'links', ord, regexp_extract(outer, '>([^<]*)<', 1), outer FROM l
+""")
 def x22_html_elements(spark, sf_dir):
-    return E.html_elements(t(spark, sf_dir, "pages"), "page_id", "html", "title").select("page_id", "ord", "inner")
+    out = None
+    for name, locator in LOCATORS.items():
+        found = E.html_elements(t(spark, sf_dir, "pages"), "page_id", "html", locator).select("page_id", F.lit(name).alias("locator"), "ord", "inner", "outer")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query(r"""SELECT page_id, len(regexp_extract_all(html, '<a href="')) AS n_links FROM pages WHERE html LIKE '%<a href="%'""")
