@@ -19,8 +19,8 @@ r(node, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT node, y FRO
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM (SELECT node AS doc_id, min(other) AS component_id FROM r GROUP BY 1) LEFT JOIN n USING (doc_id)
 """
 
-#: op8: every window of every document against the distinct windows of the items.
-DECONTAMINATION = rf"""
+#: Benchmark windows, document words, and the items and words hit.
+_HITS = rf"""
 WITH b AS (SELECT item_id, list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 v AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 13 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' ')) END) AS s FROM b),
 k AS (SELECT DISTINCT len(string_split(s, ' ')) AS n FROM v),
@@ -29,9 +29,26 @@ g AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, k WHERE
 h AS (SELECT doc_id, i, n, item_id FROM (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS s FROM g) JOIN v USING (s)),
 c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT doc_id, i, n FROM h)) GROUP BY 1),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY 1)
+"""
+
+#: op8: every window of every document against the distinct windows of the items.
+DECONTAMINATION = _HITS + """
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+#: near_matches: every stretch of 16 words around a phrase's rarest word against all its words.
+NEAR_MATCHES = _HITS + """
+, q AS (SELECT s, list_distinct(string_split(s, ' ')) AS terms FROM (SELECT DISTINCT s FROM v)),
+f AS (SELECT word, count(*) AS df FROM (SELECT unnest(w) AS word FROM d) GROUP BY 1),
+u AS (SELECT s, arg_min(term, df) AS rare FROM (SELECT s, unnest(terms) AS term FROM q) LEFT JOIN f ON word = term GROUP BY s HAVING count(*) = count(df)),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+z AS (SELECT doc_id, s, pos - o AS first FROM p JOIN u ON word = rare, (SELECT unnest(range(0, 16)) AS o)),
+n AS (SELECT DISTINCT z.doc_id, z.s FROM z JOIN d USING (doc_id) JOIN q USING (s) WHERE list_has_all(d.w[greatest(first, 1):first + 15], terms)),
+m AS (SELECT doc_id, count(*) AS n_near, string_agg(x, ',' ORDER BY x) AS near_items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM n JOIN v USING (s)) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(n_near, 0) AS n_near, coalesce(near_items, '') AS near_items, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
 
 def line_rules(rules: LineRules = LineRules()) -> str:
     """op10: windows as rows, lines as rows."""

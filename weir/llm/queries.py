@@ -88,7 +88,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-def op8_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near matches of every document, beside what op8_decontamination (whose columns its SQL fixes) has."""
     from .decontamination import decontaminate
 
@@ -110,11 +110,11 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_trust, op2_pseudonyms, op3_language_id, op4_toxicity, op5_token_counts, op6_quality, op7_near_duplicates, op8_decontamination, op8_near_matches, op9_bpe_codec, op10_line_rules)}
+    return {f.__name__: f for f in (op1_url_trust, op2_pseudonyms, op3_language_id, op4_toxicity, op5_token_counts, op6_quality, op7_near_duplicates, op8_decontamination, near_matches, op9_bpe_codec, op10_line_rules)}
 
 
 def oracle_sql() -> dict:
     """The others rest on trained models, keyed permutations, BPE merges or iterated ranks, which SQL can't express."""
     from . import oracles
 
-    return {"op7_near_duplicates": oracles.NEAR_DUPLICATES, "op8_decontamination": oracles.DECONTAMINATION, "op10_line_rules": oracles.line_rules()}
+    return {"op7_near_duplicates": oracles.NEAR_DUPLICATES, "op8_decontamination": oracles.DECONTAMINATION, "near_matches": oracles.NEAR_MATCHES, "op10_line_rules": oracles.line_rules()}
