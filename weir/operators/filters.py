@@ -39,21 +39,21 @@ def truncate_bodies(df: DataFrame, max_chars: int, body: str = "body") -> DataFr
 
 # Prompts, prefixes and patterns of texts that aren't requests.
 SKIP_EXACT = ["ok", "继续", "好", "嗯", "做", "是", "对", "行", "可以", "y", "yes", "go", "next"]
-SKIP_PREFIX = ["This session is being continued", "Caveat:", "<command-", "<local-command", "<system-reminder", "SessionStart:", "Continue", "<claude-mem"]
+SKIP_PREFIX = ["This session is being continued", "Caveat:", "<command-", "<local-command", "<system-reminder", "SessionStart:", "Continue"]
 NOISE = [
     r"^<task-notification>",
-    r"Another Claude session sent a message|<agent-message",
+    r"Another \w+ session sent a message|<agent-message|^<\w+-mem",
     r"^Skill /\S+ is already loaded|^Base directory for this skill:",
     r"Background agent .+ was (stopped|started)|^Stop hook feedback|tool-use-id|^\[Request interrupted by user",
     r"^Exit code: \d+",
 ]
 
 
-def clean_hints(df: DataFrame, text: str = "text", out: str = "hint", least: int = 10, most: int = 4000) -> DataFrame:
+def clean_hints(df: DataFrame, text: str = "text", out: str = "hint", least: int = 10, most: int = 4000, prefixes: Sequence[str] = SKIP_PREFIX, noise: Sequence[str] = NOISE) -> DataFrame:
     """Rows whose trimmed text is a request: not on the skip lists, 10 to 4000 characters, no bare path or command, no noise."""
     t = F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")
-    bad = t.isin(*SKIP_EXACT) | reduce(lambda a, b: a | b, (t.startswith(p) for p in SKIP_PREFIX))
-    bad = bad | ~F.length(t).between(least, most) | t.rlike(r"^[\p{L}\p{N}_\-./\\: ]+$") | reduce(lambda a, b: a | b, (F.left(t, F.lit(400)).rlike(p) for p in NOISE))
+    bad = t.isin(*SKIP_EXACT) | reduce(lambda a, b: a | b, (t.startswith(p) for p in prefixes), F.lit(False))
+    bad = bad | ~F.length(t).between(least, most) | t.rlike(r"^[\p{L}\p{N}_\-./\\: ]+$") | reduce(lambda a, b: a | b, (F.left(t, F.lit(400)).rlike(p) for p in noise), F.lit(False))
     return df.filter(F.col(text).isNotNull()).withColumn(out, t).filter(~bad)
 
 

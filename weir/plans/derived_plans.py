@@ -177,7 +177,7 @@ def _markdown(spark, sf_dir):
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS items, sum(length(regexp_extract(line, '^([A-Za-z]+)', 1))) AS chars FROM l WHERE regexp_matches(line, '^[A-Za-z]{2}') GROUP BY 1")
 def x10_toc_items(spark, sf_dir):
-    items = E.toc_items(E.lines_of(_markdown(spark, sf_dir), "doc_id", "text"))
+    items = E.toc_items(E.lines_of(_markdown(spark, sf_dir), "doc_id", "text", fences=True))
     name = lambda x: F.length(F.regexp_extract(x, r"\(#(.*)\)$", 1))
     return items.select("doc_id", F.size("items").cast("long").alias("items"), F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + name(x)).alias("chars"))
 
@@ -190,7 +190,7 @@ def x11_doc_headers(spark, sf_dir):
 
 @query("SELECT doc_id, source || '.md' AS target, 'inline' AS style FROM documents UNION ALL SELECT doc_id, '../x/' || source || '.md', 'reference' FROM documents")
 def x13_extract_links(spark, sf_dir):
-    return E.extract_links(E.lines_of(_markdown(spark, sf_dir), "doc_id", "text")).select("doc_id", "target", "style")
+    return E.extract_links(E.lines_of(_markdown(spark, sf_dir), "doc_id", "text", fences=True)).select("doc_id", "target", "style")
 
 
 @query("SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS review_after, CAST(o_orderdate AS DATE) <= DATE '1998-01-01' AS due FROM orders")

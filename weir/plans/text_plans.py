@@ -202,15 +202,15 @@ LOCATORS = {"tag": "title", "css": "css:head > title", "path": "xpath://head/tit
 
 
 @query(r"""
-WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS inner FROM pages WHERE html LIKE '%<title>%'),
-l AS (SELECT page_id, unnest(x) AS outer, CAST(unnest(range(0, len(x))) AS INTEGER) AS ord FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="/[^"]*">[^<]*</a>') AS x FROM pages))
-SELECT page_id, locator, CAST(0 AS INTEGER) AS ord, inner, '<title>' || inner || '</title>' AS outer FROM t, (SELECT unnest(['tag', 'css', 'path']) AS locator)
-UNION ALL SELECT page_id, 'links', ord, regexp_extract(outer, '>([^<]*)<', 1), outer FROM l
+WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS inside FROM pages WHERE html LIKE '%<title>%'),
+l AS (SELECT page_id, unnest(x) AS whole, CAST(unnest(range(0, len(x))) AS INTEGER) AS ord FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="/[^"]*">[^<]*</a>') AS x FROM pages))
+SELECT page_id, locator, CAST(0 AS INTEGER) AS ord, inside, '<title>' || inside || '</title>' AS whole FROM t, (SELECT unnest(['tag', 'css', 'path']) AS locator)
+UNION ALL SELECT page_id, 'links', ord, regexp_extract(whole, '>([^<]*)<', 1), whole FROM l
 """)
 def x22_html_elements(spark, sf_dir):
     out = None
     for name, locator in LOCATORS.items():
-        found = E.html_elements(t(spark, sf_dir, "pages"), "page_id", "html", locator).select("page_id", F.lit(name).alias("locator"), "ord", "inner", "outer")
+        found = E.html_elements(t(spark, sf_dir, "pages"), "page_id", "html", locator).select("page_id", F.lit(name).alias("locator"), "ord", F.col("inner").alias("inside"), F.col("outer").alias("whole"))
         out = found if out is None else out.unionByName(found)
     return out
 
