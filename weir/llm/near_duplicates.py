@@ -19,7 +19,7 @@
 A pair at the threshold is missed with a probability of about (1 - 0.48)^12, 0.04 %, in the deepest nodes, and
 (1 - 0.53)^12, 0.01 %, in others; more alike pairs far less. A candidate agrees in 55 % of the signature's places; a
 pair at the threshold fails that with a probability of about 1e-7, far below what the trees miss. Nothing is collected
-to the driver; a group that is collected to a task holds `leaf` rows.
+to the driver; a group that is collected to a task holds `leaf` rows, or two sides of 5 `leaf` rows at most in step 4.
 
 Cases: ids are of any type that can be sorted; null and empty texts have an empty set, link with nothing and stay; a
 text of fewer than `width` words is one shingle; rows of one doc_id are one document: their texts are linked; rows
@@ -42,6 +42,7 @@ from .token_counts import slices
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CACHE = 100_000  # words whose hashes a worker keeps
+CELL = 1_000_000  # shingles of a side that are compared at once
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
 
@@ -382,19 +383,19 @@ def links(reps: DataFrame, texts: DataFrame, setup: JoinSetup = JoinSetup()) ->
     if not missing.isEmpty():
         sets = sets.unionByName(_full_sets(texts, missing, owners, setup))
     comps = components(found)
-    again = again.join(sets.select("rep"), "rep", "left_semi").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    again = again.join(sets.select("rep", "n"), "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     again = materialize(again.withColumn("comp", F.coalesce("component", "rep")).drop("component"), "second-look")
     # outside a node's main component: few, and compared with every block of it. One row a node, written, so that the
-    # joins of a large node's rows with it can be split
-    sizes = again.groupBy("node", "comp").agg(F.count("*").alias("c"))
-    nodes = sizes.groupBy("node").agg(F.max(F.struct("c", (-F.col("comp")).alias("back"))).alias("top"), F.sum("c").alias("all"))
-    nodes = nodes.select("node", (-F.col("top.back")).alias("main"), F.ceil((F.col("all") - F.col("top.c")) / leaf).cast("long").alias("u_blocks")).filter("u_blocks > 0")
+    # joins of a large node's rows with it can be split. Blocks have as many rows as have CELL shingles together.
+    sizes = again.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    nodes = sizes.groupBy("node").agg(F.max(F.struct("c", (-F.col("comp")).alias("back"))).alias("top"), F.sum("c").alias("all"), F.sum("s").alias("s"))
+    nodes = nodes.withColumn("cell", F.greatest(F.lit(leaf), F.least(F.lit(5 * leaf), F.floor(F.lit(CELL) * F.col("all") / F.col("s")))))
+    nodes = nodes.select("node", (-F.col("top.back")).alias("main"), "cell", F.ceil((F.col("all") - F.col("top.c")) / F.col("cell")).cast("long").alias("u_blocks")).filter("u_blocks > 0")
     nodes = materialize(nodes, "second-look-nodes")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    cells = again.join(nodes, "node")
-    blocks = F.when(dense, F.ceil(F.col("size") / leaf)).otherwise(F.lit(1)).cast("long")
-    side0 = cells.withColumn("u", each(F.col("u_blocks"))).select("node", "block", "u", "rep", "comp", F.lit(0).alias("side"))
-    side1 = cells.filter("comp <> main").withColumns({"u": F.pmod(F.xxhash64("rep", F.lit(1)), "u_blocks"), "block": each(blocks)}).select("node", "block", "u", "rep", "comp", F.lit(1).alias("side"))
+    cells = again.join(nodes, "node").withColumn("blocks", F.when(dense, F.ceil(F.col("size") / F.col("cell"))).otherwise(F.lit(1)).cast("long"))
+    side0 = cells.withColumns({"u": each(F.col("u_blocks")), "block": F.pmod(F.xxhash64("rep", F.lit(0)), "blocks")}).select("node", "block", "u", "rep", "comp", F.lit(0).alias("side"))
+    side1 = cells.filter("comp <> main").withColumns({"u": F.pmod(F.xxhash64("rep", F.lit(1)), "u_blocks"), "block": each(F.col("blocks"))}).select("node", "block", "u", "rep", "comp", F.lit(1).alias("side"))
     second = side0.unionByName(side1).join(sets.hint("merge"), "rep").groupBy("node", "block", "u").agg(F.collect_list(F.struct("rep", "n", "sig", "comp", "side", "shingles")).alias("members"))
     return found.unionByName(_pairs_in(second, setup, across=True).select("a", "b").distinct())
 

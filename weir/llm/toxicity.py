@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import bounded_sample
-from .shared import map_column, map_parts, materialize, text_rows, with_column
+from .shared import map_column, map_parts, materialize, text_rows, tidy, with_column
 from .token_counts import slices
 
 THRESHOLD = 0.3  # of the score, for the verdict
@@ -285,16 +285,16 @@ class ToxicityModel:
         return score
 
 
-def _fit(rows: list[list[int]], y: np.ndarray, size: int, setup: ToxicitySetup) -> tuple[np.ndarray, float]:
+def _fit(lengths: np.ndarray, cols: np.ndarray, y: np.ndarray, size: int, setup: ToxicitySetup) -> tuple[np.ndarray, float]:
     """Logistic regression on presence features with a squared penalty: accelerated gradient steps, each scaled by a bound of its curvature."""
-    lengths = np.array([len(r) for r in rows])
-    at, cols = np.repeat(np.arange(len(rows)), lengths), np.array([i for r in rows for i in r], dtype=np.int64)
+    n = len(lengths)
+    at = np.repeat(np.arange(n), lengths)
     curvature = np.r_[0.25 * np.bincount(cols, weights=lengths[at] + 1.0, minlength=size) + setup.penalty, 0.25 * (lengths + 1.0).sum()]
     w = np.zeros(size + 1)
     w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     ahead, t = w.copy(), 1.0
     for _ in range(setup.rounds):
-        z = ahead[-1] + np.bincount(at, weights=ahead[cols], minlength=len(rows))
+        z = ahead[-1] + np.bincount(at, weights=ahead[cols], minlength=n)
         gap = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         slope = np.r_[np.bincount(cols, weights=gap[at], minlength=size) + setup.penalty * ahead[:-1], gap.sum()]
         new = ahead - slope / curvature
@@ -340,8 +340,8 @@ def train(docs: DataFrame, labels: DataFrame, setup: ToxicitySetup = ToxicitySet
     share = F.col("n1") / n
     term = lambda c, p, q: F.when(c > 0, c * F.log(p / q)).otherwise(0.0)
     ratio = 2 * (term(F.col("n1"), share, F.lit(base)) + term(F.col("n0"), 1 - share, F.lit(1 - base)))
-    best = counted.filter(share > base).withColumn("ratio", ratio).filter(F.col("ratio") >= setup.least_evidence).orderBy(F.desc("ratio"), "feature").collect()  # of the bounded sample
-    chosen = {r["feature"]: k for k, r in enumerate(best)}
+    best = counted.filter(share > base).withColumn("ratio", ratio).filter(F.col("ratio") >= setup.least_evidence).orderBy(F.desc("ratio"), "feature").select("feature").toArrow()  # of the bounded sample
+    chosen = {f: k for k, f in enumerate(best["feature"].to_pylist())}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(shared.value, setup, chosen)
@@ -349,8 +349,12 @@ def train(docs: DataFrame, labels: DataFrame, setup: ToxicitySetup = ToxicitySet
             has = [sorted(features.of_text(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(has, pa.list_(pa.int32()))], names=["label", "has"])
 
-    picked = map_parts(rows, "text", pick, "label int, has array<int>").collect()  # the bounded sample, a few ids a row
-    w, b = _fit([list(r["has"]) for r in picked], np.array([float(r["label"] == 1) for r in picked]), len(chosen), setup)
+    picked = map_parts(rows, "text", pick, "label int, has array<int>").toArrow()  # the bounded sample, a few ids a row
+    has = pa.concat_arrays(picked["has"].chunks) if picked.num_rows else pa.array([], pa.list_(pa.int32()))
+    y = (picked["label"].to_numpy() == 1).astype(np.float64)
+    w, b = _fit(np.diff(has.offsets.to_numpy()), has.values.to_numpy()[has.offsets[0].as_py() :].astype(np.int64), y, len(chosen), setup)
+    del picked, has
+    tidy()
     return ToxicityModel(grams, setup, chosen, w, b)
 
 
