@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from math import sqrt
 
@@ -47,11 +47,12 @@ class LanguageSetup:
     smoothing: float = 0.1  # added to each count
 
 
-def _key(word: str) -> int:
-    """Spark's xxhash64 of a string."""
+def _keys(words: Iterable[str], count: int) -> np.ndarray:
+    """Spark's xxhash64 of strings, as uint64."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(word.encode(), SEED)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w.encode(), SEED) for w in words), dtype=np.uint64, count=count)
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -73,16 +74,17 @@ class Frequencies:
         totals = np.bincount(languages, weights=counts, minlength=n_languages)
         self.base = np.log(smoothing / (totals + smoothing * max(1, len(self.keys)))).astype(np.float32)
 
-    def rows(self, keys: list[int]) -> np.ndarray:
-        """(known keys, languages): the log frequencies of those of the keys that are known."""
-        wanted = np.array(keys, dtype=np.uint64)
-        at = np.minimum(np.searchsorted(self.keys, wanted), max(0, len(self.keys) - 1))
-        at = at[self.keys[at] == wanted] if len(self.keys) else at[:0]
-        out = np.tile(self.base, (len(at), 1))
-        for row, k in enumerate(at):
-            a, b = self.starts[k], self.starts[k + 1]
-            out[row, self.languages[a:b]] += self.gains[a:b]
-        return out
+    def sums(self, keys: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """((n, languages) sums of the log frequencies of each owner's known keys, the number of these)."""
+        width = len(self.base)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        at, owners = at[known], owners[known]
+        found = np.bincount(owners, minlength=n)
+        many = self.starts[at + 1] - self.starts[at]
+        entries = np.repeat(self.starts[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        gains = np.bincount(np.repeat(owners, many) * width + self.languages[entries], weights=self.gains[entries], minlength=n * width)
+        return gains.reshape(n, width) + found[:, None] * self.base[None, :], found
 
 
 class LanguageModel:
@@ -94,44 +96,57 @@ class LanguageModel:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("known", "table", "used")}
 
-    def row(self, word: str) -> np.ndarray:
-        """A word's score in each language; zeros where nothing is known of it."""
-        found = self.words.rows([_key(word)])
-        weight = 1.0
-        if not len(found):
-            weight = self.setup.unknown_weight
-            for n in range(min(self.setup.longest, len(word) + 2), 0, -1):
-                if len(found := self.grams.rows([_key(g) for g in grams_of(word, n)])):
-                    break
-        if not len(found):
-            return np.zeros(len(self.languages), dtype=np.float32)
-        mean = found.mean(axis=0)
-        return (mean - mean.mean()) * weight
+    def rows(self, words: list[str]) -> np.ndarray:
+        """(words, languages): each word's score in each language; zeros where nothing is known of it."""
+        n = len(words)
+        out, found = self.words.sums(_keys(words, n), np.arange(n), n)
+        known = found > 0
+        todo = np.flatnonzero(~known)
+        for size in range(self.setup.longest, 0, -1):
+            if not len(todo):
+                break
+            grams = [grams_of(words[i], size) for i in todo]
+            owners = np.repeat(np.arange(len(todo)), [len(g) for g in grams])
+            sums, some = self.grams.sums(_keys((g for of in grams for g in of), len(owners)), owners, len(todo))
+            hit = some > 0
+            out[todo[hit]] = sums[hit] / some[hit][:, None] * self.setup.unknown_weight
+            known[todo[hit]] = True
+            todo = todo[~hit]
+        out -= out.mean(axis=1, keepdims=True)
+        out[~known] = 0
+        return out.astype(np.float32)
+
+    def predict_many(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text. Words that weren't met before are looked up together."""
+        width = len(self.languages)
+        if not width:
+            return [("und", 0.0)] * len(texts)
+        if not hasattr(self, "known") or self.used * width * 4 > CACHE:
+            self.known, self.table, self.used = {}, np.zeros((1024, width), dtype=np.float32), 0
+        known = self.known
+        counted = [Counter(WORD.findall(t.lower())) if t else Counter() for t in texts]
+        new = list(dict.fromkeys(w for counts in counted for w in counts if w not in known))
+        if new:
+            if self.used + len(new) > len(self.table):
+                self.table = np.vstack([self.table, np.zeros((len(self.table) + len(new), width), dtype=np.float32)])
+            self.table[self.used : self.used + len(new)] = self.rows(new)
+            known.update(zip(new, range(self.used, self.used + len(new)), strict=True))
+            self.used += len(new)
+        out = []
+        for counts in counted:
+            if not any(c.isalpha() for w in counts for c in w):
+                out.append(("und", 0.0))
+                continue
+            times = 1 + np.log(np.fromiter(counts.values(), dtype=np.float32, count=len(counts)))
+            total = times @ self.table[[known[w] for w in counts]]
+            if not np.any(total):
+                total = np.asarray(self.prior, dtype=np.float32)
+            best = int(np.argmax(total))
+            out.append((self.languages[best], float(1 / np.exp(np.clip(total - total[best], -60, 0)).sum())))
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
-        if not self.languages or not any(c.isalpha() for w in words for c in w):
-            return "und", 0.0
-        if not hasattr(self, "known") or self.used * len(self.languages) * 4 > CACHE:
-            self.known, self.table, self.used = {}, np.zeros((1024, len(self.languages)), dtype=np.float32), 0
-        counts = Counter(words)
-        if self.used + len(counts) > len(self.table):
-            self.table = np.vstack([self.table, np.zeros((len(self.table) + len(counts), len(self.languages)), dtype=np.float32)])
-        at = []
-        for w in counts:
-            i = self.known.get(w)
-            if i is None:
-                i = self.known[w] = self.used
-                self.table[i] = self.row(w)
-                self.used += 1
-            at.append(i)
-        times = 1 + np.log(np.fromiter(counts.values(), dtype=np.float32, count=len(counts)))
-        total = times @ self.table[at]
-        if not np.any(total):
-            total = np.asarray(self.prior, dtype=np.float32)
-        best = int(np.argmax(total))
-        odds = np.exp(np.clip(total - total[best], -60, 0))
-        return self.languages[best], float(1 / odds.sum())
+        return self.predict_many([text])[0]
 
 
 def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
@@ -188,7 +203,7 @@ def _handed_on(held: dict[str, Counter], name: str, keys: Callable[[list[str]],
 def _gram_counts(words: DataFrame, longest: int) -> DataFrame:
     """(lang, key, n) of all n-grams of (lang, word, n). A word's n-grams count by the root of its number: frequent words don't drown the rest."""
 
-    hashed = lambda grams: pa.array(np.fromiter(map(_key, grams), dtype=np.uint64, count=len(grams)).view(np.int64))
+    hashed = lambda grams: pa.array(_keys(grams, len(grams)).view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
@@ -226,10 +241,10 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        one = shared.value.predict
+        predict_many = shared.value.predict_many
 
         def work(values: list) -> dict[str, pa.Array]:
-            found = [one(t) for t in values]
+            found = predict_many(values)
             return {"lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([y for _, y in found], pa.float64())}
 
         return work
