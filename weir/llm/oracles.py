@@ -69,3 +69,30 @@ o AS (SELECT doc_id, len(w) AS n_words, coalesce(chars, 0) AS word_chars, {symbo
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed,
   NOT (n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words) AND share >= {1 - rules.max_lost_share} AS kept, round(share, 6) AS kept_share FROM o
 """
+
+#: op12: all phrases as rows, their cuts, and the longer phrases that have them.
+COLLOCATIONS = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+g AS (SELECT lang, array_to_string(w[i:i+k-1], ' ') AS phrase, k FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY 1),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, k AS size, f AS a FROM f WHERE k > 1),
+x AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k+1:], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+s AS (SELECT x.lang, x.phrase, a, x.k, l.f AS l, r.f AS r, CAST(CAST(a AS HUGEINT) * 2000000 // (l.f + r.f) AS BIGINT) AS score FROM x JOIN f l ON l.lang = x.lang AND l.phrase = first JOIN f r ON r.lang = x.lang AND r.phrase = rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[i:i+k-1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, w, a, size, k, unnest(range(1, size - k + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS k) WHERE k < size) GROUP BY 1, 2),
+t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT t.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000
+"""
+
+#: op13: the score of every anchor with every other row.
+HARD_NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda v: floor(256 * CAST(v AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, o.vec_id AS id, a.label = o.label AS same, CAST(list_inner_product(a.x, o.x) AS BIGINT) AS score FROM e a JOIN e o ON a.vec_id <> o.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3
+"""

@@ -109,12 +109,32 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("kept_share", 6).alias("kept_share"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import mine
+
+    return mine(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, "vec_id", label, F.col("embedding"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_trust, op2_pseudonyms, op3_language_id, op4_toxicity, op5_token_counts, op6_quality, op7_near_duplicates, op8_decontamination, near_matches, op9_bpe_codec, op10_line_rules)}
+    numbered = (op1_url_trust, op2_pseudonyms, op3_language_id, op4_toxicity, op5_token_counts, op6_quality, op7_near_duplicates, op8_decontamination, near_matches, op9_bpe_codec, op10_line_rules, op11_packing, op12_collocations, op13_hard_negatives)
+    return {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict:
-    """The others rest on trained models, keyed permutations, BPE merges or iterated ranks, which SQL can't express."""
+    """The others rest on trained models, keyed permutations, BPE merges, online packing or iterated ranks, which SQL can't express."""
     from . import oracles
 
-    return {"op7_near_duplicates": oracles.NEAR_DUPLICATES, "op8_decontamination": oracles.DECONTAMINATION, "near_matches": oracles.NEAR_MATCHES, "op10_line_rules": oracles.line_rules()}
+    return {"op7_near_duplicates": oracles.NEAR_DUPLICATES, "op8_decontamination": oracles.DECONTAMINATION, "near_matches": oracles.NEAR_MATCHES, "op10_line_rules": oracles.line_rules(), "op12_collocations": oracles.COLLOCATIONS, "op13_hard_negatives": oracles.HARD_NEGATIVES}
