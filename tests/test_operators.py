@@ -9,7 +9,7 @@ from weir.functions import patterns as P
 from weir.functions import text as X
 from weir.functions.patterns import flex_variants, glob_regex
 from weir.operators import aggregates as A
-from weir.operators import checks, contracts as C, decide as D, extract as E, filters as L, graph as G, joins as J, ranking as R
+from weir.operators import checks, contracts as C, decide as D, docclass as DC, extract as E, filters as L, graph as G, joins as J, ranking as R
 from weir.sources import io as IO
 
 
@@ -244,11 +244,12 @@ def test_rows_of_an_index_without_a_marker(spark):
 
 
 def test_package_families(spark):
-    packages = spark.createDataFrame([("a-kit", "d" * 50, ["t"], "# A\n## Compose\n"), ("b-kit", "d" * 50, ["t"], "no title"), ("c", "d" * 50, ["t"], "")], "name string, description string, triggers array<string>, body string")
-    links = spark.createDataFrame([], "name string, target string, dead boolean, outside boolean")
-    files = spark.createDataFrame([("a-kit", "ref/sources.md")], "name string, file string")
+    said = "use when, for this, and that"
+    packages = spark.createDataFrame([("a-kit", "a-kit", said, "# A\n## Compose\n"), ("b-kit", "b-kit", said, "no title"), ("ccc", "ccc", said, "")], "folder string, name string, description string, body string")
+    links = spark.createDataFrame([], "folder string, target string, dead boolean, outside boolean")
+    files = spark.createDataFrame([("a-kit", "ref/sources.md")], "folder string, file string")
     out = C.package_findings(packages, links, families=[("-kit", "ref/sources.md", "Compose")], files=files)
-    assert rows(out, "name", "level", "issue") == [("b-kit", "I", "family_section"), ("b-kit", "W", "family_file")]
+    assert rows(out, "folder", "level", "issue") == [("b-kit", "I", "family_section"), ("b-kit", "W", "family_file")]
 
 
 def test_ranks_of_groups_with_ties_and_nulls(spark):
@@ -332,24 +333,46 @@ def test_annotate_and_normalize(spark):
 
 
 SPEC = [
-    {"class": "adr", "path": ["adr/**"], "required": ["id", "status"], "freshness": ["date", "updated"], "state": {"field": "status", "values": ["proposed", "accepted"], "tolerated": ["old"]}, "fields": [{"field": "id", "equals_stem": True}], "when": [{"field": "status", "eq": "accepted", "require": "by", "message": "{value} needs {field}"}, {"field": "status", "notIn": ["accepted"], "before": "review"}]},
-    {"class": "note", "name": ["*.md"], "header": "warn"},
-]
+    {
+        "class": "adr", "match": {"path": ["adr/**"], "name": "*.md"}, "header": "warn", "required": ["id", "status"], "freshness": {"anyOf": ["date", "updated"]}, "states": {"field": "status", "vocab": ["proposed", "accepted"], "tolerate": ["old"]},
+        "fields": {"id": {"equalsFilenameStem": True}, "kind": {"vocab": ["x"], "tolerate": ["y"]}},
+        "conditional": [
+            {"when": {"status": "accepted"}, "require": "by", "msg": "{when.status} needs {field}"}, {"when": {"status": {"notIn": ["accepted"]}}, "check": {"review": {"lt-date": "today"}}, "level": "warn"},
+            {"when": {"kind": "x", "status": {"notIn": ["proposed"]}}, "require": ["a", "b"]},
+        ],
+    },
+    {"class": "note", "match": {"any": [{"path": ["n/**"], "notPath": ["n/skip/**"]}, {"exactPath": ["top.md"]}, {"any": [{"name": "deep*"}]}]}},
+]
 
 
 def test_docclass(spark):
     docs = spark.createDataFrame(
-        [("adr/a1.md", {"id": "a1", "status": "accepted", "date": "2024-01-01"}), ("adr/a2.md", {"id": "zz", "status": "odd", "updated": "2024-01-01", "review": "2020-01-01"}), ("adr/a3.md", {"id": "a3", "status": "proposed", "date": "x", "review": "2020-01-01"}), ("adr/a4.md", None), ("n/x.md", None), ("y.txt", None), ("adr/a5.md", {"id": "a5", "status": "old", "date": "2024-01-01"})],
+        [
+            ("adr/a1.md", {"id": "a1", "status": "accepted", "date": "", "by": ""}), ("adr/a2.md", {"id": "zz", "status": "odd", "updated": "2024-01-01", "review": "2020-01-01"}), ("adr/a3.md", {"id": "a3", "status": "proposed", "review": "2020-01-01"}),
+            ("adr/a4.md", None), ("adr/a5.md", {"id": "a5", "status": "old", "date": "x", "kind": "x", "b": "1", "review": "soon"}), ("adr/a6.md", {}), ("adr/a7.md", {"id": "", "status": "", "date": "x", "kind": "z"}), ("n/x.md", None), ("adr/a.txt", None),
+        ],
         "rel string, fields map<string,string>",
-    )
-    got = C.docclass_findings(docs, SPEC, F.lit("2024-06-01").cast("date"))
-    assert rows(got, "rel", "rule", "level") == [
-        ("adr/a1.md", "conditional", "error"), ("adr/a2.md", "field", "error"), ("adr/a2.md", "state", "error"), ("adr/a3.md", "freshness", "error"), ("adr/a3.md", "overdue", "warn"),
-        ("adr/a4.md", "header-missing", "error"), ("adr/a5.md", "state-tolerated", "warn"), ("n/x.md", "header-missing", "warn"),
+    )
+    got = DC.docclass_findings(docs, SPEC, F.lit("2024-06-01").cast("date"))
+    assert rows(got, "rel", "rule", "level", "field") == [
+        ("adr/a1.md", "conditional", "error", "by"), ("adr/a2.md", "states", "error", "status"), ("adr/a2.md", "stem", "error", "id"), ("adr/a3.md", "conditional-check", "warn", "review"), ("adr/a3.md", "freshness", "error", ""),
+        ("adr/a4.md", "freshness", "error", ""), ("adr/a4.md", "header", "warn", ""), ("adr/a4.md", "required", "error", "id"), ("adr/a4.md", "required", "error", "status"), ("adr/a5.md", "conditional", "error", "a"),
+        ("adr/a6.md", "freshness", "error", ""), ("adr/a6.md", "required", "error", "id"), ("adr/a6.md", "required", "error", "status"),
+        ("adr/a7.md", "required", "error", "id"), ("adr/a7.md", "required", "error", "status"), ("adr/a7.md", "states", "error", "status"), ("adr/a7.md", "stem", "error", "id"), ("adr/a7.md", "vocab", "error", "kind"),
     ]
-    assert got.filter("rule = 'conditional'").first()["message"] == "accepted needs by"
-    with pytest.raises(ValueError):
-        C.docclass_findings(docs, [{"class": "x", "pth": []}], F.current_date())
+    assert got.filter("rule = 'conditional' AND field = 'by'").first()["message"] == "accepted needs by"
+    wrong = [{"class": "x", "pth": []}, {"class": "x", "match": {"notPath": ["a"]}}, {"class": "x", "match": {"path": "a", "any": [{"nme": "b"}]}}, {"class": "x", "match": {"path": "a"}, "conditional": [{"when": {"a": {"in": ["b"]}}}]}, {"class": "x", "match": {"path": "a"}, "fields": {"a": {"vcab": []}}}]
+    for spec in wrong:
+        with pytest.raises(ValueError):
+            DC.docclass_findings(docs, [spec], F.current_date())
+
+
+def test_match_trees(spark):
+    paths = ["n/a.md", "n/skip/a.md", "top.md", "q/deep1", "adr/x.md", "adr/x.txt", "other", "a/b.md", "a/b.txt"]
+    df = spark.createDataFrame([(p,) for p in paths], "rel string")
+    assert rows(DC.classify_docs(df, SPEC).filter("class IS NOT NULL"), "rel", "class") == [("adr/x.md", "adr"), ("n/a.md", "note"), ("q/deep1", "note"), ("top.md", "note")]
+    both = [{"class": "both", "match": {"path": ["a/**", "**/*.md"]}}]
+    assert rows(DC.classify_docs(df, both).filter("class IS NOT NULL"), "rel") == [("a/b.md",)]
 
 
 def test_sources_audit_packages(spark):
@@ -357,12 +380,39 @@ def test_sources_audit_packages(spark):
     sources = spark.createDataFrame([("a", "https://x.y/o/r", "a" * 40, "f1", 30, "2024-01-01"), ("b", "http://x.y/o/r", "main", "f2", None, None), ("c", "https://u@x.y/o/r", "2024-01-01", "f1", 365, "2024-05-01")], "name string, url string, pin string, path string, ttl_days int, checked string").withColumn("checked", F.to_date("checked"))
     census = spark.createDataFrame([("f1",)], "path string")
     assert rows(C.source_findings(sources, census, today), "name", "level", "issue") == [("a", "W", "check overdue"), ("b", "E", "file missing"), ("b", "E", "invalid source or pin"), ("b", "I", "no limit"), ("c", "E", "invalid source or pin")]
-    docs = spark.createDataFrame([("n", "accepted", None, None, None, True), ("p", "proposed", "2024-01-01", None, None, False), ("l", "landed", None, "x", False, False), ("o", "odd", None, None, None, False)], "id string, state string, review_after string, landed_at string, landed_exists boolean, normative boolean").withColumn("review_after", F.to_date("review_after"))
-    refs = spark.createDataFrame([("n", "p"), ("p", "n"), ("o", "l")], "src string, dst string")
-    assert rows(C.audit_docs(docs, refs, today, ["accepted", "proposed", "landed"]), "id", "issue") == [("l", "landed_missing"), ("n", "inversion"), ("o", "orphan"), ("o", "state"), ("p", "overdue")]
-    packs = spark.createDataFrame([("good-one", "d" * 50, ["t"], "b"), ("Bad", "short /home/x", [], "\n" * 600)], "name string, description string, triggers array<string>, body string")
-    links = spark.createDataFrame([("good-one", "x.md", True, False), ("good-one", "../y", False, True)], "name string, target string, dead boolean, outside boolean")
-    assert rows(C.package_findings(packs, links), "name", "issue") == [("Bad", "body_too_long"), ("Bad", "description_length"), ("Bad", "name"), ("Bad", "no_triggers"), ("Bad", "path_in_description"), ("good-one", "dead_link"), ("good-one", "link_outside")]
+    docs = spark.createDataFrame(
+        [("n", "core", "normative", None, "3", ["add"], None), ("p", "core", "proposed", "t", "9", ["burn"], "2024-01-01"), ("q", "far", "provisional", "t", None, None, None), ("o", None, "odd", "bad", None, [], None), ("adr/1", "core", None, None, None, None, None), ("r", "core", None, None, None, None, None)],
+        "id string, domain string, state string, type string, binding string, dynamics array<string>, since string",
+    ).withColumn("since", F.to_date("since"))
+    refs = spark.createDataFrame([("n", "p"), ("n", "q"), ("p", "n"), ("o", "p")], "src string, dst string")
+    pointers = spark.createDataFrame([("n", None, None), ("n", "a.md", False), ("n", "b.md", True), ("n", "c.md", None)], "id string, target string, there boolean")
+    setup = C.AuditSetup(["core", "far"], ["normative", "proposed", "provisional"], ["t"], ["add"], registered=["core"])
+    assert rows(C.audit_docs(docs, refs, pointers, today, setup), "id", "level", "issue") == [
+        ("n", "E", "landed_missing"), ("n", "E", "landed_missing"), ("n", "W", "inversion"), ("n", "W", "landed_without_target"), ("o", "E", "state"), ("o", "E", "type"), ("o", "W", "orphan"),
+        ("p", "E", "binding"), ("p", "E", "dynamics"), ("p", "W", "ageing"), ("q", "I", "no_since"), ("q", "W", "undeclared_domain"), ("r", "I", "no_state"),
+    ]
+    packs = spark.createDataFrame([("good-one", "good-one", "use it when, for, this or that", "b"), ("Bad", "Bad", "short /home/x", "\n" * 600), ("no", "no", None, None), ("x-y", None, "d" * 401, "")], "folder string, name string, description string, body string")
+    links = spark.createDataFrame([("good-one", "x.md", True, False), ("good-one", "../y", False, True)], "folder string, target string, dead boolean, outside boolean")
+    assert rows(C.package_findings(packs, links), "folder", "level", "issue") == [
+        ("Bad", "E", "description_short"), ("Bad", "E", "name"), ("Bad", "W", "body_too_long"), ("Bad", "W", "no_purpose"), ("Bad", "W", "no_triggers"), ("Bad", "W", "path_in_description"), ("good-one", "E", "dead_link"), ("good-one", "E", "link_outside"),
+        ("no", "E", "name"), ("no", "E", "no_description"), ("x-y", "E", "no_name"), ("x-y", "W", "description_long"), ("x-y", "W", "no_purpose"), ("x-y", "W", "no_triggers"),
+    ]
+
+
+def test_allowed_edges(spark):
+    e = spark.createDataFrame([("a", "a", "link"), ("a", "b", "link"), ("a", "c", "import"), ("b", "a", "link"), ("a", None, "link")], "src_domain string, dst_domain string, kind string")
+    rules = spark.createDataFrame([("r", ["a"], ["b"], None), ("v", ["a", "b"], ["c"], ["import", "x"]), ("none", ["b"], [], [])], "rule string, from_in array<string>, to_in array<string>, via array<string>")
+    assert sorted(map(repr, rows(G.rule_allowed(e, rules), "rule", "src_domain", "dst_domain"))) == sorted(map(repr, [("none", "b", "a"), ("r", "a", "a"), ("r", "a", "c"), ("r", "a", None)]))
+
+
+def test_proposals_and_candidates(spark):
+    today = F.lit("2024-06-01").cast("date")
+    p = spark.createDataFrame([("a", "a", "pending", None, "2024-06-01"), ("b", None, "pending", "t", "2024-05-31"), ("c", "x", "odd", "u", "P30D"), ("d", "d", None, "t", None), ("e", "", "done", "", "2020-01-01")], "stem string, id string, status string, type string, review_after string")
+    assert rows(C.proposal_findings(p, today, ["pending", "done"], ["t"]), "stem", "level", "issue") == [("b", "W", "overdue"), ("c", "E", "id_not_stem"), ("c", "E", "status"), ("c", "E", "type"), ("d", "E", "no_status")]
+    full = ("d", "p", "r", "g", "2024-05-01")
+    c = spark.createDataFrame([(1, "one", 1, *full), (2, "one", 2, *full), (3, "No", 0, None, "", "r", "g", "x"), (4, "pkg", None, "zz", "there", "r", "g", "2020-01-01")], "id long, name string, evidence long, domain string, path string, rationale string, graduation string, opened_at string")
+    got = C.candidate_findings(c, today, domains=["d"], packages=spark.createDataFrame([("pkg",)], "name string"), paths=spark.createDataFrame([("there",)], "path string"))
+    assert rows(got, "id", "level", "issue") == [(2, "E", "duplicate"), (2, "I", "ready"), (3, "E", "missing:domain"), (3, "E", "missing:path"), (3, "E", "name"), (3, "E", "no_evidence"), (3, "W", "opened_unreadable"), (4, "E", "name_taken"), (4, "I", "ageing"), (4, "W", "domain"), (4, "W", "path_exists")]
 
 
 def test_checks_report_their_own_failure(spark):

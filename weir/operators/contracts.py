@@ -1,132 +1,16 @@
-"""Declarative data-quality contracts: document classes, field rules, table constraints, ratchets, registries."""
+"""Declarative data-quality contracts: table constraints, sources, proposals, audits, packages, candidates, ratchets, registries. Document classes are in docclass."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import basename, glob_match
 from .extract import valid_source
-from .joins import match_terms
-
-FINDING = "struct<rule:string,level:string,field:string,observed:string,message:string>"
-
-
-def _finding(test: Column, rule: str, level: str, field: str, observed: Column | str | None, message: Column | str) -> Column:
-    text = lambda x: F.lit(x) if x is None or isinstance(x, str) else x
-    return F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"), F.lit(field).alias("field"), text(observed).cast("string").alias("observed"), text(message).cast("string").alias("message")))
-
-
-def class_of(path: Column, classes: Sequence[Mapping]) -> Column:
-    """Name of the first class that fits: path (any glob), name (basename glob), exactPath, notPath; with any: one is enough."""
-    out = F.lit(None).cast("string")
-    for c in reversed(classes):
-        tests = []
-        if c.get("path"):
-            tests.append(_any(glob_match(path, g) for g in c["path"]))
-        if c.get("name"):
-            tests.append(_any(glob_match(basename(path), g) for g in c["name"]))
-        if c.get("exactPath"):
-            tests.append(path.isin(*c["exactPath"]))
-        fits = _any(tests) if c.get("any") else _all(tests)
-        if c.get("notPath"):
-            fits = fits & ~_any(glob_match(path, g) for g in c["notPath"])
-        out = F.when(fits, F.lit(c["class"])).otherwise(out)
-    return out
-
-
-def _any(tests) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
-
-
-def _all(tests) -> Column:
-    out = F.lit(True)
-    for t in tests:
-        out = out & t
-    return out
-
-
-def classify_docs(df: DataFrame, classes: Sequence[Mapping], path: str = "rel") -> DataFrame:
-    return df.withColumn("class", class_of(F.col(path), classes))
-
-
-KEYS = {"class", "path", "name", "exactPath", "notPath", "any", "header", "required", "freshness", "state", "fields", "when"}
-
-
-def docclass_findings(df: DataFrame, classes: Sequence[Mapping], today: Column, path: str = "rel", fields: str = "fields", title: str = "title") -> DataFrame:
-    """(rel, class, rule, level, field, observed, message) from documents (rel, fields: map<string,string> or null, title).
-
-    A class has: header (off, warn or error where there are no fields), required names (missing or empty fails),
-    freshness (one of the names must hold a date), state {field, values, tolerated}, fields [{field, vocab | pattern |
-    equals_stem}], when [{field, eq | notIn, require | before}]. A conditional isn't judged where its own field failed.
-    Nested fields are keys with dots. An unknown key in a spec is an error.
-    """
-    for c in classes:
-        if unknown := set(c) - KEYS:
-            raise ValueError(f"unknown keys in class {c.get('class')}: {sorted(unknown)}")
-    df = classify_docs(df, classes, path).filter("class IS NOT NULL")
-    value = lambda name: F.trim(F.col(fields)[name])
-    has = lambda name: F.coalesce(value(name) != "", F.lit(False))
-    stem = F.regexp_replace(basename(F.col(path)), r"\.[^.]*$", "")
-    found, invalid = [], []
-    for c in classes:
-        own = F.col("class") == c["class"]
-        there = F.coalesce(F.size(fields) > 0, F.lit(False))
-        level = c.get("header", "error")
-        if level != "off":
-            found.append(_finding(own & ~there, "header-missing", level, "", None, "no header"))
-        for name in c.get("required", []):
-            found.append(_finding(own & there & ~has(name), "required", "error", name, value(name), "missing or empty"))
-        if c.get("freshness"):
-            dated = _any(value(n).rlike(r"^\d{4}-\d{2}-\d{2}") for n in c["freshness"])
-            found.append(_finding(own & there & ~F.coalesce(dated, F.lit(False)), "freshness", "error", "|".join(c["freshness"]), None, "no date"))
-        if c.get("state"):
-            s = c["state"]
-            bad = has(s["field"]) & ~value(s["field"]).isin(*s["values"], *s.get("tolerated", []))
-            invalid.append(F.when(own & bad, F.lit(s["field"])))
-            found.append(_finding(own & there & bad, "state", "error", s["field"], value(s["field"]), "not a state"))
-            if s.get("tolerated"):
-                found.append(_finding(own & there & value(s["field"]).isin(*s["tolerated"]), "state-tolerated", "warn", s["field"], value(s["field"]), "tolerated state"))
-        for r in c.get("fields", []):
-            v = value(r["field"])
-            bad = F.lit(False)
-            if "vocab" in r:
-                bad = bad | ~v.isin(*r["vocab"])
-            if "pattern" in r:
-                bad = bad | ~v.rlike(r["pattern"])
-            if r.get("equals_stem"):
-                bad = bad | (v != stem)
-            bad = has(r["field"]) & bad
-            invalid.append(F.when(own & bad, F.lit(r["field"])))
-            found.append(_finding(own & there & bad, "field", r.get("level", "error"), r["field"], v, r.get("message", "value not allowed")))
-    df = df.withColumn("_invalid", F.array_compact(F.array(*invalid)) if invalid else F.array().cast("array<string>"))
-    for c in classes:
-        own = F.col("class") == c["class"]
-        for w in c.get("when", []):
-            v = value(w["field"])
-            on = v == w["eq"] if "eq" in w else has(w["field"]) & ~v.isin(*w["notIn"])
-            on = own & F.coalesce(on, F.lit(False)) & ~F.array_contains("_invalid", F.lit(w["field"]))
-            if "require" in w:
-                message = F.lit(w.get("message", "{field} is needed where {when} is {value}").replace("{field}", w["require"]).replace("{when}", w["field"]))
-                found.append(_finding(on & ~has(w["require"]), "conditional", w.get("level", "error"), w["require"], None, F.replace(message, F.lit("{value}"), v)))
-            if "before" in w:
-                d = value(w["before"])
-                ok_date = d.rlike(r"^\d{4}-\d{2}-\d{2}$")
-                found.append(_finding(on & ok_date & (d < F.date_format(today, "yyyy-MM-dd")), "overdue", w.get("level", "warn"), w["before"], d, "date is over"))
-    return df.select(path, "class", F.explode(F.array_compact(F.array(*found))).alias("f")).select(path, "class", "f.*")
-
-
-def docclass_counts(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row: errors, warnings, classified, unclassified."""
-    a = findings.agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warn").alias("warnings"))
-    return a.join(docs.agg(F.count("class").alias("classified"), F.count_if(F.col("class").isNull()).alias("unclassified")))
-
+from .terms import match_term_table
 
 def validate_table(df: DataFrame, constraints: Sequence[Mapping], key: str) -> DataFrame:
     """(key, rule, field, observed): required, enum (values), nonnegative, at_most (an SQL expression to hold), whole, matches.
@@ -168,76 +52,126 @@ def source_findings(sources: DataFrame, census: DataFrame, today: Column, url: s
     return both.select("name", F.explode(issues).alias("i")).select("name", "i.*")
 
 
-def proposal_findings(df: DataFrame, today: Column, statuses: Sequence[str], types: Sequence[str], id_col: str = "id", stem: str = "stem", status: str = "status", type_col: str = "type", review: str = "review_after") -> DataFrame:
-    """(id, issue): an id that isn't the file's stem, an unknown status or type, a pending one past its review day."""
-    issues = F.array_compact(F.array(
-        F.when(~F.col(id_col).eqNullSafe(F.col(stem)), "id_not_stem"), F.when(~F.coalesce(F.col(status).isin(*statuses), F.lit(False)), "status"), F.when(~F.coalesce(F.col(type_col).isin(*types), F.lit(False)), "type"),
-        F.when((F.col(status) == "pending") & (F.col(review) <= today), "overdue"),
-    ))
-    return df.select(id_col, F.explode(issues).alias("issue"))
-
+def proposal_findings(df: DataFrame, today: Column, statuses: Sequence[str], types: Sequence[str], id_col: str = "id", stem: str = "stem", status: str = "status", type_col: str = "type", review: str = "review_after", header: str | None = None) -> DataFrame:
+    """(stem, level, issue) of proposals, known by the stem of their file.
 
-def audit_docs(docs: DataFrame, references: DataFrame, today: Column, states: Sequence[str], key: str = "id") -> DataFrame:
-    """(id, issue) over docs(id, state, review_after, landed_at, landed_exists, normative) and references(src, dst):
-    orphan (nobody cites it), state (unknown), overdue (proposed or provisional past its day), landed_missing, and
-    inversion (a normative document cites a proposed one)."""
-    cited = references.filter("src <> dst").select(F.col("dst").alias(key)).distinct().withColumn("_cited", F.lit(True))
+    E: no header (where a column of that name says so), an id that isn't the stem, no status, an unknown status or type; W: pending, with
+    a review day (yyyy-mm-dd; other forms aren't judged) before today. An absent id or type is in order.
+    """
+    said = lambda c: F.col(c).cast("string")
+    there = F.lit(True) if header is None else F.coalesce(F.col(header), F.lit(False))
+    there_and = lambda test: there & F.coalesce(test, F.lit(False))
+    late = (said(status) == "pending") & said(review).rlike(r"^\d{4}-\d{2}-\d{2}\z") & (said(review) < F.date_format(today, "yyyy-MM-dd"))
+    issues = [
+        ("E", "no_header", ~there), ("E", "id_not_stem", there_and((said(id_col) != "") & (said(id_col) != said(stem)))), ("E", "no_status", there & (F.coalesce(said(status), F.lit("")) == "")),
+        ("E", "status", there_and((said(status) != "") & ~said(status).isin(*statuses))), ("E", "type", there_and((said(type_col) != "") & ~said(type_col).isin(*types))), ("W", "overdue", there_and(late)),
+    ]
+    return _issues(df, [stem], issues)
+
+
+def _issues(df: DataFrame, keys: Sequence[str], issues: Sequence[tuple[str, str, Column]]) -> DataFrame:
+    """(keys, level, issue) for each test that holds."""
+    found = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(level).alias("level"), F.lit(issue).alias("issue"))) for level, issue, test in issues)))
+    return df.select(*keys, F.explode(found).alias("i")).select(*keys, "i.*")
+
+
+@dataclass(frozen=True)
+class AuditSetup:
+    domains: Sequence[str]
+    states: Sequence[str]
+    types: Sequence[str]
+    verbs: Sequence[str]
+    registered: Sequence[str] | None = None  # domains that the project has declared; None: not judged
+    max_age: int = 90  # days that a document may stay proposed or provisional
+    strict: bool = False  # a document without a domain is an error
+    decisions: str = r"(?i)(?:^|/)adr/"  # paths of decision records, whose state stands in their text
+
+
+def audit_docs(docs: DataFrame, references: DataFrame, pointers: DataFrame, today: Column, setup: AuditSetup, key: str = "id") -> DataFrame:
+    """(id, level, issue) over docs(id, domain, state, type, binding, dynamics array, since), references(src, dst) and
+    pointers(id, target, there): what a document marks as landed, with the file that it names and whether it exists.
+
+    orphan: no domain. domain, state, type, binding, dynamics: outside their vocabularies (binding is 0 to 4). undeclared_domain,
+    no_state (not asked of decision records), ageing (proposed or provisional for more than max_age days), no_since. landed_without_target,
+    landed_missing. inversion: a normative document refers to one that is proposed or provisional.
+    """
+    c, known = F.col, lambda test: F.coalesce(test, F.lit(False))
+    has = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")) != ""
+    waiting = known(c("state").isin("proposed", "provisional"))
+    issues = [
+        ("E" if setup.strict else "W", "orphan", ~has("domain")), ("W", "domain", has("domain") & ~known(c("domain").isin(*setup.domains))),
+        ("E", "state", has("state") & ~known(c("state").isin(*setup.states))), ("E", "type", has("type") & ~known(c("type").isin(*setup.types))),
+        ("E", "binding", c("binding").isNotNull() & ~known(c("binding").cast("string").rlike(r"^[0-4]\z"))),
+        ("I", "no_state", has("domain") & ~has("state") & ~known(c(key).cast("string").rlike(setup.decisions))),
+        ("W", "ageing", waiting & known(F.datediff(today, c("since")) > setup.max_age)), ("I", "no_since", waiting & c("since").isNull()),
+    ]
+    if setup.registered is not None:
+        issues.append(("W", "undeclared_domain", known(c("domain").isin(*setup.domains)) & ~known(c("domain").isin(*setup.registered))))
+    own = _issues(docs, [key], issues)
+    verbs = docs.select(key, F.explode("dynamics").alias("_v")).filter(~c("_v").isin(*setup.verbs)).select(key).distinct().select(key, F.lit("E").alias("level"), F.lit("dynamics").alias("issue"))
+    landed = _issues(pointers, [key], [("W", "landed_without_target", ~has("target")), ("E", "landed_missing", has("target") & ~known(c("there")))])
     inverted = (
-        references.join(docs.select(F.col(key).alias("src"), F.col("normative").alias("_n")), "src").filter("_n")
-        .join(docs.select(F.col(key).alias("dst"), F.col("state").alias("_s")), "dst").filter("_s = 'proposed'")
-        .select(F.col("src").alias(key)).distinct().withColumn("_inv", F.lit(True))
+        references.join(docs.filter("state = 'normative'").select(c(key).alias("src")), "src", "left_semi")
+        .join(docs.filter("state IN ('proposed', 'provisional')").select(c(key).alias("dst")), "dst", "left_semi")
+        .select(c("src").alias(key)).distinct().select(key, F.lit("W").alias("level"), F.lit("inversion").alias("issue"))
     )
-    both = docs.join(cited, key, "left").join(inverted, key, "left")
-    issues = F.array_compact(F.array(
-        F.when(F.col("_cited").isNull(), "orphan"), F.when(~F.coalesce(F.col("state").isin(*states), F.lit(False)), "state"),
-        F.when(F.col("state").isin("proposed", "provisional") & (F.col("review_after") < today), "overdue"),
-        F.when((F.col("state") == "landed") & ~F.coalesce("landed_exists", F.lit(False)), "landed_missing"), F.when(F.col("_inv"), "inversion"),
-    ))
-    return both.select(key, F.explode(issues).alias("issue"))
+    return own.unionByName(verbs).unionByName(landed).unionByName(inverted)
 
 
-def package_findings(packages: DataFrame, links: DataFrame, max_name: int = 64, min_description: int = 40, max_description: int = 1024, max_lines: int = 500, families: Sequence[tuple[str, str, str]] = (), files: DataFrame | None = None) -> DataFrame:
-    """(name, level, issue) over packages(name, description, triggers, body) and links(name, target, dead, outside).
+def package_findings(packages: DataFrame, links: DataFrame, min_name: int = 3, min_description: int = 20, max_description: int = 400, max_lines: int = 500, families: Sequence[tuple[str, str, str]] = (), files: DataFrame | None = None) -> DataFrame:
+    """(folder, level, issue) over packages(folder, name, description, body), known by their folder, and links(folder, target,
+    dead, outside). name, description and body are null where the package's text has none; body is what follows the header.
 
-    families: (ending of a name, file that such packages have, heading in their body); files: (name, file) of what packages have.
+    families: (ending of a folder, file that such packages have, heading in their body); files: (folder, file) of what packages have.
     """
-    lines = F.size(F.split(F.coalesce("body", F.lit("")), "\n"))
-    n = F.length(F.coalesce("description", F.lit("")))
-    issues = F.array_compact(F.array(
-        F.when(~F.col("name").rlike(r"^[a-z0-9]+(-[a-z0-9]+)*$") | (F.length("name") > max_name), F.struct(F.lit("E").alias("level"), F.lit("name").alias("issue"))),
-        F.when(~n.between(min_description, max_description), F.struct(F.lit("E").alias("level"), F.lit("description_length").alias("issue"))),
-        F.when(F.coalesce(F.size("triggers"), F.lit(0)) <= 0, F.struct(F.lit("W").alias("level"), F.lit("no_triggers").alias("issue"))),
-        F.when(F.col("description").rlike(r"[A-Za-z]:\\|(?<![\w/])/(?:home|Users)/"), F.struct(F.lit("W").alias("level"), F.lit("path_in_description").alias("issue"))),
-        F.when(lines > max_lines, F.struct(F.lit("W").alias("level"), F.lit("body_too_long").alias("issue"))),
-    ))
-    own = packages.select("name", F.explode(issues).alias("i")).select("name", "i.*")
-    bad = links.select("name", F.explode(F.array_compact(F.array(F.when(F.col("dead"), "dead_link"), F.when(F.col("outside"), "link_outside")))).alias("issue")).distinct().select("name", F.lit("E").alias("level"), "issue")
+    c, text = F.col, F.coalesce(F.col("description"), F.lit(""))
+    what = text.rlike(r"[\u4e00-\u9fa5]|(?i)\b(?:use|create|when|for)\b")
+    triggers = text.rlike(r"(?i)触发词|trigger|使用") | (F.size(F.split(text, "[,，、;；]")) >= 3)
+    own = _issues(packages, ["folder"], [
+        ("E", "no_name", c("name").isNull()), ("E", "name", c("name").isNotNull() & (~c("name").rlike(r"^[a-z0-9]+(-[a-z0-9]+)*\z") | (F.length("name") < min_name))), ("E", "name_not_folder", c("name").isNotNull() & (c("name") != c("folder"))),
+        ("E", "no_description", c("description").isNull()), ("E", "description_short", c("description").isNotNull() & (F.length(text) < min_description)), ("W", "description_long", F.length(text) > max_description),
+        ("W", "no_purpose", c("description").isNotNull() & ~what), ("W", "no_triggers", c("description").isNotNull() & ~triggers), ("W", "path_in_description", text.rlike(r"[A-Z]:\\|/home/|/Users/")),
+        ("W", "body_too_long", F.size(F.split(F.coalesce("body", F.lit("")), "\n")) > max_lines),
+    ])
+    bad = _issues(links, ["folder"], [("E", "dead_link", F.coalesce("dead", F.lit(False))), ("E", "link_outside", F.coalesce("outside", F.lit(False)))]).distinct()
     out = own.unionByName(bad)
     for ending, file, heading in families:
-        family = packages.filter(F.col("name").endswith(ending))
+        family = packages.filter(c("folder").endswith(ending))
         if files is not None:
-            out = out.unionByName(family.join(files.filter(F.col("file") == file).select("name").distinct(), "name", "left_anti").select("name", F.lit("W").alias("level"), F.lit("family_file").alias("issue")))
-        titled = F.coalesce(F.col("body").rlike(rf"(?m)^##?\s*.*{re.escape(heading)}"), F.lit(False))
-        out = out.unionByName(family.filter(~titled).select("name", F.lit("I").alias("level"), F.lit("family_section").alias("issue")))
+            out = out.unionByName(family.join(files.filter(c("file") == file).select("folder").distinct(), "folder", "left_anti").select("folder", F.lit("W").alias("level"), F.lit("family_file").alias("issue")))
+        titled = F.coalesce(c("body").rlike(rf"(?m)^##?\s*.*{re.escape(heading)}"), F.lit(False))
+        out = out.unionByName(family.filter(~titled).select("folder", F.lit("I").alias("level"), F.lit("family_section").alias("issue")))
     return out
 
 
-def candidate_findings(df: DataFrame, today: Column, key: str = "id", name: str = "name", evidence: str = "evidence", status: str = "status", opened: str = "opened_at", max_age: int = 90) -> DataFrame:
-    """(id, issue): required fields, evidence of 1 at least, names used twice, ready with less than 2, older than max_age days."""
-    used = df.groupBy(name).agg(F.count("*").alias("_n")).filter("_n > 1")
-    both = df.join(used, name, "left")
-    issues = F.array_compact(F.array(
-        F.when(F.col(key).isNull() | F.coalesce(F.trim(F.col(name)) == "", F.lit(True)), "required"), F.when(F.coalesce(F.col(evidence) < 1, F.lit(True)), "no_evidence"), F.when(F.col("_n") > 1, "duplicate"),
-        F.when((F.col(status) == "ready") & (F.col(evidence) < 2), "ready_too_early"), F.when(F.datediff(today, F.col(opened)) > max_age, "ageing"),
-    ))
-    return both.select(key, F.explode(issues).alias("issue"))
-
-
-def index_findings(names: Sequence[str], docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(term, docs): how many texts mention each registered name between borders; 0 is a finding."""
-    spark = docs.sparkSession
-    hits = match_terms(docs, names, doc_id, text).groupBy("term").agg(F.count_distinct("doc").alias("docs"))
-    return spark.createDataFrame([(n,) for n in names], "term string").join(hits, "term", "left").na.fill(0, ["docs"])
+CANDIDATE_FIELDS = ("domain", "path", "rationale", "graduation", "opened_at")
+
+
+def candidate_findings(df: DataFrame, today: Column, key: str = "id", name: str = "name", evidence: str = "evidence", required: Sequence[str] = CANDIDATE_FIELDS, opened: str = "opened_at", domains: Sequence[str] = (), packages: DataFrame | None = None, paths: DataFrame | None = None, max_age: int = 90, ready: int = 2) -> DataFrame:
+    """(id, level, issue) of candidates. E: name (not lower-case words with dashes), missing:FIELD, no_evidence (0 pieces), duplicate
+    (the name of a candidate with a smaller id), name_taken (by packages(name)); W: domain (unknown, where domains are given),
+    path_exists (in paths(path)), opened_unreadable; I: ready (evidence reaches the threshold), ageing (more than max_age days)."""
+    c, text = F.col, lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
+    first = df.filter(c(name).isNotNull()).groupBy(name).agg(F.min(key).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select(name, "_first")
+    both = df.join(first, name, "left")
+    for other, column, flag in ((packages, name, "_taken"), (paths, "path", "_there")):
+        seen = None if other is None else other.select(column).distinct().withColumn(flag, F.lit(True))
+        both = both.withColumn(flag, F.lit(False)) if seen is None else both.join(seen, column, "left")
+    days = F.datediff(today, F.try_to_date(text(opened)))
+    issues = [
+        ("E", "name", ~text(name).rlike(r"^[a-z0-9]+(-[a-z0-9]+)*\z")), *(("E", f"missing:{f}", text(f) == "") for f in required), ("E", "no_evidence", c(evidence) == 0),
+        ("E", "duplicate", c("_first") < c(key)), ("E", "name_taken", c("_taken")), ("W", "path_exists", c("_there")), ("W", "opened_unreadable", days.isNull()),
+        ("I", "ready", c(evidence) >= ready), ("I", "ageing", days > max_age),
+    ]
+    if domains:
+        issues.append(("W", "domain", (text("domain") != "") & ~c("domain").isin(*domains)))
+    return _issues(both, [key], [(level, issue, F.coalesce(test, F.lit(False))) for level, issue, test in issues])
+
+
+def index_findings(names: DataFrame, docs: DataFrame, doc_id: str, text: str, name: str = "name") -> DataFrame:
+    """(term, docs): how many texts mention each registered name, as it is, between borders; 0 is a finding. Names are rows (see terms)."""
+    hits = match_term_table(docs, names, doc_id, text, name, flex=False).groupBy("term").agg(F.count("*").alias("docs"))
+    return names.select(F.col(name).cast("string").alias("term")).distinct().join(hits, "term", "left").na.fill(0, ["docs"])
 
 
 def free_rows(lines: DataFrame, names: DataFrame, marker: str, doc: str = "doc_id", name: str = "name") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,22 +40,34 @@ def _policy(rules: DataFrame) -> list:
     return rows
 
 
+def _labelled(edges_: DataFrame, tests: Sequence[tuple[str, Column]]) -> DataFrame:
+    """edges with each rule whose test holds; edges that no rule meets go before anything is made of them."""
+    if not tests:
+        return edges_.withColumn("rule", F.lit(None).cast("string")).limit(0)
+    some = reduce(lambda a, b: a | b, (test for _, test in tests))
+    return edges_.filter(some).withColumn("rule", F.explode(F.array_compact(F.array(*(F.when(test, F.lit(rule)) for rule, test in tests)))))
+
+
 def rule_forbidden(edges_: DataFrame, rules: DataFrame) -> DataFrame:
     """edges with the rule that forbids them: rules(rule, src_domain, dst_domain, via); a null field fits all. The rules, a policy,
     become expressions: no join."""
-    fitting = []
+    tests = []
     for r in _policy(rules):
         fits = F.lit(True)
         for column, value in (("src_domain", r["src_domain"]), ("dst_domain", r["dst_domain"]), ("kind", r["via"])):
             fits = fits if value is None else fits & (F.col(column) == value)
-        fitting.append(F.when(fits, F.lit(r["rule"])))
-    names = F.array_compact(F.array(*fitting)) if fitting else F.array()
-    return edges_.withColumn("rule", F.explode(names.cast("array<string>")))
+        tests.append((r["rule"], fits))
+    return _labelled(edges_, tests)
 
 
 def rule_allowed(edges_: DataFrame, rules: DataFrame) -> DataFrame:
-    """edges whose domain isn't in their source's list: rules(rule, src_domain, to_in array). Independent of forbidden pairs."""
-    return edges_.join(rules, "src_domain").filter(~F.array_contains("to_in", F.col("dst_domain")) & (F.col("dst_domain") != F.col("src_domain"))).drop("to_in")
+    """edges with the rule whose list they leave: rules(rule, from_in, to_in, via), all arrays of strings.
+
+    An edge of one of the kinds in via (null or empty: of any kind) from a domain in from_in has to lead to a domain in to_in, also
+    where it stays inside its domain. Independent of forbidden pairs.
+    """
+    isin = lambda column, values: F.coalesce(F.col(column).isin(*values), F.lit(False)) if values else F.lit(False)
+    return _labelled(edges_, [(r["rule"], isin("src_domain", r["from_in"]) & ~isin("dst_domain", r["to_in"]) & (isin("kind", r["via"]) if r["via"] else F.lit(True))) for r in _policy(rules)])
 
 
 def rule_required(units: DataFrame, edges_: DataFrame, unit: str, good: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import flex_pattern, flex_variants
 from ..functions.text import norm_key
 from .ranking import seconds, top_k
+from .terms import phrase_hits
 
 
 def match_terms(docs: DataFrame, terms: Sequence[str], doc_id: str, text: str) -> DataFrame:
@@ -200,27 +201,18 @@ def reconcile_index(index: DataFrame, files: DataFrame, key: str, columns: Seque
 
 
 LEAST_STEM = 6  # characters: shorter ones are words that mean much else
-_WORDS = r"[^\p{L}\p{N}]+"
 
 
 def mention_coverage(units: DataFrame, corpus: DataFrame, exempt: DataFrame, unit: str = "unit", text: str = "text") -> DataFrame:
     """(unit, status): covered, uncovered, exempt, stale_exemption or exemption_without_reason.
 
     A unit is covered if the corpus has, as a run of words, the unit as it is, its last path segment, or that segment
-    without its extension (of LEAST_STEM characters or more). A text's words are matched with the first word of each form
-    by an equi join of (text hash, word) rows; forms of several words are then verified on the texts of those pairs.
+    without its extension (of LEAST_STEM characters or more). Stretches of a text's words are matched with whole forms (see terms).
     """
-    spaced = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(c, _WORDS, " ")), F.lit(" "))
     base = F.element_at(F.split(F.lower(unit), "/"), -1)
     stem = F.regexp_replace(base, r"\.[^.]+$", "")
-    forms = units.select(unit, F.explode(F.array_distinct(F.array_compact(F.array(F.lower(unit), base, F.when(F.length(stem) >= LEAST_STEM, stem))))).alias("_f")).select(unit, spaced("_f").alias("_n"))
-    forms = forms.filter("trim(_n) <> ''").distinct().withColumn("_w", F.split_part(F.trim("_n"), F.lit(" "), F.lit(1)))
-    texts = corpus.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("_h"), F.lower(text).alias("_t"))
-    words = texts.select("_h", F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace("_t", _WORDS, " ")), " "))).alias("_w"))
-    pairs = words.join(forms, "_w")
-    one = F.col("_n") == F.concat(F.lit(" "), F.col("_w"), F.lit(" "))
-    several = pairs.filter(~one).select("_h", unit, "_n").distinct().join(texts.dropDuplicates(["_h"]), "_h").filter(F.contains(spaced("_t"), F.col("_n")))
-    hit = pairs.filter(one).select(unit).unionByName(several.select(unit)).distinct().withColumn("_hit", F.lit(True))
+    forms = units.select(unit, F.explode(F.array_distinct(F.array_compact(F.array(F.lower(unit), base, F.when(F.length(stem) >= LEAST_STEM, stem))))).alias("_form"))
+    hit = forms.join(phrase_hits(corpus, forms, text, "_form"), "_form").select(unit).distinct().withColumn("_hit", F.lit(True))
     out = units.select(unit).distinct().join(hit, unit, "left").join(exempt.select(unit, F.coalesce("reason", F.lit("")).alias("_why")), unit, "left")
     why, got = F.col("_why"), F.coalesce("_hit", F.lit(False))
     status = F.when(why.isNotNull() & (F.trim(why) == ""), "exemption_without_reason").when(why.isNotNull() & got, "stale_exemption").when(why.isNotNull(), "exempt").when(got, "covered").otherwise("uncovered")

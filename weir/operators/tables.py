@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +35,21 @@ def cut(df: DataFrame) -> DataFrame:
     path = fresh_dir(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SIEVE_BITS, SIEVE_BITS_EACH = 1 << 24, 16
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows less most of those whose key isn't in wanted (distinct keys): few are left to shuffle for an exact join.
+
+    By a bitmap of hashed keys with some SIEVE_BITS_EACH bits for each, of SIEVE_BITS at most: what is broadcast has SIEVE_BITS / 64 rows,
+    however many keys there are; where it is full, more rows pass. Rows with a null key go.
+    """
+    bits = min(SIEVE_BITS, 1 << max(12, (SIEVE_BITS_EACH * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key, F.lit("sieve")), F.lit(bits))
+    bitmap = wanted.select(place.alias("_p")).groupBy(F.expr("_p div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 AS int))")).alias("_bits"))
+    near = rows.withColumn("_p", place).withColumn("_word", F.expr("_p div 64")).join(F.broadcast(bitmap), "_word")
+    # the key passes through the test, so that a later join by it isn't moved before it
+    passed = F.when(F.expr("(_bits & shiftleft(1L, cast(_p % 64 AS int))) <> 0"), F.col(key))
+    return near.withColumn(key, passed).filter(F.col(key).isNotNull()).drop("_p", "_word", "_bits")

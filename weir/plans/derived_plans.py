@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..operators import aggregates as A
 from ..operators import checks
 from ..operators import contracts as C
 from ..operators import decide as D
+from ..operators import docclass as DC
 from ..operators import extract as E
 from ..operators import filters as L
 from ..operators import graph as G
@@ -72,12 +75,39 @@ def s4_merge_facts(spark, sf_dir):
     return IO.merge_facts(_facts(spark, sf_dir).drop("extra"), p).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_returnflag || '/part' AS folder, count(*) > 0 AS there FROM lineitem GROUP BY 1")
+def _grow(root: str):
+    """Writes a folder for each nation and, in it, a file for each supplier: its comment key as text, empty for every fifth; links to
+    every seventh, of which every third is dead; and a folder that is to be ignored."""
+    import os
+
+    def run(batches):
+        for batch in batches:
+            for key, nation in zip(batch["s_suppkey"], batch["s_nationkey"], strict=True):
+                folder = f"{root}/n{nation}/deep"
+                os.makedirs(f"{folder}/.git", exist_ok=True)
+                for name, text in ((f"s{key}.TXT", "" if key % 5 == 0 else f"supplier {key}"), (f".git/s{key}", "x")):
+                    with open(f"{folder}/{name}", "w") as f:
+                        f.write(text)
+                if key % 7 == 0 and not os.path.lexists(f"{folder}/l{key}"):
+                    os.symlink(f"s{key}.TXT" if key % 21 else "gone", f"{folder}/l{key}")
+            yield batch[["s_suppkey"]]
+
+    return run
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, 'n' || s_nationkey || '/deep' AS folder FROM supplier)
+SELECT folder || '/s' || k || '.TXT' AS path, '.txt' AS ext, CASE WHEN k % 5 = 0 THEN 0 ELSE length('supplier ' || k) END AS bytes, 'file' AS kind, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS BOOLEAN) AS dead FROM s
+UNION ALL SELECT folder || '/l' || k, '', 0, 'link', CASE WHEN k % 21 <> 0 THEN folder || '/s' || k || '.TXT' END, k % 21 = 0 FROM s WHERE k % 7 = 0
+UNION ALL SELECT DISTINCT unnest([folder, string_split(folder, '/')[1]]), '', 0, 'dir', NULL, NULL FROM s
+""")
 def s6_file_census(spark, sf_dir):
-    path = fresh_dir(spark, "census")
-    t(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity").repartition("l_returnflag").write.partitionBy("l_returnflag").json(path)
-    files = IO.file_census(spark, path).filter("kind = 'file' AND ext = '.json'")
-    return files.select(F.concat(F.regexp_extract("path", r"l_returnflag=([^/]+)/", 1), F.lit("/part")).alias("folder")).distinct().withColumn("there", F.lit(True))
+    root = fresh_dir(spark, "census")
+    local = root.removeprefix("file://") if root.startswith("file:///") else root.removeprefix("file:")
+    if "://" in local:
+        raise ValueError("the tree of this query needs a shared folder that is mounted")
+    t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").repartition("s_nationkey").mapInPandas(_grow(local), "s_suppkey long").count()
+    return IO.file_census(spark, root)
 
 
 @query("SELECT 'o' || l_orderkey AS file, l_linenumber AS line, 'p' || l_partkey AS name FROM lineitem")
@@ -254,31 +284,51 @@ def a25_fixture_asserts(spark, sf_dir):
 # contracts
 
 
-FIELD_SPEC = [{"class": "c", "path": ["**"], "fields": [{"field": "flag", "vocab": ["A", "N"]}, {"field": "id", "equals_stem": True}], "when": [{"field": "flag", "eq": "A", "before": "ship"}, {"field": "status", "notIn": ["O"], "require": "note"}]}]
+FIELD_SPEC = [
+    {
+        "class": "c", "match": {"path": ["**"]}, "header": "error",
+        "fields": {"flag": {"vocab": ["A"], "tolerate": ["N"]}, "id": {"equalsFilenameStem": True, "pattern": "^[0-9]+-"}, "ship": {"pattern": "^199[0-6]"}},
+        "conditional": [
+            {"when": {"flag": "A"}, "check": {"ship": {"lt-date": "today"}}, "level": "warn", "msg": "{field} of {when.flag} is over"},
+            {"when": {"flag": {"notIn": ["N"]}, "status": {"notIn": ["O"]}}, "require": ["note", "owner"], "msg": "{when.status} needs {field}"},
+            {"when": {"id": "odd"}, "check": {"ship": {"lt-date": "1994-01-01"}}},
+        ],
+    }
+]
 
 
-def _line_docs(spark, sf_dir):
-    li = t(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
-    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey")
-    return li.select(F.concat(F.lit("x/"), key, F.lit(".md")).alias("rel"), F.when(F.col("l_quantity") > 5, F.create_map(F.lit("flag"), F.col("l_returnflag"), F.lit("id"), F.when(F.col("l_tax") > 0.07, "odd").otherwise(key), F.lit("ship"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("status"), F.col("l_linestatus"))).alias("fields"))
+def _line_findings(spark, sf_dir):
+    """Lines as documents: a header where there is quantity enough, an id that is odd for some, an owner or an empty note for others."""
+    li = t(spark, sf_dir, "lineitem")
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    pair = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    pairs = F.array_compact(F.array(
+        pair("flag", F.col("l_returnflag")), pair("id", F.when(F.col("l_tax") > 0.07, "odd").otherwise(key)), pair("ship", F.date_format("l_shipdate", "yyyy-MM-dd")), pair("status", F.col("l_linestatus")),
+        F.when(F.col("l_quantity") > 40, pair("note", F.lit(""))), F.when(F.col("l_quantity") > 30, pair("owner", F.lit("me"))),
+    ))
+    docs = li.select(F.concat(F.lit("x/"), key, F.lit(".md")).alias("rel"), F.when(F.col("l_quantity") > 5, F.map_from_entries(pairs)).alias("fields"))
+    return DC.docclass_findings(docs, FIELD_SPEC, F.lit("1995-01-01").cast("date"))
 
 
-LINE_DOCS = "WITH d AS (SELECT 'x/' || l_orderkey || '-' || l_partkey || '-' || l_suppkey || '.md' AS rel, l_returnflag AS flag, l_tax > 0.07 AS odd, CAST(l_shipdate AS DATE) AS ship, l_linestatus AS status, l_quantity > 5 AS there FROM lineitem WHERE l_linenumber = 1)"
+LINE_DOCS = "WITH d AS (SELECT 'x/' || l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '.md' AS rel, l_returnflag AS flag, l_tax > 0.07 AS odd, CAST(l_shipdate AS DATE) AS ship, l_linestatus AS status, l_quantity AS q, l_quantity > 5 AS there FROM lineitem)"
 
 
-@query(LINE_DOCS + "SELECT rel, 'flag' AS field FROM d WHERE there AND flag NOT IN ('A', 'N') UNION ALL SELECT rel, 'id' FROM d WHERE there AND odd")
+@query(LINE_DOCS + """SELECT rel, 'vocab' AS rule, 'flag' AS field FROM d WHERE there AND flag NOT IN ('A', 'N') UNION ALL SELECT rel, 'stem', 'id' FROM d WHERE there AND odd
+UNION ALL SELECT rel, 'pattern', 'id' FROM d WHERE there AND odd UNION ALL SELECT rel, 'pattern', 'ship' FROM d WHERE there AND (ship < DATE '1990-01-01' OR ship >= DATE '1997-01-01')""")
 def c3_field_rules(spark, sf_dir):
-    return C.docclass_findings(_line_docs(spark, sf_dir), FIELD_SPEC, F.lit("1997-01-01").cast("date")).filter("rule = 'field'").select("rel", "field")
+    return _line_findings(spark, sf_dir).filter("rule IN ('vocab', 'pattern', 'stem')").select("rel", "rule", "field")
 
 
-@query(LINE_DOCS + "SELECT rel, 'overdue' AS rule FROM d WHERE there AND flag = 'A' AND ship < DATE '1997-01-01' UNION ALL SELECT rel, 'conditional' FROM d WHERE there AND status <> 'O'")
+@query(LINE_DOCS + """SELECT rel, 'conditional-check' AS rule, 'warn' AS level, 'ship' AS field, 'ship of A is over' AS message FROM d WHERE there AND flag = 'A' AND ship < DATE '1995-01-01'
+UNION ALL SELECT rel, 'conditional', 'error', 'note', status || ' needs note' FROM d WHERE there AND flag = 'A' AND status <> 'O' UNION ALL SELECT rel, 'conditional', 'error', 'owner', status || ' needs owner' FROM d WHERE there AND flag = 'A' AND status <> 'O' AND q <= 30
+UNION ALL SELECT rel, 'conditional-check', 'error', 'ship', 'ship is over' FROM d WHERE there AND odd AND ship < DATE '1994-01-01'""")
 def c4_conditionals(spark, sf_dir):
-    return C.docclass_findings(_line_docs(spark, sf_dir), FIELD_SPEC, F.lit("1997-01-01").cast("date")).filter("rule IN ('overdue', 'conditional')").select("rel", "rule")
+    return _line_findings(spark, sf_dir).filter("rule LIKE 'conditional%'").select("rel", "rule", "level", "field", "message")
 
 
 @query(LINE_DOCS + "SELECT rel, 'error' AS level FROM d WHERE NOT there")
 def c5_missing_header(spark, sf_dir):
-    return C.docclass_findings(_line_docs(spark, sf_dir), FIELD_SPEC, F.lit("1997-01-01").cast("date")).filter("rule = 'header-missing'").select("rel", "level")
+    return _line_findings(spark, sf_dir).filter("rule = 'header'").select("rel", "level")
 
 
 @query(r"""
@@ -292,29 +342,57 @@ def c9_source_findings(spark, sf_dir):
     return C.source_findings(sources, census, F.lit("2024-06-01").cast("date"))
 
 
-@query("""
-WITH d AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'proposed' WHEN 1 THEN 'landed' WHEN 2 THEN 'odd' ELSE 'accepted' END AS state, c_acctbal > 0 AS there, c_custkey % 2 = 0 AS normative FROM customer), r AS (SELECT o_custkey AS src, (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) AS dst FROM orders WHERE o_totalprice > 150000)
-SELECT id, 'orphan' AS issue FROM d WHERE id NOT IN (SELECT dst FROM r WHERE src <> dst) UNION ALL SELECT id, 'state' FROM d WHERE state = 'odd' UNION ALL SELECT id, 'overdue' FROM d WHERE state = 'proposed' AND id % 3 = 0 UNION ALL SELECT id, 'landed_missing' FROM d WHERE state = 'landed' AND NOT there
-UNION ALL SELECT DISTINCT src, 'inversion' FROM r JOIN d a ON a.id = src JOIN d b ON b.id = dst WHERE a.normative AND b.state = 'proposed'
+AUDITED = """
+WITH d AS (SELECT CASE WHEN c_custkey % 6 = 0 THEN 'adr/' ELSE 'd/' END || c_custkey AS id, c_custkey AS k, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'odd' WHEN 2 THEN 'edge' ELSE 'core' END AS domain,
+  CASE c_custkey % 5 WHEN 0 THEN 'proposed' WHEN 1 THEN 'provisional' WHEN 2 THEN 'weird' WHEN 4 THEN 'normative' END AS state FROM customer),
+o AS (SELECT a.id, a.state, o_orderkey AS o, b.state AS other FROM orders JOIN d a ON a.k = o_custkey LEFT JOIN d b ON b.k = (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer))
+"""
+
+
+@query(AUDITED + """
+SELECT id, 'E' AS level, 'orphan' AS issue FROM d WHERE domain IS NULL UNION ALL SELECT id, 'W', 'domain' FROM d WHERE domain = 'odd' UNION ALL SELECT id, 'W', 'undeclared_domain' FROM d WHERE domain = 'edge' UNION ALL SELECT id, 'E', 'state' FROM d WHERE state = 'weird'
+UNION ALL SELECT id, 'E', 'type' FROM d WHERE k % 9 = 0 UNION ALL SELECT id, 'E', 'binding' FROM d WHERE k % 10 = 0 UNION ALL SELECT id, 'E', 'dynamics' FROM d WHERE k % 8 = 0 UNION ALL SELECT id, 'I', 'no_state' FROM d WHERE domain IS NOT NULL AND state IS NULL AND k % 6 <> 0
+UNION ALL SELECT id, 'W', 'ageing' FROM d WHERE state IN ('proposed', 'provisional') AND k % 4 IN (2, 3) UNION ALL SELECT id, 'I', 'no_since' FROM d WHERE state IN ('proposed', 'provisional') AND k % 4 = 0
+UNION ALL SELECT id, 'W', 'landed_without_target' FROM o WHERE o % 3 = 0 UNION ALL SELECT id, 'E', 'landed_missing' FROM o WHERE o % 3 <> 0 AND o % 2 <> 0 UNION ALL SELECT DISTINCT id, 'W', 'inversion' FROM o WHERE state = 'normative' AND other IN ('proposed', 'provisional')
 """)
 def c11_audit_docs(spark, sf_dir):
-    c = t(spark, sf_dir, "customer")
+    c, k = t(spark, sf_dir, "customer"), F.col("c_custkey")
     n = c.count()
-    m = F.col("c_custkey") % 5
-    state = F.when(m == 0, "proposed").when(m == 1, "landed").when(m == 2, "odd").otherwise("accepted")
-    docs = c.select(F.col("c_custkey").alias("id"), state.alias("state"), F.when(F.col("c_custkey") % 3 == 0, F.lit("2020-01-01").cast("date")).alias("review_after"), F.lit("x").alias("landed_at"), (F.col("c_acctbal") > 0).alias("landed_exists"), (F.col("c_custkey") % 2 == 0).alias("normative"))
-    refs = t(spark, sf_dir, "orders").filter("o_totalprice > 150000").select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % n).alias("dst"))
-    return C.audit_docs(docs, refs, F.lit("2024-01-01").cast("date"), ["proposed", "landed", "accepted"])
+    named = lambda k: F.concat(F.when(k % 6 == 0, "adr/").otherwise("d/"), k)
+    case = lambda m, values, otherwise=None: reduce(lambda w, kv: w.when(k % m == kv[0], F.lit(kv[1])), list(values.items())[1:], F.when(k % m == next(iter(values)), F.lit(next(iter(values.values()))))).otherwise(F.lit(otherwise))
+    docs = c.select(
+        named(k).alias("id"), case(7, {0: None, 1: "odd", 2: "edge"}, "core").alias("domain"), case(5, {0: "proposed", 1: "provisional", 2: "weird", 4: "normative"}).alias("state"), case(9, {0: "bad"}, "constitutive").alias("type"), case(10, {0: 7, 1: None}, 3).alias("binding"),
+        F.when(k % 8 == 0, F.array(F.lit("add"), F.lit("burn"))).when(k % 8 != 1, F.array(F.lit("add"))).alias("dynamics"), F.to_date(case(4, {0: None, 1: "2023-12-01"}, "2020-01-01")).alias("since"),
+    )
+    orders = t(spark, sf_dir, "orders")
+    refs = orders.select(named(F.col("o_custkey")).alias("src"), named((F.col("o_custkey") * 7 + F.col("o_orderkey")) % n).alias("dst"))
+    pointers = orders.join(c.select(k.alias("o_custkey")), "o_custkey", "left_semi").select(named(F.col("o_custkey")).alias("id"), F.when(F.col("o_orderkey") % 3 != 0, "x.md").alias("target"), (F.col("o_orderkey") % 2 == 0).alias("there"))
+    setup = C.AuditSetup(("core", "edge"), ("proposed", "provisional", "normative"), ("constitutive", "regulative"), ("add",), registered=("core",), strict=True)
+    return C.audit_docs(docs, refs, pointers, F.lit("2024-01-01").cast("date"), setup)
+
+
+PACKAGES = """
+WITH p AS (SELECT p_partkey AS k, p_size AS size, 'p-' || p_partkey || CASE WHEN p_partkey % 4 = 0 THEN '-kit' ELSE '' END AS folder, p_partkey % 10 AS d FROM part)
+"""
 
 
-@query(r"""
-SELECT 'p-' || p_partkey AS name, 'E' AS level, 'description_length' AS issue FROM part WHERE length(p_name) * 5 NOT BETWEEN 40 AND 1024 UNION ALL SELECT 'p-' || p_partkey, 'W', 'no_triggers' FROM part WHERE p_size <= 10 UNION ALL SELECT 'p-' || p_partkey, 'W', 'body_too_long' FROM part WHERE p_size > 49
-UNION ALL SELECT DISTINCT 'p-' || l_partkey, 'E', 'dead_link' FROM lineitem WHERE l_quantity > 49
+@query(PACKAGES + """
+SELECT folder, 'E' AS level, 'no_name' AS issue FROM p WHERE k % 11 = 0 UNION ALL SELECT folder, 'E', 'name' FROM p WHERE k % 11 <> 0 AND k % 13 = 0 UNION ALL SELECT folder, 'E', 'name_not_folder' FROM p WHERE k % 11 <> 0 AND (k % 13 = 0 OR k % 17 = 0)
+UNION ALL SELECT folder, 'E', 'no_description' FROM p WHERE d = 0 UNION ALL SELECT folder, 'E', 'description_short' FROM p WHERE d = 1 UNION ALL SELECT folder, 'W', 'description_long' FROM p WHERE d = 2
+UNION ALL SELECT folder, 'W', 'no_purpose' FROM p WHERE d NOT IN (0, 2, 3) UNION ALL SELECT folder, 'W', 'no_triggers' FROM p WHERE d NOT IN (0, 2) UNION ALL SELECT folder, 'W', 'path_in_description' FROM p WHERE d = 3 UNION ALL SELECT folder, 'W', 'body_too_long' FROM p WHERE size >= 50
+UNION ALL SELECT folder, 'W', 'family_file' FROM p WHERE k % 4 = 0 AND k % 12 <> 0 UNION ALL SELECT folder, 'I', 'family_section' FROM p WHERE k % 4 = 0 AND k % 8 <> 0
+UNION ALL SELECT DISTINCT folder, 'E', 'dead_link' FROM p JOIN lineitem ON l_partkey = k WHERE l_quantity > 49 UNION ALL SELECT DISTINCT folder, 'E', 'link_outside' FROM p JOIN lineitem ON l_partkey = k WHERE l_discount > 0.09
 """)
 def c12_package_findings(spark, sf_dir):
-    p = t(spark, sf_dir, "part").select(F.concat(F.lit("p-"), "p_partkey").alias("name"), F.repeat(F.col("p_name"), F.lit(5)).alias("description"), F.when(F.col("p_size") > 10, F.array("p_type")).otherwise(F.array().cast("array<string>")).alias("triggers"), F.repeat(F.lit("x\n"), F.col("p_size") * 10 + 3).alias("body"))
-    links = t(spark, sf_dir, "lineitem").select(F.concat(F.lit("p-"), "l_partkey").alias("name"), F.lit("t").alias("target"), (F.col("l_quantity") > 49).alias("dead"), F.lit(False).alias("outside"))
-    return C.package_findings(p, links)
+    folder = lambda k: F.concat(F.lit("p-"), k, F.when(k % 4 == 0, "-kit").otherwise(""))
+    k, d = F.col("p_partkey"), F.col("p_partkey") % 10
+    name = F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, F.concat(F.lit("P_"), k)).when(k % 17 == 0, "other-name").otherwise(folder(k))
+    said = F.when(d == 0, F.lit(None)).when(d == 1, "short").when(d == 2, F.repeat(F.lit("use it when, "), F.lit(40))).when(d == 3, "look at /home/x for this").otherwise(F.repeat(F.concat("p_name", F.lit(" ")), F.lit(5)))
+    part = t(spark, sf_dir, "part")
+    packages = part.select(folder(k).alias("folder"), name.alias("name"), said.alias("description"), F.concat(F.when(k % 8 == 0, "# All\n## Compose\n").otherwise(""), F.repeat(F.lit("x\n"), F.col("p_size") * 10 + 3)).alias("body"))
+    links = t(spark, sf_dir, "lineitem").select(folder(F.col("l_partkey")).alias("folder"), F.lit("t").alias("target"), (F.col("l_quantity") > 49).alias("dead"), (F.col("l_discount") > 0.09).alias("outside"))
+    files = part.filter(k % 12 == 0).select(folder(k).alias("folder"), F.lit("references/sources.md").alias("file"))
+    return C.package_findings(packages, links, families=[("-kit", "references/sources.md", "Compose")], files=files)
 
 
 # extension surface

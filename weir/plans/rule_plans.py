@@ -8,12 +8,14 @@ from ..functions.patterns import flex_pattern
 from ..functions.text import MODES
 from ..operators import contracts as C
 from ..operators import decide as D
+from ..operators import docclass as DC
+from ..operators import extract as E
 from ..operators import filters as L
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import ranking as R
 from .kit import Book, t
-from .table_plans import PAIRS, _pairs, documents, order_flows
+from .table_plans import PAIRS, TERM_TABLE, _pairs, benchmark_terms, documents, order_flows
 
 book = Book()
 query = book.query
@@ -258,9 +260,12 @@ def g3_forbidden(spark, sf_dir):
     return G.rule_forbidden(order_flows(spark, sf_dir), rules).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT 'r0' AS rule, dst AS dst_domain, count(*) AS n FROM ({FLOW}) WHERE src = '0' AND dst NOT IN ('0', '2', '3') GROUP BY 2")
+@query(f"""
+SELECT 'r0' AS rule, dst AS dst_domain, count(*) AS n FROM ({FLOW}) WHERE src = '0' AND dst NOT IN ('2', '3') GROUP BY 2
+UNION ALL SELECT 'r12', dst, count(*) FROM ({FLOW}) WHERE src IN ('1', '2') AND kind IN ('F', 'P') AND dst <> '1' GROUP BY 2
+""")
 def g4_allowed(spark, sf_dir):
-    rules = spark.createDataFrame([("r0", "0", ["2", "3"])], "rule string, src_domain string, to_in array<string>")
+    rules = spark.createDataFrame([("r0", ["0"], ["2", "3"], None), ("r12", ["1", "2"], ["1"], ["F", "P"])], "rule string, from_in array<string>, to_in array<string>, via array<string>")
     return G.rule_allowed(order_flows(spark, sf_dir), rules).groupBy("rule", "dst_domain").agg(F.count("*").alias("n"))
 
 
@@ -320,43 +325,58 @@ def g12_degrees(spark, sf_dir):
 
 
 CLASSES = [
-    {"class": "page", "name": ["*.html"]},
-    {"class": "french", "path": ["**/fr/*"], "notPath": ["blog*/**"]},
-    {"class": "rest", "path": ["**"]},
+    {"class": "page", "match": {"name": ["*.html", "*a*"]}},
+    {"class": "french", "match": {"path": ["**/fr/*"], "notPath": ["blog*/**"]}},
+    {"class": "some", "match": {"any": [{"path": ["**/de/**"], "any": [{"name": "*1*"}, {"name": "*2*"}]}, {"path": "*.org/**", "notPath": "**/es/**"}]}},
+    {"class": "rest", "match": {"path": ["**", "**/*.*/**"]}},
 ]
 
 
 @query(r"""
-SELECT page_id, CASE WHEN regexp_matches(list_last(string_split(p, '/')), '^[^/]*[.]html$') THEN 'page' WHEN regexp_matches(p, '^(?:[^/]+/)*fr/[^/]*$') AND NOT regexp_matches(p, '^blog[^/]*/.*$') THEN 'french' ELSE 'rest' END AS class FROM (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS p FROM pages)
+WITH p AS (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS p FROM pages), q AS (SELECT *, list_last(string_split(p, '/')) AS b FROM p),
+m AS (SELECT *, regexp_matches(b, '^[^/]*[.]html$') AND contains(b, 'a') AS page, regexp_matches(p, '^(?:[^/]+/)*fr/[^/]*$') AND NOT regexp_matches(p, '^blog[^/]*/.*$') AS french,
+  (regexp_matches(p, '^(?:[^/]+/)*de/.*$') AND (contains(b, '1') OR contains(b, '2'))) OR (regexp_matches(p, '^[^/]*[.]org/.*$') AND NOT regexp_matches(p, '^(?:[^/]+/)*es/.*$')) AS chosen,
+  regexp_matches(p, '^(?:[^/]+/)*[^/]*[.][^/]*/.*$') AS rest FROM q)
+SELECT page_id, CASE WHEN page THEN 'page' WHEN french THEN 'french' WHEN chosen THEN 'some' WHEN rest THEN 'rest' END AS class FROM m
 """)
 def c1_classify_docs(spark, sf_dir):
-    return C.classify_docs(t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("rel")), CLASSES).select("page_id", "class")
+    return DC.classify_docs(t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("rel")), CLASSES).select("page_id", "class")
 
 
-SPEC = [{"class": "event", "path": ["**"], "required": ["kind", "k"], "state": {"field": "kind", "values": ["view", "click", "error"], "tolerated": ["signup"]}, "fields": [{"field": "k", "pattern": "^[0-9]{2}$"}], "when": [{"field": "kind", "eq": "error", "require": "note"}]}]
+SPEC = [
+    {
+        "class": "event", "match": {"path": ["**"]}, "required": ["kind", "k"], "freshness": {"anyOf": ["day", "seen"], "level": "warn"}, "states": {"field": "kind", "vocab": ["view", "click", "error", ""], "tolerate": ["signup"]},
+        "conditional": [{"when": {"kind": "error"}, "require": ["k", "note"]}],
+    }
+]
 
 
 def _fields_docs(spark, sf_dir):
-    e = t(spark, sf_dir, "events")
-    return e.select(F.col("event_id").cast("string").alias("rel"), F.create_map(F.lit("kind"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k")).alias("fields"))
+    """Events as documents: every eleventh has no header, every seventh has an empty kind, every fifth a day."""
+    e, i = t(spark, sf_dir, "events"), F.col("event_id")
+    pair = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    pairs = F.array_compact(F.array(pair("kind", F.when(i % 7 == 0, "").otherwise(F.col("event_type"))), F.when(i % 3 != 0, pair("k", F.get_json_object("props", "$.k"))), F.when(i % 5 == 0, pair("day", F.lit("")))))
+    return e.select(i.cast("string").alias("rel"), F.when(i % 11 != 0, F.map_from_entries(pairs)).alias("fields"))
+
+
+EVENT_DOCS = """
+WITH e AS (SELECT CAST(event_id AS VARCHAR) AS rel, event_id % 11 <> 0 AS there, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 7 = 0 THEN '' ELSE event_type END AS kind,
+  CASE WHEN event_id % 11 <> 0 AND event_id % 3 <> 0 THEN json_extract_string(props, '$.k') END AS k, event_id % 11 <> 0 AND event_id % 5 = 0 AS dated FROM events),
+f AS (SELECT rel, 'required' AS rule, 'error' AS level, 'kind' AS field FROM e WHERE coalesce(kind, '') = '' UNION ALL SELECT rel, 'required', 'error', 'k' FROM e WHERE coalesce(k, '') = ''
+  UNION ALL SELECT rel, 'freshness', 'warn', '' FROM e WHERE NOT dated UNION ALL SELECT rel, 'states', 'error', 'kind' FROM e WHERE kind NOT IN ('view', 'click', 'error', '', 'signup')
+  UNION ALL SELECT rel, 'conditional', 'error', 'note' FROM e WHERE kind = 'error' UNION ALL SELECT rel, 'conditional', 'error', 'k' FROM e WHERE kind = 'error' AND coalesce(k, '') = '')
+"""
 
 
-@query("""
-WITH e AS (SELECT CAST(event_id AS VARCHAR) AS rel, event_type AS kind, json_extract_string(props, '$.k') AS k FROM events)
-SELECT rel, 'state' AS rule, 'error' AS level, 'kind' AS field FROM e WHERE kind NOT IN ('view', 'click', 'error', 'signup') UNION ALL SELECT rel, 'state-tolerated', 'warn', 'kind' FROM e WHERE kind = 'signup'
-UNION ALL SELECT rel, 'field', 'error', 'k' FROM e WHERE NOT regexp_matches(k, '^[0-9]{2}$') UNION ALL SELECT rel, 'conditional', 'error', 'note' FROM e WHERE kind = 'error'
-""")
+@query(EVENT_DOCS + "SELECT * FROM f")
 def c2_docclass_findings(spark, sf_dir):
-    return C.docclass_findings(_fields_docs(spark, sf_dir), SPEC, F.lit("2024-02-01").cast("date")).select("rel", "rule", "level", "field")
+    return DC.docclass_findings(_fields_docs(spark, sf_dir), SPEC, F.lit("2024-02-01").cast("date")).select("rel", "rule", "level", "field")
 
 
-@query("""
-WITH e AS (SELECT event_type AS kind, json_extract_string(props, '$.k') AS k FROM events)
-SELECT count(*) FILTER (kind NOT IN ('view', 'click', 'error', 'signup')) + count(*) FILTER (NOT regexp_matches(k, '^[0-9]{2}$')) + count(*) FILTER (kind = 'error') AS errors, count(*) FILTER (kind = 'signup') AS warnings, count(*) AS classified, 0 AS unclassified FROM e
-""")
+@query(EVENT_DOCS + "SELECT count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warn') AS warnings, (SELECT count(*) FROM e) AS classified, 0 AS unclassified FROM f")
 def c6_docclass_counts(spark, sf_dir):
     d = _fields_docs(spark, sf_dir)
-    return C.docclass_counts(C.classify_docs(d, SPEC), C.docclass_findings(d, SPEC, F.lit("2024-02-01").cast("date")))
+    return DC.docclass_counts(DC.classify_docs(d, SPEC), DC.docclass_findings(d, SPEC, F.lit("2024-02-01").cast("date")))
 
 
 @query("""
@@ -369,28 +389,61 @@ def c8_validate_table(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey AS id, unnest(list_filter([CASE WHEN o_orderkey % 10 = 0 THEN 'id_not_stem' END, CASE WHEN o_orderstatus NOT IN ('O', 'P') THEN 'status' END, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '5-LOW') THEN 'type' END, CASE WHEN o_orderstatus = 'P' AND CAST(o_orderdate AS DATE) <= DATE '1998-06-01' THEN 'overdue' END], lambda x: x IS NOT NULL)) AS issue FROM orders
+WITH o AS (SELECT o_orderkey AS stem, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 10 = 0 THEN 'x' ELSE CAST(o_orderkey AS VARCHAR) END AS id, CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_orderkey % 13 <> 0 THEN o_orderstatus END AS status,
+  CASE WHEN o_orderkey % 8 <> 0 THEN o_orderpriority END AS type, CASE WHEN o_orderkey % 5 = 0 THEN 'P30D' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS review, o_orderkey % 17 <> 0 AS there FROM orders)
+SELECT stem, 'E' AS level, 'no_header' AS issue FROM o WHERE NOT there UNION ALL SELECT stem, 'E', 'id_not_stem' FROM o WHERE there AND id = 'x' UNION ALL SELECT stem, 'E', 'no_status' FROM o WHERE there AND status IS NULL
+UNION ALL SELECT stem, 'E', 'status' FROM o WHERE there AND status = 'F' UNION ALL SELECT stem, 'E', 'type' FROM o WHERE there AND type NOT IN ('1-URGENT', '2-HIGH', '5-LOW')
+UNION ALL SELECT stem, 'W', 'overdue' FROM o WHERE there AND status = 'pending' AND review <> 'P30D' AND review < '1996-06-01'
 """)
 def c10_proposals(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderkey")).alias("stem"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise(F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("type"), F.to_date("o_orderdate").alias("review_after"))
-    return C.proposal_findings(o, F.lit("1998-06-01").cast("date"), ["O", "pending"], ["1-URGENT", "2-HIGH", "5-LOW"])
+    k = F.col("o_orderkey")
+    o = t(spark, sf_dir, "orders").select(
+        k.alias("stem"), F.when(k % 9 == 0, F.lit(None)).when(k % 10 == 0, "x").otherwise(k.cast("string")).alias("id"), F.when(F.col("o_orderstatus") == "P", "pending").when(k % 13 != 0, F.col("o_orderstatus")).alias("status"),
+        F.when(k % 8 != 0, F.col("o_orderpriority")).alias("type"), F.when(k % 5 == 0, "P30D").otherwise(F.to_date("o_orderdate").cast("string")).alias("review_after"), (k % 17 != 0).alias("there"),
+    )
+    return C.proposal_findings(o, F.lit("1996-06-01").cast("date"), ["O", "pending"], ["1-URGENT", "2-HIGH", "5-LOW"], header="there")
 
 
 @query("""
-WITH o AS (SELECT *, floor(o_totalprice / 100000) AS ev, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
-SELECT o_orderkey AS id, unnest(list_filter([CASE WHEN ev < 1 THEN 'no_evidence' END, CASE WHEN n > 1 THEN 'duplicate' END, CASE WHEN o_orderstatus = 'F' AND ev < 2 THEN 'ready_too_early' END, CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-01') > 90 THEN 'ageing' END], lambda x: x IS NOT NULL)) AS issue FROM o
+WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'C_' || o_custkey ELSE 'c-' || o_custkey END AS name, floor(o_totalprice / 100000) AS ev, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS domain, CASE WHEN o_orderkey % 4 <> 0 THEN 'p' || o_orderkey END AS path,
+  CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_clerk END AS rationale, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 12 = 0 THEN 'soon' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS opened FROM (SELECT *, 'clerk' AS o_clerk FROM orders)),
+d AS (SELECT *, min(id) OVER (PARTITION BY name) AS first, try_cast(opened AS DATE) AS day FROM o)
+SELECT id, 'E' AS level, 'name' AS issue FROM d WHERE name LIKE 'C%' UNION ALL SELECT id, 'E', 'missing:domain' FROM d WHERE domain IS NULL UNION ALL SELECT id, 'E', 'missing:path' FROM d WHERE path IS NULL UNION ALL SELECT id, 'E', 'missing:rationale' FROM d WHERE rationale = ''
+UNION ALL SELECT id, 'E', 'missing:opened_at' FROM d WHERE opened IS NULL UNION ALL SELECT id, 'E', 'no_evidence' FROM d WHERE ev = 0 UNION ALL SELECT id, 'E', 'duplicate' FROM d WHERE first < id
+UNION ALL SELECT id, 'E', 'name_taken' FROM d WHERE name IN (SELECT 'c-' || c_custkey FROM customer WHERE c_acctbal < 0) UNION ALL SELECT id, 'W', 'path_exists' FROM d WHERE path IN (SELECT 'p' || l_orderkey FROM lineitem WHERE l_quantity > 45)
+UNION ALL SELECT id, 'W', 'opened_unreadable' FROM d WHERE day IS NULL UNION ALL SELECT id, 'I', 'ready' FROM d WHERE ev >= 2 UNION ALL SELECT id, 'I', 'ageing' FROM d WHERE date_diff('day', day, DATE '1998-08-01') > 90 UNION ALL SELECT id, 'W', 'domain' FROM d WHERE domain NOT IN ('1-URGENT', '2-HIGH')
 """)
 def c13_candidates(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("name"), F.floor(F.col("o_totalprice") / 100000).alias("evidence"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("new").alias("status"), F.to_date("o_orderdate").alias("opened_at"))
-    return C.candidate_findings(o, F.lit("1998-08-01").cast("date"))
+    k = F.col("o_orderkey")
+    o = t(spark, sf_dir, "orders").select(
+        k.alias("id"), F.concat(F.when(k % 6 == 0, "C_").otherwise("c-"), "o_custkey").alias("name"), F.floor(F.col("o_totalprice") / 100000).alias("evidence"), F.when(k % 7 != 0, F.col("o_orderpriority")).alias("domain"), F.when(k % 4 != 0, F.concat(F.lit("p"), k)).alias("path"),
+        F.when(k % 3 == 0, "").otherwise("clerk").alias("rationale"), F.lit("later").alias("graduation"), F.when(k % 11 == 0, F.lit(None)).when(k % 12 == 0, "soon").otherwise(F.to_date("o_orderdate").cast("string")).alias("opened_at"),
+    )
+    taken = t(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.concat(F.lit("c-"), "c_custkey").alias("name"))
+    paths = t(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.concat(F.lit("p"), "l_orderkey").alias("path"))
+    return C.candidate_findings(o, F.lit("1998-08-01").cast("date"), domains=["1-URGENT", "2-HIGH"], packages=taken, paths=paths)
 
 
-NAMES = ["there", "license", "widget", "gizmo", "with", "nicht"]
+@query(TERM_TABLE + ", h AS (SELECT DISTINCT term, doc_id FROM q JOIN g ON form = term) SELECT term, count(doc_id) AS docs FROM q LEFT JOIN h USING (term) GROUP BY 1")
+def c14_index_findings(spark, sf_dir):
+    return C.index_findings(benchmark_terms(spark, sf_dir), documents(spark, sf_dir), "doc_id", "text", "term")
 
 
-@query("WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents) " + " UNION ALL ".join(f"SELECT '{x}' AS term, count(*) FILTER (regexp_matches(s, '{flex_pattern(x)}')) AS docs FROM d" for x in NAMES))
-def c14_index_findings(spark, sf_dir):
-    return C.index_findings(NAMES, documents(spark, sf_dir), "doc_id", "text")
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_brand AS brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part)
+SELECT brand AS doc_id, r + 2 AS line_no, 'P' || k || CASE WHEN k % 5 = 0 THEN ' / Q' || k ELSE '' END AS cell FROM p WHERE k % 3 <> 0 AND (k % 2 = 0 OR k % 5 = 0) AND k % 7 <> 0
+""")
+def c14_free_rows(spark, sf_dir):
+    """A table of parts for each brand; odd parts are registered, every fifth row names a second thing that isn't, every third is marked as withdrawn, every
+    seventh has its name in another script."""
+    k = F.col("p_partkey")
+    name = F.when(k % 7 == 0, "部件").otherwise(F.concat(F.lit("`P"), k, F.lit("` (old)"), F.when(k % 5 == 0, F.concat(F.lit(" / Q"), k)).otherwise("")))
+    row = F.concat(F.lit("| "), name, F.lit(" | "), F.when(k % 3 == 0, "withdrawn").otherwise("in use"), F.lit(" |"))
+    rows = t(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("doc_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    text = F.array_join(F.concat(F.array(F.lit("| name | state |"), F.lit("|---|---|")), "rows"), "\n")
+    names = t(spark, sf_dir, "part").filter("p_partkey % 2 = 1").select(F.concat(F.lit("p"), "p_partkey").alias("name"))
+    found = C.free_rows(E.lines_of(rows.select("doc_id", text.alias("text")), "doc_id", "text"), names, "withdrawn")
+    return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("cell", r" \(old\)", "").alias("cell"))
 
 
 @query("""

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.patterns import flex_pattern
+from ..functions.patterns import FORMS, flex_pattern
 from ..operators import aggregates as A
 from ..operators import extract as E
 from ..operators import joins as J
 from ..operators import ranking as R
 from ..operators import sets as S
 from ..operators.filters import restrict_to_changed
+from ..operators.terms import match_term_table
 from ..sources import io as IO
 from .kit import Book, sql_list, t
 
@@ -91,6 +92,30 @@ def j3_match_terms(spark, sf_dir):
     return J.match_terms(documents(spark, sf_dir), TERMS, "doc_id", "text").select("term", F.col("doc").alias("doc_id"))
 
 
+_FORMS = ", ".join(f"CASE WHEN length(term) >= {least} AND regexp_matches(term, '(?:{ending})$') THEN left(term, length(term) - {cut}) || '{instead}' END" for ending, cut, instead, least in FORMS)
+#: Words and pairs of words of the benchmark as terms, with their forms, and stretches of one and two runs of every document.
+TERM_TABLE = rf"""
+WITH w AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark),
+q AS (SELECT DISTINCT term FROM (SELECT unnest(w) AS term FROM w UNION ALL SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)) WHERE regexp_full_match(term, '[a-z0-9]+( [a-z0-9]+)?')),
+f AS (SELECT DISTINCT term, unnest(list_filter([term, {_FORMS}], lambda x: x IS NOT NULL)) AS form FROM q),
+k AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_-]+|[^a-z0-9_-]+') AS t FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + 2 * n - 2], '') AS form FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM k), (SELECT unnest([1, 2]) AS n) WHERE i + 2 * n - 2 <= len(t) AND regexp_matches(t[i], '^[a-z0-9_-]'))
+"""
+
+
+def benchmark_terms(spark, sf_dir):
+    """(term): words and pairs of words of the benchmark."""
+    w = t(spark, sf_dir, "benchmark").select(F.split(F.lower("text"), " ").alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
+    both = F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))
+    return w.select(F.explode(both).alias("term")).filter(F.col("term").rlike(r"\A[a-z0-9]+( [a-z0-9]+)?\z")).distinct()
+
+
+@query(TERM_TABLE + "SELECT DISTINCT term, doc_id FROM f JOIN g USING (form)")
+def j3_match_term_table(spark, sf_dir):
+    return match_term_table(documents(spark, sf_dir), benchmark_terms(spark, sf_dir), "doc_id", "text").select("term", F.col("doc").alias("doc_id"))
+
+
 KEY = r"trim(regexp_replace(lower(%s), '[ \t\n\r\f\x0B]+', ' ', 'g'))"
 
 
@@ -231,14 +256,14 @@ def j18_reconcile_index(spark, sf_dir):
 
 
 @query(r"""
-WITH u AS (SELECT unit, list_last(string_split(unit, '/')) AS base FROM (SELECT DISTINCT unnest(['that', 'there', 'widget', 'licensed under the apache license', 'nicht', 'ring', 'gear', 'is', 'src/there.py', 'lib/license.txt', 'doc/it is/widgets.md', 'a/under the.x']) AS unit)),
+WITH u AS (SELECT unit, list_last(string_split(unit, '/')) AS base FROM (SELECT DISTINCT unnest(['that', 'there', 'widget', 'licensed under the apache license', 'nicht', 'ring', 'gear', 'is', 'src/there.py', 'lib/license.txt', 'doc/it is/widgets.md', 'a/under the.x']) AS unit UNION SELECT 'lib/' || replace(p_name, ' ', '_') || '.txt' FROM part)),
 f AS (SELECT unit, ' ' || regexp_replace(unnest([unit, base, CASE WHEN length(regexp_replace(base, '\.[^.]+$', '')) >= 6 THEN regexp_replace(base, '\.[^.]+$', '') ELSE unit END]), '[^\p{L}\p{N}]+', ' ', 'g') || ' ' AS form FROM u),
 d AS (SELECT ' ' || regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g') || ' ' AS s FROM documents),
 h AS (SELECT unit, bool_or(contains(s, form)) AS hit FROM f, d GROUP BY 1)
 SELECT unit, CASE WHEN unit = 'gear' THEN 'exemption_without_reason' WHEN unit = 'that' AND hit THEN 'stale_exemption' WHEN unit IN ('that', 'ring') THEN 'exempt' WHEN hit THEN 'covered' ELSE 'uncovered' END AS status FROM h
 """)
 def j20_mention_coverage(spark, sf_dir):
-    units = spark.createDataFrame([(u,) for u in ("that", "there", "widget", "licensed under the apache license", "nicht", "ring", "gear", "is", "src/there.py", "lib/license.txt", "doc/it is/widgets.md", "a/under the.x")], "unit string")
+    units = spark.createDataFrame([(u,) for u in ("that", "there", "widget", "licensed under the apache license", "nicht", "ring", "gear", "is", "src/there.py", "lib/license.txt", "doc/it is/widgets.md", "a/under the.x")], "unit string").union(t(spark, sf_dir, "part").select(F.concat(F.lit("lib/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".txt"))).distinct())
     exempt = spark.createDataFrame([("that", "common"), ("ring", "a part"), ("gear", " ")], "unit string, reason string")
     return J.mention_coverage(units, documents(spark, sf_dir), exempt)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .census import IGNORE, Census
+
 EXPECT = "struct<domain:string,action:string,actionIn:array<string>,skills:array<string>,anySkills:array<string>,band:array<double>>"
 CASE = f"id string, query string, expect {EXPECT}, tier string, provenance string, lang string, `of` string, note string"
 EXTRA = "struct<to:string,dead:boolean,external:boolean,mechanism:string,shape:string,surface:string,symbol:string,ambiguous:boolean,candidates:array<string>,source:string,docrole:string>"
@@ -65,22 +68,10 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return j.select("session", turn.alias("turn"), F.col("m.timestamp").alias("ts"), F.col("m.type").alias("role"), text.alias("text"), F.when(nested, skill).alias("activated"))
 
 
-def file_census(spark: SparkSession, root: str, ignore: Sequence[str] = (".git", "node_modules")) -> DataFrame:
-    """(path, ext, bytes, kind) of files below root and of their folders; ignored folders go. Contents aren't read.
-
-    Spark's readers pass over files of no length, so these aren't listed.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"))
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    prefix = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
-    rel = F.regexp_replace(F.regexp_extract("path", r"^(?:[a-z][a-z0-9+.-]*:(?://[^/]*)?)?(/.*)$", 1), "^" + __import__("re").escape(prefix) + "/", "")
-    files = files.select(rel.alias("path"), "bytes")
-    for name in ignore:
-        files = files.filter(~F.concat(F.lit("/"), "path").contains(f"/{name}/"))
-    ext = F.lower(F.regexp_extract("path", r"[^/.][^/]*(\.[^./]+)$", 1))
-    parts = F.split("path", "/")
-    folders = files.filter(F.size(parts) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path")).distinct()
-    return files.select("path", ext.alias("ext"), "bytes", F.lit("file").alias("kind")).unionByName(folders.select("path", F.lit("").alias("ext"), F.lit(0).cast("long").alias("bytes"), F.lit("dir").alias("kind")))
+def file_census(spark: SparkSession, root: str, ignore: Sequence[str] = IGNORE) -> DataFrame:
+    """(path, ext, bytes, kind, target, dead) of the files, folders and links below root; ignored folders go. See `census`."""
+    spark.dataSource.register(Census)
+    return spark.read.format(Census.name()).option("ignore", json.dumps(list(ignore))).load(root)
 
 
 def availability(units: DataFrame, declared: DataFrame, key: str = "name") -> DataFrame:
