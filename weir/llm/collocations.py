@@ -34,8 +34,8 @@ from .shared import map_parts, materialize
 
 BREAK = 255  # never a byte of UTF-8
 FOLD = bytes(BREAK if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-HELD = 4_000_000  # hashes that a task holds before it counts them
-WORDS = 1_000_000  # words of texts, or distinct words, that a task holds before it counts them
+HELD = 2_500_000  # hashes that a task holds before it counts them
+WORDS = 300_000  # words of texts, or distinct words, that a task holds before it counts them
 MOST_BITS = 1 << 27
 U = np.uint64
 PRIME, MIX = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
