@@ -1,6 +1,7 @@
 """Operators whose inputs the given tables don't have: small fixtures of our own."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -279,6 +280,39 @@ def test_regex_gate_reports_a_bad_pattern(spark):
     df = spark.createDataFrame([("a.md", "x1\nx2")], "file string, text string")
     out = E.regex_gate(df, [{"id": "g", "pattern": "x."}, {"id": "bad", "pattern": "("}], "file", "text")
     assert rows(out, "gate", "line") == [("bad", 0), ("g", 1), ("g", 2)]
+    assert E.regex_gate(df, [{"id": "bad", "pattern": "("}], "file", "text").count() == 1
+
+
+def test_regex_gate_over_whole_texts(spark):
+    texts = ["one\ntwo\n\nthree two", "", None, "xx\nx", "\n\n\nend", "a\uffffb", "é\r\nx", "x" * 120, "two\r\nthree"]
+    df = spark.createDataFrame([(f"f{i}.md", t) for i, t in enumerate(texts)], "file string, text string").withColumns({c: F.lit("mine") for c in ("gate", "line", "match", "total", "hits")})
+    gates = [{"id": "over", "pattern": r"two\s+three|one\ntwo"}, {"id": "empty", "pattern": "x*"}, {"id": "start", "pattern": "^"}, {"id": "first", "pattern": "x", "once": True}, {"id": "end", "pattern": "end$"}, {"id": "mark", "pattern": "[^a-z]"}]
+    got = E.regex_gate(df, gates, "file", "text")
+    want = []
+    for g in gates:
+        for i, t in enumerate(texts):
+            found = list(re.finditer("(?m)" + g["pattern"], (t or "").replace("\uffff", "\ufffe")))
+            listed = found[: 1 if g.get("once") else 50]
+            want += [(g["id"], f"f{i}.md", (t or "").count("\n", 0, m.start()) + 1, m[0][:200], None) for m in listed]
+            want += [(g["id"], f"f{i}.md", 0, None, len(found))] if len(found) > 50 and not g.get("once") else []
+    assert rows(got.select("gate", "file", "line", "match", "total")) == sorted(want, key=repr)
+
+
+def test_local_definitions_stay_in_their_document(spark):
+    docs = spark.createDataFrame([("a", "# ID-1\n**L-1** x\nuse L-1, ID-1, ID-2, L-2\n```\nL-9\n```"), ("b", "L-1 and ID-1\n**L-2**: y\nL-2 L-2 ID-9"), ("c", None)], "doc_id string, t string")
+    lines = E.lines_of(docs, "doc_id", "t", fences=True)
+    everywhere = E.id_defs(lines, "ID-[0-9]", ["heading"]).unionByName(spark.createDataFrame([("z", 1, "L-2", "table")], "doc_id string, line_no int, id string, mode string"))
+    got = E.id_refs(lines, ["ID-[0-9]", "L-[0-9]"], everywhere, local=E.id_defs(lines, "L-[0-9]", ["bold"]))
+    assert rows(got, "doc_id", "line_no", "id", "scope") == sorted([("a", 3, "L-1", "local"), ("a", 3, "ID-1", "global"), ("a", 3, "ID-2", None), ("a", 3, "L-2", "global"), ("b", 1, "L-1", None), ("b", 1, "ID-1", "global"), ("b", 3, "L-2", "local"), ("b", 3, "ID-9", None)], key=repr)
+    assert got.filter("defined <> (scope IS NOT NULL)").count() == 0
+
+
+def test_headings_of_front_matter_dont_count(spark):
+    texts = [("a", "---\n## no\n---\n## yes\n---\n## too"), ("b", "\n---\n## yes\n---"), ("c", "---\n## open"), ("d", " --- \r\n## no\r\n---\r\n## yes\r"), ("e", "--- x\n## yes"), ("f", None), ("g", "---\n---\n## yes")]
+    df = spark.createDataFrame(texts, "doc_id string, t string")
+    want = [("a", 4, "yes"), ("a", 6, "too"), ("b", 3, "yes"), ("d", 4, "yes"), ("e", 2, "yes"), ("g", 3, "yes")]
+    for fences in (True, False):
+        assert rows(E.headings(E.lines_of(df, "doc_id", "t", fences=fences)), "doc_id", "line_no", "heading") == want
 
 
 # decisions

@@ -189,7 +189,7 @@ def mask_fences(lines: DataFrame, doc: str = "doc_id", n: str = "line_no", text:
     """lines outside fenced blocks; the fence lines go as well. Lines with a column `fenced` (lines_of) are filtered where they
     are; for others, the lines of a document meet in a window."""
     if "fenced" in lines.columns:
-        return lines.filter("NOT fenced").drop("fenced")
+        return lines.filter("NOT fenced").drop("fenced", "front")
     fence = F.col(text).rlike(r"^\s*(```|~~~)")
     before = F.sum(fence.cast("int")).over(Window.partitionBy(doc).orderBy(n))
     return lines.withColumns({"_fence": fence, "_open": before}).filter(~F.col("_fence") & (F.col("_open") % 2 == 0)).drop("_fence", "_open")

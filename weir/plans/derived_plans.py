@@ -201,7 +201,7 @@ def p12_with_expectation(spark, sf_dir):
 def _markdown(spark, sf_dir):
     """Documents as Markdown: a header block, a heading for each line, a link to the source."""
     lines = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("^[A-Za-z]{2}")), lambda x: F.concat(F.lit("## "), F.regexp_extract(x, "^([A-Za-z]+)", 1)))
-    body = F.concat(F.lit("---\nlang: "), F.coalesce("lang", F.lit("-")), F.lit("\nsource: "), "source", F.lit("\n---\n> Based on: "), "source", F.lit(".md\n\n"), F.array_join(lines, "\n"), F.lit("\nsee [it]("), "source", F.lit(".md) and [that][s]\n[s]: ../x/"), "source", F.lit(".md\n"))
+    body = F.concat(F.lit("---\n## not a heading\nlang: "), F.coalesce("lang", F.lit("-")), F.lit("\nsource: "), "source", F.lit("\n---\n> Based on: "), "source", F.lit(".md\n\n"), F.array_join(lines, "\n"), F.lit("\nsee [it]("), "source", F.lit(".md) and [that][s]\n[s]: ../x/"), "source", F.lit(".md\n"))
     return documents(spark, sf_dir).select("doc_id", body.alias("text"))
 
 

@@ -159,18 +159,23 @@ def x18_oversize(spark, sf_dir):
     return E.oversize(docs(spark, sf_dir), 0.005, "text").select("doc_id", F.col("bytes").cast("long").alias("bytes"))
 
 
-GATES = [{"id": "licence", "pattern": "(?i)licensed under", "globs": ["*"], "once": True}, {"id": "numbers", "pattern": "[0-9]{4,}", "globs": ["src*/**"], "exclude": ["src0/**"]}]
+GATES = [
+    {"id": "licence", "pattern": r"(?i)licensed\s+under", "globs": ["*"], "once": True},
+    {"id": "numbers", "pattern": "[0-9]{4,}", "globs": ["src*/**"], "exclude": ["src0/**"]},
+    {"id": "break", "pattern": r"[a-z]\n+[A-Z]"},
+]
 
 
 @query(r"""
 WITH f AS (SELECT source || '/' || CAST(doc_id AS VARCHAR) AS file, coalesce(text, '') AS text FROM documents),
-l AS (SELECT file, unnest(string_split(text, chr(10))) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM f),
-a AS (SELECT 'licence' AS gate, file, line, regexp_extract_all(s, '(?i)licensed under')[1] AS match, row_number() OVER (PARTITION BY file ORDER BY line) AS k FROM l WHERE regexp_matches(s, '(?i)licensed under')),
-b AS (SELECT 'numbers' AS gate, file, line, unnest(regexp_extract_all(s, '[0-9]{4,}')) AS match FROM l WHERE file NOT LIKE 'src0/%'),
-c AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line, match) AS k FROM b)
-SELECT gate, file, line, match, CAST(NULL AS BIGINT) AS total FROM a WHERE k = 1
-UNION ALL SELECT gate, file, line, match, NULL FROM c WHERE k <= 50
-UNION ALL SELECT 'numbers', file, 0, NULL, count(*) FROM b GROUP BY file HAVING count(*) > 50
+g AS (SELECT 'licence' AS gate, '(?i)licensed\s+under' AS p UNION ALL SELECT 'numbers', '[0-9]{4,}' UNION ALL SELECT 'break', '[a-z]\n+[A-Z]'),
+s AS (SELECT gate, file, regexp_extract_all(text, '(?i)licensed\s+under') AS m, regexp_split_to_array(text, '(?i)licensed\s+under') AS b FROM f, g WHERE gate = 'licence'
+  UNION ALL SELECT gate, file, regexp_extract_all(text, '[0-9]{4,}'), regexp_split_to_array(text, '[0-9]{4,}') FROM f, g WHERE gate = 'numbers' AND file NOT LIKE 'src0/%'
+  UNION ALL SELECT gate, file, regexp_extract_all(text, '[a-z]\n+[A-Z]'), regexp_split_to_array(text, '[a-z]\n+[A-Z]') FROM f, g WHERE gate = 'break'),
+h AS (SELECT gate, file, len(m) AS total, i, m[i] AS match, len(array_to_string(b[1:i], '')) - len(replace(array_to_string(b[1:i], ''), chr(10), '')) + len(array_to_string(m[1:i - 1], '')) - len(replace(array_to_string(m[1:i - 1], ''), chr(10), '')) + 1 AS line
+  FROM (SELECT *, unnest(range(1, least(len(m), 50) + 1)) AS i FROM s))
+SELECT gate, file, line, match, CAST(NULL AS BIGINT) AS total FROM h WHERE gate <> 'licence' OR i = 1
+UNION ALL SELECT gate, file, 0, NULL, total FROM h WHERE i = 50 AND total > 50 AND gate <> 'licence'
 """)
 def x19_regex_gate(spark, sf_dir):
     df = docs(spark, sf_dir).select(F.concat_ws("/", "source", "doc_id").alias("file"), "text")
@@ -247,16 +252,22 @@ def x26_id_defs(spark, sf_dir):
     return E.id_defs(E.lines_of(docs(spark, sf_dir), "doc_id", "text", fences=True), "AKIA[0-9A-Z]{16}|[0-9]{16}", ["tokens"]).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "id", "mode")
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line_no FROM documents)
-SELECT DISTINCT doc_id, line_no, unnest(regexp_extract_all(' ' || regexp_replace(line, '([^A-Za-z0-9_-])', ' \1 ', 'g') || ' ', '[^A-Za-z0-9_-]((?:mail[0-9])|(?:token))[^A-Za-z0-9_-]', 1)) AS id, false AS defined FROM l
+@query("""
+WITH o AS (SELECT o_custkey AS doc, o_orderkey AS k, o_orderstatus AS s, 2 * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line_no FROM orders),
+r AS (SELECT doc, k, line_no, 'O' || (2 * k) AS id, EXISTS (SELECT 1 FROM o d WHERE d.k = 2 * o.k AND d.s = 'F') AS g, false AS l FROM o
+  UNION ALL SELECT doc, k, line_no, 'L' || ((k + 1) % 7), ((k + 1) % 7) IN (SELECT k % 3 FROM o WHERE s = 'P'), EXISTS (SELECT 1 FROM o d WHERE d.doc = o.doc AND d.s = 'O' AND d.k % 7 = (o.k + 1) % 7) FROM o)
+SELECT doc, line_no, id, g OR l AS defined, CASE WHEN l THEN 'local' WHEN g THEN 'global' END AS scope FROM r
 """)
 def x27_id_refs(spark, sf_dir):
-    lines = E.lines_of(docs(spark, sf_dir), "doc_id", "text", fences=True)
-    defs = E.id_defs(lines, "zz[0-9]+", ["heading"])
-    # word borders are those of ASCII words, as letters with marks end a word in the oracle
-    refs = E.id_refs(lines.withColumn("line", F.regexp_replace("line", r"[^\x00-\x7f]", " ")), ["mail[0-9]", "token"], defs)
-    return refs.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "id", "defined")
+    """A text for each customer with two lines an order: what it defines (a heading, everywhere; a bold start, here; a table cell, everywhere),
+    and what it refers to."""
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    defines = F.when(s == "F", F.concat(F.lit("# O"), k)).when(s == "O", F.concat(F.lit("**L"), k % 7, F.lit("** here"))).otherwise(F.concat(F.lit("| L"), k % 3, F.lit(" | of all |")))
+    refers = F.concat(F.lit("see O"), 2 * k, F.lit(" and L"), (k + 1) % 7, F.lit(", L"), (k + 1) % 7, F.lit(", not xO1 or O1-a"))
+    texts = t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), F.concat(defines, F.lit("\n"), refers).alias("t")))).alias("x"))
+    lines = E.lines_of(texts.select("doc", F.array_join(F.transform("x", lambda x: x["t"]), "\n").alias("text")), "doc", "text", fences=True)
+    everywhere = E.id_defs(lines, "[OL][0-9]+", ["heading", "table"], "doc")
+    return E.id_refs(lines, ["O[0-9]+", "L[0-9]+"], everywhere, "doc", local=E.id_defs(lines, "L[0-9]+", ["bold"], "doc")).select("doc", F.col("line_no").cast("long").alias("line_no"), "id", "defined", "scope")
 
 
 @query(r"""
