@@ -292,6 +292,7 @@ def test_regex_gate_over_whole_texts(spark):
     for g in gates:
         for i, t in enumerate(texts):
             found = list(re.finditer("(?m)" + g["pattern"], (t or "").replace("\uffff", "\ufffe")))
+            found = found if t or g["id"] != "start" else []  # to Java, an empty text has no start of a line
             listed = found[: 1 if g.get("once") else 50]
             want += [(g["id"], f"f{i}.md", (t or "").count("\n", 0, m.start()) + 1, m[0][:200], None) for m in listed]
             want += [(g["id"], f"f{i}.md", 0, None, len(found))] if len(found) > 50 and not g.get("once") else []
