@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import flex_pattern, flex_variants
 from ..functions.text import norm_key
 from .ranking import seconds, top_k
+from .scans import ranged, run_over
 from .terms import phrase_hits
 
 
@@ -130,36 +131,34 @@ def resolve_nested(packages: DataFrame, dependencies: DataFrame, path: str = "pa
     return tries.join(known, ["source", "dep_path"]).groupBy("source", path, name).agg(F.min_by("dep_path", "_k").alias("dep_path"))
 
 
-def slice_windows(actions: DataFrame, flows: DataFrame, quiet_s: float, baseline: DataFrame | None = None, part: str = "session", start: str = "start_ts", ts: str = "ts", same: Sequence[str] = ("url", "method")) -> DataFrame:
+def slice_windows(actions: DataFrame, flows: DataFrame, quiet_s: float, baseline: DataFrame | None = None, part: str = "session", start: str = "start_ts", ts: str = "ts", same: Sequence[str] = ("url", "method"), ranges: int | None = None) -> DataFrame:
     """(action, flow) pairs: flows after an action's start up to its quiet point, less what the baseline has.
 
-    The quiet point of an action is the last flow before the first gap of quiet_s after the start. Bursts of flows
-    (runs without such a gap) are found by one window, so each action joins one burst: the first flow after the
-    start names it, by a window over actions and flows together. No theta join.
+    The quiet point of an action is the last flow before the first gap of quiet_s after the start. Actions and flows are
+    scanned together (see scans; a session may be of any size): a flow begins a burst if no flow came within quiet_s before it, bursts are
+    numbered by a running sum, and an action's burst is that of the next flow. Actions join their burst's flows; no theta join.
     """
-    w = Window.partitionBy(part).orderBy(ts)
-    gap = seconds(F.col(ts)) - seconds(F.lag(ts).over(w))
-    flows = flows.withColumn("_burst", F.sum(F.when(gap < quiet_s, 0).otherwise(1)).over(w))
-    merged = flows.select(part, F.col(ts).alias("_t"), "_burst", F.lit(1).alias("_flow"), F.lit(None).cast(dict(actions.dtypes)["action_id"]).alias("action_id")).unionByName(
-        actions.select(part, F.col(start).alias("_t"), F.lit(None).cast("bigint").alias("_burst"), F.lit(0).alias("_flow"), "action_id")
-    )
+    kind = dict(actions.dtypes)["action_id"]
+    both = flows.withColumns({"_flow": F.struct(*flows.columns), "_t": F.col(ts), "_late": F.lit(0), "action_id": F.lit(None).cast(kind)}).select(part, "_t", "_late", "_flow", "action_id")
     # a flow at the very start is before the action
-    later = Window.partitionBy(part).orderBy("_t", F.col("_flow").desc()).rowsBetween(1, Window.unboundedFollowing)
-    opened = merged.withColumn("_next", F.first("_burst", ignorenulls=True).over(later)).filter("_flow = 0 AND _next IS NOT NULL")
-    found = opened.select(part, "action_id", F.col("_t").alias(start), F.col("_next").alias("_burst")).join(flows, [part, "_burst"]).filter(F.col(ts) > F.col(start))
-    if baseline is not None:
-        found = found.join(baseline.select(*same).distinct(), list(same), "left_anti")
-    return found.drop("_burst")
-
-
-def forward_label(turns: DataFrame, n: int, part: str = "conv_id", order: str = "turn", role: str = "role", label: str = "label") -> DataFrame:
-    """User turns with the first label within the next n turns, before the next user turn."""
-    w = Window.partitionBy(part).orderBy(order)
-    rows = turns.withColumns({"_seg": F.sum((F.col(role) == "user").cast("int")).over(w), "_at": F.row_number().over(w)}).filter("_seg > 0")
-    seg = Window.partitionBy(part, "_seg")
-    rows = rows.withColumn("_head", F.min("_at").over(seg))
-    picked = rows.filter((F.col(role) != "user") & F.col(label).isNotNull() & (F.col("_at") - F.col("_head") <= n)).groupBy(part, "_seg").agg(F.min_by(label, "_at").alias("actual"))
-    return rows.filter(F.col(role) == "user").join(picked, [part, "_seg"], "left").drop("_seg", "_at", "_head")
+    both = both.unionByName(actions.select(part, F.col(start).alias("_t"), F.lit(1).alias("_late"), "action_id"), allowMissingColumns=True)
+    order, of_flow = ["_t", "_late"], F.when(F.col("_flow").isNotNull(), F.col("_t"))
+    near = run_over(ranged(both, [part], order, ranges), [part], order, before={"_prev": of_flow}, after={"_next": of_flow})
+    gap = lambda at: F.coalesce(seconds(at) - seconds(F.col("_prev")) >= quiet_s, F.lit(True))
+    burst = run_over(near, [part], order, running={"_burst": F.when(F.col("_flow").isNotNull() & gap(F.col("_t")), 1)})
+    opened = burst.filter("_flow IS NULL AND _next IS NOT NULL").select(part, "action_id", F.col("_t").alias(start), (F.col("_burst") + gap(F.col("_next")).cast("int")).alias("_burst"))
+    found = opened.join(burst.filter("_flow IS NOT NULL").select(part, "_burst", "_flow"), [part, "_burst"]).filter(F.col(f"_flow.{ts}") > F.col(start))
+    found = found.select(part, "action_id", start, *(f"_flow.{c}" for c in flows.columns if c != part))
+    return found if baseline is None else found.join(baseline.select(*same).distinct(), list(same), "left_anti")
+
+
+def forward_label(turns: DataFrame, n: int, part: str = "conv_id", order: str = "turn", role: str = "role", label: str = "label", ranges: int | None = None) -> DataFrame:
+    """User turns with the first label within the next n turns, before the next user turn. A conversation may be of any size (see scans)."""
+    user = F.coalesce(F.col(role) == "user", F.lit(False))
+    rows = run_over(ranged(turns, [part], [order], ranges), [part], [order], running={"_seg": user.cast("int"), "_at": F.lit(1)}).filter("_seg > 0")
+    rows = run_over(rows, [part], [order], before={"_head": F.when(user, F.col("_at"))})
+    picked = rows.filter(~user & F.col(label).isNotNull() & (F.col("_at") - F.col("_head") <= n)).groupBy(part, "_seg").agg(F.min_by(label, "_at").alias("actual"))
+    return rows.filter(user).join(picked, [part, "_seg"], "left").select(*turns.columns, "actual")
 
 
 def reuse_scores(current: DataFrame, prior: DataFrame, key: str = "id", text: str = "text", score: str = "score") -> DataFrame:

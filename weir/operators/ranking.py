@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lex_tokens
+from .scans import ranged, run_over
 from .tables import cut
 
 K1, B = 1.4, 0.75
@@ -212,10 +213,12 @@ def seconds(ts: Column) -> Column:
     return ts.cast("timestamp").cast("double")
 
 
-def quiet_point(flows: DataFrame, quiet_s: float, part: str = "session", ts: str = "ts") -> DataFrame:
-    """(session, quiet_at): the last flow before the first gap of quiet_s seconds or more (the end counts as a gap)."""
-    gap = seconds(F.lead(ts).over(Window.partitionBy(part).orderBy(ts))) - seconds(F.col(ts))
-    return flows.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") >= quiet_s)).groupBy(part).agg(F.min(ts).alias("quiet_at"))
+def quiet_point(flows: DataFrame, quiet_s: float, part: str = "session", ts: str = "ts", ranges: int | None = None) -> DataFrame:
+    """(session, quiet_at): the last flow before the first gap of quiet_s seconds or more (the end counts as a gap). A session may be
+    of any size (see scans)."""
+    rows = run_over(ranged(flows.select(part, ts), [part], [ts], ranges), [part], [ts], after={"_next": F.col(ts)})
+    gap = seconds(F.col("_next")) - seconds(F.col(ts))
+    return rows.filter(gap.isNull() | (gap >= quiet_s)).groupBy(part).agg(F.min(ts).alias("quiet_at"))
 
 
 def review_queue(df: DataFrame, today: Column, review: str = "review_after", status: str = "status", id_col: str = "id") -> DataFrame:
