@@ -81,9 +81,13 @@ def test_census_facts_ledger_snapshot(spark, tmp_path):
     IO.write_facts(facts, out, single=True)
     assert [json.loads(r["value"])["name"] for r in spark.read.text(out).collect()] == ["c", "a", "b"]
     events = spark.createDataFrame([("2024-01-01T05:00:00Z", "a"), ("2024-01-02T05:00:00Z", "b")], "timestamp string, event string")
-    IO.append_events(events, str(tmp_path / "ledger"))
-    IO.append_events(events, str(tmp_path / "ledger"))
-    assert spark.read.json(str(tmp_path / "ledger")).groupBy("day").count().count() == 2
+    ledger = str(tmp_path / "ledger")
+    assert IO.read_ledger(spark, ledger).count() == 0
+    assert [IO.append_events(events, ledger, n) for n in ("b1", "b1", "b2")] == [True, False, True]
+    events.limit(1).withColumn("day", F.to_date("timestamp")).write.partitionBy("day").json(f"{ledger}/attempt={'0' * 32}")  # an attempt that was lost
+    assert rows(IO.read_ledger(spark, ledger), "event", "batch") == [("a", "b1"), ("a", "b2"), ("b", "b1"), ("b", "b2")]
+    with pytest.raises(ValueError):
+        IO.append_events(events, ledger, "../b")
     assert rows(IO.snapshot(spark.createDataFrame([("a", True), ("a", True)], "id string, pass boolean"), "id", "pass")) == [("a", True)]
 
 

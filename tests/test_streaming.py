@@ -1,11 +1,15 @@
 """Streams give what batches give."""
 
 import json
+import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from weir.operators import ranking as R
 from weir.operators.decide import triage
+from weir.sources import io as IO
 from weir.streaming import ledgers as S
 
 from .test_operators import RULES, rows
@@ -84,3 +88,96 @@ def test_sessions(spark):
     m = spark.createDataFrame([("c", "2024-01-01 00:00:01", "in", "a"), ("c", "2024-01-01 00:00:00", "out", "b"), ("c", "2024-01-01 05:00:00", "in", "z")], "session string, ts string, direction string, text string").withColumn("ts", F.to_timestamp("ts"))
     assert [x["text"] for x in S.ws_sessions(m).first()["messages"]] == ["b", "a", "z"]
     assert S.ws_sessions(m, gap="1 hour").count() == 2
+    assert rows(S.ws_sessions(m, most=2), "session", "part_no", F.size("messages")) == [("c", 0, 2), ("c", 1, 1)]
+
+
+def test_session_stream_equals_batch(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    rng = random.Random(2)
+    said = [(rng.choice(["hot", "hot", "x", "y"]), i, rng.choice(["in", "out", None]), rng.choice(["a", "é", "", None])) for i in range(90)]
+    # three batches of thirty minutes each, out of order by up to five minutes; the connections go over all of them
+    order = sorted(said, key=lambda r: r[1] + rng.randint(0, 5))
+    shown = [{"session": s, "ts": f"2024-01-01T{i // 60:02}:{i % 60:02}:00.000Z", "direction": d, "text": t} for s, i, d, t in order]
+    for k, part in enumerate([shown[:30], shown[30:60], shown[60:], [{"session": "end", "ts": "2024-02-01T00:00:00.000Z", "direction": "", "text": ""}]]):
+        (src / f"{k}.jsonl").write_text("\n".join(map(json.dumps, part)) + "\n")
+        os.utime(src / f"{k}.jsonl", (1_700_000_000 + k, 1_700_000_000 + k))
+    schema = "session string, ts timestamp, direction string, text string"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = S.ws_session_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src)), delay="6 minutes", quiet_s=7200, most=10)
+    got = []
+    q = stream.writeStream.foreachBatch(lambda b, n: got.extend((n, *r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert q.exception() is None and len({g[0] for g in got if g[1] == "hot"}) > 1  # handed on in parts, before the end
+    batch = S.ws_sessions(spark.read.schema(schema).json(str(src)).filter("session <> 'end'"), most=10)
+    want = [(r["session"], r["part_no"], m["ts"], m["direction"], m["text"]) for r in batch.collect() for m in r["messages"]]
+    have = [(g[1], g[2], g[4], g[5], g[6]) for g in sorted(got, key=lambda g: (g[1], g[3]))]
+    assert sorted(have, key=repr) == sorted(want, key=repr)
+    assert [h for h in have if h[0] == "hot"] == [w for w in sorted(want, key=lambda w: (w[0], w[1])) if w[0] == "hot"]
+
+
+def test_failures_are_told_by_kind(spark):
+    def failed(run):
+        try:
+            run()
+        except Exception as error:
+            return S.failure_kind(error)
+
+    one = spark.range(3)
+
+    def python(error):
+        def run(batches):
+            for b in batches:
+                raise error
+                yield b
+
+        return lambda: one.mapInPandas(run, "id long").collect()
+
+    assert failed(lambda: one.select(F.raise_error(F.lit("no"))).collect()) == "decision"
+    assert failed(lambda: one.selectExpr("1 div (id - 1)").collect()) == "decision"
+    assert failed(lambda: one.selectExpr("cast(concat('x', id) as int)").collect()) == "decision"
+    assert failed(python(ValueError("bad row"))) == "decision"
+    assert failed(python(OSError("No space left on device"))) == "environment"
+    assert failed(python(ConnectionResetError("gone"))) == "environment"
+    assert failed(lambda: spark.read.schema("a int").parquet("/nowhere/at/all").collect()) == "environment"
+    assert S.failure_kind(OSError("x")) == "environment" and S.failure_kind(RuntimeError("executor lost")) == "environment"
+
+
+def test_environment_failures_are_tried_again_then_stop_the_batch(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    texts = ["run the pytests", "boom at once", "plain"]
+    (src / "a.jsonl").write_text("\n".join(json.dumps({"seq": i, "payload": json.dumps({"prompt": t})}) for i, t in enumerate(texts)) + "\n")
+    schema, left = "seq long, payload string", [1]
+
+    def decide(rows):
+        if left[0]:
+            left[0] -= 1
+            raise OSError("a disk went away")
+        out = triage(rows, RULES, None, id_col="seq", text="hint")
+        return out.withColumn("action", F.when(F.contains("hint", F.lit("boom")), F.raise_error(F.lit("can't decide")).cast("string")).otherwise(F.col("action")))
+
+    def start(**more):
+        raw = spark.readStream.schema(schema).json(str(src))
+        return S.observe_stream(raw, RULES, str(tmp_path / "out"), str(tmp_path / "weak"), str(tmp_path / "ck"), decide=decide, attempts_path=str(tmp_path / "tries"), limits=S.Quarantine(retries=1, wait_s=0), **more)
+
+    left[0] = 99
+    q = start()
+    with pytest.raises(Exception, match="a disk went away"):
+        q.awaitTermination(240)
+    assert left[0] == 97  # one more try, then the batch stopped
+    left[0] = 1  # once more, at the start; the same batch is decided again
+    q = start()
+    q.awaitTermination(240)
+    assert q.exception() is None
+    got = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(str(tmp_path / "out"))
+    assert rows(got, "seq", "error", "action") == [(0, None, "dispatch"), (1, "decide_failed", None), (2, None, "handoff")]
+    tries = IO.read_ledger(spark, str(tmp_path / "tries"), "batch long, part string, attempt int, kind string, error string".replace("batch", "number"))
+    kinds = [r["kind"] for r in tries.collect()]
+    assert kinds.count("environment") == 3 and kinds.count("decision") >= 3 and kinds.count("done") >= 1
+    # where everything fails, the rules are at fault, and nothing is written off
+    always = lambda rows: triage(rows, RULES, None, id_col="seq", text="hint").withColumn("action", F.raise_error(F.lit("never")).cast("string"))
+    raw = spark.readStream.schema(schema).json(str(src))
+    q = S.observe_stream(raw, RULES, str(tmp_path / "o2"), str(tmp_path / "w2"), str(tmp_path / "c2"), decide=always, limits=S.Quarantine(most_attempts=4))
+    with pytest.raises(Exception, match="attempts at one batch"):
+        q.awaitTermination(240)

@@ -23,7 +23,7 @@ from ..sources import io as IO
 from ..streaming import ledgers as T
 from .kit import Book, t
 from .rule_plans import RULES, scores_sql
-from .table_plans import documents
+from .table_plans import WS_PARTS, documents
 
 book = Book()
 query = book.query
@@ -117,13 +117,17 @@ def s8_write_facts(spark, sf_dir):
     return IO.read_facts(spark, path).select("file", F.col("line").cast("int").alias("line"), "name")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, 2 * count(*) AS n FROM events GROUP BY 1")
+@query("SELECT CAST(ts AS DATE) AS day, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd-1' END AS batch, count(*) AS n FROM events GROUP BY 1, 2")
 def s9_append_events(spark, sf_dir):
+    """Two batches; the first is repeated, a second one of the second's name and an attempt that was never committed leave nothing."""
     path = fresh_dir(spark, "ledger")
-    e = t(spark, sf_dir, "events").select(F.col("ts").cast("string").alias("timestamp"), F.col("event_type").alias("event"))
-    IO.append_events(e, path)
-    IO.append_events(e, path)
-    return spark.read.json(path).groupBy(F.to_date("day").alias("day")).agg(F.count("*").alias("n"))
+    e = t(spark, sf_dir, "events").select("event_id", F.col("ts").cast("string").alias("timestamp"), F.col("event_type").alias("event"))
+    even, odd = e.filter("event_id % 2 = 0").drop("event_id"), e.filter("event_id % 2 = 1").drop("event_id")
+    done = [IO.append_events(even, path, "even"), IO.append_events(even, path, "even"), IO.append_events(odd, path, "odd-1"), IO.append_events(even, path, "odd-1")]
+    even.withColumn("day", F.to_date("timestamp")).write.partitionBy("day").json(f"{path}/attempt={'0' * 32}")
+    if done != [True, False, True, False]:
+        raise AssertionError(f"batches were appended otherwise than once: {done}")
+    return IO.read_ledger(spark, path).groupBy("day", "batch").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id AS id, quality = 1 AS pass FROM labels")
@@ -434,12 +438,20 @@ def _payloads(spark, sf_dir):
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), payload.alias("payload"))
 
 
-ERRORS = "SELECT conv_id * 1000 + turn AS seq, CASE (conv_id + turn) % 5 WHEN 0 THEN 'empty_stdin' WHEN 1 THEN 'bad_stdin_json' WHEN 2 THEN 'bad_stdin_shape' END AS error FROM conversations WHERE text IS NOT NULL"
+#: A row whose decision fails, for good.
+UNDECIDABLE = 3000
+ERRORS = f"SELECT conv_id * 1000 + turn AS seq, CASE (conv_id + turn) % 5 WHEN 0 THEN 'empty_stdin' WHEN 1 THEN 'bad_stdin_json' WHEN 2 THEN 'bad_stdin_shape' ELSE CASE WHEN conv_id * 1000 + turn = {UNDECIDABLE} THEN 'decide_failed' END END AS error FROM conversations WHERE text IS NOT NULL"
 
 
 def _observed(spark, sf_dir) -> tuple[str, str]:
-    source, out, weak = written(_payloads(spark, sf_dir), "payloads"), fresh_dir(spark, "observed"), fresh_dir(spark, "weak")
-    T.observe_stream(spark.readStream.schema("seq long, payload string").json(source), RULES, out, weak, fresh_dir(spark, "observed-ck")).awaitTermination()
+    """Two ledgers of payloads in three batches."""
+    out, weak = fresh_dir(spark, "observed"), fresh_dir(spark, "weak")
+
+    def decide(rows):
+        decided = D.triage(rows, RULES, None, id_col="seq", text="hint")
+        return decided.withColumn("action", F.when((F.col("seq") == UNDECIDABLE) & F.col("error").isNull(), F.raise_error(F.lit("can't be decided")).cast("string")).otherwise(F.col("action")))
+
+    T.observe_stream(_stream(_payloads(spark, sf_dir), "payloads", 6), RULES, out, weak, fresh_dir(spark, "observed-ck"), decide=decide).awaitTermination()
     return out, weak
 
 
@@ -448,7 +460,7 @@ def t1_observe_stream(spark, sf_dir):
     return spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(_observed(spark, sf_dir)[0]).select("seq", "error")
 
 
-@query(scores_sql("SELECT conv_id * 1000 + turn AS doc_id, left(trim(text), 4000) AS text FROM conversations WHERE text IS NOT NULL AND (conv_id + turn) % 5 > 2") + "SELECT doc_id AS seq, domain, action, confidence FROM t WHERE action <> 'dispatch' OR confidence <> 'high'")
+@query(scores_sql(f"SELECT conv_id * 1000 + turn AS doc_id, left(trim(text), 4000) AS text FROM conversations WHERE text IS NOT NULL AND (conv_id + turn) % 5 > 2 AND conv_id * 1000 + turn <> {UNDECIDABLE}") + "SELECT doc_id AS seq, domain, action, confidence FROM t WHERE action <> 'dispatch' OR confidence <> 'high'")
 def t2_weak_stream(spark, sf_dir):
     return spark.read.parquet(_observed(spark, sf_dir)[1]).select("seq", "domain", "action", "confidence")
 
@@ -490,6 +502,19 @@ def t4_new_high_stream(spark, sf_dir):
     return out.groupBy("series").agg(F.max_by(F.struct("status", "latest", "points"), "batch").alias("r")).select("series", "r.status", "r.latest", "r.points")
 
 
+@query(WS_PARTS + "SELECT CAST(user_id AS VARCHAR) AS session, place // 20 AS part_no, place, CAST(epoch_us(ts) AS BIGINT) AS at, event_type AS direction FROM m")
+def t8_ws_session_stream(spark, sf_dir):
+    """Six files out of any order, read two at a time; then a message long after the others, so that their connections end."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    m = t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("direction"), F.col("props").alias("text"))
+    path = fresh_dir(spark, "messages")
+    m.repartition(6, F.xxhash64(*m.columns)).write.parquet(path)
+    m.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("session"), (F.col("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"), F.lit("").alias("direction"), F.lit("").alias("text")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    out = _drained(T.ws_session_stream(stream, delay="400 days", quiet_s=3600, most=20), "ws")
+    return out.select("session", "part_no", "place", F.unix_micros("ts").alias("at"), "direction")
+
+
 @query("SELECT lower(event_type) AS k FROM events GROUP BY 1")
 def t5_dedupe_stream(spark, sf_dir):
     e = t(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("text"))

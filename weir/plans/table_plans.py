@@ -647,10 +647,14 @@ def p13_restrict_to_changed(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query("SELECT user_id AS session, string_agg(event_type, '>' ORDER BY ts, event_type) AS flow FROM events GROUP BY 1")
+WS_PARTS = """
+WITH m AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, event_type, props, row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS TIMESTAMP), event_type, props) - 1 AS place FROM events)
+"""
+
+
+@query(WS_PARTS + "SELECT user_id AS session, place // 20 AS part_no, string_agg(event_type, '>' ORDER BY place) AS flow FROM m GROUP BY 1, 2")
 def t8_ws_sessions(spark, sf_dir):
     from ..streaming.ledgers import ws_sessions
 
-    m = t(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts", F.col("event_type").alias("direction"), "props")
-    return ws_sessions(m, text="props").select("session", F.array_join(F.transform("messages", lambda x: x["direction"]), ">").alias("flow"))
-
+    m = t(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("direction"), "props")
+    return ws_sessions(m, text="props", most=20).select("session", "part_no", F.array_join(F.transform("messages", lambda x: x["direction"]), ">").alias("flow"))

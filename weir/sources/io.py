@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,9 +93,47 @@ def write_facts(df: DataFrame, path: str, order: Sequence[str] = ("file", "line"
     ordered.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
 
 
-def append_events(df: DataFrame, path: str, ts: str = "timestamp") -> None:
-    """Appends to a ledger, one folder a day."""
-    df.withColumn("day", F.to_date(F.col(ts))).write.mode("append").partitionBy("day").json(path)
+def append_events(df: DataFrame, path: str, batch: str, ts: str = "timestamp") -> bool:
+    """Appends a batch to a ledger, once: False, and nothing changes, where a batch of that name is there already.
+
+    Rows go to a folder of their own, one folder a day in it; the batch is there from when its manifest (`_commits/NAME`, which names that
+    folder) is renamed into place, which can't replace another. What a lost attempt has left has no manifest and is never read.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]{0,127}", batch):
+        raise ValueError(f"a batch has a name of letters, digits, dots, dashes and underscores: {batch}")
+    spark = df.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    manifest = hadoop.Path(f"{path}/_commits/{batch}")
+    files = hadoop.FileContext.getFileContext(manifest.getFileSystem(conf).makeQualified(manifest).toUri(), conf)
+    if files.util().exists(manifest):
+        return False
+    folder = f"attempt={uuid.uuid4().hex}"
+    df.withColumn("day", F.to_date(F.col(ts))).write.partitionBy("day").json(f"{path}/{folder}")
+    draft = hadoop.Path(f"{path}/_drafts/{folder}")
+    out = draft.getFileSystem(conf).create(draft)
+    try:
+        out.write(json.dumps({"batch": batch, "folder": folder}).encode())
+    finally:
+        out.close()
+    files.mkdir(manifest.getParent(), None, True)
+    try:
+        files.rename(draft, manifest, spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+    except Exception:
+        if files.util().exists(manifest):  # another writer was first
+            return False
+        raise
+    return True
+
+
+def read_ledger(spark: SparkSession, path: str, schema: str = EVENT) -> DataFrame:
+    """Rows of the committed batches of a ledger, with their day and batch; none where nothing was committed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], f"{schema}, day date, batch string")
+    commits = {r["folder"]: r["batch"] for r in spark.read.schema("batch string, folder string").json(str(hadoop.toString())).collect()}
+    rows = spark.read.schema(f"{schema}, day date, attempt string").option("basePath", path).json([f"{path}/{folder}" for folder in commits])
+    known = spark.createDataFrame([(folder.removeprefix("attempt="), batch) for folder, batch in commits.items()], "attempt string, batch string")
+    return rows.join(F.broadcast(known), "attempt").drop("attempt")
 
 
 def snapshot(df: DataFrame, key: str, value: str | None = None) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from heapq import nlargest
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException, PythonException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -14,13 +19,41 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions.text import norm_key, pick_field
 from ..operators.decide import RuleSet, triage
 from ..operators.filters import weak_decisions
-from ..sources.io import redact_event
+from ..operators.scans import RANGE, in_parts, ranged, run_over
+from ..sources.io import append_events, redact_event
 
 HINTS = ("prompt", "hint", "user_prompt", "message", "text", "input")
 
 
 Decide = Callable[[DataFrame], DataFrame]
-SPLITS = 24  # halvings of a batch in search of the rows that can't be decided
+
+# SQL states of errors that rows cause (data exceptions, errors that a query raises, failing functions).
+DATA_STATES = r"SQLSTATE: (?:22\w{3}|21000|P0001|39000)"
+#: Python errors that a worker reports and that aren't the rows' fault.
+MACHINE_ERRORS = r"^\s*(?:\w+\.)*(?:\w*IOError|OSError|\w*FileNotFound\w*|PermissionError|BlockingIOError|Connection\w*Error|BrokenPipeError|TimeoutError|MemoryError|EOFError)\b"
+
+
+@dataclass(frozen=True)
+class Quarantine:
+    retries: int = 2  # times that a part is tried again after a failure that isn't its rows' fault
+    most_attempts: int = 400  # of a batch; with more, its rules are at fault, and the stream stops
+    wait_s: float = 1.0  # before another try
+
+
+class Stopped(RuntimeError):
+    """A batch that can't be finished: it isn't committed, and is decided again as a whole when the stream goes on."""
+
+
+def failure_kind(error: BaseException) -> str:
+    """decision (the rows made the query fail) or environment (files, memory, executors, the network, the driver)."""
+    if isinstance(error, (OSError, MemoryError)):
+        return "environment"
+    text = str(error)
+    state = error.getSqlState() if isinstance(error, PySparkException) and error.getSqlState() else ""
+    if isinstance(error, PythonException) or "Traceback (most recent call last)" in text:
+        last = [line for line in text.split("Traceback (most recent call last)")[-1].splitlines() if re.match(r"[\w.]+(?:Error|Exception)\b", line)]
+        return "environment" if any(re.match(MACHINE_ERRORS, line) for line in last) else "decision"
+    return "decision" if re.search(DATA_STATES, f"SQLSTATE: {state} {text}") else "environment"
 
 
 def read_payloads(raw: DataFrame, payload: str = "payload", most: int = 4000) -> DataFrame:
@@ -47,25 +80,54 @@ def observe(raw: DataFrame, rules: RuleSet, payload: str = "payload", most: int
     return _decided(read_payloads(raw, payload, most), decide or (lambda rows: triage(rows, rules, None, id_col="seq", text="hint")))
 
 
-def _write_decided(rows: DataFrame, decide: Decide, path: str, depth: int = 0) -> list[str]:
-    """Writes the decided rows in folders under path. Where a decision fails, rows are halved by a hash of `seq` until those that
-    fail stand alone; these get the error decide_failed and no decision."""
-    try:
-        _decided(rows, decide).write.mode("overwrite").parquet(path)
-        return [path]
-    except Exception:
-        if depth == SPLITS or rows.limit(2).count() < 2:
+class _Batch:
+    """Writes the decided rows of a batch. A part whose decision fails is halved by a hash of `seq` until the rows that fail stand
+    alone; a row is decide_failed once it has failed twice by itself. Other failures are tried again, then stop the batch."""
+
+    def __init__(self, decide: Decide, path: str, limits: Quarantine):
+        self.decide, self.path, self.limits = decide, path, limits
+        self.attempts: list[tuple] = []  # part, attempt, kind (done, decision, environment), error
+
+    def _try(self, rows: DataFrame, part: str) -> str:
+        if len(self.attempts) >= self.limits.most_attempts:
+            raise Stopped(f"{len(self.attempts)} attempts at one batch")
+        kind, text = "done", None
+        try:
+            _decided(rows, self.decide).write.mode("overwrite").parquet(f"{self.path}/{part}")
+        except Exception as error:
+            kind, text = failure_kind(error), f"{type(error).__name__}: {error}"[:500]
+        self.attempts.append((part, 1 + sum(a[0] == part for a in self.attempts), kind, text))
+        return kind
+
+    def _tried(self, rows: DataFrame, part: str) -> str:
+        """done or decision; a failure of another kind is tried again."""
+        for left in range(self.limits.retries, -1, -1):
+            kind = self._try(rows, part)
+            if kind != "environment":
+                return kind
+            if left:
+                time.sleep(self.limits.wait_s)
+        raise Stopped(f"part {part}: {self.attempts[-1][3]}")
+
+    def write(self, rows: DataFrame, part: str = "part", depth: int = 0) -> list[str]:
+        """The parts written."""
+        if self._tried(rows, part) == "done":
+            return [part]
+        if rows.select("seq").distinct().limit(2).count() > 1:
+            half = F.pmod(F.xxhash64(F.col("seq"), F.lit(depth)), F.lit(2))
+            return [p for k in (0, 1) for p in self.write(rows.filter(half == k), f"{part}-{k}", depth + 1)]
+        if self._tried(rows, part) == "decision":
             lost = F.lit(None).cast("string")
-            rows.withColumns({"error": F.coalesce("error", F.lit("decide_failed")), "mode": lost, "domain": lost, "confidence": lost, "action": lost}).write.mode("overwrite").parquet(path)
-            return [path]
-        half = F.pmod(F.xxhash64(F.col("seq"), F.lit(depth)), F.lit(2))
-        return [p for k in (0, 1) for p in _write_decided(rows.filter(half == k), decide, f"{path}-{k}", depth + 1)]
+            rows.withColumns({"error": F.coalesce("error", F.lit("decide_failed")), "mode": lost, "domain": lost, "confidence": lost, "action": lost}).write.mode("overwrite").parquet(f"{self.path}/{part}")
+        return [part]
 
 
-def observe_stream(raw: DataFrame, rules: RuleSet, path: str, weak_path: str, checkpoint: str, decide: Decide | None = None, **options) -> StreamingQuery:
+def observe_stream(raw: DataFrame, rules: RuleSet, path: str, weak_path: str, checkpoint: str, decide: Decide | None = None, attempts_path: str | None = None, limits: Quarantine = Quarantine(), **options) -> StreamingQuery:
     """Writes decided rows to one ledger and the weak ones to another, in one query; each batch is written once by its number.
 
-    Nothing stops the stream: rows that can't be read or decided have an error class.
+    Rows that can't be read or decided have an error class and don't stop the stream; a failure of files, memory, executors or the like does (see
+    Quarantine), with nothing lost: its batch is decided again when the stream is started again. attempts_path: a ledger of the attempts at
+    batches that didn't go through at once (batch, part, attempt, kind, error), by io.append_events.
     """
     decide = decide or (lambda rows: triage(rows, rules, None, id_col="seq", text="hint"))
 
@@ -73,9 +135,15 @@ def observe_stream(raw: DataFrame, rules: RuleSet, path: str, weak_path: str, ch
         spark = batch.sparkSession
         batch.persist()
         # a part of the batch has a folder of its own, so that a repeated batch writes over what it wrote
-        parts = _write_decided(batch, decide, f"{path}/batch={number}/part")
-        batch.unpersist()
-        decided = spark.read.option("mergeSchema", "true").parquet(*parts)
+        run = _Batch(decide, f"{path}/batch={number}", limits)
+        try:
+            parts = run.write(batch)
+        finally:
+            batch.unpersist()
+            if attempts_path and any(kind != "done" for _, _, kind, _ in run.attempts):
+                told = spark.createDataFrame([(number, *a) for a in run.attempts], "batch long, part string, attempt int, kind string, error string")
+                append_events(told.withColumn("timestamp", F.current_timestamp()), attempts_path, f"{number}-{uuid.uuid4().hex}")
+        decided = spark.read.option("mergeSchema", "true").parquet(*(f"{path}/batch={number}/{p}" for p in parts))
         weak_decisions(decided.filter("error IS NULL")).write.mode("overwrite").parquet(f"{weak_path}/batch={number}")
 
     return read_payloads(raw).writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).options(**options).start()
@@ -121,8 +189,79 @@ def dedupe_stream(df: DataFrame, text: str, ts: str = "ts", delay: str = "1 hour
     return df.withColumn("_key", norm_key(F.col(text))).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
-def ws_sessions(messages: DataFrame, session: str = "session", ts: str = "ts", direction: str = "direction", text: str = "text", gap: str | None = None) -> DataFrame:
-    """(session, messages): the messages of each connection in order of time. With a gap, connections are cut into sessions."""
-    keys: list[Column | str] = [session] if gap is None else [session, F.session_window(ts, gap).alias("window")]
-    rows = messages.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(ts, direction, text))).alias("messages"))
-    return rows if gap is None else rows.withColumns({"from": F.col("window.start"), "to": F.col("window.end")}).drop("window")
+def ws_sessions(messages: DataFrame, session: str = "session", ts: str = "ts", direction: str = "direction", text: str = "text", gap: str | None = None, most: int = 1000) -> DataFrame:
+    """(session, part_no, messages): the messages of each connection in order of time, in parts of `most`, so that no row or task
+    holds more however long a connection is. With a gap, connections are cut into sessions (from, to) first."""
+    keys = [session]
+    if gap is not None:
+        quiet = F.expr(f"CAST(INTERVAL {gap} AS INTERVAL SECOND)")
+        near = run_over(ranged(messages, [session], [ts]), [session], [ts], before={"_prev": F.col(ts)})
+        cut = run_over(near, [session], [ts], running={"_no": F.when(F.col("_prev").isNull() | (F.col(ts) >= F.col("_prev") + quiet), 1)})
+        spans = cut.groupBy(session, "_no").agg(F.min(ts).alias("from"), (F.max(ts) + quiet).alias("to"))
+        messages, keys = cut.drop("_prev", RANGE).join(spans, [session, "_no"]), [session, "from", "to"]
+    rows = in_parts(messages, keys, [ts, direction, text], most)
+    parts = rows.groupBy(*keys, "part_no").agg(F.array_sort(F.collect_list(F.struct("place", ts, direction, text))).alias("_m"))
+    return parts.withColumn("messages", F.transform("_m", lambda m: F.struct(m[ts].alias(ts), m[direction].alias(direction), m[text].alias(text)))).drop("_m")
+
+
+class _Connection(StatefulProcessor):
+    """Holds a connection's messages until the watermark has passed them; hands them on in order, in parts of `most`, and all that is left
+    once nothing has come for `quiet_ms`."""
+
+    def __init__(self, most: int, quiet_ms: int):
+        self.most, self.quiet_ms = most, quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "ts long, direction string, text string")
+        self.counts = handle.getValueState("counts", "held long, given long, last long")
+
+    def _give(self, key, rows: list[tuple], given: int) -> pd.DataFrame:
+        at = range(given, given + len(rows))
+        return pd.DataFrame({"session": [key[0]] * len(rows), "part_no": [i // self.most for i in at], "place": list(at), "ts": pd.to_datetime([r[0] for r in rows], unit="us"), "direction": [r[1] for r in rows], "text": [r[2] for r in rows]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, given, last = self.counts.get() if self.counts.exists() else (0, 0, 0)
+        for part in rows:
+            new = list(zip((part["ts"].astype("datetime64[us]").astype("int64")).tolist(), part["direction"].tolist(), part["text"].tolist(), strict=True))
+            self.held.appendList(new)
+            held, last = held + len(new), max(last, *(r[0] for r in new))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last // 1000 + self.quiet_ms)
+        if held >= self.most:
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            waiting = sorted((tuple(r) for r in self.held.get()), key=_in_order)
+            ready = sum(r[0] <= passed for r in waiting) // self.most * self.most
+            if ready:
+                yield self._give(key, waiting[:ready], given)
+                held, given = held - ready, given + ready
+                self.held.put(waiting[ready:]) if held else self.held.clear()
+        self.counts.update((held, given, last))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, given, last = self.counts.get()
+        if held:
+            yield self._give(key, sorted((tuple(r) for r in self.held.get()), key=_in_order), given)
+        self.held.clear()
+        self.counts.update((0, given + held, last))
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(row: tuple) -> tuple:
+    """As Spark sorts: nulls first, texts by their bytes."""
+    return row[0], *((x is not None, (x or "").encode()) for x in row[1:])
+
+
+def ws_session_stream(messages: DataFrame, session: str = "session", ts: str = "ts", direction: str = "direction", text: str = "text", delay: str = "10 minutes", quiet_s: float = 3600, most: int = 1000) -> DataFrame:
+    """(session, part_no, place, ts, direction, text): ws_sessions as a stream, a row for each message, in order within a part.
+
+    A message may come `delay` late; a connection ends when nothing has come for quiet_s. What it holds is given on once the
+    watermark has passed it: in full parts of `most`, and the rest at its end, so that parts are those of ws_sessions. Sessions
+    are strings. Needs the RocksDB state store.
+    """
+    rows = messages.select(F.col(session).cast("string").alias("session"), F.col(ts).alias("ts"), F.col(direction).alias("direction"), F.col(text).alias("text")).withWatermark("ts", delay)
+    out = "session string, part_no long, place long, ts timestamp, direction string, text string"
+    return rows.groupBy("session").transformWithStateInPandas(_Connection(most, int(quiet_s * 1000)), out, "append", "eventTime")
