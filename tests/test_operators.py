@@ -1,6 +1,7 @@
 """Operators whose inputs the given tables don't have: small fixtures of our own."""
 
 import json
+import random
 import re
 
 import pytest
@@ -172,6 +173,46 @@ def test_toc_headers_links(spark):
     assert rows(J.resolve_links(links, files).select("target", "resolved", "dead").distinct()) == [("../g.md", "g.md", False), ("h.md", "docs/h.md", False)]
 
 
+def test_headers_hold_the_fields_that_were_put_in(spark):
+    rng = random.Random(8)
+    value = lambda: rng.choice(["", "x", "a b", "see a.md", "p/q.md#s-1 and r.md", "名 字.md", "v: w", "#no"])
+    docs, want = [], []
+    for i in range(200):
+        front, quoted = ([(f"{rng.choice('abcd')}{rng.choice(['', ' key', '键'])}", value()) for _ in range(rng.randint(0, 5))] for _ in range(2))
+        closed = rng.random() < 0.8
+        lines = []
+        if rng.random() < 0.7:
+            lines += ["---"]
+            for k, v in front:
+                lines += [f"{k}{rng.choice([':', ' : ', ': '])}{v}{rng.choice(['', '  # note: x']) if v else ''}", *rng.sample(["  indented: 1", "1st: no", "no colon", "", "- item"], rng.randint(0, 2))]
+            lines += ["---"] if closed else []
+        else:
+            front = []
+        if not closed:
+            front = []
+        lines += rng.sample(["text", "", "```", "# h"], rng.randint(0, 1)) if closed else []
+        fenced = lines and lines[-1] == "```"
+        lines += ["> fenced: no", "```"] if fenced else []
+        lines += [f"> {k}{rng.choice([':', '：'])} {v}" for k, v in quoted]
+        if quoted and rng.random() < 0.5:
+            lines[-1] += ","
+            lines.append(">  (more)" if rng.random() < 0.5 else "> （more）")
+            quoted[-1] = (quoted[-1][0], f"{quoted[-1][1]}, {lines[-1][1:].strip()}".replace(" ,", ",").lstrip() if quoted[-1][1] else f", {lines[-1][1:].strip()}")
+        lines += ["", "> second: block"] if quoted else []
+        docs.append((i, rng.choice(["\n", "\r\n"]).join(lines)))
+        first = lambda fields: dict(reversed(fields))
+        want.append((i, first(front), first(quoted), [m for _, v in [*front, *quoted] for m in re.findall(r"[\w.:/-]+\.md(?:#[\w-]+)?", v)]))
+    got = E.doc_headers(spark.createDataFrame(docs, "id int, t string"), "id", "t").orderBy("id").collect()
+    for r, (i, front, quoted, names) in zip(got, want, strict=True):
+        assert (r["frontmatter"], r["blockquote"], r["relations"]) == (front, quoted, names), docs[i]
+
+
+def test_headers_at_the_edges(spark):
+    texts = ["> " + "长" * 12 + "：a", "> " + "长" * 13 + "：a", "> long name of many words: a", "---\na: 1", "---\n---\n> b: 2", None, "", "x\n    > deep: 1\n   > a: 1\ny", "~~~\n> a: 1\n~~~\n> b：c # d", "---\na: 1\na: 2\n ---\nb: 3\n---"]
+    got = E.doc_headers(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t").orderBy("id").collect()
+    assert [(r["frontmatter"], r["blockquote"]) for r in got] == [({}, {"长" * 12: "a"}), ({}, {}), ({}, {"long name of many words": "a"}), ({}, {}), ({}, {"b": "2"}), ({}, {}), ({}, {}), ({}, {"a": "1"}), ({}, {"b": "c"}), ({"a": "1"}, {})]
+
+
 def test_reviews_code_packets(spark):
     df = spark.createDataFrame([(1, "> review-after: 2024-01-05"), (2, "reviewAfter: 2030-01-01"), (3, "review-after: 2024-13-45")], "id int, text string")
     assert [(r["id"], r["due"]) for r in E.due_reviews(df, F.lit("2024-02-01").cast("date"), "id", "text").orderBy("id").collect()] == [(1, True), (2, False)]
