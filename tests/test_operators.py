@@ -396,6 +396,23 @@ def test_triage(spark):
         D.RuleSet(domains=(D.Domain("a"), D.Domain("a")))
 
 
+def test_vectors_with_ids_of_any_type(spark, monkeypatch):
+    from weir.operators import vectors
+
+    monkeypatch.setattr(vectors, "CELL", 40), monkeypatch.setattr(vectors, "BLOCK", 7), monkeypatch.setattr(vectors, "AT_ONCE", 3)
+    rng = random.Random(1)
+    data = [(f"v{i:03}", rng.choice("abc"), [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(150)]
+    df = spark.createDataFrame([*data, (None, "a", [1.0] * 4), ("n1", None, [9.0] * 4), ("n2", "a", None)], "id string, label string, v array<double>")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    asked = df.filter("id LIKE '%5' OR id = 'n2'")
+    got = R.score_pairs(asked, df.filter("label IS NOT NULL"), "id", "v", "id", "v", 3)
+    want = [(q, d, s, k + 1) for q, _, v in data if q.endswith("5") for k, (s, d) in enumerate(sorted(((dot(v, w), d) for d, _, w in data), key=lambda x: (-x[0], x[1]))[:3])]
+    assert rows(got, "qid", "doc", "score", "rank") == sorted(want, key=repr)
+    best = [(q, x, max(dot(v, w) for d, y, w in data if y == x and d != q)) for q, _, v in data if q.endswith("5") for x in "abc"]
+    assert rows(R.best_by(asked, df, "id", "v", "label"), "qid", "item", "score") == sorted(best, key=repr)
+    assert R.score_pairs(asked.limit(0), df, "id", "v", "id", "v", 3).count() == 0 and R.best_by(asked, df.limit(0), "id", "v", "label").count() == 0
+
+
 def test_annotate_and_normalize(spark):
     facts = spark.createDataFrame([("f", 1, "exact"), ("f", 2, "regex-degraded"), ("g", None, "syntactic")], "file string, line int, fidelity string")
     findings = spark.createDataFrame([("f", 1), ("f", 9), ("g", 3), ("h", 1)], "file string, line int")
@@ -531,6 +548,37 @@ def test_graph_cycles_and_self_loops(spark):
     assert rows(G.rule_isolated(units, e)) == [(3, 3)]
 
 
+def reached_by_hand(edges, roots):
+    out, todo = set(roots), list(roots)
+    while todo:
+        s = todo.pop()
+        for a, b in edges:
+            if a == s and b not in out:
+                out.add(b)
+                todo.append(b)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_reachable_after_contraction(spark, seed):
+    rng = random.Random(seed)
+    chains = [(f"c{k}-{i}", f"c{k}-{i + 1}") for k in range(4) for i in range(rng.randint(5, 25))]
+    edges = chains + [(f"c{rng.randrange(4)}-{rng.randrange(20)}", f"c{rng.randrange(4)}-{rng.randrange(20)}") for _ in range(rng.randint(0, 12))]
+    edges += [(f"ring{i}", f"ring{(i + 1) % 6}") for i in range(6)] + [(f"c0-{i}", f"leaf{i}") for i in range(12)] + [("x", "x"), ("up", "c1-3"), ("c2-2", None)]
+    roots = rng.sample(["c0-0", "c1-2", "ring3", "nowhere", "c2-9", "c3-1"], rng.randint(1, 3))
+    e = spark.createDataFrame(edges, "src string, dst string")
+    got = G.reachable(e, spark.createDataFrame([(r,) for r in roots], "node string"), walk=1 + seed % 2)
+    assert {r[0] for r in got.collect()} == reached_by_hand([x for x in edges if None not in x], roots) and got.count() == got.distinct().count()
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, rounds, real = 100_000, [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: rounds.append(1) or real(df))
+    e = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert G.reachable(e, spark.createDataFrame([(10,)], "node long")).agg(F.count("*"), F.min("node"), F.max("node")).first() == (n - 9, 10, n)
+    assert len(rounds) < 40
+
+
 def test_new_high_states(spark):
     pts = spark.createDataFrame([("a", 1, 1, 5.0), ("a", 2, 1, 9.0), ("b", 1, 1, 1.0), ("c", 1, 1, 9.0), ("c", 2, 1, 1.0), ("c", 3, 1, 2.0)], "series string, ts int, seq int, value double")
     listed = spark.createDataFrame([(x,) for x in "abcd"], "series string")

@@ -269,7 +269,8 @@ def hybrid(first: DataFrame, second: DataFrame, labels: DataFrame, k: int = 8, t
     """(qid, short_n, rr_top1, rr_max, picked, rr_hit, hit): the k best by the first score, judged by the second; below tau none."""
     short = top_k(first, [key], "score", k, [item]).select(key, item)
     seconds = short.join(second.select(key, item, F.col("score").alias("s2")), [key, item], "left")
-    best = seconds.groupBy(key).agg(F.count("*").alias("short_n"), F.max("s2").alias("rr_max"), F.max_by(item, F.struct("s2", -F.col(item))).alias("rr_top1") if dict(first.dtypes)[item] != "string" else F.max_by(item, "s2").alias("rr_top1"))
+    first_of = top_k(seconds, [key], "s2", 1, [item]).select(key, F.when(F.col("s2").isNotNull(), F.col(item)).alias("rr_top1"))
+    best = seconds.groupBy(key).agg(F.count("*").alias("short_n"), F.max("s2").alias("rr_max")).join(first_of, key)
     both = labels.join(best, key, "left").withColumn("picked", F.when(F.col("rr_max") >= tau, F.col("rr_top1")))
     some = F.size("wanted") > 0
     return both.select(key, "short_n", "rr_top1", "rr_max", "picked", F.when(some, F.coalesce(F.array_contains("wanted", F.col("rr_top1")), F.lit(False))).alias("rr_hit"), F.when(some, F.coalesce(F.array_contains("wanted", F.col("picked")), F.lit(False))).otherwise(F.col("picked").isNull()).alias("hit"))

@@ -88,18 +88,75 @@ def rule_isolated(units: DataFrame, edges_: DataFrame, unit: str = "unit", src:
     return ends.join(units.select(unit).distinct(), unit, "left_semi").groupBy(unit).agg(F.count("*").alias("edges"))
 
 
-def reachable(edges_: DataFrame, roots: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", rounds: int = 1000) -> DataFrame:
-    """Nodes that can be reached from the roots (roots included). Each round joins the frontier with the edges and takes
-    off what is known; frontiers are written to the shared folder, so lineage stays short and cycles end."""
-    e = cut(edges_.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).filter("_s IS NOT NULL AND _d IS NOT NULL").distinct())
-    frontier = cut(roots.select(F.col(node).alias("n")).filter("n IS NOT NULL").distinct())
-    seen = frontier
+def _walk(e: DataFrame, frontier: DataFrame, seen: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame | None]:
+    """(seen, None) where the walk from the frontier has ended, else (seen, frontier) after so many rounds."""
     for _ in range(rounds):
         frontier = cut(e.join(frontier, F.col("_s") == F.col("n")).select(F.col("_d").alias("n")).distinct().join(seen, "n", "left_anti"))
         if frontier.isEmpty():
-            return seen.select(F.col("n").alias(node))
+            return seen, None
         seen = seen.unionByName(frontier)
-    raise RuntimeError(f"not settled in {rounds} rounds")
+    return seen, frontier
+
+
+def _contract(e: DataFrame, fixed: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(edges, owed): the graph without what decides nothing, and tables of (n, by), in the order in which nodes went: such a
+    node is reached if one of its `by` is.
+
+    Edges into fixed nodes (those that are reached) and out of nodes that nothing leads to go. Ends, which lead nowhere, go next. Then a chain of
+    nodes with one edge in and one out becomes one edge: each of its nodes finds the node before the chain by doubling its
+    pointer, so that the rounds grow with the logarithm of the chain's length. Rings that nothing leads into go as well.
+    """
+    node = lambda c: F.col(c).alias("n")
+    e = e.filter("_s <> _d").join(fixed.withColumnRenamed("n", "_d"), "_d", "left_anti")
+    e = cut(e.join(e.select(node("_d")).unionByName(fixed).distinct().withColumnRenamed("n", "_s"), "_s", "left_semi").select("_s", "_d"))
+    ends = e.select(node("_d")).distinct().join(e.select(node("_s")).distinct(), "n", "left_anti")
+    owed = e.join(ends.withColumnRenamed("n", "_d"), "_d").select(F.col("_d").alias("n"), F.col("_s").alias("by"))
+    e = cut(e.join(ends.withColumnRenamed("n", "_d"), "_d", "left_anti").select("_s", "_d"))
+    one_out = e.groupBy(node("_s")).agg(F.count("*").alias("k")).filter("k = 1").select("n").join(fixed, "n", "left_anti")
+    one_in = e.groupBy(node("_d")).agg(F.count("*").alias("k"), F.min("_s").alias("by")).filter("k = 1").select("n", "by")
+    inner = cut(one_in.join(one_out, "n", "left_semi"))
+    names = cut(inner.select("n"))
+    at, left, last = inner, inner.join(names.withColumnRenamed("n", "by"), "by", "left_semi").count(), -1
+    for _ in range(inner.count().bit_length() + 1):
+        if not left or left == last:
+            break
+        further = at.select(F.col("n").alias("by"), F.col("by").alias("_far"))
+        at = cut(at.join(further, "by", "left").select("n", F.coalesce("_far", "by").alias("by")))
+        left, last = at.join(names.withColumnRenamed("n", "by"), "by", "left_semi").count(), left
+    known = at.join(names.withColumnRenamed("n", "by"), "by", "left_anti").select("n", "by")  # the rest are rings
+    outer = e.join(names.withColumnRenamed("n", "_s"), "_s", "left_anti").join(names.withColumnRenamed("n", "_d"), "_d", "left_anti").select("_s", "_d")
+    bridges = e.join(names.withColumnRenamed("n", "_d"), "_d", "left_anti").join(known.withColumnRenamed("n", "_s"), "_s").select(F.col("by").alias("_s"), "_d")
+    return cut(outer.unionByName(bridges).distinct()), [cut(owed), cut(known)]
+
+
+def reachable(edges_: DataFrame, roots: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", rounds: int = 1000, walk: int = 8) -> DataFrame:
+    """Nodes that can be reached from the roots (roots included).
+
+    Each round joins the frontier with the edges and takes off what is known. A walk that goes on for `walk` rounds is
+    followed by a contraction of what is left (see _contract), and so on, so that long chains and deep trees take rounds in the order of
+    the logarithm of their depth; where a contraction takes less than a tenth of the edges, the walk goes on round by round.
+    """
+    e = cut(edges_.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).filter("_s IS NOT NULL AND _d IS NOT NULL").distinct())
+    frontier = cut(roots.select(F.col(node).alias("n")).filter("n IS NOT NULL").distinct())
+    seen, owed, n = frontier, [], None
+    steps = walk
+    while frontier is not None:
+        seen, frontier = _walk(e, frontier, seen, min(steps, rounds))
+        rounds -= steps
+        if frontier is None:
+            break
+        if rounds <= 0:
+            raise RuntimeError("not settled in the given number of rounds")
+        seen = cut(seen)
+        n = e.count() if n is None else n
+        e, more = _contract(e, seen)
+        left = e.count()
+        owed += more
+        steps = walk if left < 0.9 * n else rounds
+        frontier, n = seen, left
+    for table in reversed(owed):  # what went last decides what went before
+        seen = cut(seen.unionByName(table.join(seen.withColumnRenamed("n", "by"), "by", "left_semi").select("n")).distinct())
+    return seen.select(F.col("n").alias(node))
 
 
 def rule_reachable(units: DataFrame, edges_: DataFrame, roots: DataFrame, unit: str = "unit", src: str = "src", dst: str = "dst") -> DataFrame:

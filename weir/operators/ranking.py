@@ -8,10 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import lex_tokens
 from .scans import ranged, run_over
 from .tables import cut
+from .vectors import over_grid
 
 K1, B = 1.4, 0.75
 LENGTH = "\x00"  # stands in for a token in the row of a field's length
@@ -72,72 +74,46 @@ def nominate(scored: DataFrame, part: str = "qid", floor: float = 0.45, least: i
     return scored.withColumn("norm", norm).filter((F.col("norm") >= floor) & (F.col("matched") >= least) & (F.col("matched_boost") >= least))
 
 
-def score_pairs(queries: DataFrame, docs: DataFrame, query_id: str, query_vec: str, doc_id: str, doc_vec: str, k: int, block: int = 2000, names: tuple[str, str] = ("qid", "doc")) -> DataFrame:
-    """(qid, doc, score): the k documents of greatest dot product for each query; ties by doc.
+def score_pairs(queries: DataFrame, docs: DataFrame, query_id: str, query_vec: str, doc_id: str, doc_vec: str, k: int, names: tuple[str, str] = ("qid", "doc")) -> DataFrame:
+    """(qid, doc, score, rank): the k documents of greatest dot product for each query; ties by doc.
 
-    The stated queries are handled in blocks of `block` vectors (a bounded broadcast); in a block, each task multiplies
-    matrices and passes on k rows for each query at most, and one window takes the best k of those.
+    Over a grid of blocks of queries and cells of documents (see vectors): a task passes on k rows for each of its queries at most, and
+    one window takes the best k of those.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        held = [(r[0], np.asarray(r[1], dtype=np.float64)) for r in part.select(query_id, query_vec).filter(F.col(query_vec).isNotNull()).collect()]
-        ids, matrix = [i for i, _ in held], np.stack([v for _, v in held]) if held else np.zeros((0, 1))
-        shared = docs.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for batch in batches:
-                if not len(batch) or not ids:
-                    continue
-                docs_ = batch["d"].to_numpy()
-                scores = matrix @ np.stack(batch["v"].to_numpy()).astype(np.float64).T
-                order = np.lexsort((np.broadcast_to(docs_, scores.shape), -scores), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                cols = order.ravel()
-                yield pd.DataFrame({"q": np.asarray(ids)[rows], "d": docs_[cols], "score": scores[rows, cols]})
-
-        found = docs.select(F.col(doc_id).alias("d"), F.col(doc_vec).alias("v")).filter("v IS NOT NULL").mapInPandas(run, f"q {queries.schema[query_id].dataType.simpleString()}, d {docs.schema[doc_id].dataType.simpleString()}, score double")
-        out = found if out is None else out.unionByName(found)
-    best = top_k(out, ["q"], "score", k, ["d"])
-    return best.select(F.col("q").alias(names[0]), F.col("d").alias(names[1]), "score", "rank")
-
-
-def best_by(queries: DataFrame, docs: DataFrame, id_col: str, vec: str, by: str, block: int = 2000) -> DataFrame:
-    """(qid, item, score): for each query, the greatest dot product with any other vector of each value of `by`.
-
-    Queries go in blocks of `block` vectors, as in score_pairs; one scan of docs for a block, whatever the number of values,
-    and a task passes on one row for each query and value that it has met.
+    asked = queries.select(F.col(query_id).alias("id"), F.col(query_vec).alias("v"))
+    held = docs.select(F.col(doc_id).alias("id"), F.lit(0).alias("label"), F.col(doc_vec).alias("v"))
+
+    def best(asked: list, scores: np.ndarray, ids: list, _) -> list[list]:
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return [[q for q in asked for _ in range(order.shape[1])], [ids[j] for j in order.ravel().tolist()], np.take_along_axis(scores, order, axis=1).ravel().tolist()]
+
+    schema = T.StructType([T.StructField("q", asked.schema["id"].dataType), T.StructField("d", held.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    return top_k(over_grid(asked, held, best, schema), ["q"], "score", k, ["d"]).select(F.col("q").alias(names[0]), F.col("d").alias(names[1]), "score", "rank")
+
+
+def best_by(queries: DataFrame, docs: DataFrame, id_col: str, vec: str, by: str) -> DataFrame:
+    """(qid, item, score): for each query, the greatest dot product with any other vector of each value of `by`; rows without one take no part.
+
+    Over the grid of score_pairs; a task passes on one row for each of its queries and values.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
-        held = [(r[0], np.asarray(r[1], dtype=np.float64)) for r in part.select(id_col, vec).filter(F.col(vec).isNotNull()).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast((np.array([i for i, _ in held], dtype=np.int64), np.stack([v for _, v in held]) if held else np.zeros((0, 1))))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            best: dict[object, np.ndarray] = {}
-            for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                scores = matrix @ np.stack(batch["v"].to_numpy()).astype(np.float64).T
-                scores[ids[:, None] == batch["d"].to_numpy()[None, :]] = -np.inf
-                for value, at in batch.groupby("by").indices.items():
-                    top = scores[:, at].max(axis=1)
-                    best[value] = np.maximum(best[value], top) if value in best else top
-            for value, top in best.items():
-                some = np.isfinite(top)
-                yield pd.DataFrame({"qid": ids[some], "item": value, "score": top[some]})
-
-        kind = docs.schema[by].dataType.simpleString()
-        found = docs.select(F.col(id_col).alias("d"), F.col(vec).alias("v"), F.col(by).alias("by")).filter("v IS NOT NULL AND by IS NOT NULL").mapInPandas(run, f"qid long, item {kind}, score double")
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("qid", "item").agg(F.max("score").alias("score"))
+    asked = queries.select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
+    held = docs.select(F.col(id_col).alias("id"), F.col(by).alias("label"), F.col(vec).alias("v")).filter("label IS NOT NULL")
+
+    def best(asked: list, scores: np.ndarray, ids: list, labels: list) -> list[list]:
+        place = {i: j for j, i in enumerate(ids)}
+        for row, q in enumerate(asked):
+            if q in place:
+                scores[row, place[q]] = -np.inf
+        out: list[list] = [[], [], []]
+        for value in dict.fromkeys(labels):
+            top = scores[:, [j for j, x in enumerate(labels) if x == value]].max(axis=1)
+            some = np.flatnonzero(np.isfinite(top)).tolist()
+            for column, more in zip(out, ([asked[i] for i in some], [value] * len(some), top[some].tolist()), strict=True):
+                column += more
+        return out
+
+    schema = T.StructType([T.StructField("qid", asked.schema["id"].dataType), T.StructField("item", held.schema["label"].dataType), T.StructField("score", T.DoubleType())])
+    return over_grid(asked, held, best, schema).groupBy("qid", "item").agg(F.max("score").alias("score"))
 
 
 def dedupe_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
