@@ -1,5 +1,6 @@
 """Operators 3, 4 and 6: held-out accuracy on the given tables, deobfuscation, awkward rows."""
 
+import tracemalloc
 from collections import Counter
 from itertools import product
 from math import exp, log
@@ -106,6 +107,19 @@ def enumerated(grams, choices, breaks):
     return best
 
 
+def test_no_language_is_left_out_of_the_sample(spark):
+    rows = spark.createDataFrame([(f"l{k}", f"l{k}-{i}", "word " * 10) for k in range(300) for i in range(5)] + [("big", f"b{i}", "word") for i in range(3000)], "lang string, id string, text string")
+    for bound, most in ((300, 301), (700, 305 + 700), (10**6, 10**6)):
+        drawn, counts = language_id.even_sample(rows, "id", "lang", bound)
+        n = {r["lang"]: r["count"] for r in drawn.groupBy("lang").count().collect()}
+        assert len(n) == len(counts) == 301 and sum(n.values()) <= most
+    assert n == counts
+    drawn, _ = language_id.even_sample(rows, "id", "lang", 10**6, "text", 301 * 100)
+    n = {r["lang"]: r["count"] for r in drawn.groupBy("lang").count().collect()}
+    assert len(n) == 301 and n["big"] == 25 and set(n.values()) == {2, 25}
+    assert language_id.even_sample(rows.limit(0), "id", "lang", 5)[0].count() == 0
+
+
 def test_viterbi_against_enumeration():
     rng = np.random.default_rng(1)
     for k, token in enumerate(("1d1ot", "$tup!d", "a1|1b", "llloooo", "x..y", "10|+", "@@", "é0ß", "1", "")):
@@ -124,6 +138,33 @@ def test_viterbi_against_enumeration():
             assert abs(one[0] - many[0]) < 1e-3 and (one[1] == many[1] or abs(one[0] - many[0]) < 1e-4)
 
 
+def test_long_tokens_are_settled_on_the_way(monkeypatch):
+    rng = np.random.default_rng(3)
+    grams = np.log(rng.dirichlet(np.ones(64), 64 * 64)).astype(np.float32).ravel()
+    r = toxicity.Restorer(grams)
+    some = ["".join(rng.choice(list(letters), 300)) for letters in ("0123456789abcdef", "abcXYZ019+/=", "aab1!", "aaa", "1@$", "ab.")]
+    want = {(t, breaks, states): r.decode(t, breaks, states) for t in some for breaks in (False, True) for states in (24, 0)}
+    monkeypatch.setattr(toxicity, "COMMIT", 7)
+    for (t, breaks, states), (score, said) in want.items():
+        again = r.decode(t, breaks, states)
+        assert abs(again[0] - score) < 1e-6 and again[1] == said, (t, breaks, states)
+
+
+def test_memory_of_a_long_token_is_bounded():
+    rng = np.random.default_rng(4)
+    grams = np.log(rng.dirichlet(np.ones(64), 64 * 64)).astype(np.float32).ravel()
+    r = toxicity.Restorer(grams)
+    peaks = {}
+    for n in (10_000, 30_000):
+        for letters in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789+/"):
+            token = "".join(rng.choice(list(letters), n))
+            tracemalloc.start()
+            r.decode(token, True)
+            peaks[letters, n] = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+    assert max(peaks.values()) < 8_000_000 and all(p < 3 * peaks[letters, 10_000] for (letters, n), p in peaks.items())
+
+
 def test_restores_hidden_words(spark):
     docs = spark.createDataFrame([("the stupid idiot is a worthless loser and the trash is in the house of the moron",)] * 20 + [("a quiet river and a silver window",)] * 20, "text string")
     r = toxicity.Restorer(toxicity.count_trigrams(docs))

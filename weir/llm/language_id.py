@@ -6,8 +6,8 @@ same words. A text's words are looked up first; a word that isn't known is score
 length of which any is known, going down to single letters. A language's score is the sum over the text's distinct
 words, a word that stands n times weighing 1 + log n, and the result is the softmax over languages.
 
-The sample is the one bound (a parameter): languages share it out evenly, and one that has fewer rows has them all, so
-that none is left out. The model has a number for each word or n-gram and each language that it was met in, as sorted
+The sample is the one bound (parameters: rows and bytes): languages share it out evenly, one that has fewer rows than its
+share has them all, and each has one row at least, so that none is left out. The model has a number for each word or n-gram and each language that it was met in, as sorted
 arrays of hashed keys; it grows with the sample, not with the data, and is the one thing that is broadcast. Scoring
 has no shuffle.
 
@@ -22,12 +22,13 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from math import sqrt
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import map_column, map_parts, materialize, text_rows, tidied
 
@@ -42,6 +43,7 @@ class LanguageSetup:
     """The bound and the constants of training."""
 
     max_rows: int = 10_000  # labelled rows that training reads, drawn by a hash of their id, evenly over the languages
+    max_bytes: int = 128_000_000  # of these rows' texts, shared out likewise
     longest: int = 5
     unknown_weight: float = 0.5  # an unknown word against a known one
     smoothing: float = 0.1  # added to each count
@@ -165,16 +167,27 @@ def _quota(counts: list[int], bound: int) -> float:
     return float(max(todo, default=0))
 
 
-def even_sample(rows: DataFrame, key: str, by: str, bound: int) -> tuple[DataFrame, dict]:
-    """About `bound` rows, drawn by a hash of the key, evenly over the values of `by`; and the rows of each value in all."""
+def even_sample(rows: DataFrame, key: str, by: str, bound: int, text: str | None = None, most_bytes: int = 0) -> tuple[DataFrame, dict]:
+    """Rows drawn evenly over the values of `by`, `bound` in all (and one of each value, if there are more values than that), and
+    the rows of each value in all. Of a value with more rows than its share, those with the least hash of the key are drawn; with
+    `text`, no more of them than have `most_bytes` of text over all values together (and one of each).
+
+    Ranks are taken among few rows more than are drawn: a first sieve by the hash lets some more than a share through.
+    """
     counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
-    quota = _quota(list(counts.values()), bound)
-    cut = {v: int(1_000_000 * quota / n) + 1 for v, n in counts.items() if n > quota}
-    if not cut:
-        return rows, counts
-    places = F.create_map(*(F.lit(x) for item in cut.items() for x in item))
-    # of a value with few rows among very many, at least some hundred are drawn or all
-    return rows.filter(F.coalesce(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000)) < places[F.col(by)], F.lit(True))), counts
+    quota = ceil(_quota(list(counts.values()), bound))
+    # of 50 rows more than a share and ten standard deviations, a share is left but for a chance of about e^-50
+    cut = [(v, min(1.0, (quota + 10 * sqrt(quota) + 50) / n)) for v, n in counts.items()]
+    shares = rows.sparkSession.createDataFrame(cut, T.StructType([T.StructField(by, rows.schema[by].dataType), T.StructField("_share", T.DoubleType())]))
+    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 40))
+    near = rows.withColumn("_place", place).join(shares, by).filter(F.col("_place") < F.col("_share") * (1 << 40)).drop("_share")
+    w = Window.partitionBy(by).orderBy("_place")
+    ranked = near.withColumn("_rank", F.row_number().over(w))
+    fits = F.col("_rank") <= quota
+    if text is not None:
+        ranked = ranked.withColumn("_bytes", F.sum(F.octet_length(text)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        fits = fits & ((F.col("_rank") == 1) | (F.col("_bytes") <= most_bytes / max(1, len(counts))))
+    return ranked.filter(fits).select(rows.columns), counts
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -223,7 +236,7 @@ def _gram_counts(words: DataFrame, longest: int) -> DataFrame:
 def train(labelled: DataFrame, setup: LanguageSetup = LanguageSetup(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """Model from rows with text and language; rows without either are left out."""
     rows = labelled.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    drawn, by_language = even_sample(rows, "id", "lang", setup.max_rows)
+    drawn, by_language = even_sample(rows, "id", "lang", setup.max_rows, "text", setup.max_bytes)
     words = materialize(_counted(drawn), "language-words")
     names = sorted(by_language)
     place = {x: k for k, x in enumerate(names)}

@@ -4,7 +4,7 @@ Personal values are found by pattern and validated (Luhn for cards, mod 97 for I
 calendar for dates); each valid one is replaced by a keyed permutation of the values of its own format, so equal
 values get equal pseudonyms in every document, different values get different ones, and the pseudonym passes the
 same validation. The permutation is a balanced Feistel network over the format's number of values, with cycle
-walking; the key is a parameter. `restore_text` inverts it.
+walking; the key is a parameter. `pseudonymize` with back=True inverts it.
 
 What counts: e-mail addresses (local part permuted, domain kept), payment cards (also where an expiry date or a
 check value follows), IBANs (cut to their country's length), IPv4 addresses, phone numbers, US social security
@@ -269,7 +269,8 @@ def date(value: str, turn: Turn) -> str | None:
     return f"{new.month:02d}{sep}{new.day:02d}{sep}{new.year:04d}" if swapped else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
 
 
-EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[\w+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
+#: Letters and digits of any script on both sides.
+EMAIL = re.compile(r"(?<![\w.+-])[^\W_](?:[\w.+-]{0,62}[\w+-])?@(?:[^\W_](?:(?:[^\W_]|-){0,61}[^\W_])?\.)+[^\W\d_]{2,24}")
 ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 CLOSING = ".,;:!?)]}>\"'"  # marks that close a sentence or bracket after a value
 BLOCK = 512  # longer secrets are permuted block by block, each with a permutation of its own: linear in their length
@@ -277,7 +278,7 @@ BLOCK = 512  # longer secrets are permuted block by block, each with a permutati
 
 def email(value: str, turn: Turn) -> str | None:
     local, _, domain = value.rpartition("@")
-    return f"{permute_chars(local, 'email@' + domain.lower(), turn)}@{domain}"
+    return f"{permute_chars(local, 'email@' + domain.lower(), turn, other_letters)}@{domain}"
 
 
 def access_key(value: str, turn: Turn) -> str | None:

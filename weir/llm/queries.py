@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hashlib import sha256
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +13,15 @@ from .shared import held_out, materialize, table
 POLICY = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+PII_KEY = "spark.weir.pii.key"
+
+
 def pii_key(spark: SparkSession) -> str:
-    """The key of the pseudonyms: the setting `spark.weir.pii.key`. Where it is unset, one that is derived from the application's
-    name, which keeps nothing secret: a deployment has to set its own."""
-    return spark.conf.get("spark.weir.pii.key", None) or sha256(spark.sparkContext.appName.encode()).hexdigest()
+    """The key of the pseudonyms: the setting `spark.weir.pii.key`. Where it is unset, a random one is drawn and set for the session, so
+    that nobody else can turn its pseudonyms back; applications whose pseudonyms are to agree have to set one."""
+    if not spark.conf.get(PII_KEY, None):
+        spark.conf.set(PII_KEY, token_hex(32))
+    return spark.conf.get(PII_KEY)
 
 
 #: op1: a family edge counts as this part of a link. Pages with links to their own host only are joined by nothing else.

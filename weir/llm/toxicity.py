@@ -75,6 +75,7 @@ def _alphabet() -> np.ndarray:
 ALPHABET = _alphabet()
 SIZE = 64
 STATES = 24  # that are decoded one by one
+COMMIT = 512  # characters after which what all paths have in common is settled
 
 
 def symbol(letter: str) -> int:
@@ -111,6 +112,15 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log((three + 5 * after_one[None]) / (three.sum(axis=2, keepdims=True) + 5)).astype(np.float32).ravel()
 
 
+def _said(chain: tuple | None) -> str:
+    """The letters of a chain of (before, letter)."""
+    out = []
+    while chain:
+        chain, letter = chain
+        out.append(letter)
+    return "".join(reversed(out))
+
+
 class Restorer:
     """Viterbi decoding of one token's character lattice: the best path of all."""
 
@@ -120,14 +130,18 @@ class Restorer:
     def choices(self, token: str) -> list[list[tuple[str, float]]]:
         """For each character, the letters that it may stand for ("" for none) with their log likelihoods."""
         out: list[list[tuple[str, float]]] = []
+        made: dict[tuple[str, bool], list[tuple[str, float]]] = {}  # a long token's places share their lists
         before = ""
         for c in token:
-            if c in LOOKS:
-                out.append([(x, -1.0) for x in LOOKS[c]] + [("", -4.0)])
-            elif c.isalpha():
-                out.append([(c, -0.05), ("", -0.7)] if c == before else [(c, -0.05)])
-            else:
-                out.append([("", -0.3)])
+            if (found := made.get((c, c == before))) is None:
+                if c in LOOKS:
+                    found = [(x, -1.0) for x in LOOKS[c]] + [("", -4.0)]
+                elif c.isalpha():
+                    found = [(c, -0.05), ("", -0.7)] if c == before else [(c, -0.05)]
+                else:
+                    found = [("", -0.3)]
+                made[c, c == before] = found
+            out.append(found)
             before = c
         return out
 
@@ -142,7 +156,12 @@ class Restorer:
         lattice = self.choices(token)
         # what is said so far is a chain of (before, letter), so that a step costs the same in a long token
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for choices in lattice:
+        settled: list[str] = []
+        for at, choices in enumerate(lattice):
+            if at % COMMIT == COMMIT - 1 and len(best) == 1:  # all paths have what is said so far in common
+                ((state, (p, said)),) = best.items()
+                settled.append(_said(said))
+                best = {state: (p, None)}
             if breaks:
                 for (a, b), (p, said) in list(best.items()):
                     if b and ((b, 0) not in best or p + float(grams[(a * SIZE + b) * SIZE]) > best[b, 0][0]):
@@ -161,11 +180,7 @@ class Restorer:
                 return self._decode_by_arrays(lattice, breaks)
             best = nxt
         score, said = max(((p + (float(grams[(a * SIZE + b) * SIZE]) if b or not breaks else 0.0), said) for (a, b), (p, said) in best.items()), key=lambda x: x[0], default=(0.0, None))
-        out = []
-        while said:
-            said, letter = said
-            out.append(letter)
-        return score, "".join(reversed(out))
+        return score, "".join([*settled, _said(said)])
 
     def _decode_by_arrays(self, lattice: list[list[tuple[str, float]]], breaks: bool) -> tuple[float, str]:
         """The same with the scores of all states as a square array over the symbols that the token can have."""
@@ -175,7 +190,8 @@ class Restorer:
         by_last = np.ascontiguousarray(self.grams.reshape(SIZE, SIZE, SIZE)[np.ix_(codes, codes, codes)].astype(np.float64).transpose(2, 0, 1))
         now = np.full((k, k), -np.inf)
         now[0, 0] = 0.0
-        steps = []  # for each character: where a break came from, by the symbol before it; and each state's choice and the symbol that it lost
+        steps: list[tuple] = []  # for each character: its choices, where a break came from, by the symbol before it; and each state's choice and the symbol that it lost
+        settled: list[str] = []
         every = np.arange(k)
         for choices in lattice:
             broke = None
@@ -200,14 +216,22 @@ class Restorer:
                 q = reach[before, every] + cost
                 better = q > nxt[:, c]
                 nxt[better, c], chosen[better, c], lost[better, c] = q[better], i, before[better]
-            steps.append((broke, chosen, lost))
+            steps.append((choices, broke, chosen, lost))
             now = nxt
+            if len(steps) % COMMIT == 0:
+                text, steps = self._settle(steps, now)
+                settled.append(text)
         total = now + by_last[0]
         if breaks:
             total[:, 0] = now[:, 0]
         a, b = divmod(int(total.argmax()), k)
-        score, out = float(total[a, b]), []
-        for choices, (broke, chosen, lost) in zip(reversed(lattice), reversed(steps), strict=True):
+        return float(total[a, b]), "".join([*settled, self._back(steps, a, b)])
+
+    @staticmethod
+    def _back(steps: list[tuple], a: int, b: int) -> str:
+        """The letters of the best path to a state."""
+        out = []
+        for choices, broke, chosen, lost in reversed(steps):
             letter = choices[chosen[a, b]][0]
             if letter:
                 out.append(letter)
@@ -215,7 +239,22 @@ class Restorer:
             if broke is not None and b == 0 and broke[a] >= 0:
                 out.append(" ")
                 a, b = int(broke[a]), a
-        return score, "".join(reversed(out))
+        return "".join(reversed(out))
+
+    def _settle(self, steps: list[tuple], now: np.ndarray) -> tuple[str, list[tuple]]:
+        """The letters that the best paths to all states have in common, and the steps after them: paths are traced back together
+        until they have met in one state. What is held is thus a few steps, however long a token is."""
+        a, b = np.nonzero(now > -np.inf)
+        for t in range(len(steps) - 1, 0, -1):
+            choices, broke, chosen, lost = steps[t]
+            said = np.array([bool(letter) for letter, _ in choices])[chosen[a, b]]
+            a, b = np.where(said, lost[a, b], a), np.where(said, a, b)
+            if broke is not None:
+                came = (b == 0) & (broke[a] >= 0)
+                a, b = np.where(came, broke[a], a), np.where(came, a, b)
+            if (a == a[0]).all() and (b == b[0]).all():
+                return self._back(steps[:t], int(a[0]), int(b[0])), steps[t:]
+        return "", steps
 
     def hidden(self, spelled: str) -> list[str]:
         """What a spelled word says: all its letters together, and the words that the model cuts them into."""
