@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+# Comments and texts over several lines of each language, and what begins a line that imports or declares.
 MASKS = {
     "js": re.compile(r"//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`", re.S),
     "python": re.compile(r"\"\"\".*?\"\"\"|'''.*?'''|#[^\n]*", re.S),

@@ -205,7 +205,7 @@ def p12_with_expectation(spark, sf_dir):
 def _markdown(spark, sf_dir):
     """Documents as Markdown: a header block, a heading for each line, a link to the source."""
     lines = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("^[A-Za-z]{2}")), lambda x: F.concat(F.lit("## "), F.regexp_extract(x, "^([A-Za-z]+)", 1)))
-    body = F.concat(F.lit("---\n## not a heading\nlang: "), F.coalesce("lang", F.lit("-")), F.lit("\nsource: "), "source", F.lit("\n---\n> Based on: "), "source", F.lit(".md\n\n"), F.array_join(lines, "\n"), F.lit("\nsee [it]("), "source", F.lit(".md) and [that][s]\n[s]: ../x/"), "source", F.lit(".md\n"))
+    body = F.concat(F.lit("---\n## not a heading\nlang: "), F.coalesce("lang", F.lit("-")), F.lit("\nsource: "), "source", F.lit("\n---\n> Based on: "), "source", F.lit(".md\n\n"), F.array_join(lines, "\n"), F.lit("\nsee [it]("), "source", F.lit(".md) and [that][s]\n[s]: ../x/"), "source", F.lit(".md\n[it]: it.md\n[It][] or [s], `[c](code.md)`, [e](http://x.y/z), [a](#top)\n```\n[no](fenced.md)\n```\n"))
     return documents(spark, sf_dir).select("doc_id", body.alias("text"))
 
 
@@ -222,7 +222,7 @@ def x11_doc_headers(spark, sf_dir):
     return out.select("doc_id", F.col("frontmatter")["lang"].alias("lang"), F.col("frontmatter")["source"].alias("source"), F.col("blockquote")["Based on"].alias("based_on"), F.size("relations").alias("relations"))
 
 
-@query("SELECT doc_id, source || '.md' AS target, 'inline' AS style FROM documents UNION ALL SELECT doc_id, '../x/' || source || '.md', 'reference' FROM documents")
+@query("SELECT doc_id, unnest([source || '.md', '../x/' || source || '.md', 'it.md', '../x/' || source || '.md']) AS target, unnest(['inline', 'reference', 'collapsed', 'shortcut']) AS style FROM documents")
 def x13_extract_links(spark, sf_dir):
     return E.extract_links(E.lines_of(_markdown(spark, sf_dir), "doc_id", "text", fences=True)).select("doc_id", "target", "style")
 
@@ -233,10 +233,24 @@ def x20_due_reviews(spark, sf_dir):
     return E.due_reviews(o, F.lit("1998-01-01").cast("date"), "id", "text")
 
 
-@query("SELECT doc_id, 1 AS line_no, 'import' AS kind, './' || source AS name FROM documents UNION ALL SELECT doc_id, 3, 'decl', 'f' || doc_id FROM documents")
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_size AS z, replace(p_brand, '#', '') AS b FROM part)
+SELECT k AS doc_id, unnest([1, 3, 3, 4, 7]) AS line_no, unnest(['import', 'import', 'decl', 'decl', 'decl']) AS kind, unnest(['./m' || z || '.js', 'r-' || b, 'x' || z, 'K' || k, 'f' || k]) AS name FROM p WHERE k % 3 = 0
+UNION ALL SELECT k, unnest([1, 5, 6, 7]), unnest(['import', 'import', 'decl', 'decl']), unnest(['os.m' || z, 'pkg.' || b, 'f' || k, 'K' || k]) FROM p WHERE k % 3 = 1
+UNION ALL SELECT k, unnest([1, 3, 4]), unnest(['decl', 'import', 'import']), unnest(['Get-X' || k, './lib' || z || '.ps1', 'M' || b]) FROM p WHERE k % 3 = 2
+""")
 def x25_code_facts(spark, sf_dir):
-    code = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("import x from './"), "source", F.lit("'\n// function no() {}\nexport function f"), "doc_id", F.lit("() {}\n")).alias("text"))
-    return E.code_facts(code, "doc_id", "text", "js")
+    """A program for each part, of three languages, with what looks like a fact inside comments and strings."""
+    k, z, b = F.col("p_partkey"), F.col("p_size"), F.replace("p_brand", F.lit("#"), F.lit(""))
+    fill = lambda program: reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), kv[1].cast("string")), (("<k>", k), ("<z>", z), ("<b>", b)), F.lit(program))
+    programs = {
+        "js": "import a from './m<z>.js'\n// import b from 'no'\nconst x<z> = require(\"r-<b>\")\nexport class K<k> {}\n/* function no() {}\nclass No {} */\nasync function f<k>() {}\n",
+        "python": "import os.m<z>\n\"\"\"\nimport no\n\"\"\"\nfrom pkg.<b> import c  # import no\nasync def f<k>():\nclass K<k>:\n",
+        "powershell": "function Get-X<k> {}\n<# function No {} #>\n. ./lib<z>.ps1\nImport-Module M<b>\n",
+    }
+    parts = t(spark, sf_dir, "part")
+    out = [E.code_facts(parts.filter(k % 3 == i).select(k.alias("doc_id"), fill(program).alias("text")), "doc_id", "text", lang) for i, (lang, program) in enumerate(programs.items())]
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'fetch_error' ELSE 'response' END AS kind, CASE WHEN event_id % 2 = 0 THEN 200 ELSE 0 END AS status, CAST(user_id AS VARCHAR) AS who, event_type AS a FROM events")

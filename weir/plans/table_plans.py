@@ -155,12 +155,14 @@ def j7_coverage(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT p_name AS name, list_sort(list(DISTINCT p_brand)) AS a FROM part WHERE p_size <= 25 GROUP BY 1)
-SELECT p_partkey, CASE WHEN len(a) = 1 THEN a[1] END AS symbol, len(a) > 1 AS ambiguous, CASE WHEN len(a) > 1 THEN array_to_string(a[1:8], ',') END AS candidates FROM part JOIN d ON p_name = name
+WITH d AS (SELECT p_name || '-' || p_size % 7 AS name, list_sort(list(DISTINCT p_brand)) AS a FROM part GROUP BY 1)
+SELECT p_partkey, CASE WHEN len(a) = 1 THEN a[1] END AS symbol, len(a) > 1 AS ambiguous, CASE WHEN len(a) > 1 THEN array_to_string(a[1:8], ',') END AS candidates FROM part JOIN d ON p_name || '-' || p_partkey % 9 = name
 """)
 def j8_resolve_mentions(spark, sf_dir):
-    p = t(spark, sf_dir, "part").withColumnRenamed("p_name", "name")
-    out = J.resolve_mentions(p.select("p_partkey", "name"), p.filter("p_size <= 25").select("name", F.col("p_brand").alias("symbol")))
+    """Parts declare their brand under a name, and mention names of which some are declared once, some more than once, some never."""
+    p = t(spark, sf_dir, "part")
+    named = lambda n: F.concat("p_name", F.lit("-"), n)
+    out = J.resolve_mentions(p.select("p_partkey", named(F.col("p_partkey") % 9).alias("name")), p.select(named(F.col("p_size") % 7).alias("name"), F.col("p_brand").alias("symbol")))
     return out.select("p_partkey", "symbol", "ambiguous", F.array_join("candidates", ",").alias("candidates"))
 
 
@@ -625,10 +627,10 @@ def u7_key_drift(spark, sf_dir):
     return S.key_drift(t(spark, sf_dir, "events"), spark.createDataFrame([("gone",)], "key string"))
 
 
-@query("SELECT p_partkey AS name, CASE WHEN n IS NULL THEN 'unregistered' WHEN p_partkey % 5 = 0 THEN 'disabled' WHEN n < 20 THEN 'missing' WHEN q > 30 THEN 'invalid' ELSE 'ready' END AS state FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, avg(l_quantity) AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) ON l_partkey = p_partkey")
+@query("SELECT p_partkey AS name, CASE WHEN n IS NULL THEN 'unregistered' WHEN p_partkey % 5 = 0 THEN 'disabled' WHEN n < 28 THEN 'missing' WHEN q > 25.5 THEN 'invalid' ELSE 'ready' END AS state FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, avg(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
 def s7_availability(spark, sf_dir):
-    u = t(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy(F.col("l_partkey").alias("name")).agg(F.count("*").alias("n"), F.avg("l_quantity").alias("q"))
-    units = u.select("name", (F.col("name") % 5 != 0).alias("enabled"), (F.col("n") >= 20).alias("present"), (F.col("q") <= 30).alias("valid"))
+    u = t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("name")).agg(F.count("*").alias("n"), F.avg("l_quantity").alias("q"))
+    units = u.select("name", (F.col("name") % 5 != 0).alias("enabled"), (F.col("n") >= 28).alias("present"), (F.col("q") <= 25.5).alias("valid"))
     return IO.availability(units, t(spark, sf_dir, "part").select(F.col("p_partkey").alias("name")))
 
 

@@ -87,9 +87,15 @@ def x7_norm_keys(spark, sf_dir):
     return docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", key("text", "collapse"), key("text", "squeeze"), key("source", "dash"))
 
 
-@query("SELECT doc_id, 'en' AS tag FROM documents WHERE text IS NOT NULL")
+@query(f"""
+WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '数据库迁移' || left(text, 8) WHEN 2 THEN 'カナと漢字' || text ELSE left(text, 20) || '數' END AS s FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, length(s) AS n, length(regexp_replace(s, '[^{X.CJK}]', '', 'g')) AS c FROM d)
+SELECT doc_id, CASE WHEN c > 0.3 * greatest(n, 1) THEN 'zh' WHEN c > 0 THEN 'mixed' ELSE 'en' END AS tag FROM n
+""")
 def x8_lang_tag(spark, sf_dir):
-    return docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", X.lang_tag(F.col("text")).alias("tag"))
+    m, text = F.col("doc_id") % 4, F.col("text")
+    mixed = F.when(m == 0, text).when(m == 1, F.concat(F.lit("数据库迁移"), F.left(text, F.lit(8)))).when(m == 2, F.concat(F.lit("カナと漢字"), text)).otherwise(F.concat(F.left(text, F.lit(20)), F.lit("數")))
+    return docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", X.lang_tag(mixed).alias("tag"))
 
 
 @query("""
@@ -104,13 +110,16 @@ def x9_redact(spark, sf_dir):
 
 
 @query(r"""
-SELECT page_id, CASE WHEN regexp_matches(base, '(?i)^readme(\.|$)') THEN 'readme' WHEN regexp_matches(p || '/', '(?i)(^|/)api/') THEN 'api' WHEN regexp_matches(p || '/', '(?i)(^|/)guides?/') THEN 'guide'
-  WHEN regexp_matches(title, '(?i)standard|convention') THEN 'spec' WHEN regexp_matches(title, '(?i)todo|backlog') THEN 'todo' WHEN regexp_matches(title, '(?i)architecture|design') THEN 'arch' ELSE 'doc' END AS role
+SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'audit' WHEN regexp_matches(base, '(?i)^readme(\.|$)') THEN 'readme' WHEN regexp_matches(p || '/', '(?i)(^|/)api/') THEN 'api' WHEN regexp_matches(p || '/', '(?i)(^|/)guides?/') THEN 'guide'
+  WHEN page_id % 5 = 1 THEN 'arch' WHEN page_id % 5 = 2 THEN 'api' WHEN page_id % 5 = 3 AND regexp_matches(title, '(?i)standard|convention') THEN 'spec' WHEN page_id % 5 = 3 AND regexp_matches(title, '(?i)todo|backlog') THEN 'todo' WHEN page_id % 5 = 3 AND regexp_matches(title, '(?i)architecture|design') THEN 'arch' ELSE 'doc' END AS role
 FROM (SELECT page_id, p, list_last(string_split(p, '/')) AS base, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM (SELECT *, regexp_extract(url, '^[^:]*://[^/?#]*/?([^?#]*)', 1) AS p FROM pages))
 """)
 def x12_doc_role(spark, sf_dir):
-    path = F.regexp_extract("url", r"^[^:]*://[^/?#]*/?([^?#]*)", 1)
-    return t(spark, sf_dir, "pages").select("page_id", E.doc_role(path, F.lit(""), F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("role"))
+    """A text for each page: a role that it declares itself, a first heading (of two kinds, or the page's title), or nothing."""
+    path, m = F.regexp_extract("url", r"^[^:]*://[^/?#]*/?([^?#]*)", 1), F.col("page_id") % 5
+    heading = F.concat(F.lit("intro\n# "), F.when(m == 1, "The architecture").when(m == 2, "接口 list").when(m == 3, F.regexp_extract("html", "<title>([^<]*)</title>", 1)))
+    text = F.when(m == 0, "---\nowner: x\ndocrole: Audit\n---\n# API\n").when(m < 4, heading).otherwise("no heading")
+    return t(spark, sf_dir, "pages").select("page_id", E.doc_role(path, text).alias("role"))
 
 
 @query(r"""
@@ -226,21 +235,36 @@ def x22_html_links(spark, sf_dir):
 
 
 @query(r"""
-SELECT page_id, script, line_no, left(trim(line), 240) AS preview FROM (
-  SELECT page_id, script, unnest(string_split(source, chr(10))) AS line, unnest(range(1, len(string_split(source, chr(10))) + 1)) AS line_no FROM (
-    SELECT page_id, unnest(s) AS source, unnest(range(0, len(s))) AS script FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1) AS s FROM pages)))
-WHERE contains(lower(line), 'track(')
+WITH s AS (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1) AS s FROM pages),
+l AS (SELECT page_id, script, unnest(string_split(source, chr(10))) AS line, unnest(range(1, len(string_split(source, chr(10))) + 1)) AS line_no FROM (SELECT page_id, unnest(s) AS source, unnest(range(0, len(s))) AS script FROM s))
+SELECT page_id, script, CAST(NULL AS VARCHAR) AS src, line_no, left(trim(line), 240) AS preview FROM l WHERE contains(lower(line), 'track(')
+UNION ALL SELECT page_id, len(s), '/a0.js', 2, 'y = Track(1)' FROM s WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, NULL, '/a1.js', NULL, 'http_404' FROM s WHERE page_id % 3 = 1 UNION ALL SELECT page_id, NULL, '/a2.js', NULL, 'not_loaded' FROM s WHERE page_id % 3 = 2
 """)
 def x23_search_sources(spark, sf_dir):
-    found, _ = E.search_sources(t(spark, sf_dir, "pages"), "track(", "page_id", "url", "html")
-    return found.select("page_id", F.col("script").cast("long").alias("script"), F.col("line_no").cast("long").alias("line_no"), "preview")
+    """Inline scripts of the pages, and one more with a source for each page: fetched, failed or not there."""
+    pages = t(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit('<script async src="/a'), F.col("page_id") % 3, F.lit('.js"></script>')))
+    external = spark.createDataFrame([("/a0.js", 200, "x\n  y = Track(1) \n"), ("/a1.js", 404, "track(")], "src string, status int, source string")
+    found, skipped = E.search_sources(pages, "track(", "page_id", "url", "html", external=external)
+    none = F.lit(None).cast("long")
+    found = found.select("page_id", F.col("script").cast("long").alias("script"), "src", F.col("line_no").cast("long").alias("line_no"), "preview")
+    return found.unionByName(skipped.select("page_id", none.alias("script"), "src", none.alias("line_no"), F.col("reason").alias("preview")))
 
 
 @query(r"""
-SELECT page_id, 'absolute' AS kind, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(url, 'https?://[^\s"''<>]+')) FROM pages) GROUP BY 1
+WITH p AS (SELECT page_id, url || chr(10) || html || chr(10) || CASE page_id % 5 WHEN 0 THEN '@GET("/x") @PUT' WHEN 1 THEN 'const BASE_URL = "https://api.x/v1"' WHEN 2 THEN 'new WebSocket("wss://a.b/c")' WHEN 3 THEN 'graphql: mutation Add($x: Int)' ELSE '' END AS t FROM pages),
+l AS (SELECT page_id, unnest(string_split(t, chr(10))) AS line FROM p),
+m AS (SELECT page_id, 'absolute' AS kind, len(regexp_extract_all(line, 'https?://[^\s"''<>]+')) AS n FROM l UNION ALL SELECT page_id, 'retrofit', len(regexp_extract_all(line, '@(?:GET|POST|PUT|DELETE|PATCH|HEAD|HTTP)\b')) FROM l
+  UNION ALL SELECT page_id, 'base_url', len(regexp_extract_all(line, '(?i:base_?url)\s*[(=:]\s*["''][^"'']+')) FROM l UNION ALL SELECT page_id, 'websocket', len(regexp_extract_all(line, 'wss?://[^\s"''<>]+|(?i:websocket)')) FROM l
+  UNION ALL SELECT page_id, 'graphql', len(regexp_extract_all(line, '(?i:graphql)|(?i:\bmutation\s+\w+\s*[({])')) FROM l)
+SELECT page_id, kind, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY 1, 2 HAVING sum(n) > 0
 """)
 def x24_api_surface(spark, sf_dir):
-    return E.api_surface(t(spark, sf_dir, "pages"), "page_id", "url").groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+    """The urls and sources of the pages, with a line of one of the other marks."""
+    m = F.col("page_id") % 5
+    more = F.when(m == 0, '@GET("/x") @PUT').when(m == 1, 'const BASE_URL = "https://api.x/v1"').when(m == 2, 'new WebSocket("wss://a.b/c")').when(m == 3, "graphql: mutation Add($x: Int)").otherwise("")
+    pages = t(spark, sf_dir, "pages").select("page_id", F.concat_ws("\n", "url", "html", more).alias("source"))
+    return E.api_surface(pages, "page_id", "source").groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query(r"""
@@ -252,6 +276,20 @@ def x26_id_defs(spark, sf_dir):
     return E.id_defs(E.lines_of(docs(spark, sf_dir), "doc_id", "text", fences=True), "AKIA[0-9A-Z]{16}|[0-9]{16}", ["tokens"]).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "id", "mode")
 
 
+@query("""
+SELECT c_custkey AS doc, unnest([3, 4, 5, 6, 2, 1]) AS line_no, unnest(['O' || c_custkey, 'L' || c_custkey % 7, 'T' || c_custkey, 'J' || c_custkey, 'B1', 'F' || c_custkey]) AS id, unnest(['heading', 'bold', 'table', 'json', 'section_list', 'filename']) AS mode FROM customer
+""")
+def x26_id_sites(spark, sf_dir):
+    """A text and a file name for each customer, with a definition of every kind, and one inside a fence that is none."""
+    c, k = t(spark, sf_dir, "customer"), F.col("c_custkey")
+    text = F.concat_ws("\n", F.lit("## B. list"), F.lit("1. first, not L1"), F.concat(F.lit("# O"), k, F.lit(" and more")), F.concat(F.lit("- **L"), k % 7, F.lit("** x")), F.concat(F.lit("| `T"), k, F.lit("` | O9 |")), F.concat(F.lit('{"id": "J'), k, F.lit('"}')), F.lit("```"), F.lit("# O1"), F.lit("```"))
+    lines = E.lines_of(c.select(k.alias("doc"), text.alias("text")), "doc", "text", fences=True)
+    sites = E.id_defs(lines, "[OLTJ][0-9]+", ["table", "heading", "bold", "json", "section_list"], "doc")
+    files = E.id_files(c.select(F.concat(F.lit("adr/F"), k, F.lit("-of-some.md")).alias("path")), "F[0-9]+")
+    out = sites.unionByName(files.select(F.regexp_extract("path", "F([0-9]+)", 1).cast("long").alias("doc"), "line_no", "id", "mode"))
+    return out.select(F.col("doc").cast("long").alias("doc"), F.col("line_no").cast("long").alias("line_no"), "id", "mode")
+
+
 @query("""
 WITH o AS (SELECT o_custkey AS doc, o_orderkey AS k, o_orderstatus AS s, 2 * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line_no FROM orders),
 r AS (SELECT doc, k, line_no, 'O' || (2 * k) AS id, EXISTS (SELECT 1 FROM o d WHERE d.k = 2 * o.k AND d.s = 'F') AS g, false AS l FROM o
