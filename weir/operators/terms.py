@@ -29,36 +29,41 @@ def flex_forms(term: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(term, *forms)))
 
 
-def _stretches(tokens: Column, first: Column, step: int, sizes: Sequence[int], glue: str, around: int) -> Column:
-    """Distinct (key, before, after): for each size n, n tokens from each place first, first + step, ... on, joined; before and after are
-    up to `around` characters of what stands beside them."""
-    n = F.size(tokens)
+def _stretches(rows: DataFrame, first: Column, step: int, sizes: Sequence[int], glue: str, around: int) -> DataFrame:
+    """(doc, key, before, after) of rows (doc, tokens): for each size n, n tokens from each place first, first + step, ... on, joined; before
+    and after are up to `around` characters of what stands beside them (0: none, and each key once a row)."""
+    tokens, n = F.col("tokens"), F.size("tokens")
 
     def of_size(size: int) -> Column:
         span = size * step - (step - 1)
         last = n - span + 1
         starts = F.when(first <= last, F.sequence(first, last, F.lit(step))).otherwise(F.array().cast("array<int>"))
         beside = lambda i: F.coalesce(F.get(tokens, i - 1), F.lit(""))
-        return F.transform(starts, lambda i: F.struct(
-            F.array_join(F.slice(tokens, i, span), glue).alias("key"),
-            (F.right(beside(i - 1), F.lit(around)) if around else F.lit("")).alias("before"),
-            (F.left(beside(i + span), F.lit(around)) if around else F.lit("")).alias("after"),
-        ))
 
-    return F.array_distinct(F.flatten(F.array(*map(of_size, sizes))))
+        def key(i: Column) -> Column:
+            return F.get(tokens, i - 1) if span == 1 else F.concat_ws(glue, *(F.get(tokens, i - 1 + k) for k in range(span)))
+
+        if not around:  # strings are told apart by hashing, unlike structs
+            return F.transform(starts, key)
+        return F.transform(starts, lambda i: F.struct(key(i).alias("key"), F.right(beside(i - 1), F.lit(around)).alias("before"), F.left(beside(i + span), F.lit(around)).alias("after")))
+
+    made = F.flatten(F.array(*map(of_size, sizes)))
+    if around:
+        return rows.select("doc", F.explode(made).alias("s")).select("doc", "s.*")
+    return rows.select("doc", F.explode(F.array_distinct(made)).alias("key"))
 
 
 def _met(rows: DataFrame, forms: DataFrame, holds: Column | None = None) -> DataFrame:
-    """(doc, term) of rows (doc, key, before, after) whose key is a form's, where holds is true."""
+    """(doc, term) of rows whose key is a form's, where holds is true."""
     near = sifted(rows, forms.select("key").distinct(), "key").withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
     dealt = forms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = near.join(dealt, ["key", "_salt"])
     return (met if holds is None else met.filter(holds)).select("doc", "term")
 
 
-def _found(rows: DataFrame, forms: DataFrame, size: str, stretches: Callable[[list[int]], Column], holds: Column | None = None) -> DataFrame | None:
+def _found(forms: DataFrame, size: str, stretches: Callable[[list[int]], DataFrame], holds: Column | None = None) -> DataFrame | None:
     sizes = sorted(r[0] for r in forms.select(size).distinct().collect())  # as many as the longest term has runs or characters
-    return _met(rows.select("doc", F.explode(stretches(sizes)).alias("s")).select("doc", "s.*"), forms, holds) if sizes else None
+    return _met(stretches(sizes), forms, holds) if sizes else None
 
 
 def match_term_table(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, term: str = "term", flex: bool = True) -> DataFrame:
@@ -84,12 +89,12 @@ def match_term_table(docs: DataFrame, terms: DataFrame, doc_id: str, text: str,
     cut = low.select("doc", F.regexp_extract_all("low", F.lit(f"([{RUN}]+|[^{RUN}]+)"), F.lit(1)).alias("tokens"))
     first = F.when(F.get("tokens", F.lit(0)).rlike(f"^[{RUN}]"), 1).otherwise(2)
     edges = F.endswith("before", "lead") & F.startswith("after", "tail")
-    found = _found(cut, anchored, "runs", lambda sizes: _stretches(F.col("tokens"), first, 2, sizes, "", around), edges if around else None)
+    found = _found(anchored, "runs", lambda sizes: _stretches(cut, first, 2, sizes, "", around), edges if around else None)
 
     loose = forms.filter(~whole).select("term", "left", "right", F.col("form").alias("key"), F.length("form").alias("size"))
     free = lambda side, border: ~F.col(border) | ~F.col(side).rlike(f"^[{RUN}]")
     letters = low.select("doc", F.split("low", "").alias("tokens"))
-    others = _found(letters, loose, "size", lambda sizes: _stretches(F.col("tokens"), F.lit(1), 1, sizes, "", 1), free("before", "left") & free("after", "right"))
+    others = _found(loose, "size", lambda sizes: _stretches(letters, F.lit(1), 1, sizes, "", 1), free("before", "left") & free("after", "right"))
     both = [x for x in (found, others) if x is not None]
     if not both:
         return low.select("doc").join(named.select("term"), F.lit(False))
@@ -101,5 +106,5 @@ def phrase_hits(docs: DataFrame, forms: DataFrame, text: str, form: str = "form"
     bare = lambda c: F.trim(F.regexp_replace(F.lower(c), f"[^{words}]+", " "))
     keyed = forms.select(F.col(form).alias("term"), bare(F.col(form)).alias("key")).filter("key <> ''").distinct().withColumn("words", F.size(F.split("key", " ")))
     cut = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("doc"), F.split(bare(F.col(text)), " ").alias("tokens"))
-    hits = _found(cut, keyed, "words", lambda sizes: _stretches(F.col("tokens"), F.lit(1), 1, sizes, " ", 0))
+    hits = _found(keyed, "words", lambda sizes: _stretches(cut, F.lit(1), 1, sizes, " ", 0))
     return keyed.select(F.col("term").alias(form)).limit(0) if hits is None else hits.select(F.col("term").alias(form)).distinct()
