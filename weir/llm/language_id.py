@@ -36,6 +36,7 @@ WORD = re.compile(r"[^\W\d_]+")
 CACHE = 40_000_000  # bytes of word scores that a worker keeps
 HELD = 100_000  # counts that a task holds before it hands them on
 SEED = 42  # of Spark's xxhash64
+MOST_SENT = 100_000  # rows of a table of shares that is broadcast
 
 
 @dataclass(frozen=True)
@@ -179,6 +180,8 @@ def even_sample(rows: DataFrame, key: str, by: str, bound: int, text: str | None
     # of 50 rows more than a share and ten standard deviations, a share is left but for a chance of about e^-50
     cut = [(v, min(1.0, (quota + 10 * sqrt(quota) + 50) / n)) for v, n in counts.items()]
     shares = rows.sparkSession.createDataFrame(cut, T.StructType([T.StructField(by, rows.schema[by].dataType), T.StructField("_share", T.DoubleType())]))
+    # a row for each value: sent to all tasks, unless there are very many, so that no text is shuffled before it is drawn
+    shares = F.broadcast(shares) if len(cut) <= MOST_SENT else shares
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 40))
     near = rows.withColumn("_place", place).join(shares, by).filter(F.col("_place") < F.col("_share") * (1 << 40)).drop("_share")
     w = Window.partitionBy(by).orderBy("_place")
