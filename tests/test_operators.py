@@ -396,6 +396,13 @@ def test_triage(spark):
         D.RuleSet(domains=(D.Domain("a"), D.Domain("a")))
 
 
+def test_sets_are_listed_within_a_bound(spark):
+    df = spark.createDataFrame([("a", i % 7, None) for i in range(40)] + [("b", None, "x"), (None, 1, "y"), (None, 1, "x")], "k string, s int, d string")
+    assert rows(A.merge_components(df, "k", "s", "d", most=3), "k", "sources", "n_sources", "depends_on", "n_depends_on") == sorted([("a", [0, 1, 2], 7, [], 0), ("b", [], 0, ["x"], 1), (None, [1], 1, ["x", "y"], 2)], key=repr)
+    refs = spark.createDataFrame([("a",), ("a",), ("z",)], "k string")
+    assert rows(A.label_index(df, refs, "k", "s", most=2), "k", "sites", "n_sites", "refs", "dead") == sorted([("a", [0, 1], 7, 2, False), ("b", [], 0, 0, True), (None, [1], 1, 0, True)], key=repr)
+
+
 def test_vectors_with_ids_of_any_type(spark, monkeypatch):
     from weir.operators import vectors
 

@@ -49,9 +49,25 @@ def degraded_rate(facts: DataFrame, unit: str = "unit", fidelity: str = "fidelit
     return out.filter("degraded > 0").withColumn("rate", F.col("degraded") / F.greatest("facts", F.lit(1)))
 
 
-def merge_components(df: DataFrame, key: str, source: str, depends: str) -> DataFrame:
-    """(key, sources, depends_on): one row a component, with the union of its sources and dependencies, sorted."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_set(source)).alias("sources"), F.array_sort(F.collect_set(depends)).alias("depends_on"))
+LISTED = 1000  # values of a key that are listed; the count tells how many there are
+
+
+def _listed(df: DataFrame, key: str, value: str, name: str, most: int) -> DataFrame:
+    """(key, name, n_name): the `most` least values of each key in order, and the number of all; no task holds more values of a key than that."""
+    pairs = df.select(key, value).filter(F.col(value).isNotNull()).distinct()
+    n = pairs.groupBy(key).agg(F.count("*").alias(f"n_{name}"))
+    least = top_k(pairs.withColumn("_same", F.lit(0)), [key], "_same", most, [value], "_rank")
+    return beside(n, least.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(name)), [key])
+
+
+def merge_components(df: DataFrame, key: str, source: str, depends: str, most: int = LISTED) -> DataFrame:
+    """(key, sources, n_sources, depends_on, n_depends_on): one row a component, with the union of its sources and dependencies, sorted: the
+    first `most` of each, and their numbers."""
+    out = df.select(key).distinct()
+    for value, name in ((source, "sources"), (depends, "depends_on")):
+        out = beside(out, _listed(df, key, value, name, most), [key]).na.fill(0, [f"n_{name}"])
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
+    return out
 
 
 def components(df: DataFrame, ref: str, value: str, order: str) -> DataFrame:
@@ -127,10 +143,11 @@ def ref_stats(definitions: DataFrame, references: DataFrame, namespace: str = "n
     return out.join(r.groupBy(namespace).agg(F.count_distinct(file).alias("files")), namespace, "left").na.fill(0, ["files"])
 
 
-def label_index(definitions: DataFrame, references: DataFrame, key: str = "id", site: str = "site") -> DataFrame:
-    """(id, sites, refs, dead) of every defined id."""
-    sites = definitions.groupBy(key).agg(F.array_sort(F.collect_set(site)).alias("sites"))
-    return sites.join(references.groupBy(key).agg(F.count("*").alias("refs")), key, "left").na.fill(0, ["refs"]).withColumn("dead", F.col("refs") == 0)
+def label_index(definitions: DataFrame, references: DataFrame, key: str = "id", site: str = "site", most: int = LISTED) -> DataFrame:
+    """(id, sites, n_sites, refs, dead) of every defined id; the first `most` sites are listed, and n_sites is their number."""
+    sites = beside(definitions.select(key).distinct(), _listed(definitions, key, site, "sites", most), [key]).na.fill(0, ["n_sites"])
+    sites = sites.withColumn("sites", F.coalesce("sites", F.array().cast(sites.schema["sites"].dataType)))
+    return beside(sites, references.groupBy(key).agg(F.count("*").alias("refs")), [key]).na.fill(0, ["refs"]).withColumn("dead", F.col("refs") == 0)
 
 
 def coverage_matrix(df: DataFrame, rows: DataFrame, columns: DataFrame, zero: DataFrame, row: str, column: str) -> DataFrame:

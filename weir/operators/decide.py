@@ -15,9 +15,12 @@ from .ranking import assign_ids, bm25f, dedupe_first, nominate, top_k
 from .sets import ordered_union as ordered_union_of
 
 
-# What a decision forbids its consumer.
-ALWAYS_FORBIDDEN = ["initReverseCase", "create_work_dir"]
-FORBIDDEN_UNLESS_IMPLEMENT = ["modify_files", "install_tools", "execute_target"]
+@dataclass(frozen=True)
+class Forbidden:
+    """What a decision forbids its consumer: tools that are never allowed, and actions that only the mode implement allows."""
+
+    always: tuple[str, ...] = ()
+    unless_implement: tuple[str, ...] = ("modify_files", "install_tools", "execute_target")
 
 
 def _strings(values: Sequence[str]) -> Column:
@@ -44,6 +47,7 @@ class RuleSet:
     conflict: tuple[str, tuple[str, ...], str] | None = None
     ready: frozenset[str] = frozenset()  # members that are available
     recipes: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    forbidden: Forbidden = Forbidden()
 
     def __post_init__(self):
         if len({d.name for d in self.domains}) < len(self.domains):
@@ -155,7 +159,7 @@ def triage(df: DataFrame, rules: RuleSet, docs: DataFrame | None = None, id_col:
         .when(~strong, F.array(F.concat(F.lit("weak_trigger_only: "), F.array_join("pick.weak", ", "))))
         .otherwise(F.concat(F.transform(named, lambda m: F.concat(F.lit("explicit_skill_hit: "), m)), F.when(F.size("lexical") > 0, F.array(F.concat(F.lit("lexical_candidates: "), said))).otherwise(F.array().cast("array<string>")), F.array(F.concat(F.lit("domain_selected: "), F.col("domain")))))
     )
-    must_not = F.when(F.col("mode") == "implement", _strings(ALWAYS_FORBIDDEN)).otherwise(_strings([*ALWAYS_FORBIDDEN, *FORBIDDEN_UNLESS_IMPLEMENT]))
+    must_not = F.when(F.col("mode") == "implement", _strings(rules.forbidden.always)).otherwise(_strings([*rules.forbidden.always, *rules.forbidden.unless_implement]))
     out = rows.withColumns({"action": action, "confidence": confidence, "candidates": candidates, "reasons": reasons, "must_not": must_not, "domain": F.when(empty | lost, "none").otherwise(F.col("domain"))})
     return out.drop("_text", "scores", "pick", "lexical")
 
@@ -206,7 +210,7 @@ def invalid_fields(domains: Sequence[str]) -> dict[str, Column]:
     }
 
 
-def adapt(decisions: DataFrame, domains: Sequence[str]) -> DataFrame:
+def adapt(decisions: DataFrame, domains: Sequence[str], forbidden: Forbidden = Forbidden()) -> DataFrame:
     """Consumer's view (id…, injected, load, prompt_action, forbidden), closed on any field that is invalid or can't be judged."""
     broken = F.lit(False)
     for rule in invalid_fields(domains).values():
@@ -217,10 +221,10 @@ def adapt(decisions: DataFrame, domains: Sequence[str]) -> DataFrame:
     prompt = F.lit("handoff")
     for action, then in prompts.items():
         prompt = F.when(ok & (F.col("action") == action), then).otherwise(prompt)
-    unless = F.when(F.col("mode") != "implement", _strings(FORBIDDEN_UNLESS_IMPLEMENT)).otherwise(none)
+    unless = F.when(F.col("mode") != "implement", _strings(forbidden.unless_implement)).otherwise(none)
     return out.withColumns({
         "injected": F.when(ok, F.col("candidates")).otherwise(none), "load": F.when(ok & (F.col("action") == "dispatch"), F.col("members")).otherwise(none), "prompt_action": prompt,
-        "forbidden": F.when(ok, ordered_union_of(F.col("must_not"), _strings(ALWAYS_FORBIDDEN), unless)).otherwise(_strings([*ALWAYS_FORBIDDEN, *FORBIDDEN_UNLESS_IMPLEMENT])),
+        "forbidden": F.when(ok, ordered_union_of(F.col("must_not"), _strings(forbidden.always), unless)).otherwise(_strings([*forbidden.always, *forbidden.unless_implement])),
     })
 
 

@@ -329,10 +329,10 @@ def a7_degraded_rate(spark, sf_dir):
     return A.degraded_rate(facts).withColumn("rate", F.round("rate", 6))
 
 
-@query("SELECT l_partkey, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS sources, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS depends_on FROM lineitem GROUP BY 1")
+@query("SELECT l_partkey, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS sources, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS depends_on, count(DISTINCT l_suppkey) AS n_sources FROM lineitem GROUP BY 1")
 def a8_merge_components(spark, sf_dir):
     m = A.merge_components(t(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", "l_returnflag")
-    return m.select("l_partkey", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), F.array_join("depends_on", ",").alias("depends_on"))
+    return m.select("l_partkey", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), F.array_join("depends_on", ",").alias("depends_on"), "n_sources")
 
 
 @query("SELECT l_partkey, arg_min(h, (l_orderkey * 100 + l_linenumber) * 1000000 + l_suppkey) AS h FROM (SELECT *, CASE WHEN l_returnflag <> 'N' THEN CAST(l_quantity AS BIGINT) END AS h FROM lineitem) GROUP BY 1")
