@@ -18,6 +18,7 @@ from ..operators import filters as L
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import ranking as R
+from ..operators.snapshots import diff_snapshot, write_snapshot
 from ..operators.tables import fresh_dir
 from ..sources import io as IO
 from ..streaming import ledgers as T
@@ -135,6 +136,19 @@ def s10_snapshot(spark, sf_dir):
     return IO.snapshot(t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("pass")), "id", "pass")
 
 
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 1500 = 3 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 1500 = 3 OR o_orderkey % 1000 = 7 AND o_orderstatus IS NOT NULL
+UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_orderkey % 1200 = 5
+""")
+def u1_snapshot_diff(spark, sf_dir):
+    """Orders against their snapshot, after some were removed, some changed and some added."""
+    path, k = fresh_dir(spark, "snapshot"), F.col("o_orderkey")
+    base = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    write_snapshot(base, path, ["o_orderkey"])
+    now = base.filter(k % 1500 != 3).withColumn("o_orderstatus", F.when(k % 1000 == 7, "changed").otherwise(F.col("o_orderstatus")))
+    return diff_snapshot(now.unionByName(base.filter(k % 1200 == 5).withColumn("o_orderkey", -k)), path, ["o_orderkey"])
+
+
 def _lockfiles(spark, sf_dir):
     """A lockfile for each supplier: its parts as packages, every third one nested in the part before it."""
     pairs = t(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
