@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import map_column, text_rows
+from .shared import KEPT, map_column, text_rows
 from .token_counts import Splitter, byte_symbols
 
 CACHE = 120_000  # words whose ids a worker keeps
@@ -215,6 +215,7 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
+    KEPT[__name__] = codec.cache_clear
     return Codec(path)
 
 
@@ -225,7 +226,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids:
         encode = codec(vocabulary).encode
         return lambda values: {ids: pa.array([encode(t or "") for t in values], pa.list_(pa.int32()))}
 
-    return map_column(docs.withColumn(text, docs[text].cast("string")), text, start, f"`{ids}` array<int>")
+    return map_column(docs.withColumn(text, docs[text].cast("string")), text, start, f"`{ids}` array<int>", keeps=__name__)
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -235,7 +236,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> D
         decode = codec(vocabulary).decode
         return lambda values: {"text": pa.array([None if x is None else decode(x) for x in values], pa.string())}
 
-    return map_column(encoded, ids, start, "text string")
+    return map_column(encoded, ids, start, "text string", keeps=__name__)
 
 
 def digest_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,4 +251,4 @@ def digest_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
 
         return work
 
-    return map_column(text_rows(docs, doc_id, text), "text", start, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_column(text_rows(docs, doc_id, text), "text", start, "n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=__name__)

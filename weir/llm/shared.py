@@ -87,10 +87,21 @@ def tidy() -> None:
         pass
 
 
-def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, and tidy at the end of a task."""
+#: What an operator keeps in a worker between its tasks (a vocabulary, say), and how it is given up.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def give_up(but: str = "") -> None:
+    """Frees what other operators have kept in this worker."""
+    for name in [name for name in KEPT if name != but]:
+        KEPT.pop(name)()
+
+
+def tidied(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """run, and tidy at the end of a task. At its start, what operators other than `keeps` have kept is given up."""
 
     def outer(batches: Iterator) -> Iterator:
+        give_up(keeps)
         try:
             yield from run(batches)
         finally:
@@ -99,18 +110,18 @@ def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return outer
 
 
-def map_parts(rows: DataFrame, column: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """rows.mapInArrow with batches cut so that the column has about PART_BYTES in each."""
+def map_parts(rows: DataFrame, column: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str = "") -> DataFrame:
+    """rows.mapInArrow with batches cut so that the column has about PART_BYTES in each. keeps: see tidied."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at, n in _parts(whole.column(column)):
                 yield whole.slice(at, n)
 
-    return rows.mapInArrow(tidied(lambda batches: run(parts(batches))), schema)
+    return rows.mapInArrow(tidied(lambda batches: run(parts(batches)), keeps), schema)
 
 
-def map_column(rows: DataFrame, column: str, start: Callable[[], Callable[[list], dict[str, pa.Array]]], added: str, keep: bool = False) -> DataFrame:
+def map_column(rows: DataFrame, column: str, start: Callable[[], Callable[[list], dict[str, pa.Array]]], added: str, keep: bool = False, keeps: str = "") -> DataFrame:
     """rows with new columns computed from one column in Arrow batches; the other columns pass through untouched.
 
     start() is called once a task and gives the function of some values (None for null), of about PART_BYTES at a
@@ -126,13 +137,14 @@ def map_column(rows: DataFrame, column: str, start: Callable[[], Callable[[list]
             made = work(batch.column(column).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), *(made[n] for n in new)], names=[*(f.name for f in carried), *new])
 
-    return map_parts(rows, column, run, T.StructType([*carried, *fields]))
+    return map_parts(rows, column, run, T.StructType([*carried, *fields]), keeps)
 
 
 def with_column(rows: DataFrame, column: str, start: Callable[[], Callable[[list], pa.Array]], name: str, kind: str) -> DataFrame:
     """rows with one new column computed from one column; only that one goes to Python, all others stay where they are."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_up()
         work = start()
         try:
             for whole in batches:
