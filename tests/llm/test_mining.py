@@ -220,6 +220,17 @@ def test_hard_negatives_equal_brute_force(spark, cell, block):
     assert sorted(map(tuple, got.collect())) == negatives_by_hand(rows, 10)
 
 
+def test_hard_negatives_when_the_grid_is_dealt_over_many_tasks(spark):
+    rows = vectors(7)
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # large tables aren't coalesced to one task
+    try:
+        got = hard_negatives.mine(table, F.col("vec_id") % 10 == 0, "vec_id", F.col("label"), F.col("embedding"), cell=30, block=7).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, got)) == negatives_by_hand(rows, 10)
+
+
 def test_wide_vectors_other_types_and_empty_tables(spark):
     rng = random.Random(6)
     rows = [(f"v{i:03d}", rng.choice("ab"), [rng.gauss(0, 1) * 10.0 ** rng.randint(0, 6) for _ in range(5)]) for i in range(120)]

@@ -119,8 +119,9 @@ def _best(scores: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
 def _met(cells: DataFrame, blocks: DataFrame, work: Callable, schema: T.StructType) -> DataFrame:
     """work(cell, block) for every cell and block; each pair is a group of two rows."""
     last = [x.agg(F.max("number")).first()[0] or 0 for x in (cells, blocks)]
-    left = cells.withColumnRenamed("number", "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last[1]))))
-    right = blocks.withColumnRenamed("number", "block").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(last[0]))))
+    # both sides' keys are of one type: Spark hashes an int and a bigint to different tasks
+    left = cells.withColumnRenamed("number", "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last[1]).cast("bigint"))))
+    right = blocks.withColumnRenamed("number", "block").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last[0]).cast("bigint"))))
     arrow = to_arrow_schema(schema)
 
     def run(cell: pa.Table, block: pa.Table) -> pa.Table:
