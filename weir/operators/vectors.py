@@ -50,8 +50,9 @@ def over_grid(queries: DataFrame, docs: DataFrame, work: Callable, schema: T.Str
     known = "id IS NOT NULL AND v IS NOT NULL"
     cells, n_cells = _packed(docs.filter(known), CELL, True)
     blocks, n_blocks = _packed(queries.withColumn("label", F.lit(0)).filter(known), BLOCK, False)
-    left = cells.withColumnRenamed("number", "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = blocks.withColumnRenamed("number", "block").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))))
+    # both sides' keys are of one type: Spark hashes an int and a bigint to different tasks
+    left = cells.withColumnRenamed("number", "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
+    right = blocks.withColumnRenamed("number", "block").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_cells - 1).cast("bigint"))))
     arrow = to_arrow_schema(schema)
 
     def run(cell: pa.Table, block: pa.Table) -> pa.Table:
