@@ -74,3 +74,11 @@ def test_phrase_hits(spark):
     docs = spark.createDataFrame([("One two, THREE.",), ("four-five",), (None,)], "text string")
     forms = spark.createDataFrame([("two three",), ("one/two three",), ("three four",), ("five",), ("",), ("t",)], "form string")
     assert sorted(r[0] for r in M.phrase_hits(docs, forms, "text").collect()) == ["five", "one/two three", "two three"]
+
+
+def test_flex_terms_look_at_a_text_once(spark, sf):
+    from weir.plans import registry
+
+    df = registry.queries()["x4_flex_terms"](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and plan.count("regexp_extract_all") == 1

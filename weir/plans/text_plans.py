@@ -57,8 +57,9 @@ def _flex_sql(term: str) -> str:
 
 @query("SELECT doc_id, " + ", ".join(f"regexp_matches(lower(coalesce(text, '')), '{_flex_sql(x)}') AS has_{x}" for x in TERMS) + " FROM documents")
 def x4_flex_terms(spark, sf_dir):
-    low = F.lower(F.coalesce("text", F.lit("")))
-    return docs(spark, sf_dir).select("doc_id", *(P.matches(low, x).alias(f"has_{x}") for x in TERMS))
+    low = docs(spark, sf_dir).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    looked = low.withColumn("runs", P.runs_of(F.col("low"), TERMS))  # a text is cut once for all terms
+    return looked.select("doc_id", *(P.holds(F.col("low"), F.col("runs"), x).alias(f"has_{x}") for x in TERMS))
 
 
 def _any_sql(terms) -> str:
