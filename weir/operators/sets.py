@@ -8,11 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+ROWS_A_TASK = 500_000  # that a task groups
+
+
+def dealt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df dealt by the columns over as many tasks as its rows need: a task groups some ROWS_A_TASK rows, whatever the table's size."""
+    return df.repartition(max(1, -(-df.count() // ROWS_A_TASK)), *columns)
+
+
 def fact_diff(current: DataFrame, base: DataFrame, signature: Sequence[str]) -> DataFrame:
-    """(signature, change): added or removed, by the signature columns; nulls equal nulls."""
-    c, b = current.select(*signature).distinct(), base.select(*signature).distinct()
-    tagged = c.withColumn("_in", F.lit(1)).unionByName(b.withColumn("_in", F.lit(2)))
-    return tagged.groupBy(*signature).agg(F.sum("_in").alias("_in")).filter("_in < 3").withColumn("change", F.when(F.col("_in") == 1, "added").otherwise("removed")).drop("_in")
+    """(signature, change): added or removed, by the signature columns; nulls equal nulls. One shuffle; see dealt."""
+    tagged = current.select(*signature).withColumn("_in", F.lit(1)).unionByName(base.select(*signature).withColumn("_in", F.lit(2)))
+    return dealt(tagged, signature).groupBy(*signature).agg(F.bit_or("_in").alias("_in")).filter("_in < 3").withColumn("change", F.when(F.col("_in") == 1, "added").otherwise("removed")).drop("_in")
 
 
 def version_diff(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
