@@ -47,3 +47,18 @@ def test_empty_snapshots(spark, tmp_path):
     S.write_snapshot(none, str(tmp_path / "s"), ["k"])
     assert S.diff_snapshot(none, str(tmp_path / "s"), ["k"]).count() == 0
     assert rows(S.diff_snapshot(spark.createDataFrame([(1, "a", 1.0)], SCHEMA), str(tmp_path / "s"), ["k"])) == [(1, "added")]
+
+
+def test_differences_are_dealt_over_as_many_tasks_as_rows_need(spark, tmp_path, monkeypatch):
+    from weir.operators import sets
+
+    monkeypatch.setattr(sets, "ROWS_A_TASK", 50)
+    base = spark.range(1000).selectExpr("id", "if(id % 9 = 0, null, id % 7) AS v")
+    now = base.filter("id <> 4").unionByName(spark.sql("SELECT -1L AS id, 1L AS v UNION ALL SELECT 7L, 0L UNION ALL SELECT NULL, NULL"))
+    facts = sets.fact_diff(now, base, ["id", "v"])
+    assert facts.rdd.getNumPartitions() >= 40
+    assert sorted(map(tuple, facts.collect()), key=repr) == sorted([(4, 4, "removed"), (-1, 1, "added"), (None, None, "added")], key=repr)
+    S.write_snapshot(base, f"{tmp_path}/s", ["id"], 8)
+    found = S.diff_snapshot(now.filter("id <> 5 OR id IS NULL").unionByName(spark.sql("SELECT 5L AS id, 6L AS v")), f"{tmp_path}/s", ["id"])
+    assert found.rdd.getNumPartitions() >= 10
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(4, "removed"), (-1, "added"), (7, "changed"), (5, "changed"), (None, "added")], key=repr)

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sets import dealt
+
 RANGE, SUMS = "_range", ("_rows", "_one", "_two")
 MOST_RANGES = 100_000
 
@@ -39,7 +41,7 @@ def write_snapshot(df: DataFrame, path: str, key: Sequence[str], ranges: int = 2
         raise ValueError(f"a snapshot has 1 to {MOST_RANGES} ranges")
     if clash := {RANGE, *SUMS}.intersection(df.columns):
         raise ValueError(f"names of columns are taken: {sorted(clash)}")
-    df.withColumn(RANGE, _range_of(key, ranges)).repartition(RANGE).write.partitionBy(RANGE).parquet(f"{path}/rows")
+    dealt(df.withColumn(RANGE, _range_of(key, ranges)), [RANGE]).write.partitionBy(RANGE).parquet(f"{path}/rows")
     held = df.sparkSession.read.schema(df.schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
     digests(held.select(df.columns), key, ranges).withColumn("_ranges", F.lit(ranges)).write.parquet(f"{path}/digests")
 
@@ -73,8 +75,10 @@ def diff_snapshot(current: DataFrame, path: str, key: Sequence[str]) -> DataFram
         now = current.withColumn(RANGE, _range_of(key, ranges)).filter(F.col(RANGE).isin(differ)).drop(RANGE) if differ else current.limit(0)
         held = spark.read.parquet(f"{path}/rows") if differ else None
         then = held.filter(F.col(RANGE).isin(differ)).drop(RANGE) if differ else current.limit(0)
-    sums = [F.count("*").alias("_rows"), *(F.sum(F.xxhash64(F.lit(seed), *_marked(columns)).cast("decimal(38,0)")).alias(c) for seed, c in (("one", "_one"), ("two", "_two")))]
-    both = now.groupBy(*key).agg(*sums).withColumn("_side", F.lit(1)).unionByName(then.select(*current.columns).groupBy(*key).agg(*sums).withColumn("_side", F.lit(2)))
-    seen = both.groupBy(*key).agg(F.sum("_side").alias("_sides"), F.count_distinct(F.struct("_rows", "_one", "_two")).alias("_kinds"))
-    change = F.when(F.col("_sides") == 1, "added").when(F.col("_sides") == 2, "removed").when(F.col("_kinds") > 1, "changed")
+    sign = F.when(F.col("_side") == 1, F.lit(1)).otherwise(F.lit(-1)).cast("decimal(1,0)")
+    wide = lambda seed: F.sum((sign * F.xxhash64(F.lit(seed), *_marked(columns)).cast("decimal(20,0)")).cast("decimal(38,0)"))
+    both = now.withColumn("_side", F.lit(1)).unionByName(then.select(*current.columns).withColumn("_side", F.lit(2)))
+    seen = dealt(both, key).groupBy(*key).agg(F.count_if(F.col("_side") == 1).alias("_now"), F.count_if(F.col("_side") == 2).alias("_then"), wide("one").alias("_one"), wide("two").alias("_two"))
+    same = (F.col("_now") == F.col("_then")) & (F.col("_one") == 0) & (F.col("_two") == 0)
+    change = F.when(F.col("_then") == 0, "added").when(F.col("_now") == 0, "removed").when(~same, "changed")
     return seen.select(*key, change.alias("change")).filter("change IS NOT NULL")
