@@ -620,3 +620,14 @@ def test_eval_summary_by_key_and_over_all(spark):
     df = spark.createDataFrame(data, "k string, oos boolean, top1_hit boolean, top1_score double, ms long").withColumns({"hit3": F.col("top1_hit"), "hit_any": F.col("top1_hit"), "abstain_ok": F.col("oos"), "n_picked": F.lit(1), "band_hit": F.lit(None).cast("boolean")})
     assert rows(A.eval_summary(df, "k"), "k", "in_scope", "top1", "abstain_ok", "p50", "p95") == [("a", 2, 1, 0, 3, 3), ("b", 1, 0, 1, 9, 9)]
     assert rows(A.eval_summary(df), "in_scope", "out_of_scope", "top1", "band_hits", "p50", "p95") == [(3, 1, 1, 0, 3, 9)]
+
+
+def test_edges_are_counted_before_they_meet_the_units(spark):
+    units, e = spark.createDataFrame([(1,), (3,), (None,)], "unit int"), spark.createDataFrame([(3, 3), (3, 4), (5, 3), (None, 4)], "src int, dst int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        df = G.rule_isolated(units, e)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join LeftSemi") < plan.index("Aggregate") and rows(df) == [(3, 3)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -85,7 +85,8 @@ def rule_covered(units: DataFrame, edges_: DataFrame, unit: str = "unit", dst: s
 def rule_isolated(units: DataFrame, edges_: DataFrame, unit: str = "unit", src: str = "src", dst: str = "dst") -> DataFrame:
     """Units that ought to stand alone and have an edge, with the number of their edges (a loop counts once)."""
     ends = edges_.select(F.explode(F.array_distinct(F.array(src, dst))).alias(unit))
-    return ends.join(units.select(unit).distinct(), unit, "left_semi").groupBy(unit).agg(F.count("*").alias("edges"))
+    # counted first: what meets the units is a row for each end, not for each edge
+    return ends.groupBy(unit).agg(F.count("*").alias("edges")).join(units.select(unit).distinct(), unit, "left_semi")
 
 
 def _walk(e: DataFrame, frontier: DataFrame, seen: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame | None]:
