@@ -42,6 +42,17 @@ def _read(row: pa.Table) -> tuple[list, list, np.ndarray]:
     return ids, labels, np.frombuffer(x).reshape(len(ids), dim)
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """q times x transposed, added up component by component: equal vectors get equal products wherever they stand, so that ties
+    are ties (a matrix product adds in an order that depends on the place)."""
+    columns, part = np.ascontiguousarray(x.T), np.empty(len(x))
+    out = np.zeros((len(q), len(x)))
+    for total, factors in zip(out, q, strict=True):
+        for factor, column in zip(factors, columns, strict=True):
+            total += np.multiply(column, factor, out=part)
+    return out
+
+
 def over_grid(queries: DataFrame, docs: DataFrame, work: Callable, schema: T.StructType) -> DataFrame:
     """work(query ids, products, ids, labels) for some queries and a cell at a time gives columns of the schema.
 
@@ -60,7 +71,7 @@ def over_grid(queries: DataFrame, docs: DataFrame, work: Callable, schema: T.Str
         if cell.num_rows and block.num_rows:
             (ids, labels, x), (asked, _, q) = _read(cell), _read(block)
             for at in range(0, len(asked), AT_ONCE):
-                for column, more in zip(columns, work(asked[at : at + AT_ONCE], q[at : at + AT_ONCE] @ x.T, ids, labels), strict=True):
+                for column, more in zip(columns, work(asked[at : at + AT_ONCE], products(q[at : at + AT_ONCE], x), ids, labels), strict=True):
                     column += more
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
