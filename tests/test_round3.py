@@ -30,3 +30,15 @@ def test_products_are_added_up_in_order():
 
     q, x = np.random.default_rng(1).normal(size=(3, 9)), np.random.default_rng(2).normal(size=(5, 9))
     assert products(q, x).tolist() == [[np.cumsum(u * v).tolist()[-1] for v in x] for u in q]
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
+    docs = spark.range(300).select("id", F.concat(F.lit("apple w"), F.col("id") % 7, F.lit(" pear")).alias("text"), F.lit("apple").alias("title"))
+    asked = spark.createDataFrame([(1, "apple w3"), (2, "pear apple"), (3, "nothing")], "qid int, query string")
+    got = R.bm25f(asked, docs, {"title": (F.col("title"), 3.0), "text": (F.col("text"), 1.0)}, doc_id="id")
+    plan = _plan(got)
+    assert plan.count("Exchange hashpartitioning(") == 1 and "hashpartitioning(doc" in plan  # postings only, by document
+    assert got.groupBy("qid").count().orderBy("qid").collect() == [(1, 300), (2, 300)]
+    best = R.nominate(got, floor=0.9)
+    assert "Window" not in _plan(best) and {r["qid"] for r in best.select("qid").distinct().collect()} == {1, 2}
+    assert best.agg(F.max("norm")).first()[0] == pytest.approx(1.0)

@@ -16,6 +16,7 @@ from .tables import cut
 from .vectors import over_grid
 
 K1, B = 1.4, 0.75
+POSTINGS = 250_000  # in a task, some
 LENGTH = "\x00"  # stands in for a token in the row of a field's length
 
 
@@ -40,7 +41,8 @@ def bm25f(queries: DataFrame, docs: DataFrame, fields: Mapping[str, tuple[Column
     score = sum over query tokens of idf * w / (K1 + w), w = sum over fields of tf * boost / ((1-B) + B * len / mean).
     matched counts query tokens found, matched_boost those found in a field with a boost over 1. Postings are
     restricted to query tokens before anything is shuffled: what is written is the postings of query tokens and a row
-    for each field of a document with its length, from one pass over the texts.
+    for each field of a document with its length, from one pass over the texts. Postings are dealt by documents, some
+    POSTINGS a task; where the tokens of the queries can be broadcast, pairs aren't shuffled at all.
     """
     wanted = queries.select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(lex_tokens(F.col(query_text), **tokens))).alias("token"))
     kept = wanted.select("token").distinct().unionByName(queries.sparkSession.createDataFrame([(LENGTH,)], "token string"))
@@ -55,11 +57,15 @@ def bm25f(queries: DataFrame, docs: DataFrame, fields: Mapping[str, tuple[Column
         boost = float(fields[name][1])
         weight = F.when(F.col("i") == i, F.col("tf") * boost / (F.lit(1 - B) + B * F.col("len") / sizes.get(i, (0, 1.0))[1])).otherwise(weight)
         boosted = F.when(F.col("i") == i, int(boost > 1)).otherwise(boosted)
-    weights = held.filter(F.col("token") != LENGTH).groupBy("doc", "token").agg(F.sum(weight).alias("w"), F.max(boosted).alias("boosted"))
-    df = held.filter(F.col("token") != LENGTH).groupBy("token").agg(F.count_distinct("doc").alias("df"))
+    postings = held.filter(F.col("token") != LENGTH)
+    df = postings.groupBy("token").agg(F.count_distinct("doc").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = weights.join(df, "token").select("doc", "token", "boosted", (idf * F.col("w") / (K1 + F.col("w"))).alias("part"))
-    return wanted.join(scored, "token").groupBy("qid", "doc").agg(F.sum("part").alias("score"), F.count("*").alias("matched"), F.sum("boosted").alias("matched_boost"))
+    asked = cut(wanted.join(df, "token").select("qid", "token", idf.alias("idf")))  # written, so that Spark knows how small it is
+    # dealt by documents: their weights, and their pairs with queries, are summed up where they are
+    dealt = postings.repartition(max(queries.sparkSession.sparkContext.defaultParallelism, -(-held.count() // POSTINGS)), "doc")
+    weights = dealt.groupBy("doc", "token").agg(F.sum(weight).alias("w"), F.max(boosted).alias("boosted"))
+    part = F.col("idf") * F.col("w") / (K1 + F.col("w"))
+    return weights.join(asked, "token").groupBy("qid", "doc").agg(F.sum(part).alias("score"), F.count("*").alias("matched"), F.sum("boosted").alias("matched_boost"))
 
 
 def top_k(df: DataFrame, part: Sequence[str], score: str, k: int, tiebreak: Sequence[str], rank: str = "rank") -> DataFrame:
@@ -70,8 +76,8 @@ def top_k(df: DataFrame, part: Sequence[str], score: str, k: int, tiebreak: Sequ
 
 def nominate(scored: DataFrame, part: str = "qid", floor: float = 0.45, least: int = 1) -> DataFrame:
     """Rows with norm (score over the group's greatest) and evidence at the floor or over it."""
-    norm = F.col("score") / F.max("score").over(Window.partitionBy(part))
-    return scored.withColumn("norm", norm).filter((F.col("norm") >= floor) & (F.col("matched") >= least) & (F.col("matched_boost") >= least))
+    top = cut(scored.groupBy(part).agg(F.max("score").alias("_top")))  # one row a group: no group meets in a task
+    return beside(scored, top, [part]).withColumn("norm", F.col("score") / F.col("_top")).drop("_top").filter((F.col("norm") >= floor) & (F.col("matched") >= least) & (F.col("matched_boost") >= least))
 
 
 def score_pairs(queries: DataFrame, docs: DataFrame, query_id: str, query_vec: str, doc_id: str, doc_vec: str, k: int, names: tuple[str, str] = ("qid", "doc")) -> DataFrame:
