@@ -42,3 +42,26 @@ def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
     best = R.nominate(got, floor=0.9)
     assert "Window" not in _plan(best) and {r["qid"] for r in best.select("qid").distinct().collect()} == {1, 2}
     assert best.agg(F.max("norm")).first()[0] == pytest.approx(1.0)
+
+
+def test_modules_are_one_row_throughout(spark):
+    names = ["a", "a.ts", "a.tsx", "a.js", "a.jsx", "a.mjs", "a.mts", "a.cts", "b/index.ts", "b/index.js", "b/index.mjs", "c.js", "d", "d/index.js", "e.cts", "f.ts\n"]
+    specs = ["./a", "./a.js", "./a.mjs", "./a.cjs", "./b", "./c", "./c.js", "./d", "./e.cjs", "./e", "./z", "lib", None, "./d?x", "./f.js"]
+    imports = spark.createDataFrame([("s/m.js", x) for x in specs] + [("s/m.js", "./a"), (None, "./a")], "src string, spec string")
+    for some in (names, names[1:], names[3:], names[6:]):
+        files = spark.createDataFrame([(f"s/{n}",) for n in some], "path string")
+        for suffixes in (J.SUFFIXES, (".ts", "/index.js")):
+            want = {}
+            for x in {*specs} - {None, "lib"}:
+                base = "s/" + x[2:].split("?")[0]
+                tries = [base + s for s in suffixes] + [re.sub(r"\.(m|c)?js$", lambda m: f".{m[1] or str()}ts", base)]
+                want[x] = next((t for t in tries if t in {f"s/{n}" for n in some}), None)
+            out = J.resolve_specs(imports, files, suffixes=suffixes)
+            assert out.count() == len(specs) + 2
+            assert "posexplode" not in _plan(out)
+            for r in out.collect():
+                if r["spec"] is None:
+                    assert r["external"] is None and r["dead"] is None and r["resolved"] is None
+                elif r["src"] is not None:
+                    assert r["resolved"] == want.get(r["spec"]), (r, some, suffixes)
+                    assert r["dead"] == (r["spec"] != "lib" and want[r["spec"]] is None)

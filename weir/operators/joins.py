@@ -113,13 +113,17 @@ def resolve_specs(imports: DataFrame, files: DataFrame, src: str = "src", spec:
     also with a .js ending written as .ts; other modules are external."""
     clean = F.regexp_replace(spec, r"[?#].*$", "")
     base = normal_path(F.concat(F.regexp_replace(src, r"[^/]*$", ""), clean))
-    tries = F.array(*(F.concat(base, F.lit(s)) for s in suffixes), F.regexp_replace(base, r"\.(m|c)?js$", ".$1ts"))
-    rows = imports.withColumn("_id", F.monotonically_increasing_id()).withColumn("external", ~F.col(spec).startswith("."))
-    from .tables import cut
-
-    rows = cut(rows)
-    found = rows.filter("not external").select("_id", F.posexplode(tries).alias("_k", "_p")).join(files.select(F.col(path).alias("_p")).distinct(), "_p").groupBy("_id").agg(F.min_by("_p", "_k").alias("resolved"))
-    return rows.join(found, "_id", "left").withColumn("dead", ~F.col("external") & F.col("resolved").isNull()).drop("_id")
+    # files say which modules they could stand for, with the number of the try that finds them: a module is one row throughout
+    at = F.col("_p")
+    stands = [F.when(at.endswith(s), F.struct(at.substr(F.lit(1), F.length(at) - len(s)).alias("_base"), F.lit(k).alias("_k"))) for k, s in enumerate(suffixes)]
+    ts, js = r"\.(m|c)?ts$", r"\.(m|c)?js$"
+    for fits, stood in ((at.rlike(ts), F.regexp_replace(at, ts, ".$1js")), (~at.rlike(js), at)):
+        stands.append(F.when(fits, F.struct(stood.alias("_base"), F.lit(len(suffixes)).alias("_k"))))
+    known = files.select(F.col(path).alias("_p")).distinct().select("_p", F.explode(F.array_compact(F.array(*stands))).alias("_s"))
+    known = known.groupBy("_s._base").agg(F.min_by("_p", "_s._k").alias("resolved"))
+    external = ~F.col(spec).startswith(".")
+    rows = imports.withColumns({"external": external, "_base": F.when(~external, base)})
+    return rows.join(known, "_base", "left").withColumn("dead", ~F.col("external") & F.col("resolved").isNull()).drop("_base")
 
 
 def resolve_nested(packages: DataFrame, dependencies: DataFrame, path: str = "path", name: str = "dep") -> DataFrame:
