@@ -44,6 +44,26 @@ def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
     assert best.agg(F.max("norm")).first()[0] == pytest.approx(1.0)
 
 
+def test_decisions_meet_their_recipes_in_place(spark):
+    rules = D.RuleSet((D.Domain("a", triggers=("go",), members=("m1", "m2")), D.Domain("b", triggers=("stop",))), ready=frozenset({"m1", "m2"}))
+    recipes = spark.createDataFrame([("a", "r2", None, "m1", 2), ("a", "r1", "f", "m2", 1), ("a", "+", "f", "m1", 3), ("a", "+", None, "m2", 4)], "domain string, recipe string, flag string, member string, ord int")
+    df = spark.createDataFrame([(1, "go"), (2, "go now"), (3, "stop"), (1, "go now")], "id int, text string")
+    out = D.assemble_recipe(D.triage(df, rules), recipes, {"f": ["now"]}, rules)
+    assert _plan(out).count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in _plan(out)  # texts are looked at once
+    got = sorted((r["id"], r["recipe"], r["members"], r["action"]) for r in out.collect())
+    assert got == [(1, "r1", ["m2", "m1"], "dispatch"), (1, "r2", ["m1", "m2"], "dispatch"), (2, "r1", ["m2", "m1"], "dispatch"), (3, "", [], "ask")]
+
+
+def test_clauses_are_cut_alike_with_and_without_negation(spark):
+    texts = ["a, b; c!\nd? e", "use x but not y, do not z. but", "don't", "butter but, without", "不要 a，b 但是 c", "", "x。y；", "but", "> q\n```\nf\n```\nz", "~~~\nopen > ", " a\n\n > b\nc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("s", X.strip_markup(F.col("t")))
+    active, negated = X.split_clauses(F.col("s"), F.col("s").rlike(X.NEGATION))
+    for r in df.select("s", active.alias("a"), negated.alias("n"), X.active_text(F.col("s")).alias("want"), F.array_join(X.clauses(F.col("s"), True), "\n").alias("no")).collect():
+        assert (r["a"], r["n"]) == (r["want"], r["no"]), r
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim("t")), r"(?s)```.*?(?:```|\z)|~~~.*?(?:~~~|\z)", ""), r"(?m)^\s*>.*$", "")
+    assert all(r[0] == r[1] for r in df.select("s", plain).collect())
+
+
 def test_modules_are_one_row_throughout(spark):
     names = ["a", "a.ts", "a.tsx", "a.js", "a.jsx", "a.mjs", "a.mts", "a.cts", "b/index.ts", "b/index.js", "b/index.mjs", "c.js", "d", "d/index.js", "e.cts", "f.ts\n"]
     specs = ["./a", "./a.js", "./a.mjs", "./a.cjs", "./b", "./c", "./c.js", "./d", "./e.cjs", "./e", "./z", "lib", None, "./d?x", "./f.js"]

@@ -38,8 +38,10 @@ def lex_tokens(text: Column, stop: Sequence[str] = (*STOP_EN, *STOP_CJK), patter
 
 def strip_markup(text: Column) -> Column:
     """Without fenced blocks (also unterminated ones) and quoted lines, trimmed and in lower case."""
-    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"(?s)```.*?(?:```|\z)|~~~.*?(?:~~~|\z)", "")
-    return F.regexp_replace(bare, r"(?m)^\s*>.*$", "")
+    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    # most texts have neither; looking for the marks is far cheaper than the patterns
+    bare = F.when(F.contains(low, F.lit("```")) | F.contains(low, F.lit("~~~")), F.regexp_replace(low, r"(?s)```.*?(?:```|\z)|~~~.*?(?:~~~|\z)", "")).otherwise(low)
+    return F.when(F.contains(low, F.lit(">")), F.regexp_replace(bare, r"(?m)^\s*>.*$", "")).otherwise(bare)
 
 
 # Where clauses end, and the words that negate one.
@@ -52,6 +54,13 @@ def clauses(text: Column, negated: bool) -> Column:
     return F.filter(F.split(text, CLAUSES), lambda c: c.rlike(NEGATION) if negated else ~c.rlike(NEGATION))
 
 
+def split_clauses(text: Column, negates: Column) -> tuple[Column, Column]:
+    """(the clauses that aren't negated, joined by spaces; the others, by line). negates: text.rlike(NEGATION), where it is a column
+    already; a clause that negates makes its text do so, and without one the text is only to be cut."""
+    active = F.when(negates, F.array_join(clauses(text, False), " ")).otherwise(F.regexp_replace(text, CLAUSES, " "))
+    return active, F.when(negates, F.array_join(clauses(text, True), "\n")).otherwise("")
+
+
 def active_text(text: Column) -> Column:
     """The clauses that aren't negated, joined by spaces."""
     return F.array_join(clauses(text, False), " ")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import held, runs_of
-from ..functions.text import clauses, lang_tag, mask_terms, mode_of, mode_runs, norm_key, strip_markup
+from ..functions.text import NEGATION, lang_tag, mask_terms, mode_of, mode_runs, norm_key, split_clauses, strip_markup
 from .joins import fresh_only
 from .ranking import assign_ids, bm25f, dedupe_first, nominate, top_k
 from .sets import ordered_union as ordered_union_of
@@ -62,8 +62,9 @@ def prepare(df: DataFrame, text: str) -> DataFrame:
     Each is a column of its own, so that a text is cut into clauses once, however many terms are looked up.
     """
     df = df.withColumn("_text", strip_markup(F.col(text)))
-    df = df.withColumns({"_active": F.array_join(clauses(F.col("_text"), False), " "), "_negated": F.array_join(clauses(F.col("_text"), True), "\n"), "_runs": mode_runs(F.col("_text"))})
-    return df.withColumn("mode", mode_of(F.col("_text"), F.col("_runs"))).drop("_runs")
+    df = df.withColumns({"_negates": F.col("_text").rlike(NEGATION), "_runs": mode_runs(F.col("_text"))})
+    active, negated = split_clauses(F.col("_text"), F.col("_negates"))
+    return df.withColumns({"_active": active, "_negated": negated, "mode": mode_of(F.col("_text"), F.col("_runs"))}).drop("_runs", "_negates")
 
 
 def domain_scores(df: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:
@@ -71,15 +72,17 @@ def domain_scores(df: DataFrame, rules: RuleSet, text: str = "text") -> DataFram
 
     Negative words are written over before terms are counted. A member named outside negated clauses counts 2 for its
     domain; one named in a negated clause is excluded. The rules are a policy, not data: a text is cut into words once
-    (once more for a domain with negative words), and all terms are looked up among these.
+    (once more for a domain whose negative words it has), and all terms are looked up among these.
     """
     df = prepare(df, text)
     members = [m for d in rules.domains for m in d.members]
-    plain = [t for d in rules.domains for t in (*d.quality, *d.members, *(() if d.negatives else (*d.triggers, *d.weak)))]
+    plain = [t for d in rules.domains for t in (*d.quality, *d.members, *d.triggers, *d.weak)]
     df = df.withColumns({"_of_active": runs_of(F.col("_active"), plain), "_of_negated": runs_of(F.col("_negated"), members)})
     for i, d in enumerate(rules.domains):
         if d.negatives:
-            df = df.withColumn(f"_masked{i}", mask_terms(F.col("_active"), d.negatives)).withColumn(f"_of_masked{i}", runs_of(F.col(f"_masked{i}"), [*d.triggers, *d.quality, *d.weak]))
+            df = df.withColumn(f"_masked{i}", mask_terms(F.col("_active"), d.negatives))
+            masked = runs_of(F.col(f"_masked{i}"), [*d.triggers, *d.quality, *d.weak])
+            df = df.withColumn(f"_of_masked{i}", F.when(F.col(f"_masked{i}") != F.col("_active"), masked).otherwise(F.col("_of_active")))
     out = []
     for i, d in enumerate(rules.domains):
         scored = (F.col(f"_masked{i}"), F.col(f"_of_masked{i}")) if d.negatives else (F.col("_active"), F.col("_of_active"))
@@ -169,16 +172,18 @@ def assemble_recipe(decisions: DataFrame, recipes: DataFrame, flags: Mapping[str
 
     flags: name -> terms that set it. recipes: (domain, recipe, flag or null, member, ord): the first recipe by ord
     whose flag is set (or that needs none) is chosen; its rows give members, and rows of recipe '+' add members where
-    their flag is set. A small table of rules.
+    their flag is set. A small table of rules: one row a domain is broadcast.
     """
     rows = decisions.withColumn("_runs", runs_of(F.col(active), [t for terms in flags.values() for t in terms]))
     set_ = F.array_compact(F.array(*(F.when(F.size(held(F.col(active), F.col("_runs"), terms)) > 0, F.lit(name)) for name, terms in flags.items()))) if flags else F.array().cast("array<string>")
     rows = rows.withColumn("_flags", set_).drop("_runs")
-    fits = rows.select(id_col, "domain", "_flags").join(recipes, "domain").filter(F.col("flag").isNull() | F.array_contains("_flags", F.col("flag")))
-    chosen = fits.filter("recipe <> '+'").groupBy(id_col).agg(F.min_by("recipe", "ord").alias("recipe"))
-    rows_of = fits.join(chosen.withColumnRenamed("recipe", "_chosen"), id_col).filter((F.col("recipe") == F.col("_chosen")) | (F.col("recipe") == "+"))
-    members = rows_of.groupBy(id_col).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "member"))), lambda x: x["member"])).alias("members"))
-    out = rows.join(chosen, id_col, "left").join(members, id_col, "left").withColumn("members", F.coalesce("members", F.array().cast("array<string>")))
+    # a row's recipes come to it, so that what it was decided by is worked out once
+    policy = recipes.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("ord", "member", "recipe", "flag"))).alias("_recipes"))
+    fits = F.filter("_recipes", lambda r: r["flag"].isNull() | F.array_contains("_flags", r["flag"]))
+    out = rows.join(F.broadcast(policy), "domain", "left").select(*rows.columns, fits.alias("_fits"))
+    out = out.withColumn("recipe", F.get(F.filter("_fits", lambda r: (r["recipe"] != "+") & r["ord"].isNotNull()), F.lit(0))["recipe"])
+    members = F.array_distinct(F.transform(F.filter("_fits", lambda r: (r["recipe"] == F.col("recipe")) | (r["recipe"] == "+")), lambda r: r["member"]))
+    out = out.withColumn("members", F.when(F.col("recipe").isNotNull(), members).otherwise(F.array().cast("array<string>"))).drop("_fits")
     lost = F.filter("members", lambda m: ~m.isin(*sorted(rules.ready))) if rules.ready else F.col("members")
     go = F.col("action") == "dispatch"
     bad = go & ((F.size(lost) > 0) | (F.size("members") == 0))
