@@ -73,3 +73,23 @@ def test_queries_on_awkward_rows(spark, libs):
     back = {(r["doc_id"], r["text"]) for r in bpe_codec.decode_documents(ids, WORD).collect()}
     assert back == {(i, word.decode(word.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in texts}
     assert token_counts.count_tokens(empty(spark), BYTE).count() == 0 and bpe_codec.digest_documents(empty(spark), WORD).count() == 0
+
+
+def test_codec_keeps_words_that_come_again(monkeypatch):
+    monkeypatch.setattr(bpe_codec, "CACHE", 50)
+    codec = bpe_codec.Codec(WORD)
+    seen, encode = [], codec.encode_word
+    codec.encode_word = lambda word: seen.append(word) or encode(word)
+    rare = ["".join(chr(97 + int(d)) for d in str(1000 + i)) for i in range(400)]
+    for i in range(0, 400, 5):
+        codec.digest("again and again " + " ".join(rare[i : i + 5]))
+    assert seen.count(b"again") == 1 and len(seen) == 402
+    assert len(codec.known) <= 50 + 7 and len(codec.known.before) <= 50 + 7
+
+
+def test_codec_splits_as_the_splitter():
+    pattern = bpe_codec.Words.PATTERN
+    words, splitter = bpe_codec.Words(pattern), bpe_codec.Splitter(pattern)
+    chars = [chr(i) for i in range(0x11000) if not 0xD800 <= i < 0xE000]
+    for text in ["".join(f"a{c}{c} 1{c}'{c}" for c in chars[i : i + 64]) for i in range(0, len(chars), 64)] + ["it's we'll 'tis\x1cx\x85y", "a\U0001e4d0b \U00010d40"]:
+        assert words(text) == splitter(text)

@@ -8,7 +8,7 @@ alone, which is read off the way both tokens are built; answers go to a pair-com
 can't be reached are marked, so a word takes linear time. The token ids are exactly those of merging by rank.
 
 Decoding slices one byte buffer with an offset table. There is no shuffle; a worker keeps a bounded cache of
-encoded words.
+encoded words, from which words that come again don't go when it is full.
 
 Cases: null text counts as empty (no tokens, and the hashes of the empty string); special strings inside a text
 are one token each, as the library's default has them; repeated rows give equal rows; other columns are not
@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -29,11 +31,53 @@ from pyspark.sql import DataFrame
 from .shared import KEPT, map_column, text_rows
 from .token_counts import Splitter, byte_symbols
 
-CACHE = 120_000  # words whose ids a worker keeps
+CACHE = 200_000  # words whose ids a worker keeps (see Kept)
+LONGEST = 64  # characters of a word that is kept
 PAIRS = 400_000  # entries that the pair-compatibility table keeps
 END = 0x1000  # added to a byte's code: that byte at a word's end
 
 
+class Kept(dict):
+    """What `learn` says of the keys asked for last: CACHE of them at least, twice as many at most (but for one text's)."""
+
+    def __init__(self, learn: Callable):
+        self.learn, self.before = learn, {}
+
+    def __missing__(self, key: str | int):
+        out = self.before.get(key) or self.learn(key)
+        if isinstance(key, int) or len(key) <= LONGEST:
+            self[key] = out
+        return out
+
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.before = dict(self)
+            self.clear()
+
+
+class Words:
+    """A Splitter by the standard library's patterns, which take half the time: its classes are read off the splitter, for one plane of
+    characters. Texts with others go to the splitter itself."""
+
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, pattern: str):
+        self.any = Splitter(pattern)
+        self.plane = None
+        if pattern != self.PATTERN:
+            return
+        chars, split = [chr(i) for i in (*range(0xD800), *range(0xE000, 0x10000))], self.any.exact
+        spaces = [c for c in chars if not split(c)]
+        letters = [c for c in chars if len(split("a" + c)) == 1 and split(c)]
+        numbers = [c for c in chars if len(split(c + c)) == 2]
+        spaces, letters, numbers = ("".join(map(re.escape, x)) for x in (spaces, letters, numbers))
+        self.plane = re.compile(f"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^{spaces}{letters}{numbers}]+").findall
+        self.beyond = re.compile("[\U00010000-\U0010ffff]").search
+
+    def __call__(self, text: str) -> list[str]:
+        return self.any(text) if self.plane is None or not text.isascii() and self.beyond(text) else self.plane(text)
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file with word ends."""
 
@@ -48,7 +92,7 @@ class Codec:
         if model["type"] != "BPE" or not self.suffix or steps != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("lower-casing BPE vocabularies with word ends are supported")
         self.vocab, byte_of = model["vocab"], byte_symbols()
-        self.words = Splitter(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.words = Words(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.find_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -72,7 +116,7 @@ class Codec:
             if z not in rank_of:
                 rank_of[z], self.left[z], self.right[z] = rank, x, y
         self.rank = rank_of
-        self.text_of, self.compatible_pairs = texts, {}
+        self.size_of, self.compatible_pairs = {i: len(t) for i, t in texts.items()}, {}
         # a token is in some result only if merging by rank leaves it whole: both its parts and their border's history
         reachable = {i for i, t in texts.items() if len(t) == 1}
         for z in sorted(rank_of, key=rank_of.__getitem__):
@@ -80,7 +124,7 @@ class Codec:
                 reachable.add(z)
         self.automaton = ahocorasick.Automaton()
         for i in reachable:
-            self.automaton.add_word(texts[i], i)
+            self.automaton.add_word(texts[i], (i, len(texts[i])))
         self.automaton.make_automaton()
         self.id_of = {texts[i]: i for i in reachable}
         # next shorter token that starts a token
@@ -93,8 +137,8 @@ class Codec:
         for t, i in [*self.vocab.items(), *self.special.items()]:
             raw[i] = t.encode()
         self.buffer, self.offsets = b"".join(raw), np.cumsum([0, *map(len, raw)]).tolist()
-        self.known: dict[str | int, tuple[int, str, bytes]] = {}
-        self.known_ids: dict[str | int, list[int]] = {}
+        self.known = Kept(lambda word: self._written(self._ids(word)))
+        self.known_ids = Kept(self._ids)
 
     def _border_stands(self, x: int, y: int, gone: int) -> bool:
         """Tokens x and y, next to each other until merge `gone`, keep their border till then.
@@ -131,23 +175,23 @@ class Codec:
             return [whole]
         n = len(s)
         longest = [-1] * n
-        length = [0] * n
-        text_of = self.text_of
-        for end, i in self.automaton.iter(s):
-            size = len(text_of[i])
-            at = end - size + 1
-            if size > length[at]:
-                length[at], longest[at] = size, i
+        for end, (i, size) in self.automaton.iter(s):  # by ends, so that the longest token at a place comes last
+            longest[end - size + 1] = i
+        size_of, shorter, fine = self.size_of, self.shorter, self.compatible_pairs.get
         out: list[int] = []
         dead = bytearray(n + 1)  # places from which the rest can't be encoded
         at, token = 0, longest[0]
         while at < n:
             last = out[-1] if out else -1
             while token >= 0:
-                end = at + len(text_of[token])
-                if not dead[end] and (last < 0 or self.compatible(last, token)):
-                    break
-                token = self.shorter[token]
+                end = at + size_of[token]
+                if not dead[end]:
+                    if last < 0:
+                        break
+                    known = fine((last, token))
+                    if self.compatible(last, token) if known is None else known:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at = end
@@ -155,8 +199,8 @@ class Codec:
             else:
                 dead[at] = 1
                 token = out.pop()
-                at -= len(text_of[token])
-                token = self.shorter[token]
+                at -= size_of[token]
+                token = shorter[token]
         return out
 
     def decode_bytes(self, ids: list[int]) -> bytes:
@@ -182,32 +226,27 @@ class Codec:
             out += [self.special[part]] if part in self.special else self.words(self.normalize(part))
         return out
 
-    def _learn(self, piece: str | int) -> tuple[int, str, bytes]:
-        ids = [piece] if isinstance(piece, int) else self.encode_word(piece.encode())
-        out = self.known[piece] = len(ids), " ".join(map(str, ids)), self.decode_bytes(ids)
-        return out
+    def _ids(self, piece: str | int) -> list[int]:
+        return [piece] if isinstance(piece, int) else self.encode_word(piece.encode())
+
+    def _written(self, ids: list[int]) -> tuple[str, bytes]:
+        return " ".join(map(str, ids)), self.decode_bytes(ids)
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.known_ids, []
-        for p in self.pieces(text):
-            ids = known.get(p)
-            if ids is None:
-                ids = known[p] = [p] if isinstance(p, int) else self.encode_word(p.encode())
-            out += ids
-        if len(known) > CACHE:
-            known.clear()
+        known = self.known_ids
+        out = [i for p in self.pieces(text) for i in known[p]]
+        known.turn()
         return out
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, and the hashes of the written ids and of the decoded text."""
-        known, learn = self.known, self._learn
-        found = [known.get(p) or learn(p) for p in self.pieces(text)]
-        if len(known) > CACHE:
-            known.clear()
+        found = list(map(self.known.__getitem__, self.pieces(text)))
+        self.known.turn()
         if not found:
             return 0, EMPTY, EMPTY
-        counts, ids, raw = zip(*found, strict=True)
-        return sum(counts), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(b" ".join(raw)).hexdigest()
+        written, raw = zip(*found, strict=True)
+        ids = " ".join(written)
+        return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b" ".join(raw)).hexdigest()
 
 
 EMPTY = hashlib.sha256(b"").hexdigest()
