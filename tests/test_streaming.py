@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,87 @@ def test_environment_failures_are_tried_again_then_stop_the_batch(spark, tmp_pat
     q = S.observe_stream(raw, RULES, str(tmp_path / "o2"), str(tmp_path / "w2"), str(tmp_path / "c2"), decide=always, limits=S.Quarantine(most_attempts=4))
     with pytest.raises(Exception, match="attempts at one batch"):
         q.awaitTermination(240)
+
+
+class _Kept:
+    """State of one group, counting how often it is asked."""
+
+    def __init__(self, asked):
+        self.asked, self.value, self.map, self.timers = asked, None, {}, set()
+
+    def __getattribute__(self, name):
+        get = object.__getattribute__
+        if name not in ("asked", "value", "map", "timers"):
+            get(self, "asked").append(name)
+        return get(self, name)
+
+    def exists(self):
+        return bool(self.value or self.map)
+
+    def get(self):
+        return self.value
+
+    def put(self, rows):
+        self.value = list(rows)
+
+    def update(self, row):
+        self.value = row
+
+    def appendValue(self, row):
+        self.value = [*(self.value or []), row]
+
+    def clear(self):
+        self.value = None
+
+    def getValue(self, key):
+        return self.map.get(key)
+
+    def updateValue(self, key, row):
+        self.map[key] = row
+
+    def removeKey(self, key):
+        del self.map[key]
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def test_connections_share_the_state_of_their_group():
+    asked = []
+    handle, held, live, ended = (_Kept(asked) for _ in range(4))
+    handle.getListState, handle.getValueState, handle.getMapState = (lambda *_: held), (lambda *_: live), (lambda *_: ended)
+    connections = S._Connections(2, 1000)
+    connections.init(handle)
+
+    class Mark:
+        at = 0
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: self.at
+
+    def sent(*messages):
+        part = pd.DataFrame(messages, columns=["session", "at", "direction", "text"])
+        part["ts"] = pd.to_datetime(part.pop("at"), unit="s")
+        return [tuple(r) for out in connections.handleInputRows((0,), iter([part]), mark) for r in out[["session", "part_no", "place", "text"]].itertuples(index=False)]
+
+    def ends():
+        return sorted((tuple(r) for out in connections.handleExpiredTimer((0,), mark, mark) for r in out[["session", "part_no", "place", "text"]].itertuples(index=False)), key=repr)
+
+    mark = Mark()
+    asked.clear()
+    assert sent(*((f"s{i}", t, "in", str(t)) for i in range(500) for t in (3, 1))) == []
+    assert len(asked) < 20
+    mark.at = 2500
+    assert sent((None, 2, None, "n"), ("s7", 2, "in", "2")) == [("s7", 0, 0, "1"), ("s7", 0, 1, "2")]
+    mark.at = 3500
+    assert ends() == [(None, 0, 0, "n")]  # due at 3 s; the others at 4 s
+    mark.at = 4000
+    got = ends()
+    assert len(got) == 999 and ("s7", 1, 2, "3") in got and ("s8", 0, 0, "1") in got and ("s8", 0, 1, "3") in got and not live.value and not held.value
+    assert sent(("s7", 9, "in", "9"), ("new", 9, "in", "9")) == []
+    mark.at = 11000
+    assert ends() == [("new", 0, 0, "9"), ("s7", 1, 3, "9")]

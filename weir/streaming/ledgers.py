@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import time
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
 from dataclasses import dataclass
 from heapq import nlargest
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import PySparkException, PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -204,64 +207,132 @@ def ws_sessions(messages: DataFrame, session: str = "session", ts: str = "ts", d
     return parts.withColumn("messages", F.transform("_m", lambda m: F.struct(m[ts].alias(ts), m[direction].alias(direction), m[text].alias(text)))).drop("_m")
 
 
-class _Connection(StatefulProcessor):
-    """Holds a connection's messages until the watermark has passed them; hands them on in order, in parts of `most`, and all that is left
-    once nothing has come for `quiet_ms`."""
+MOST_ROWS = 10_000  # messages that are kept or handed on as one
+
+
+def _packed(rows: pa.Table) -> tuple[bytes]:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(row: tuple) -> pa.Table:
+    return pa.ipc.open_stream(bytes(row[0])).read_all()
+
+
+class _Connections(StatefulProcessor):
+    """Holds the messages of a group of connections until the watermark has passed them; hands them on in order, in parts of `most`, and
+    all that is left of a connection once nothing has come for `quiet_ms`.
+
+    State is asked once a group and batch, not once a connection or message: messages are kept packed, and so are the counts of live
+    connections. What was given of connections that ended is kept by connection, and asked for only when one comes again.
+    """
+
+    COUNTS = pa.schema([("session", pa.string()), *((c, pa.int64()) for c in ("held", "given", "last", "first"))])
 
     def __init__(self, most: int, quiet_ms: int):
         self.most, self.quiet_ms = most, quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "ts long, direction string, text string")
-        self.counts = handle.getValueState("counts", "held long, given long, last long")
-
-    def _give(self, key, rows: list[tuple], given: int) -> pd.DataFrame:
-        at = range(given, given + len(rows))
-        return pd.DataFrame({"session": [key[0]] * len(rows), "part_no": [i // self.most for i in at], "place": list(at), "ts": pd.to_datetime([r[0] for r in rows], unit="us"), "direction": [r[1] for r in rows], "text": [r[2] for r in rows]})
+        self.held = handle.getListState("held", "rows binary")
+        self.live = handle.getValueState("live", "rows binary")
+        self.ended = handle.getMapState("ended", "session string", "given long")
+
+    def _counts(self) -> dict[str | None, list[int]]:
+        """[held, given, last, first]: messages held and given, the last time seen, the first one held."""
+        if not self.live.exists():
+            return {}
+        name, *counts = _unpacked(self.live.get()).to_pydict().values()
+        return dict(zip(name, map(list, zip(*counts, strict=True)), strict=True))
+
+    def _keep(self, counts: dict, gone: int = -1) -> None:
+        if counts:
+            columns = [list(counts), *map(list, zip(*counts.values(), strict=True))]
+            self.live.update(_packed(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.COUNTS, strict=True)], schema=self.COUNTS)))
+        else:
+            self.live.clear()
+        due = min((last for _, _, last, _ in counts.values()), default=None)
+        timer = None if due is None else due // 1000 + self.quiet_ms
+        for old in list(self.handle.listTimers()):
+            if old not in (timer, gone):
+                self.handle.deleteTimer(old)
+        if timer is not None:
+            self.handle.registerTimer(timer)
+
+    def _give(self, counts: dict, passed: int, over: Collection = ()) -> Iterator[pd.DataFrame]:
+        """Hands on full parts of what is not after `passed`, and all of the connections that are over."""
+        rows = pa.concat_tables(map(_unpacked, self.held.get()))
+        # as Spark sorts: nulls first, texts by their bytes
+        rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in ("session", "ts", "direction", "text")], null_placement="at_start"))
+        coded = rows["session"].combine_chunks().dictionary_encode("encode")
+        names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        starts = np.flatnonzero(np.diff(which, prepend=-1))
+        sizes, at = np.diff(starts, append=len(which)), rows["ts"].to_numpy()
+        ready = np.add.reduceat((at <= passed).astype(np.int64), starts) // self.most * self.most
+        ready = np.where([name in over for name in names], sizes, ready)
+        within = np.arange(len(which)) - np.repeat(starts, sizes)
+        give = within < np.repeat(ready, sizes)
+        place = (within + np.repeat([counts[name][1] for name in names], sizes))[give]
+        for name, start, size, n in zip(names, starts.tolist(), sizes.tolist(), ready.tolist(), strict=True):
+            c = counts[name]
+            c[0], c[1], c[3] = c[0] - n, c[1] + n, int(at[start + n]) if n < size else FAR
+        if give.any():
+            rest = rows.filter(pa.array(~give)).combine_chunks()
+            self.held.clear()
+            if rest.num_rows:
+                self.held.put([_packed(rest.slice(i, MOST_ROWS)) for i in range(0, rest.num_rows, MOST_ROWS)])
+        out = rows.filter(pa.array(give))
+        for i in range(0, out.num_rows, MOST_ROWS):
+            part, p = out.slice(i, MOST_ROWS).to_pandas(), place[i : i + MOST_ROWS]
+            yield pd.DataFrame({"session": part["session"], "part_no": p // self.most, "place": p, "ts": pd.to_datetime(part["ts"], unit="us"), "direction": part["direction"], "text": part["text"]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held, given, last = self.counts.get() if self.counts.exists() else (0, 0, 0)
+        counts, again = self._counts(), self.ended.exists()
         for part in rows:
-            new = list(zip((part["ts"].astype("datetime64[us]").astype("int64")).tolist(), part["direction"].tolist(), part["text"].tolist(), strict=True))
-            self.held.appendList(new)
-            held, last = held + len(new), max(last, *(r[0] for r in new))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last // 1000 + self.quiet_ms)
-        if held >= self.most:
-            passed = timerValues.getCurrentWatermarkInMs() * 1000
-            waiting = sorted((tuple(r) for r in self.held.get()), key=_in_order)
-            ready = sum(r[0] <= passed for r in waiting) // self.most * self.most
-            if ready:
-                yield self._give(key, waiting[:ready], given)
-                held, given = held - ready, given + ready
-                self.held.put(waiting[ready:]) if held else self.held.clear()
-        self.counts.update((held, given, last))
+            texts = {c: pa.array(part[c], pa.string(), from_pandas=True) for c in ("session", "direction", "text")}
+            new = pa.table({"session": texts["session"], "ts": part["ts"].astype("datetime64[us]").astype("int64").to_numpy(), "direction": texts["direction"], "text": texts["text"]})
+            self.held.appendValue(_packed(new))
+            found = new.group_by("session").aggregate([("ts", "count"), ("ts", "max"), ("ts", "min")])
+            for name, n, last, first in zip(*(found[c].to_pylist() for c in ("session", "ts_count", "ts_max", "ts_min")), strict=True):
+                c = counts.get(name)
+                if c is None:
+                    before = self.ended.getValue((name,)) if again else None
+                    if before is not None:
+                        self.ended.removeKey((name,))
+                    c = counts[name] = [0, before[0] if before else 0, 0, FAR]
+                c[0], c[2], c[3] = c[0] + n, max(c[2], last), min(c[3], first)
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        if any(held >= self.most and first <= passed for held, _, _, first in counts.values()):
+            yield from self._give(counts, passed)
+        self._keep(counts)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held, given, last = self.counts.get()
-        if held:
-            yield self._give(key, sorted((tuple(r) for r in self.held.get()), key=_in_order), given)
-        self.held.clear()
-        self.counts.update((0, given + held, last))
+        counts, timer = self._counts(), expiredTimerInfo.getExpiryTimeInMs()
+        now = max(timer, timerValues.getCurrentWatermarkInMs() - 1)
+        over = {name for name, (_, _, last, _) in counts.items() if last // 1000 + self.quiet_ms <= now}
+        if any(counts[name][0] for name in over):
+            yield from self._give(counts, -FAR, over)
+        for name in over:
+            self.ended.updateValue((name,), (counts.pop(name)[1],))
+        self._keep(counts, timer)
 
     def close(self) -> None:
         pass
 
 
-def _in_order(row: tuple) -> tuple:
-    """As Spark sorts: nulls first, texts by their bytes."""
-    return row[0], *((x is not None, (x or "").encode()) for x in row[1:])
+FAR = 2**63 - 1  # after any time
 
 
-def ws_session_stream(messages: DataFrame, session: str = "session", ts: str = "ts", direction: str = "direction", text: str = "text", delay: str = "10 minutes", quiet_s: float = 3600, most: int = 1000) -> DataFrame:
+def ws_session_stream(messages: DataFrame, session: str = "session", ts: str = "ts", direction: str = "direction", text: str = "text", delay: str = "10 minutes", quiet_s: float = 3600, most: int = 1000, groups: int = 1024) -> DataFrame:
     """(session, part_no, place, ts, direction, text): ws_sessions as a stream, a row for each message, in order within a part.
 
     A message may come `delay` late; a connection ends when nothing has come for quiet_s. What it holds is given on once the
     watermark has passed it: in full parts of `most`, and the rest at its end, so that parts are those of ws_sessions. Sessions
-    are strings. Needs the RocksDB state store.
+    are strings, dealt by their hash to groups that share their state; a task holds the waiting messages of one group at a time. Needs the RocksDB state store.
     """
     rows = messages.select(F.col(session).cast("string").alias("session"), F.col(ts).alias("ts"), F.col(direction).alias("direction"), F.col(text).alias("text")).withWatermark("ts", delay)
     out = "session string, part_no long, place long, ts timestamp, direction string, text string"
-    return rows.groupBy("session").transformWithStateInPandas(_Connection(most, int(quiet_s * 1000)), out, "append", "eventTime")
+    dealt = rows.withColumn("_group", F.pmod(F.xxhash64("session"), F.lit(groups)).cast("int"))
+    return dealt.groupBy("_group").transformWithStateInPandas(_Connections(most, int(quiet_s * 1000)), out, "append", "eventTime")
