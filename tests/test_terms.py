@@ -82,3 +82,14 @@ def test_flex_terms_look_at_a_text_once(spark, sf):
     df = registry.queries()["x4_flex_terms"](spark, sf)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan and plan.count("regexp_extract_all") == 1
+
+
+def test_only_likely_stretches_leave_a_row(spark):
+    docs = spark.createDataFrame([(i, f"w{i} of the box, and w{i + 1} of city go; the bus") for i in range(200)], "doc long, low string")
+    keys = spark.createDataFrame([("box",), ("city go",), ("go bus",)], "key string").withColumn("runs", F.size(F.split("key", " ")))
+    found = M._likely_of(docs, keys, "runs", f"[^{M.RUN}]+", 0)
+    assert found.groupBy("key").count().collect() and {r["key"]: r["count"] for r in found.groupBy("key").count().collect()} == {"box": 200, "city go": 200}
+    around = {tuple(r) for r in M._likely_of(docs, keys, "runs", f"[^{M.RUN}]+", 2).select("key", "before", "after").collect()}
+    assert around == {("box", " ", ", "), ("city go", " ", "; ")}
+    empty = M._likely_of(docs.limit(0), keys, "runs", None, 0)
+    assert empty.count() == 0 and M._likely_of(docs, keys.limit(0), "runs", None, 0) is None
