@@ -87,6 +87,17 @@ def test_codec_keeps_words_that_come_again(monkeypatch):
     assert len(codec.known) <= 50 + 7 and len(codec.known.before) <= 50 + 7
 
 
+def test_ids_alone_are_kept_packed_in_half_the_room(monkeypatch):
+    monkeypatch.setattr(bpe_codec, "CACHE", 100)
+    codec, plain = bpe_codec.Codec(WORD), bpe_codec.Codec(WORD)
+    rare = ["".join(chr(97 + int(d)) for d in str(1000 + i)) for i in range(400)]
+    for i in range(0, 400, 5):
+        text = "again " + " ".join(rare[i : i + 5])
+        assert codec.encode(text) == [x for word in text.split() for x in plain.encode_word(word.encode())]
+    assert len(codec.known_ids) <= 50 + 6 and len(codec.known_ids.before) <= 50 + 6
+    assert all(type(x) is bytes and len(x) == 4 * len(plain.encode_word(word.encode())) for word, x in codec.known_ids.items())
+
+
 def test_codec_splits_as_the_splitter():
     pattern = bpe_codec.Words.PATTERN
     words, splitter = bpe_codec.Words(pattern), bpe_codec.Splitter(pattern)

@@ -31,17 +31,17 @@ from pyspark.sql import DataFrame
 from .shared import KEPT, map_column, text_rows
 from .token_counts import Splitter, byte_symbols
 
-CACHE = 200_000  # words whose ids a worker keeps (see Kept)
+CACHE = 200_000  # words whose written ids a worker keeps (see Kept); half as many where it keeps ids alone, as beside other stages
 LONGEST = 64  # characters of a word that is kept
-PAIRS = 400_000  # entries that the pair-compatibility table keeps
+PAIRS = 150_000  # entries that the pair-compatibility table keeps
 END = 0x1000  # added to a byte's code: that byte at a word's end
 
 
 class Kept(dict):
-    """What `learn` says of the keys asked for last: CACHE of them at least, twice as many at most (but for one text's)."""
+    """What `learn` says of the keys asked for last: a share of CACHE of them at least, twice as many at most (but for one text's)."""
 
-    def __init__(self, learn: Callable):
-        self.learn, self.before = learn, {}
+    def __init__(self, learn: Callable, share: float = 1):
+        self.learn, self.before, self.share = learn, {}, share
 
     def __missing__(self, key: str | int):
         out = self.before.get(key) or self.learn(key)
@@ -50,7 +50,7 @@ class Kept(dict):
         return out
 
     def turn(self) -> None:
-        if len(self) > CACHE:
+        if len(self) > CACHE * self.share:
             self.before = dict(self)
             self.clear()
 
@@ -138,7 +138,7 @@ class Codec:
             raw[i] = t.encode()
         self.buffer, self.offsets = b"".join(raw), np.cumsum([0, *map(len, raw)]).tolist()
         self.known = Kept(lambda word: self._written(self._ids(word)))
-        self.known_ids = Kept(self._ids)
+        self.known_ids = Kept(lambda word: np.array(self._ids(word), np.int32).tobytes(), 0.5)
 
     def _border_stands(self, x: int, y: int, gone: int) -> bool:
         """Tokens x and y, next to each other until merge `gone`, keep their border till then.
@@ -162,11 +162,11 @@ class Codec:
 
     def compatible(self, a: int, b: int) -> bool:
         """Merging by rank leaves the border between tokens a and b alone; answers are kept in the pair table."""
-        fine = self.compatible_pairs.get((a, b))
+        fine = self.compatible_pairs.get(a << 32 | b)
         if fine is None:
             if len(self.compatible_pairs) > PAIRS:
                 self.compatible_pairs.clear()
-            fine = self.compatible_pairs[a, b] = self._border_stands(a, b, 1 << 60)
+            fine = self.compatible_pairs[a << 32 | b] = self._border_stands(a, b, 1 << 60)
         return fine
 
     def encode_word(self, word: bytes) -> list[int]:
@@ -188,7 +188,7 @@ class Codec:
                 if not dead[end]:
                     if last < 0:
                         break
-                    known = fine((last, token))
+                    known = fine(last << 32 | token)
                     if self.compatible(last, token) if known is None else known:
                         break
                 token = shorter[token]
@@ -232,12 +232,15 @@ class Codec:
     def _written(self, ids: list[int]) -> tuple[str, bytes]:
         return " ".join(map(str, ids)), self.decode_bytes(ids)
 
-    def encode(self, text: str) -> list[int]:
-        known = self.known_ids
-        out = [i for p in self.pieces(text) for i in known[p]]
-        known.turn()
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers, side by side."""
+        out = b"".join(map(self.known_ids.__getitem__, self.pieces(text)))
+        self.known_ids.turn()
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, and the hashes of the written ids and of the decoded text."""
         found = list(map(self.known.__getitem__, self.pieces(text)))
@@ -262,8 +265,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids:
     """docs with token ids (array<int>) in place of the text. vocabulary: a path that every executor can open."""
 
     def start():
-        encode = codec(vocabulary).encode
-        return lambda values: {ids: pa.array([encode(t or "") for t in values], pa.list_(pa.int32()))}
+        packed = codec(vocabulary).packed
+
+        def work(values: list) -> dict[str, pa.Array]:
+            found = [packed(t or "") for t in values]
+            ends = np.cumsum([0, *map(len, found)]) // 4
+            return {ids: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))}
+
+        return work
 
     return map_column(docs.withColumn(text, docs[text].cast("string")), text, start, f"`{ids}` array<int>", keeps=__name__)
 
