@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weir.functions import text as X
 from weir.operators import decide as D, extract as E, joins as J, ranking as R
+from weir.plans import text_plans
 
 
 def _plan(df) -> str:
@@ -93,3 +94,16 @@ def test_elements_are_handed_on_in_parts(spark, monkeypatch):
     assert len(want) == sum(range(30)) and want[-1]["ord"] == 28 and want[0]["attrs"] == {"href": "x"}
     monkeypatch.setattr(E, "PART", 10)
     assert E.html_elements(pages, "id", "h", "a").orderBy("id", "ord").collect() == want
+
+
+def test_texts_made_from_short_rows_are_dealt(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(text_plans, "TEXTS_A_TASK", 10)
+    spark.range(1, 201, numPartitions=1).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    out = text_plans.x26_id_sites(spark, str(tmp_path))
+    found = out.select("doc", "line_no", "id", "mode", F.spark_partition_id().alias("task")).collect()
+    for mode in ("heading", "bold", "table", "json", "section_list", "filename"):
+        assert len({r["task"] for r in found if r["mode"] == mode}) > 10, mode
+    want = {(k, n, f"{c}{k % 7 if c == 'L' else k}", mode) for k in range(1, 201) for n, c, mode in ((3, "O", "heading"), (4, "L", "bold"), (5, "T", "table"), (6, "J", "json"), (1, "F", "filename"))}
+    assert {tuple(r)[:4] for r in found} == want | {(k, 2, "B1", "section_list") for k in range(1, 201)} and len(found) == 1200
+    spark.range(0).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "none/customer.parquet"))
+    assert text_plans.x26_id_sites(spark, str(tmp_path / "none")).count() == 0

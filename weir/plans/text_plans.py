@@ -15,6 +15,7 @@ query = book.query
 QUERIES, ORACLES = book.queries, book.oracles
 
 STOP = sql_list([*X.STOP_EN, *X.STOP_CJK])
+TEXTS_A_TASK = 10_000  # texts made from short rows that a task searches
 
 
 def docs(spark, sf_dir):
@@ -281,8 +282,13 @@ def x26_id_defs(spark, sf_dir):
 SELECT c_custkey AS doc, unnest([3, 4, 5, 6, 2, 1]) AS line_no, unnest(['O' || c_custkey, 'L' || c_custkey % 7, 'T' || c_custkey, 'J' || c_custkey, 'B1', 'F' || c_custkey]) AS id, unnest(['heading', 'bold', 'table', 'json', 'section_list', 'filename']) AS mode FROM customer
 """)
 def x26_id_sites(spark, sf_dir):
-    """A text and a file name for each customer, with a definition of every kind, and one inside a fence that is none."""
-    c, k = t(spark, sf_dir, "customer"), F.col("c_custkey")
+    """A text and a file name for each customer, with a definition of every kind, and one inside a fence that is none.
+
+    A few bytes a customer become a text, so customers are dealt before that: tables of some MB would be read, and searched, by one task or two.
+    """
+    k = F.col("c_custkey")
+    c = t(spark, sf_dir, "customer").select(k)
+    c = c.repartition(max(1, -(-c.count() // TEXTS_A_TASK)), k)
     text = F.concat_ws("\n", F.lit("## B. list"), F.lit("1. first, not L1"), F.concat(F.lit("# O"), k, F.lit(" and more")), F.concat(F.lit("- **L"), k % 7, F.lit("** x")), F.concat(F.lit("| `T"), k, F.lit("` | O9 |")), F.concat(F.lit('{"id": "J'), k, F.lit('"}')), F.lit("```"), F.lit("# O1"), F.lit("```"))
     lines = E.lines_of(c.select(k.alias("doc"), text.alias("text")), "doc", "text", fences=True)
     sites = E.id_defs(lines, "[OLTJ][0-9]+", ["table", "heading", "bold", "json", "section_list"], "doc")
